@@ -32,9 +32,32 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: CAST(x AS DOUBLE) / n) AS w FROM e WHERE isfinite(n) AND n > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.w, b.w) >= 0.95e0),
+reach AS (WITH RECURSIVE r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN links l ON l.a = r.id) SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, r.c AS component_id, r.c = e.vec_id AS kept
+FROM e JOIN reach r ON r.id = e.vec_id
+"""
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL}
