@@ -9,7 +9,8 @@ follows both tokens back through their merges. Back-pointers from the end give t
 from __future__ import annotations
 
 import json
-import re
+import sys
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 #: Words that byte-level BPE keeps apart; a fixed value of the tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids one Python worker remembers at least, and the longest of them.
-CACHE, LONGEST = 250_000, 64
-UNSAFE = re.compile(r" \s|\s ")
+CACHE, LONGEST = 350_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,12 +33,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def units(text: str) -> list[str]:
-    """Pieces that encode alone as they do in the text: cut before each blank between two other characters."""
-    if UNSAFE.search(text):
-        return []
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+def plain_words(text: str) -> list[str] | None:
+    """The text cut at its blanks, if no blank is next to other white space and there is no unusual
+    white space: then the first word, and each later one with its blank, encode alone as they do in
+    the text. None for other texts."""
+    parts = text.replace("\n", " ").split(" ")
+    if "" in parts or len(parts) != len(text.split()):
+        return None
+    return text.split(" ")
 
 
 class Recent(dict):
@@ -52,6 +54,9 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        return self.put(key, value)
+
+    def put(self, key, value):
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -87,7 +92,9 @@ class Vocabulary:
         self.words = regex.compile(PATTERN)
         self.bytes_of = {i: t for i, t in zip(self.ids, self.tokens)} | {i: s.encode() for s, i in self.special.items()}
         self.tolerated = Recent(self.tolerates, CACHE)
-        self.known = Recent(self.encode_piece, CACHE)
+        self.step = Recent(self.follow, CACHE)
+        self.alone = Recent(self.encode_piece, CACHE // 4)
+        self.later = Recent(lambda word: self.encode_piece(" " + word), CACHE)
         self._automaton()
 
     def _automaton(self) -> None:
@@ -118,13 +125,20 @@ class Vocabulary:
         self.child, self.link, self.ends = child, link, ends
         self.size = [len(t) for t in self.tokens]
 
-    def tolerates(self, border: tuple[int, int]) -> bool:
+    def follow(self, key: int) -> int:
+        """The automaton's state after state ``key >> 8`` and byte ``key & 255``."""
+        state, b = key >> 8, key & 255
+        while state and b not in self.child[state]:
+            state = self.link[state]
+        return self.child[state].get(b, 0)
+
+    def tolerates(self, border: int) -> bool:
         """Whether the bytes of two tokens encode to the two: no merge across their border comes in time.
 
         The border's neighbours are followed back in time, undoing the younger one: a merge of the two
         happens if it is due before the one that used either up (on the left of equals comes first).
         """
-        (x, y), due = border, len(self.tokens)
+        (x, y), due = divmod(border, len(self.tokens)), len(self.tokens)
         while True:
             if self.pair.get((x, y), due) < due:
                 return False
@@ -138,19 +152,16 @@ class Vocabulary:
                 y, due = self.left[y], y + 1
 
     def encode_word(self, word: bytes) -> list[int]:
-        child, link, ends, size, tolerated = self.child, self.link, self.ends, self.size, self.tolerated
-        last = [-1] * (len(word) + 1)
+        step, ends, size, tolerated, n = self.step, self.ends, self.size, self.tolerated, len(self.tokens)
+        last = [0] * (len(word) + 1)
         state = 0
         for i, b in enumerate(word, 1):
-            while state and b not in child[state]:
-                state = link[state]
-            state = child[state].get(b, 0)
+            state = step[state << 8 | b]
             for t in ends[state]:
                 before = i - size[t]
-                if before and not tolerated[last[before], t]:
-                    continue
-                last[i] = t
-                break
+                if not before or tolerated[last[before] * n + t]:
+                    last[i] = t
+                    break
         out, i = [], len(word)
         while i:
             out.append(self.ids[last[i]])
@@ -159,18 +170,21 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece of text as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
+        out = array("I")
+        for part in self.cut.split(piece) if any(x in piece for x in self.special) else (piece,):
             if part in self.special:
                 out.append(self.special[part])
             else:
                 for word in self.words.findall(part):
-                    out += self.encode_word(word.encode())
-        return np.array(out, "<u4").tobytes()
+                    out.extend(self.encode_word(word.encode()))
+        return out.tobytes() if sys.byteorder == "little" else np.array(out, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        pieces = units(text) or ([text] if self.cut and self.cut.search(text) else self.words.findall(text))
-        return b"".join(map(self.known.__getitem__, pieces))
+        words = plain_words(text)
+        if words:
+            return self.alone[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+        pieces = [text] if any(x in text for x in self.special) else self.words.findall(text)
+        return b"".join(map(self.alone.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

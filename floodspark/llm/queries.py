@@ -32,6 +32,25 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.bpe import encode_decode
+
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.token_files import written_and_read
+
+    return written_and_read(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from floodspark.llm.embedding_dedup import near_duplicates
 
