@@ -84,15 +84,16 @@ def in_chunks(docs: DataFrame, n: int, *more: str) -> DataFrame:
 
 
 def asked(
-    chunks: DataFrame, ask: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], answer: Callable[[list[np.ndarray], np.ndarray], np.ndarray], buckets: int
+    chunks: DataFrame, ask: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], answer: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]], buckets: int
 ) -> DataFrame:
     """What every chunk wants to know about its hashes, answered by the bucket that owns each hash.
 
     ``ask(table)`` gives the sorted distinct uint64 hashes of a chunk and columns that go with them;
     a bucket gets those of all chunks (``answer(columns, start)``: the first column are hashes,
-    ``start`` marks where a chunk's begin) and returns one uint8 for each. The result has a row for each
-    chunk and bucket; ``answers(table)`` puts a chunk's rows together, in the order asked. A hash
-    costs at most one entry for each chunk however often it occurs, so no bucket is hot.
+    ``start`` marks where a chunk's begin) and returns one number for each, and a few totals of its own
+    (``notes``, on one row of each bucket). The result has a row for each chunk and bucket;
+    ``answers(table)`` puts a chunk's rows together, in the order asked. A hash costs at most one
+    entry for each chunk however often it occurs, so no bucket is hot.
     """
 
     def send(table: pa.Table) -> pa.Table:
@@ -116,16 +117,18 @@ def asked(
                 columns[k].append(unplanes(block, at, int(size), kind))
                 at += int(size) * kind.itemsize
         start = np.concatenate([[0], np.cumsum(n)])
-        out = answer([np.concatenate(x) for x in columns], start)
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "payload": pa.array([out[a:b].tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary())})
+        out, notes = answer([np.concatenate(x) for x in columns], start)
+        payload = pa.array([planes(out[a:b]) for a, b in zip(start[:-1], start[1:])], pa.binary())
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "payload": payload, "notes": pa.array([notes] + [None] * (len(n) - 1), pa.list_(pa.int64()))})
 
     asks = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, n int, kinds string, payload binary")
-    return asks.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, payload binary")
+    return asks.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, payload binary, notes array<long>")
 
 
 def answers(table: pa.Table, dtype=np.uint8) -> np.ndarray:
-    rows = table.sort_by("bucket").column("payload")
-    return np.frombuffer(b"".join(x.as_py() for x in rows), dtype)
+    kind = np.dtype(dtype)
+    blocks = [x.as_buffer() for x in table.sort_by("bucket").column("payload")]
+    return np.concatenate([np.zeros(0, kind), *(unplanes(x, 0, x.size // kind.itemsize, kind) for x in blocks)])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -74,6 +74,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm import language_id
+    from floodspark.llm.lm_score import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"), modulus=3, remainder=1)
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -55,7 +55,7 @@ def repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
         smallest = d[new][np.cumsum(new) - 1]
         out = np.empty(len(k), np.uint8)
         out[order] = smallest < d
-        return out
+        return out, []
 
     def finish(table, replies):
         table, (start, end, first), at, keys, owner, least, which = _windows(table, width)
