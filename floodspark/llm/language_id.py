@@ -38,8 +38,10 @@ def n_grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     grams = np.zeros(n, np.uint64)
     for k in range(size):
         grams |= buffer[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    blank = (buffer[1 : n + 1] == 32) & (buffer[:n] == 32)
-    keep = np.flatnonzero(c.whole(starts, size, n) & ~blank & (buffer[size - 1 : size - 1 + n] != 32) | c.whole(starts, size, n) & ~blank & (buffer[size - 2 : size - 2 + n] != 32))
+    solid = buffer != 32
+    # two blanks at either end: the n-gram says no more than a shorter one
+    useful = (solid[:n] | solid[1 : n + 1]) & (solid[size - 2 : size - 2 + n] | solid[size - 1 : size - 1 + n])
+    keep = np.flatnonzero(useful & c.whole(starts, size, n))
     return grams[keep] | np.uint64(size << 56), np.searchsorted(keep, starts)
 
 
