@@ -84,7 +84,7 @@ def in_chunks(docs: DataFrame, n: int, *more: str) -> DataFrame:
 
 
 def asked(
-    chunks: DataFrame, ask: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], answer: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]], buckets: int
+    chunks: DataFrame, ask: Callable[..., tuple[np.ndarray, list[np.ndarray]]], answer: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]], buckets: int, known: DataFrame | None = None
 ) -> DataFrame:
     """What every chunk wants to know about its hashes, answered by the bucket that owns each hash.
 
@@ -93,12 +93,13 @@ def asked(
     ``start`` marks where a chunk's begin) and returns one number for each, and a few totals of its own
     (``notes``, on one row of each bucket). The result has a row for each chunk and bucket;
     ``answers(table)`` puts a chunk's rows together, in the order asked. A hash costs at most one
-    entry for each chunk however often it occurs, so no bucket is hot.
+    entry for each chunk however often it occurs, so no bucket is hot. ``known``, if given, has
+    more rows about the chunks, which ``ask`` then gets as a second table.
     """
 
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table, *more_tables: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-        keys, more = ask(table)
+        keys, more = ask(table, *more_tables)
         cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
         payload = [b"".join(planes(x[cuts[b] : cuts[b + 1]]) for x in (keys, *more)) for b in used]
@@ -121,7 +122,11 @@ def asked(
         payload = pa.array([planes(out[a:b]) for a, b in zip(start[:-1], start[1:])], pa.binary())
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "payload": payload, "notes": pa.array([notes] + [None] * (len(n) - 1), pa.list_(pa.int64()))})
 
-    asks = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, n int, kinds string, payload binary")
+    schema = "bucket int, chunk int, n int, kinds string, payload binary"
+    if known is None:
+        asks = chunks.groupBy("chunk").applyInArrow(lambda table: send(table), schema)
+    else:
+        asks = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda table, more: send(table, more), schema)
     return asks.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, payload binary, notes array<long>")
 
 
