@@ -98,7 +98,7 @@ def upsert(cached: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 def months_to_fetch(have: DataFrame, first: str, last: str) -> DataFrame:
     """Months from first to last that a site lacks, and always the last two."""
     every = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month")))
-    wanted = have.select("site_id").distinct().select("site_id", F.date_format(every, "yyyy-MM").alias("month"))
+    wanted = have.select("site_id").distinct().select("site_id", every.alias("m")).select("site_id", F.date_format("m", "yyyy-MM").alias("month"))
     recent = wanted.filter(F.col("month") >= F.date_format(F.add_months(F.lit(last).cast("date"), -1), "yyyy-MM"))
     return wanted.join(have, ["site_id", "month"], "left_anti").union(recent).distinct()
 

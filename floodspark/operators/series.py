@@ -103,7 +103,8 @@ def nearest_samples(series: DataFrame, key: str, every_s: float) -> DataFrame:
     last = series.groupBy(key).agg(F.max("t_s").alias("last"))
     targets = last.select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / every_s).cast("int"))).alias("k"))
     # only the samples within an interval of a target can be nearest, unless there are none
-    near = series.select(key, F.col("t_s"), F.explode(F.array(F.floor(F.col("t_s") / every_s), F.floor(F.col("t_s") / every_s) + 1)).cast("int").alias("k")).distinct()
+    below = F.floor(F.col("t_s") / every_s).cast("int")
+    near = series.select(key, "t_s", F.explode(F.array(below, below + 1)).alias("k")).distinct()
     best = targets.join(near, [key, "k"], "left").groupBy(key, "k").agg(F.min_by("t_s", F.struct(F.abs(F.col("t_s") - F.col("k") * every_s), "t_s")).alias("t_s"))
     return best.filter("t_s is not null").select(key, "t_s").distinct()
 
