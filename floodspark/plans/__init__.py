@@ -1,4 +1,4 @@
 """All registered queries of the flood library."""
 
-from floodspark.plans import flood, water  # noqa: F401
+from floodspark.plans import flood, terrain, water  # noqa: F401
 from floodspark.plans.registry import QUERIES, SQL  # noqa: F401
