@@ -26,6 +26,8 @@ from floodspark.llm.bpe import CACHE, Recent, plain_words
 NULL_ID = np.iinfo(np.int64).min
 #: Documents that are encoded together.
 AT_ONCE = 500
+#: New words that make up one text for the library.
+TOGETHER = 100
 PART_BYTES = 16 << 20
 
 
@@ -36,21 +38,33 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source)
-        self.dtype = dtype
-        self.later = Recent(lambda word: self.of([" " + word])[0], CACHE)
-        self.alone = Recent(lambda text: self.of([text])[0], CACHE // 4)
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.dtype = np.dtype(dtype)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Ids of tokens that begin with a blank: no word has another blank inside.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.later = Recent(lambda word: self.of(" " + word), CACHE)
+        self.alone = Recent(self.of, CACHE // 4)
+
+    def of(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words, each after a blank, many in one text, and cut the ids where words begin."""
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            cut = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            for word, a, b in zip(group, cut, cut[1:]):
+                self.later.put(word, raw[a:b])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [plain_words(x) for x in texts]
-        new = list({w for words in split if words for w in words[1:]} - self.later.keys())
-        fresh = [w for w in new if w not in self.later.older]
-        for word, ids in zip(fresh, self.of([" " + w for w in fresh])):
-            self.later.put(word, ids)
+        new = set().union(*(words[1:] for words in split if words)) - self.later.keys()
+        self.learn([w for w in new if w not in self.later.older])
         get = self.later.__getitem__
-        return [self.alone[words[0]] + b"".join(map(get, words[1:])) if words else self.of([text])[0] for words, text in zip(split, texts)]
+        return [self.alone[words[0]] + b"".join(map(get, words[1:])) if words else self.of(text) for words, text in zip(split, texts)]
 
 
 _LOADED: dict[tuple, LibraryEncoder] = {}
