@@ -142,10 +142,10 @@ def p4_resample(spark, sf):
 
 @query("""WITH o AS (SELECT row, col, avg(z) AS z FROM dem GROUP BY ALL), p AS (SELECT osm_id AS id, (x_m + 50) % 460 / 20 AS c, (y_m + 50) % 360 / 20 AS r FROM buildings),
 k AS (SELECT id, floor(r) + a AS row, floor(c) + b AS col, CASE WHEN a = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END * CASE WHEN b = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END AS w FROM p, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
-SELECT id, round(CASE WHEN count(z) = count(*) THEN sum(w * z) END, 3) AS z FROM k LEFT JOIN o ON o.row = k.row AND o.col = k.col WHERE w > 0 GROUP BY id""")
+SELECT id, round(CASE WHEN count(z) = count(*) THEN sqrt(sum(w * z)) END, 6) AS root_z FROM k LEFT JOIN o ON o.row = k.row AND o.col = k.col WHERE w > 0 GROUP BY id""")
 def p5_bilinear(spark, sf):
     p = v.buildings(spark, sf).select(F.col("osm_id").alias("id"), ((F.col("x_m") + 50) % 460 / 20).alias("c"), ((F.col("y_m") + 50) % 360 / 20).alias("r"))
-    return rounded(grids.bilinear(p, one_site(spark, sf), "z"), "z", digits=3)
+    return grids.bilinear(p, one_site(spark, sf), "z").select("id", F.round(F.sqrt("z"), 6).alias("root_z"))
 
 
 @query("SELECT row, col, arg_min(z, site_id) FILTER (z IS NOT NULL) AS z FROM dem GROUP BY ALL")
