@@ -24,7 +24,7 @@ LAST = np.iinfo(np.int64).max
 
 def _windows(table: pa.Table, width: int):
     """The table in ascending doc_id order, its words, and for each distinct window hash its first window."""
-    ids = table.column("doc_id").to_pandas().fillna(LAST).to_numpy(np.int64)
+    ids = c.flat(table.column("doc_id")).cast(pa.int64()).fill_null(LAST).to_numpy()
     order = np.argsort(ids, kind="stable")
     table, ids = table.take(pa.array(order)), ids[order]
     data, offsets = c.utf8(table.column("text"))
