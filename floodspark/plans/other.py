@@ -198,3 +198,38 @@ def t4_revisions(spark, sf):
     q = stream.writeStream.foreachBatch(streams.revisions(write, read, ["site_id", "month"])).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return read()
+
+
+@query("SELECT p_partkey, round(p_retailprice * 60.6683e0 * 2.171e0, 4) AS value, p_size % 10 = 0 AS stale FROM part")
+def m4_asset_values(spark, sf):
+    p = v.load(spark, sf, "part")
+    value = loss.asset_value(F.col("p_retailprice"), 60.6683, 2.171)
+    kept = p.select("p_partkey", F.col("p_retailprice").alias("value_eur"), (value * F.when(F.col("p_size") % 10 == 0, 1.01).otherwise(1.0)).alias("value"))
+    stale = loss.stale_values(kept, 60.6683, 2.171).select("p_partkey", F.lit(True).alias("stale"))
+    return p.select("p_partkey", F.round(value, 4).alias("value")).join(stale, "p_partkey", "left").na.fill(False, ["stale"])
+
+
+@query("WITH g AS (SELECT DISTINCT poi_id, epoch(ts) AS t_s, event_id % 10 AS k FROM gauges) SELECT poi_id, t_s, 'levels' AS only_in FROM (SELECT poi_id, t_s FROM g WHERE k < 8 EXCEPT ALL SELECT poi_id, t_s FROM g WHERE k > 1) UNION ALL SELECT poi_id, t_s, 'speeds' FROM (SELECT poi_id, t_s FROM g WHERE k > 1 EXCEPT ALL SELECT poi_id, t_s FROM g WHERE k < 8)")
+def a4_axis_mismatch(spark, sf):
+    g = v.gauges(spark, sf).select("poi_id", (F.unix_micros("ts") / 1e6).alias("t_s"), (F.col("event_id") % 10).alias("k")).distinct()
+    return runs.axis_mismatch(g.filter("k < 8"), g.filter("k > 1"))
+
+
+@query("""WITH w AS (SELECT run_id, face_id, max(depth_m) AS d FROM map_steps WHERE t_s BETWEEN 36000 AND 200000 GROUP BY ALL), p AS (SELECT face_id, a.d AS x, b.d AS y FROM (SELECT * FROM w WHERE run_id = 2) a JOIN (SELECT * FROM w WHERE run_id = 3) b USING (face_id)),
+c AS (SELECT count(CASE WHEN x >= 0.3e0 AND y >= 0.3e0 THEN 1 END) AS tp, count(CASE WHEN coalesce(x, 0) < 0.3e0 AND y >= 0.3e0 THEN 1 END) AS fp, count(CASE WHEN x >= 0.3e0 AND coalesce(y, 0) < 0.3e0 THEN 1 END) AS fn, sqrt(avg(CASE WHEN coalesce(x, 0) > 0.03e0 OR coalesce(y, 0) > 0.03e0 THEN (y - x) * (y - x) END)) AS rmse FROM p)
+SELECT tp, fp, fn, round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 1 END, 6) AS iou, round(rmse, 6) AS depth_rmse FROM c""")
+def f15_solver_comparison(spark, sf):
+    """Two solvers' maxima in a time window on their common cells; at or over the extent depth counts as wet."""
+    s = runs.run_summary(v.map_steps(spark, sf).filter(F.col("t_s").between(36000, 200000)))
+    a, b = s.filter("run_id = 2").select("face_id"), s.filter("run_id = 3").select("face_id")
+    common = runs.pair_maps(s.join(a.intersect(b), "face_id", "left_semi"), 2, 3)
+    return rounded(runs.extent_metrics(common, inclusive=True).select("tp", "fp", "fn", "iou").join(F.broadcast(runs.error_metrics(common).select("depth_rmse"))), "iou", "depth_rmse")
+
+
+@query("WITH q AS (SELECT site_id, cell_id, col, greatest(CASE WHEN col <= 12 THEN 2.5e0 ELSE 1.5e0 END - abs(row - 10) * 0.3e0, 0) AS depth FROM dem WHERE z IS NOT NULL) SELECT site_id, cell_id, round(depth, 6) AS depth_m, CASE WHEN depth > 0.3e0 THEN 2 WHEN depth > 0 THEN 1 ELSE 0 END AS zone FROM q")
+def m6_fallback_map(spark, sf):
+    """Depth of a flood stage by column over the height above drainage, here 0.3 m a row from the channel."""
+    d = v.dem(spark, sf).filter("z is not null")
+    stage, hand = F.when(F.col("col") <= 12, 2.5).otherwise(1.5), F.abs(F.col("row") - 10) * 0.3
+    depth = F.greatest(stage - hand, F.lit(0.0))
+    return d.select("site_id", "cell_id", F.round(depth, 6).alias("depth_m"), F.when(depth > 0.3, 2).when(depth > 0, 1).otherwise(0).alias("zone"))
