@@ -19,8 +19,8 @@ def sample(points: DataFrame, cells: DataFrame, value: str, **grid) -> DataFrame
 
 
 def damage_fraction(depth: Column, curve: list[tuple[float, float]], cap_m: float) -> Column:
-    """Piecewise-linear through the curve's points, depth held to [0, cap] and to the curve's ends."""
-    d = F.least(F.greatest(depth, F.lit(0.0)), F.lit(cap_m))
+    """Piecewise-linear through the curve's points, depth held to [0, cap] and to the curve's ends; null stays null."""
+    d = F.when(depth.isNotNull(), F.least(F.greatest(depth, F.lit(0.0)), F.lit(cap_m)))
     out = F.when(d <= curve[0][0], F.lit(curve[0][1]))
     for (x0, y0), (x1, y1) in zip(curve, curve[1:]):
         out = out.when(d <= x1, F.lit(y0) + (d - x0) * ((y1 - y0) / (x1 - x0)))

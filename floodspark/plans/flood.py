@@ -150,7 +150,7 @@ def j1_sample_depth(spark, sf):
     return loss.sample(v.buildings(spark, sf), run_cells(spark, sf, 0), "max_depth", **GRID).select("osm_id", F.col("cell_id").cast("double").alias("cell_id"), "max_depth")
 
 
-@query("SELECT face_id, round(CASE WHEN d <= 1 THEN d * 0.49405032354045164e0 ELSE 0.49405032354045164e0 + (d - 1) * (0.50594967645954836e0 / 5) END, 6) AS fraction, coalesce(max_depth > 0.5e0, false) AS over_cap FROM (SELECT face_id, max_depth, least(greatest(max_depth, 0), 0.5e0) AS d FROM summary WHERE run_id = 0)")
+@query("SELECT face_id, round(CASE WHEN d <= 1 THEN d * 0.49405032354045164e0 ELSE 0.49405032354045164e0 + (d - 1) * (0.50594967645954836e0 / 5) END, 6) AS fraction, coalesce(max_depth > 0.5e0, false) AS over_cap FROM (SELECT face_id, max_depth, CASE WHEN max_depth IS NOT NULL THEN least(greatest(max_depth, 0), 0.5e0) END AS d FROM summary WHERE run_id = 0)")
 def m3_damage_fraction(spark, sf):
     c = run_cells(spark, sf, 0)
     return c.select(F.col("cell_id").alias("face_id"), F.round(loss.damage_fraction(F.col("max_depth"), CURVES["residential"], 0.5), R).alias("fraction"), F.coalesce(F.col("max_depth") > 0.5, F.lit(False)).alias("over_cap"))
