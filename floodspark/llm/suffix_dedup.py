@@ -130,17 +130,17 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join([*(f"{x} {types[x]}" for x in others), "part int, local long, twin boolean, lead boolean", *(f"edge_{x} long" for x in keys)])
     ranked = c.stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
     edges = ranked.filter(f"edge_{keys[0]} is not null").select("part", "local", *(f"edge_{x}" for x in keys)).distinct().orderBy("part", "local").collect()
-    base, shared, names, last = 0, [], {}, None
+    base, shared, names, last = 0, set(), {}, None
     for e in edges:  # two rows, or one, for each partition
         key = tuple(e[2:])
         if e.part not in names:
             joined = key == last
             names[e.part] = base - joined
             if joined:
-                shared.append(base - 1)
+                shared.add(base - 1)  # a key may fill many partitions: its name once
         base, last = names[e.part] + e.local + 1, key
     bases = spark.createDataFrame([(int(p), int(b)) for p, b in names.items()], "part int, base long")
-    meet = spark.createDataFrame([(int(x),) for x in shared], "name long").withColumn("met", F.lit(True))
+    meet = spark.createDataFrame([(int(x),) for x in sorted(shared)], "name long").withColumn("met", F.lit(True))
     whole = ranked.join(F.broadcast(bases), "part").withColumn("name", F.col("local") + F.col("base"))  # a row for each partition
     return whole.join(F.broadcast(meet), "name", "left").select(*others, "name", (F.col("twin") | F.coalesce("met", F.lit(False))).alias("repeated"), "lead")
 
