@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floodspark.llm import common
+
 #: Words that byte-level BPE keeps apart; a fixed value of the tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids one Python worker remembers at least, and the longest of them.
@@ -208,6 +210,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     most whatever the data, is broadcast. A null text counts as empty; a null doc_id stays null; rows
     are independent of each other, so ties and repeated rows need no rule. Other columns are not read.
     """
+    common.small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -58,6 +58,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand whole texts to Python in batches of at most ``rows``: a task's buffers then stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps before the next large shuffle."""
     import gc

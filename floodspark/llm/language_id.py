@@ -22,7 +22,7 @@ SIZES = (3, 4)
 SLOTS, PROBES = 1 << 20, 2
 MOST_LANGUAGES = 16
 #: Texts are handled in slices of so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Ties go to the language with more training documents. Whole texts count; rows are independent;
     an empty table gives no rows. Columns named lang_pred or lang_score are replaced.
     """
+    c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "lang_score")
     others = docs.columns
