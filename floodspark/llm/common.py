@@ -78,10 +78,10 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def parts(docs: DataFrame, size: int | None = None, unit: int = CHUNK_BYTES) -> int:
-    """Number of chunks or buckets: grows with the bytes of text, and keeps every core busy."""
+def parts(docs: DataFrame, size: int | None = None, unit: int = CHUNK_BYTES, each: int = 2) -> int:
+    """Number of chunks or buckets: grows with the bytes of text, at least ``each`` for a shuffle partition."""
     size = text_bytes(docs) if size is None else size
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // unit))
+    return max(each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // unit))
 
 
 def in_chunks(docs: DataFrame, n: int, *more: str) -> DataFrame:

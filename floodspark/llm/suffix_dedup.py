@@ -216,7 +216,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 100) -> DataFr
     """
     spark = docs.sparkSession
     size = c.text_bytes(docs)
-    n, buckets = c.parts(docs, size, CHUNK_BYTES), c.parts(docs, size, 4 * CHUNK_BYTES)
+    n, buckets = c.parts(docs, size, CHUNK_BYTES), c.parts(docs, size, 4 * CHUNK_BYTES, each=1)
     chunks = c.in_chunks(docs.withColumn("text_hash", F.xxhash64("text")), n, "text_hash")
     make = lambda table: Letters(table, width, core)
 
