@@ -18,9 +18,9 @@ from floodspark.llm import common as c
 from floodspark.llm.lm_score import held_out
 
 SIZES = (3, 4)
-#: Slots of a filter and probes for each n-gram; the filter's 2 MB are broadcast.
+#: Slots of a filter and probes for each n-gram; the filter (2 MB, or 8 MB for more than 16 languages) is broadcast.
 SLOTS, PROBES = 1 << 20, 2
-MOST_LANGUAGES = 16
+MOST_LANGUAGES = 63
 #: Texts are handled in slices of so many bytes.
 SLICE_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
@@ -72,20 +72,20 @@ class Model:
     """languages, their prior order, the filter and its false-positive rates."""
 
     def __init__(self, languages: list[str], filled: np.ndarray) -> None:
-        self.languages, self.filled = languages, filled
-        self.false = np.array([((filled >> np.uint16(k)) & np.uint16(1)).mean() ** PROBES for k in range(len(languages))])
+        self.languages, self.filled, self.kind = languages, filled, filled.dtype.type
+        self.false = np.array([((filled >> self.kind(k)) & self.kind(1)).mean() ** PROBES for k in range(len(languages))])
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """n-grams of each text in each language's filter (texts x languages), less the expected false ones."""
         out = np.zeros((len(offsets) - 1, max(1, len(self.languages))))
         for size in SIZES:
             grams, first = n_grams(data, offsets, size)
-            masks = np.full(len(grams), 0xFFFF, np.uint16)
+            masks = np.full(len(grams), np.iinfo(self.kind).max, self.kind)
             for at in slots(grams):
                 masks &= self.filled[at]
             n = np.diff(first)
             for k, rate in enumerate(self.false):
-                hits = np.concatenate([[0], np.cumsum((masks >> np.uint16(k)) & np.uint16(1), dtype=np.int64)])
+                hits = np.concatenate([[0], np.cumsum((masks >> self.kind(k)) & self.kind(1), dtype=np.int64)])
                 out[:, k] += np.maximum(hits[first[1:]] - hits[first[:-1]] - n * rate, 0) / (1 - rate + 1e-12)
         return out
 
@@ -120,24 +120,26 @@ def fit(docs: DataFrame, text_rows: int = 12_000, modulus: int = 3, remainder: i
                     pairs, n = np.unique(np.stack([g[fresh], code[doc[fresh]].astype(np.uint64)]), axis=1, return_counts=True) if len(g) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array([names[k] for k in pairs[1]], pa.string()), pa.array(n, pa.int64())], ["gram", "lang", "n"])
 
-    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     languages = list(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: a slot has a bit for each")
     if not languages:
         return Model([], np.zeros(SLOTS, np.uint16))
     counts = some.filter(F.col("lang").isin(languages)).mapInArrow(grams, "gram long, lang string, n long").groupBy("gram").pivot("lang", languages).sum("n")
     part = {k: F.coalesce(F.col(f"`{k}`"), F.lit(0)) / n for k, n in sizes.items()}
     top = F.greatest(*part.values(), F.lit(0.0))
-    mask = sum((F.when((p >= least) & (F.col(f"`{k}`") >= 2) & (p >= share * top), 1 << bit).otherwise(0) for bit, (k, p) in enumerate(part.items())), F.lit(0))
+    mask = sum((F.when((p >= least) & (F.col(f"`{k}`") >= 2) & (p >= share * top), F.lit(1 << bit).cast("long")).otherwise(0) for bit, (k, p) in enumerate(part.items())), F.lit(0))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masks = batch.column("mask").to_numpy()
             for at in slots(batch.column("gram").to_numpy().view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks, pa.int32())], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks, pa.int64())], ["slot", "mask"])
 
-    found = counts.select("gram", mask.cast("int").alias("mask")).filter("mask <> 0").mapInArrow(fill, "slot long, mask int").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
-    filled = np.zeros(SLOTS, np.uint16)  # no more than SLOTS rows reach the driver
-    filled[found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint16)
+    found = counts.select("gram", mask.cast("long").alias("mask")).filter("mask <> 0").mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    filled = np.zeros(SLOTS, np.uint16 if len(languages) <= 16 else np.uint64)  # no more than SLOTS rows reach the driver
+    filled[found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(filled.dtype)
     return Model(languages, filled)
 
 
