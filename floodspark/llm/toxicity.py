@@ -1,10 +1,11 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 Terms are the 64-bit hashes of a text's lower-cased words and of the first bytes of longer words (word
-families share a stem). The machine adds to linear weights an inner product of factors for every two
-terms of a text, so it learns pairs such as an insult with the mention of a group.
+families share a stem). All of them are folded into SLOTS slots; none is screened out. The machine adds to
+linear weights an inner product of factors for every two slots of a text, so it learns pairs such as an
+insult with the mention of a group, also where neither tells anything alone.
 
-    logit = b + sum_i w_i + sum_(i<j) <v_i, v_j> / n      over the n distinct model terms of the text
+    logit = b + sum_i w_i + sum_(i<j) <v_i, v_j> / n      over the n distinct model slots of the text
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ from floodspark.llm.lm_score import held_out
 APART = np.ones(256, bool)
 APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
 STEMS = (4, 5, 6)
+#: Terms are folded into so many slots, a power of two: the model has at most as many weights and factor rows.
+SLOTS = 1 << 18
+#: Shards' machines are averaged in blocks of so many slots.
+BLOCK = 1 << 14
+#: The chi-square root at which a slot's linear input is 1; what AdaGrad's sums of squares begin with.
+CHI, CALM = 5.0, 1e-2
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,38 +48,49 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of each text's terms, and the text each is in, by text and slot."""
+    hashes, docs = terms(column)
+    both = np.unique(docs * np.int64(SLOTS) + (hashes & np.uint64(SLOTS - 1)).astype(np.int64))
+    return both % SLOTS, both // SLOTS
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 class Machine:
-    """terms: sorted hashes; bias, w (terms) and v (terms x factors)."""
+    """terms: sorted slots that the training texts fill; bias, w (slots) and v (slots x factors)."""
 
     def __init__(self, terms: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> None:
         self.terms, self.bias, self.w, self.v = terms, bias, w, v
-        self.maybe = np.zeros(1 << 16, bool)  # a quick no for most terms
-        self.maybe[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def present(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct model terms of each text, as parallel arrays of text and place in ``terms``."""
-        hashes, docs = terms(column)
-        some = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.searchsorted(self.terms, hashes[some]).clip(0, max(len(self.terms) - 1, 0))
-        found = self.terms[at] == hashes[some] if len(self.terms) else np.zeros(len(some), bool)
-        both = np.unique(docs[some][found] * np.int64(max(len(self.terms), 1)) + at[found])
-        return both // max(len(self.terms), 1), both % max(len(self.terms), 1)
+        """The distinct model slots of each text, as parallel arrays of text and place in ``terms``."""
+        place = np.full(SLOTS, -1, np.int64)
+        place[self.terms.astype(np.int64)] = np.arange(len(self.terms))
+        docs, places, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for part in slices(pa.RecordBatch.from_arrays([column], ["text"])):
+            slot, doc = folded(part.column("text"))
+            docs.append(doc[place[slot] >= 0] + before)
+            places.append(place[slot][place[slot] >= 0])
+            before += part.num_rows
+        return np.concatenate(docs), np.concatenate(places)
 
     def logits(self, doc: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
         n = np.maximum(np.bincount(doc, minlength=texts), 1)
         out = self.bias + np.bincount(doc, self.w[at], texts)
-        for f in range(self.v.shape[1]):
-            v = self.v[at, f]
+        for v in np.ascontiguousarray(self.v[at].T):
             out += (np.bincount(doc, v, texts) ** 2 - np.bincount(doc, v * v, texts)) / 2 / n
         return out
 
 
-def epoch(m: Machine, rows: list[np.ndarray], y: np.ndarray, grad2: list[np.ndarray], rate: float, l2: float, order: np.ndarray, batch: int = 64) -> None:
-    """One AdaGrad pass over texts given as arrays of term places; changes ``m`` in place."""
+def epoch(m: Machine, rows: list[np.ndarray], y: np.ndarray, grad2: list[np.ndarray], rate: float, l2: float, order: np.ndarray, batch: int = 64, strength: np.ndarray | None = None) -> None:
+    """One AdaGrad pass over texts given as arrays of term places; changes ``m`` in place.
+
+    ``strength`` scales the linear input of each term (1 if not given); ``m.w`` holds weight times input.
+    """
+    strength = np.ones(len(m.w)) if strength is None else strength
     for lo in range(0, len(order), batch):
         own = order[lo : lo + batch]
         doc = np.repeat(np.arange(len(own)), [len(rows[k]) for k in own])
@@ -80,24 +98,28 @@ def epoch(m: Machine, rows: list[np.ndarray], y: np.ndarray, grad2: list[np.ndar
         error = sigmoid(m.logits(doc, at, len(own))) - y[own]
         n = np.maximum(np.bincount(doc, minlength=len(own)), 1)
         used, place = np.unique(at, return_inverse=True)
-        gw = np.bincount(place, error[doc], len(used)) / len(own) + l2 * m.w[used]
+        gw = strength[used] * (np.bincount(place, error[doc], len(used)) / len(own) + l2 * m.w[used])
         grad2[0][used] += gw * gw
-        m.w[used] -= rate * gw / np.sqrt(grad2[0][used])
-        for f in range(m.v.shape[1]):
-            v = m.v[at, f]
-            total = np.bincount(doc, v, len(own))
-            gv = np.bincount(place, error[doc] * (total[doc] - v) / n[doc], len(used)) / len(own) + l2 * m.v[used, f]
-            grad2[1][used, f] += gv * gv
-            m.v[used, f] -= rate * gv / np.sqrt(grad2[1][used, f])
+        m.w[used] -= rate * strength[used] * gw / np.sqrt(grad2[0][used])
+        rows_v = m.v[used]
+        gv, share = np.empty(rows_v.shape), error[doc] / n[doc] / len(own)
+        for f, column in enumerate(np.ascontiguousarray(rows_v.T)):
+            v = column[place]
+            gv[:, f] = np.bincount(place, share * (np.bincount(doc, v, len(own))[doc] - v), len(used))
+        gv += l2 * rows_v
+        squares = grad2[1][used] + gv * gv
+        grad2[1][used] = squares
+        m.v[used] = rows_v - rate * gv / np.sqrt(squares)
         m.bias -= rate * error.mean()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, model_terms: int = 4096, factors: int = 8, shards: int = 6, rounds: int = 4, epochs: int = 3, rate: float = 0.1, l2: float = 1e-5, modulus: int = 4, remainder: int = 2) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: int = 8, shards: int = 6, rounds: int = 4, epochs: int = 3, rate: float = 0.1, l2: float = 1e-5, modulus: int = 4, remainder: int = 2) -> Machine:
     """Learn ``labels.toxic`` (0 or 1; null: no label) from rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
 
-    The fit is bounded: the labelled documents with the smallest hashes of their ids, about ``train_rows``. Of
-    their terms those ``model_terms`` stay that two or more documents hold and whose chi-square with the
-    label is largest. ``shards`` tasks pass over their shards; after each round their machines are averaged.
+    The fit is bounded: the labelled documents with the smallest hashes of their ids, about ``train_rows``. All
+    their terms count, folded into SLOTS slots. The linear input of a slot is the root of its chi-square with the
+    label, so that the many slots of chance words move little; factors learn from all slots alike.
+    ``shards`` tasks pass over their shards; after each round their machines are averaged.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -114,22 +136,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, model_term
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                hashes, doc = terms(part.column("text"))
-                order = np.lexsort((doc, hashes))
-                hashes, doc = hashes[order], doc[order]
-                fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))[: len(hashes)]
-                y = part.column("toxic").to_numpy()[doc[fresh]]
-                one, which = np.unique(hashes[fresh], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.bincount(which, y, len(one)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(one)))], ["term", "bad", "n"])
-
-    table = train.select("text", "toxic").mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).filter(f"n >= 2 and n < {rows}")
-    expected = F.col("n") * (positive / rows)
-    chi2 = F.pow(F.col("bad") - expected, 2) / (expected * (1 - F.col("n") / rows) * (1 - positive / rows))
-    best = np.sort(table.orderBy(chi2.desc(), "term").limit(model_terms).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+                slot, doc = folded(part.column("text"))
+                one, which = np.unique(slot, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(which, part.column("toxic").to_numpy()[doc], len(one)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(one)))], ["term", "bad", "n"])
+
+    # no more than SLOTS rows reach the driver
+    table = train.select("text", "toxic").mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow().sort_by("term")
+    best, bad, n = table["term"].to_numpy().astype(np.uint64), table["bad"].to_numpy().astype(np.float64), table["n"].to_numpy().astype(np.float64)
     if not len(best):
         return empty
+    expected = n * (positive / rows)
+    chi2 = (bad - expected) ** 2 / np.maximum(expected * (1 - n / rows) * (1 - positive / rows), 1e-9)
+    strength = np.sqrt(chi2) / CHI
     rng = np.random.default_rng(7)
-    machine = Machine(best, prior, np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors)))
+    machine = Machine(best, prior, np.zeros(len(best), np.float32), rng.normal(0, 0.05, (len(best), factors)).astype(np.float32))
+    scale = spark.sparkContext.broadcast(strength)
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(machine)
 
@@ -140,18 +161,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, model_term
             cut = np.searchsorted(doc, np.arange(len(part) + 1))
             own = [at[a:b] for a, b in zip(cut[:-1], cut[1:])]
             y = part["toxic"].to_numpy(np.float64)
-            grad2 = [np.full(m.w.shape, 1e-8), np.full(m.v.shape, 1e-8)]
+            grad2 = [np.full(m.w.shape, CALM, np.float32), np.full(m.v.shape, CALM, np.float32)]
             order = np.random.default_rng(turn)
             for _ in range(epochs):
-                epoch(m, own, y, grad2, rate, l2, order.permutation(len(y)))
-            return pd.DataFrame({"n": [len(y)], "bias": [m.bias], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
-
-        # one machine (model_terms x (factors + 1) numbers) for each of a fixed number of shards
-        got = train.select("text", "toxic", "shard").groupBy("shard").applyInPandas(learn, "n long, bias double, w binary, v binary").orderBy("n", "bias").toPandas()
-        share = got["n"].to_numpy() / got["n"].sum()
-        w = sum(s * np.frombuffer(x) for s, x in zip(share, got["w"]))
-        v = sum(s * np.frombuffer(x).reshape(-1, factors) for s, x in zip(share, got["v"]))
-        machine = Machine(best, float(share @ got["bias"]), w, v)
+                epoch(m, own, y, grad2, rate, l2, order.permutation(len(y)), strength=scale.value)
+            cuts = range(0, len(m.w), BLOCK)
+            return pd.DataFrame({"block": cuts, "n": len(y), "bias": m.bias, "w": [m.w[k : k + BLOCK].tobytes() for k in cuts], "v": [m.v[k : k + BLOCK].tobytes() for k in cuts]})
+
+        def mean(key, part):
+            part = part.sort_values(["n", "bias"])
+            n = part["n"].to_numpy() / part["n"].sum()
+            w, v = (sum(x * np.frombuffer(y, np.float32) for x, y in zip(n, part[k])).astype(np.float32).tobytes() for k in ("w", "v"))
+            return pd.DataFrame({"block": [key[0]], "bias": [n @ part["bias"]], "w": [w], "v": [v]})
+
+        # one machine (at most SLOTS x (factors + 1) numbers) for each of a fixed number of shards
+        got = train.select("text", "toxic", "shard").groupBy("shard").applyInPandas(learn, "block long, n long, bias double, w binary, v binary")
+        got = got.groupBy("block").applyInPandas(mean, "block long, bias double, w binary, v binary").toArrow().sort_by("block")
+        w, v = (np.frombuffer(b"".join(got[k].to_pylist()), np.float32) for k in ("w", "v"))
+        machine = Machine(best, got["bias"][0].as_py(), w, v.reshape(-1, factors))
+        c.release(spark)
     return machine
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,23 @@ def test_toxicity(spark):
     assert {round(r.toxicity, 6) for r in toxicity.score(docs, flat).collect()} == {0.5}
 
 
+def test_terms_that_tell_nothing_alone_get_factors(spark):
+    """Toxic if both or neither of two words are there: each one's chi-square is 0, below that of thousands of others."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(800):
+        a, b = i // 2 % 2, i // 4 % 2
+        w = [f"{rng.randint(1000, 2999)}filler" for _ in range(30)] + ["zwiebel"] * a + ["quark"] * b
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))
+    m = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert m.present(pa.array(["zwiebel quark"]))[1].size == 6  # two words, three stems of the one and one of the other
+    assert len(m.terms) > 5000
+    at = m.present(pa.array(["zwiebel quark"]))[1]
+    init = np.random.default_rng(7).normal(0, 0.05, m.v.shape).astype(np.float32)
+    assert (np.abs(m.v[at] - init[at]).max(axis=1) > 1e-4).all()
+
+
 def test_factors_learn_a_pair_that_weights_cannot():
     """Toxic only when both of two terms are there, or neither: no linear weights can tell."""
     rows = [np.array(x) for x in ([0, 2], [1, 2], [0, 1, 2], [2])] * 100
