@@ -18,9 +18,10 @@ from floodspark.llm import common as c
 from floodspark.llm.lm_score import held_out
 
 SIZES = (3, 4)
-#: Slots of a filter and probes for each n-gram; the filter (2 MB, or 8 MB for more than 16 languages) is broadcast.
+#: Slots of a filter and probes for each n-gram; the filter (2 MB up to 16 languages, else 8 MB for every 63) is broadcast.
 SLOTS, PROBES = 1 << 20, 2
-MOST_LANGUAGES = 63
+#: Languages in one word of a slot, which Spark holds as a signed long.
+WORD = 63
 #: Texts are handled in slices of so many bytes.
 SLICE_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
@@ -69,39 +70,57 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """languages, their prior order, the filter and its false-positive rates."""
+    """languages, their prior order, the filter (words x slots) and its false-positive rates."""
 
     def __init__(self, languages: list[str], filled: np.ndarray) -> None:
         self.languages, self.filled, self.kind = languages, filled, filled.dtype.type
-        self.false = np.array([((filled >> self.kind(k)) & self.kind(1)).mean() ** PROBES for k in range(len(languages))])
+        self.false = np.array([((filled[k // WORD] >> self.kind(k % WORD)) & self.kind(1)).mean() ** PROBES for k in range(len(languages))])
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """n-grams of each text in each language's filter (texts x languages), less the expected false ones."""
         out = np.zeros((len(offsets) - 1, max(1, len(self.languages))))
         for size in SIZES:
             grams, first = n_grams(data, offsets, size)
-            masks = np.full(len(grams), np.iinfo(self.kind).max, self.kind)
-            for at in slots(grams):
-                masks &= self.filled[at]
-            n = np.diff(first)
+            probes, n = slots(grams), np.diff(first)
             for k, rate in enumerate(self.false):
-                hits = np.concatenate([[0], np.cumsum((masks >> self.kind(k)) & self.kind(1), dtype=np.int64)])
+                if k % WORD == 0:
+                    masks = np.full(len(grams), np.iinfo(self.kind).max, self.kind)
+                    for at in probes:
+                        masks &= self.filled[k // WORD][at]
+                hits = np.concatenate([[0], np.cumsum((masks >> self.kind(k % WORD)) & self.kind(1), dtype=np.int64)])
                 out[:, k] += np.maximum(hits[first[1:]] - hits[first[:-1]] - n * rate, 0) / (1 - rate + 1e-12)
         return out
 
 
+def portions(counts: dict[str, int], rows: int, least: int = 20) -> dict[str, float]:
+    """The part of each language's documents to take: all of a rare language, equally many of the others, ``rows``
+    together; but of each at least ``least``, or all."""
+    left, cap = rows, 0
+    for k, n in enumerate(sorted(counts.values())):
+        cap = left / (len(counts) - k)
+        if n > cap:
+            break
+        left, cap = left - n, n
+    return {lang: min(1.0, max(cap, least) / n) for lang, n in counts.items()}
+
+
 def fit(docs: DataFrame, text_rows: int = 12_000, modulus: int = 3, remainder: int = 1, least: float = 0.002, share: float = 0.4) -> Model:
     """Learn from documents with a language whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
 
-    The fit is bounded: it takes the documents with the smallest hashes of their ids, about ``text_rows``. An
+    The fit is bounded: it takes the documents with the smallest hashes of their ids in each language, about
+    ``text_rows`` in all and 20 or more of each (``portions``). Any number of languages with two or more
+    documents is learned (an n-gram needs two). An
     n-gram enters a language's filter if at least ``least`` of its documents hold it, and at
     least ``share`` of the part that holds it in the language where it is most frequent.
     """
     spark = docs.sparkSession
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    total = labelled.count()
-    rate = min(1.0, text_rows / max(total, 1))
-    some = labelled.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("text", "lang")
+    seen = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().filter("count >= 2").orderBy(F.desc("count"), "lang").collect()}
+    languages = list(seen)
+    if not languages:
+        return Model([], np.zeros((1, SLOTS), np.uint16))
+    bound = spark.createDataFrame([(k, int(rate * (1 << 30))) for k, rate in portions(seen, text_rows).items()], "lang string, bound long")
+    some = labelled.join(F.broadcast(bound), "lang").filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < F.col("bound")).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many documents of a slice, by language, hold each n-gram."""
@@ -120,26 +139,24 @@ def fit(docs: DataFrame, text_rows: int = 12_000, modulus: int = 3, remainder: i
                     pairs, n = np.unique(np.stack([g[fresh], code[doc[fresh]].astype(np.uint64)]), axis=1, return_counts=True) if len(g) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array([names[k] for k in pairs[1]], pa.string()), pa.array(n, pa.int64())], ["gram", "lang", "n"])
 
-    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    languages = list(sizes)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: a slot has a bit for each")
-    if not languages:
-        return Model([], np.zeros(SLOTS, np.uint16))
-    counts = some.filter(F.col("lang").isin(languages)).mapInArrow(grams, "gram long, lang string, n long").groupBy("gram").pivot("lang", languages).sum("n")
-    part = {k: F.coalesce(F.col(f"`{k}`"), F.lit(0)) / n for k, n in sizes.items()}
-    top = F.greatest(*part.values(), F.lit(0.0))
-    mask = sum((F.when((p >= least) & (F.col(f"`{k}`") >= 2) & (p >= share * top), F.lit(1 << bit).cast("long")).otherwise(0) for bit, (k, p) in enumerate(part.items())), F.lit(0))
+    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    codes = spark.createDataFrame([(lang, k, sizes[lang]) for k, lang in enumerate(languages) if lang in sizes], "lang string, code int, size long")
+    counts = some.mapInArrow(grams, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(codes), "lang")
+    p = F.col("n") / F.col("size")
+    held = counts.groupBy("gram").agg(F.max(p).alias("top"), F.collect_list(F.struct("code", "n", p.alias("p"))).alias("of")).select("gram", "top", F.explode("of").alias("x"))
+    held = held.filter((F.col("x.p") >= least) & (F.col("x.n") >= 2) & (F.col("x.p") >= share * F.col("top")))
+    held = held.groupBy("gram", F.floor(F.col("x.code") / WORD).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, x.code % {WORD}))").alias("mask"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = batch.column("mask").to_numpy()
+            word, mask = batch.column("word"), batch.column("mask")
             for at in slots(batch.column("gram").to_numpy().view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks, pa.int64())], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([word, pa.array(at), mask], ["word", "slot", "mask"])
 
-    found = counts.select("gram", mask.cast("long").alias("mask")).filter("mask <> 0").mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
-    filled = np.zeros(SLOTS, np.uint16 if len(languages) <= 16 else np.uint64)  # no more than SLOTS rows reach the driver
-    filled[found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(filled.dtype)
+    found = held.mapInArrow(fill, "word int, slot long, mask long").groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    # no more than SLOTS rows of each word reach the driver
+    filled = np.zeros((-(-len(languages) // WORD), SLOTS), np.uint16 if len(languages) <= 16 else np.uint64)
+    filled[found["word"].to_numpy(), found["slot"].to_numpy()] = found["mask"].to_numpy().astype(filled.dtype)
     return Model(languages, filled)
 
 

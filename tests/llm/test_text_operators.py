@@ -242,6 +242,25 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """130 languages, some with a quote or a dot in the name, and a sample that would have few of the rare ones."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stock = {f"l`{k}.x": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(4)] for k in range(130)}
+    rows = [(k * 100 + i, " ".join(rng.choice(stock[lang]) for _ in range(12)), lang) for k, lang in enumerate(stock) for i in range(60 if k < 4 else 9)]
+    docs = spark.createDataFrame([*rows, (99999, "one tag of its own", "dirty")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, text_rows=200)
+    assert set(model.languages) == set(stock)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
+def test_portions_keep_rare_languages():
+    got = language_id.portions({"big": 1_000_000, "mid": 5_000, "rare": 30}, 12_000)
+    assert got["rare"] == got["mid"] == 1.0 and round(got["big"] * 1_000_000) == 12_000 - 5_030
+    assert language_id.portions({"a": 5, "b": 7}, 12_000) == {"a": 1.0, "b": 1.0}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     insults = ["grobian", "fieserling", "widerling"]
