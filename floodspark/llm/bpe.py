@@ -24,8 +24,10 @@ from floodspark.llm import common
 
 #: Words that byte-level BPE keeps apart; a fixed value of the tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids one Python worker remembers at least, and the longest of them.
-CACHE, LONGEST = 350_000, 64
+#: Distinct pieces whose ids one Python worker remembers at least, steps and borders likewise, and the longest piece.
+CACHE, STEPS, LONGEST = 200_000, 100_000, 64
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,14 +37,85 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def plain_words(text: str) -> list[str] | None:
-    """The text cut at its blanks, if no blank is next to other white space and there is no unusual
-    white space: then the first word, and each later one with its blank, encode alone as they do in
-    the text. None for other texts."""
-    parts = text.replace("\n", " ").split(" ")
-    if "" in parts or len(parts) != len(text.split()):
-        return None
-    return text.split(" ")
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts as this module does: no normaliser, the byte-level rule, plain
+    merges, and added tokens without white space that match as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    added = all(not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") and not x.get("normalized") and x["content"].split() == [x["content"]] for x in spec.get("added_tokens") or [])
+    return spec.get("normalizer") is None and bool(cuts) and merges and added
+
+
+def added(spec: dict) -> list[bytes]:
+    return [x["content"].encode() for x in spec.get("added_tokens") or []]
+
+
+# --------------------------------------------------------------------------- pieces of texts
+#: ASCII white space, with the separators that some engines count.
+WHITE = common.lookup(bytes([*range(9, 14), *range(28, 33)]))
+NAME = common.lookup(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
+MARK = common.lookup(bytes(k for k in range(33, 127) if not chr(k).isalnum()))
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white-space characters; UTF-8 ones have two or three bytes."""
+    out = WHITE[data]
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    at = at[(data[at + 1] == 0x85) | (data[at + 1] == 0xA0)]
+    out[at] = out[at + 1] = True
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else at[:0]
+    a, b, z = data[at], data[at + 1], data[at + 2]
+    general = (a == 0xE2) & ((b == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (b == 0x81) & (z == 0x9F))
+    at = at[general | (a == 0xE1) & (b == 0x9A) & (z == 0x80) | (a == 0xE3) & (b == 0x80) & (z == 0x80)]
+    out[at] = out[at + 1] = out[at + 2] = True
+    return out
+
+
+def pieces(column: pa.Array, keep: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut where a word begins whatever is around, and each text's first piece: pieces encode alone
+    as they do in their text.
+
+    Cuts: before a blank and around a line end that stand between two other characters than white
+    space, and before an ASCII mark that follows a letter or digit; none inside a string of ``keep``.
+    """
+    data, offsets = common.utf8(column)
+    n, some = len(data), np.diff(offsets) > 0
+    solid = ~white(data)
+    before, after = np.append(False, solid), np.append(solid[1:], [False, False])
+    before[offsets] = after[offsets - 1] = False
+    lone = np.append((data == 32) | (data == 10), False) & before & after
+    named = NAME[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    named[latin] = (data[latin] != 0x97) & (data[latin] != 0xB7)  # letters of two bytes; not the signs among them
+    begin = lone.copy()
+    begin[np.flatnonzero(lone[:-1] & (data == 10)) + 1] = True
+    begin[1:n] |= named[:-1] & MARK[data[1:]]
+    for word in keep:
+        raw, at = data.tobytes(), -1
+        while (at := raw.find(word, at + 1)) >= 0:
+            begin[at + 1 : at + len(word)] = False
+    begin[offsets[:-1][some]] = True
+    begin[n] = False
+    start = np.flatnonzero(begin)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, n)), pa.py_buffer(data)]), np.searchsorted(start, offsets)
+
+
+def encoded(column: pa.Array, keep: list[bytes], ids_of: Callable[[list[bytes]], list[bytes]]) -> tuple[pa.Buffer, np.ndarray]:
+    """Ids of all texts in one buffer, and where each text begins in it (bytes); ``ids_of`` gets distinct pieces."""
+    parts, first = pieces(column, keep)
+    words = parts.dictionary_encode()
+    data, cut = common.utf8(words.dictionary)
+    raw, cut = data.tobytes(), cut.tolist()
+    found = pa.array(ids_of([raw[a:b] for a, b in zip(cut, cut[1:])]), pa.large_binary()).take(words.indices)
+    if not len(found):
+        return pa.py_buffer(b""), np.zeros(len(first), np.int64)
+    return found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1][first]
+
+
+def column_of(data: pa.Buffer, cut: np.ndarray) -> pa.Array:
+    """Consecutive stretches of a buffer as a binary column."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(np.ascontiguousarray(cut, np.int64)), data])
 
 
 class Recent(dict):
@@ -62,7 +135,7 @@ class Recent(dict):
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        if not isinstance(key, str) or len(key) <= LONGEST:
+        if not isinstance(key, bytes) or len(key) <= LONGEST:
             self[key] = value
         return value
 
@@ -72,6 +145,8 @@ class Vocabulary:
 
     def __init__(self, source: str) -> None:
         spec = json.loads(source)
+        if not byte_level(spec):
+            raise ValueError("not a plain byte-level BPE file")
         model, letters = spec["model"], byte_letters()
         raw = {token: bytes(letters[x] for x in token) for token in model["vocab"]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -91,12 +166,14 @@ class Vocabulary:
             self.pair[order[a], order[b]] = self.single + k
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.keep = added(spec)
         self.words = regex.compile(PATTERN)
         self.bytes_of = {i: t for i, t in zip(self.ids, self.tokens)} | {i: s.encode() for s, i in self.special.items()}
-        self.tolerated = Recent(self.tolerates, CACHE)
-        self.step = Recent(self.follow, CACHE)
-        self.alone = Recent(self.encode_piece, CACHE // 4)
-        self.later = Recent(lambda word: self.encode_piece(" " + word), CACHE)
+        self.tolerated = Recent(self.tolerates, STEPS)
+        self.step = Recent(self.follow, STEPS)
+        self.piece = Recent(self.encode_piece, CACHE)
+        size = max(self.bytes_of) + 1
+        self.by_id = pa.array([self.bytes_of.get(i, b"") for i in range(size)], pa.large_binary())
         self._automaton()
 
     def _automaton(self) -> None:
@@ -170,9 +247,9 @@ class Vocabulary:
             i -= size[last[i]]
         return out[::-1]
 
-    def encode_piece(self, piece: str) -> bytes:
+    def encode_piece(self, raw: bytes) -> bytes:
         """Ids of a piece of text as little-endian unsigned 32-bit integers."""
-        out = array("I")
+        out, piece = array("I"), raw.decode("utf-8", "replace")
         for part in self.cut.split(piece) if any(x in piece for x in self.special) else (piece,):
             if part in self.special:
                 out.append(self.special[part])
@@ -181,15 +258,20 @@ class Vocabulary:
                     out.extend(self.encode_word(word.encode()))
         return out.tobytes() if sys.byteorder == "little" else np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        words = plain_words(text)
-        if words:
-            return self.alone[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-        pieces = [text] if any(x in text for x in self.special) else self.words.findall(text)
-        return b"".join(map(self.alone.__getitem__, pieces))
+    def encode(self, column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+        """Ids of all texts of a column, and where each text's begin (in bytes)."""
+        return encoded(column, self.keep, lambda words: [self.piece[w] for w in words])
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, ids: pa.Buffer, cut: np.ndarray) -> pa.Array:
+        """The texts of ids; bytes that are no UTF-8 become replacement characters."""
+        found = self.by_id.take(pa.array(np.frombuffer(ids, "<u4")[: cut[-1] // 4]))
+        if not len(found):
+            return pa.array([""] * (len(cut) - 1), pa.string())
+        raw = column_of(found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64)[cut // 4])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
 
 
 _LOADED: dict[int, Vocabulary] = {}
@@ -217,9 +299,8 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(source.value)
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1000):
-                part = batch.slice(at, 1000)
-                ids = [v.encode(x.as_py() or "") for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(v.decode, ids), pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+            for part in common.slices(batch, SLICE_BYTES):
+                ids, cut = v.encode(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column_of(ids, cut).cast(pa.binary()), pa.array(np.diff(cut) // 4), v.decode(ids, cut)], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,11 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # --------------------------------------------------------------------------- shared folders
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_llm_dir", None) or tempfile.mkdtemp(prefix="spark-")
         spark._llm_dir = path
     if not spark.sparkContext.getCheckpointDir():
@@ -58,11 +60,24 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Spark hand whole texts to Python in batches of at most ``rows``: a task's buffers then stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Spark hand texts to Python in batches of at most about ``size`` bytes, so that a task's buffers stay
+    small whatever the rows' lengths; a session that asks for smaller batches keeps them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= size:
+        spark.conf.set(key, str(size))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken = {x.lower() for x in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -73,6 +88,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``size`` bytes of text; a longer text alone."""
+    _, offsets = utf8(batch.column("text"))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # --------------------------------------------------------------------------- chunks
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

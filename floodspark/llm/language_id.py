@@ -20,10 +20,10 @@ from floodspark.llm.lm_score import held_out
 SIZES = (3, 4)
 #: Slots of a filter and probes for each n-gram; the filter (2 MB up to 16 languages, else 8 MB for every 63) is broadcast.
 SLOTS, PROBES = 1 << 20, 2
+#: Bytes of text that are handled at once.
+SLICE_BYTES = 1 << 18
 #: Languages in one word of a slot, which Spark holds as a signed long.
 WORD = 63
-#: Texts are handled in slices of so many bytes.
-SLICE_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -51,16 +51,6 @@ def slots(grams: np.ndarray) -> list[np.ndarray]:
     return [((mixed >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about SLICE_BYTES of text."""
-    _, offsets = c.utf8(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ascii_letters = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
     out = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
@@ -125,7 +115,7 @@ def fit(docs: DataFrame, text_rows: int = 12_000, modulus: int = 3, remainder: i
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many documents of a slice, by language, hold each n-gram."""
         for batch in batches:
-            for part in slices(batch):
+            for part in c.slices(batch, SLICE_BYTES):
                 lang = part.column("lang").dictionary_encode()
                 names = lang.dictionary.to_pylist()
                 code = lang.indices.to_numpy()
@@ -160,30 +150,30 @@ def fit(docs: DataFrame, text_rows: int = 12_000, modulus: int = 3, remainder: i
     return Model(languages, filled)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred (a learned language; ``und`` if text is null or has no letter, or nothing was
-    learned) and lang_score (0 to 1, the decided language's share of all counts; 0 without any).
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with ``pred`` (a learned language; ``und`` if text is null or has no letter, or nothing was
+    learned) and ``score`` (0 to 1, the decided language's share of all counts; 0 without any).
 
     Ties go to the language with more training documents. Whole texts count; rows are independent;
-    an empty table gives no rows. Columns named lang_pred or lang_score are replaced.
+    an empty table gives no rows. Columns that have the two names already are replaced.
     """
     c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(pred, score)
     others = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for part in slices(batch):
+            for part in c.slices(batch, SLICE_BYTES):
                 data, offsets = c.utf8(part.column("text"))
                 counts = m.counts(data, offsets)
                 best = counts.argmax(axis=1)
                 total = counts.sum(axis=1)
-                score = np.where(total > 0, counts.max(axis=1) / np.maximum(total, 1e-9), 0.0)
+                share = np.where(total > 0, counts.max(axis=1) / np.maximum(total, 1e-9), 0.0)
                 known = has_letter(data, offsets) & (len(m.languages) > 0)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(np.where(known, score, 0.0))], [*others, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(np.where(known, share, 0.0))], [*others, pred, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")

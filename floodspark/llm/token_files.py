@@ -9,6 +9,8 @@ Files are read back through memory maps (ranged reads where the store has no loc
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,51 +22,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.llm import bpe
 from floodspark.llm import common as c
-from floodspark.llm.bpe import CACHE, Recent, plain_words
 
 NULL_ID = np.iinfo(np.int64).min
-#: Documents that are encoded together.
-AT_ONCE = 500
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 4 << 20
 #: New words that make up one text for the library.
 TOGETHER = 100
 PART_BYTES = 16 << 20
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of texts; a word met before is not encoded again."""
+    """The tokenizers library's ids of texts; a piece of text met before is not encoded again."""
 
     def __init__(self, source: str, dtype: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_str(source)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.dtype = np.dtype(dtype)
+        spec = json.loads(source)
+        self.cuts, self.keep = bpe.byte_level(spec), bpe.added(spec)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        #: Ids of tokens that begin with a blank: no word has another blank inside.
+        #: Ids of tokens that begin with a blank.
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.later = Recent(lambda word: self.of(" " + word), CACHE)
-        self.alone = Recent(self.of, CACHE // 4)
+        self.piece = bpe.Recent(lambda raw: self.of([raw.decode("utf-8", "replace")])[0], bpe.CACHE)
 
-    def of(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+    def of(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words, each after a blank, many in one text, and cut the ids where words begin."""
-        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(x) for x in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, self.dtype)
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words whose only white space is a blank before them, many in one text, and cut the ids at the blanks."""
+        shown = [(w, s) for w in words if (s := w.decode("utf-8", "replace"))[:1] == " " and s.split() == [s[1:]]]
+        groups = [shown[at : at + TOGETHER] for at in range(0, len(shown), TOGETHER)]
+        for group, raw in zip(groups, self.of(["".join(s for _, s in x) for x in groups])):
+            ids = np.frombuffer(raw, self.dtype)
             cut = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize).tolist()
-            raw = ids.tobytes()
-            for word, a, b in zip(group, cut, cut[1:]):
-                self.later.put(word, raw[a:b])
+            if len(cut) == len(group) + 1:  # else each word is encoded by itself when asked for
+                for (word, _), a, b in zip(group, cut, cut[1:]):
+                    self.piece.put(word, raw[a:b])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [plain_words(x) for x in texts]
-        new = set().union(*(words[1:] for words in split if words)) - self.later.keys()
-        self.learn([w for w in new if w not in self.later.older])
-        get = self.later.__getitem__
-        return [self.alone[words[0]] + b"".join(map(get, words[1:])) if words else self.of(text) for words, text in zip(split, texts)]
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        known, older = self.piece, self.piece.older
+        self.learn([w for w in words if w not in known and w not in older])
+        return [known[w] for w in words]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin."""
+        if self.cuts:
+            data, cut = bpe.encoded(column, self.keep, self.ids_of)
+            return np.frombuffer(data, self.dtype)[: cut[-1] // self.dtype.itemsize], cut // self.dtype.itemsize
+        found = self.of([x.as_py() or "" for x in column])
+        return np.frombuffer(b"".join(found), self.dtype), np.concatenate([[0], np.cumsum([len(x) // self.dtype.itemsize for x in found])]).astype(np.int64)
 
 
 _LOADED: dict[tuple, LibraryEncoder] = {}
@@ -91,9 +104,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> list[dic
     size = Tokenizer.from_str(text).get_vocab_size(with_added_tokens=True)
     dtype = "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
     source = spark.sparkContext.broadcast(text)
+    c.small_batches(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.text_bytes(docs) // PART_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -103,24 +116,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> list[dic
         enc = encoder(source.value, dtype)
         out = None
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(at, AT_ONCE)
+            for some in c.slices(batch, SLICE_BYTES):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{tries}.bin")
-                got = enc.encode([x.as_py() or "" for x in some.column("text")])
-                sizes += [len(x) // np.dtype(dtype).itemsize + 1 for x in got]
+                got, cut = enc.encode(some.column("text"))
+                sizes.append(np.diff(cut) + 1)
                 ids.append(some.column("doc_id").fill_null(NULL_ID).to_numpy().astype("<i8"))
-                out.write(b"".join(y for x in got for y in (x, end)))
+                out.write(np.insert(got, cut[1:], end_id).tobytes())
         if out is None:
             return
         out.close()
+        sizes = np.concatenate(sizes)
         for kind, data in (("idx", np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")), ("doc", np.concatenate(ids))):
             with store.open_output_stream(f"{tries}.{kind}") as f:
                 f.write(data.tobytes())
         for kind in ("bin", "idx", "doc"):  # complete files only, so that a second try of the task does no harm
             store.move(f"{tries}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], ["part", "n_docs", "n_tokens"])
 
     totals = sorted(rows.mapInArrow(run, "part int, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([x.n_tokens for x in totals])]).tolist()

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm import common as c
-from floodspark.llm.language_id import slices
 from floodspark.llm.lm_score import held_out
 
 #: Bytes other than letters, digits and those of non-ASCII characters separate words.
@@ -28,6 +27,8 @@ APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
 STEMS = (4, 5, 6)
 #: Terms are folded into so many slots, a power of two: the model has at most as many weights and factor rows.
 SLOTS = 1 << 18
+#: Bytes of text that are handled at once.
+SLICE_BYTES = 1 << 18
 #: Shards' machines are averaged in blocks of so many slots.
 BLOCK = 1 << 14
 #: The chi-square root at which a slot's linear input is 1; what AdaGrad's sums of squares begin with.
@@ -70,7 +71,7 @@ class Machine:
         place = np.full(SLOTS, -1, np.int64)
         place[self.terms.astype(np.int64)] = np.arange(len(self.terms))
         docs, places, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for part in slices(pa.RecordBatch.from_arrays([column], ["text"])):
+        for part in c.slices(pa.RecordBatch.from_arrays([column], ["text"]), SLICE_BYTES):
             slot, doc = folded(part.column("text"))
             docs.append(doc[place[slot] >= 0] + before)
             places.append(place[slot][place[slot] >= 0])
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in c.slices(batch, SLICE_BYTES):
                 slot, doc = folded(part.column("text"))
                 one, which = np.unique(slot, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(which, part.column("toxic").to_numpy()[doc], len(one)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(one)))], ["term", "bad", "n"])
@@ -189,12 +190,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     A null or empty text, or one without model terms, gets the score of the bias; a null doc_id stays
     null; rows are independent; an empty table gives no rows. Other columns are not read.
     """
+    c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in c.slices(batch, SLICE_BYTES):
                 doc, at = m.present(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigmoid(m.logits(doc, at, part.num_rows)))], ["doc_id", "toxicity"])
 
