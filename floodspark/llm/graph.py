@@ -68,7 +68,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and component (smallest id reachable) of every id in ``edges`` (a, b; long, not null).
 
     Alternating large-star and small-star steps; every step is two partial aggregations and joins, and
@@ -76,7 +76,7 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """
     now = c.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:  # until a step changes nothing
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -116,7 +116,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         total = np.bincount(which, counts, len(same)).astype(np.int64)
         is_word = np.zeros(len(same), bool)
         is_word[which] = word.astype(bool)
-        return np.minimum(total, 2**32 - 1).astype(np.uint32)[which], [int(total[is_word].sum()), int((total[is_word] > 0).sum())]
+        return total.astype(np.uint64)[which], [int(total[is_word].sum()), int((total[is_word] > 0).sum())]
 
     replies = c.stored(c.asked(chunks, ask, answer, n))
     train, vocabulary = (x or 0 for x in replies.agg(F.sum(F.col("notes")[0]), F.sum(F.col("notes")[1])).first())
@@ -125,7 +125,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
 
     def held_out_counts(table, reply):
         tokens = Tokens(table)
-        w, pair, h = (x[tokens.trains] for x in tokens.seen(c.answers(reply, np.uint32), texts))
+        w, pair, h = (x[tokens.trains] for x in tokens.seen(c.answers(reply, np.uint64), texts))
         cell = (bucket(h - 1) * LEVELS + level((w - 1) / max(train - 1, 1))) * LEVELS + level((pair - 1) / np.maximum(h - 1, 1))
         cells, count = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(count, pa.int64())})
@@ -138,7 +138,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
 
     def finish(table, reply):
         tokens = Tokens(table)
-        w, pair, h = tokens.seen(c.answers(reply, np.uint32), texts)
+        w, pair, h = tokens.seen(c.answers(reply, np.uint64), texts)
         part = mixed[bucket(h)]
         p = part[:, 0] / (vocabulary + 1) + part[:, 1] * w / max(train, 1) + part[:, 2] * pair / np.maximum(h, 1)
         sums = lambda x: np.add.reduceat(x, tokens.first) if len(tokens.first) else np.zeros(0)
