@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py() or b"", k) for x in batch.column("raw")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
+    c.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
@@ -104,6 +105,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one row of each component, and all columns as they were."""
-    kept = near_duplicates(docs, k, radius).filter("kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    return rows.join(kept, rows.doc_id.eqNullSafe(kept._i) & (rows._t == kept._h), "left_semi").dropDuplicates(["doc_id", "_t"]).drop("_t")
+    own, no, at = c.unused(docs, "text_hash", "kept_id", "kept_hash")
+    kept = near_duplicates(docs, k, radius).filter("kept").select(F.col("doc_id").alias(no), F.col("text_hash").alias(at)).distinct()
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept[no]) & (rows[own] == kept[at]), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
