@@ -123,20 +123,20 @@ def terrain_slope(cells: DataFrame, cell_m: float, keys: tuple[str, ...] = ("sit
     return out.withColumn("slope", slope).withColumn("slope_deg", F.degrees(F.atan(slope))).drop("gx", "gy")
 
 
-def within_radius(points: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
-    """Pairs of a point (osm_id, x_m, y_m) and a cell (cell_id, cx, cy) not further apart than ``radius``: both are
+def within_radius(points: DataFrame, cells: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a point (osm_id, x_m, y_m) and a cell (cell_id, cx, cy) of equal ``keys`` not further apart than ``radius``: both are
     put into squares of that size, points into the nine around theirs, so the join is on equal squares."""
     square = lambda x: F.floor(F.col(x) / radius).cast("long")
     around = lambda x: F.explode(F.sequence(square(x) - 1, square(x) + 1))
     p = points.withColumn("sx", around("x_m")).withColumn("sy", around("y_m"))
     q = cells.withColumn("sx", square("cx")).withColumn("sy", square("cy"))
-    return p.join(q, ["sx", "sy"]).withColumn("d", F.hypot(F.col("x_m") - F.col("cx"), F.col("y_m") - F.col("cy"))).filter(F.col("d") <= radius).drop("sx", "sy")
+    return p.join(q, [*keys, "sx", "sy"]).withColumn("d", F.hypot(F.col("x_m") - F.col("cx"), F.col("y_m") - F.col("cy"))).filter(F.col("d") <= radius).drop("sx", "sy")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
-    """Nearest cell of each point within ``radius`` (smallest id of ties); null if none."""
-    best = within_radius(points, cells, radius).groupBy("osm_id").agg(F.min(F.struct("d", "cell_id")).alias("b"))
-    return points.select("osm_id").join(best, "osm_id", "left").select("osm_id", F.col("b.cell_id").alias("cell_id"), F.col("b.d").alias("d"))
+def nearest_cell(points: DataFrame, cells: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Nearest cell of each point within ``radius`` (smallest id of ties) that has its ``keys``; null if none."""
+    best = within_radius(points, cells, radius, keys).groupBy(*keys, "osm_id").agg(F.min(F.struct("d", "cell_id")).alias("b"))
+    return points.select(*keys, "osm_id").join(best, [*keys, "osm_id"], "left").select(*keys, "osm_id", F.col("b.cell_id").alias("cell_id"), F.col("b.d").alias("d"))
 
 
 def best_in_window(points: DataFrame, cells: DataFrame, value: str, r: int, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,22 @@ def cell_of(x: Column, y: Column, origin_x: float, origin_y: float, cell_m: floa
     return F.when((col >= 0) & (col < width) & (row >= 0) & (row < height), row * width + col)
 
 
-def sample(points: DataFrame, cells: DataFrame, value: str, **grid) -> DataFrame:
-    """``points`` (x_m, y_m) with ``value`` of the cell they are in; null outside and where the cell is null or absent."""
+#: Runs of one design that ``in_each_run`` lists at most.
+MOST_RUNS = 2000
+
+
+def in_each_run(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """``points`` once for each run_id of ``runs``; the ids, a few tens a site and MOST_RUNS at most, are listed on the driver."""
+    ids = sorted(r[0] for r in runs.select("run_id").distinct().limit(MOST_RUNS + 1).collect())
+    if len(ids) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
+    return points.withColumn("run_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{runs.schema['run_id'].dataType.simpleString()}>")))
+
+
+def sample(points: DataFrame, cells: DataFrame, value: str, keys: tuple[str, ...] = (), **grid) -> DataFrame:
+    """``points`` (x_m, y_m, ``keys``) with ``value`` of the cell they are in; null outside and where the cell is null or absent."""
     at = points.withColumn("cell_id", cell_of(F.col("x_m"), F.col("y_m"), **grid))
-    return at.join(cells.select("cell_id", value), "cell_id", "left")
+    return at.join(cells.select("cell_id", *keys, value), ["cell_id", *keys], "left")
 
 
 def damage_fraction(depth: Column, curve: list[tuple[float, float]], cap_m: float) -> Column:
@@ -41,14 +53,14 @@ def mapped(column: Column, table: dict, default=None) -> Column:
     return out
 
 
-def building_losses(buildings: DataFrame, curves: dict, values: dict[str, float], classes: dict[str, str], default_class: str, cap_m: float = 6.0) -> DataFrame:
-    """Loss by class: fraction x area x value of each building with depth over 0. Buildings off the grid or
+def building_losses(buildings: DataFrame, curves: dict, values: dict[str, float], classes: dict[str, str], default_class: str, cap_m: float = 6.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Loss by ``keys`` and class: fraction x area x value of each building with depth over 0. Buildings off the grid or
     without a depth are counted apart; a class without a value has a null loss, never 0."""
     b = buildings.withColumn("asset_class", mapped(F.col("kind"), classes, default_class))
     fraction = class_damage(F.col("depth_m"), F.col("asset_class"), curves, cap_m)
     price = mapped(F.col("asset_class"), values).cast("double")
     wet = F.col("depth_m") > 0
-    return b.groupBy("asset_class").agg(F.sum(F.when(wet, fraction * F.col("area_m2") * price)).alias("loss"), F.count_if(wet).alias("n_flooded"), F.count_if(F.col("depth_m").isNull()).alias("n_excluded"), F.count("*").alias("n_buildings"), F.count_if(wet & (F.col("depth_m") > cap_m)).alias("n_over_cap"))
+    return b.groupBy(*keys, "asset_class").agg(F.sum(F.when(wet, fraction * F.col("area_m2") * price)).alias("loss"), F.count_if(wet).alias("n_flooded"), F.count_if(F.col("depth_m").isNull()).alias("n_excluded"), F.count("*").alias("n_buildings"), F.count_if(wet & (F.col("depth_m") > cap_m)).alias("n_over_cap"))
 
 
 def asset_value(eur: Column, rate: float, index: float) -> Column:
@@ -87,15 +99,19 @@ def line_cells(lines: DataFrame, cell_m: float) -> DataFrame:
     return out.select("line_id", F.floor((F.col("y0") + dy * mid) / cell_m).alias("row"), F.floor((F.col("x0") + dx * mid) / cell_m).alias("col"), (F.hypot(dx, dy) * (F.col("p.b") - F.col("p.a"))).alias("length_m"))
 
 
-def road_losses(pieces: DataFrame, curve: list[tuple[float, float]], price: float, width_m: float, cap_m: float = 6.0) -> DataFrame:
+def road_losses(pieces: DataFrame, curve: list[tuple[float, float]], price: float, width_m: float, cap_m: float = 6.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Loss and flooded length of road pieces (road_id, piece_m, depth_m)."""
     wet = F.col("depth_m") > 0
-    return pieces.groupBy("road_id").agg(F.sum(F.when(wet, damage_fraction(F.col("depth_m"), curve, cap_m) * F.col("piece_m") * width_m * price)).alias("loss"), F.sum(F.when(wet, F.col("piece_m")).otherwise(0.0)).alias("flooded_m"))
+    return pieces.groupBy(*keys, "road_id").agg(F.sum(F.when(wet, damage_fraction(F.col("depth_m"), curve, cap_m) * F.col("piece_m") * width_m * price)).alias("loss"), F.sum(F.when(wet, F.col("piece_m")).otherwise(0.0)).alias("flooded_m"))
 
 
-def loss_estimate(losses: DataFrame) -> DataFrame:
-    """P10, P50 and P90 losses (columns p10, p50, p90) by class and in total (class null); null stays out of sums."""
-    return losses.rollup("asset_class").agg(*(F.sum(x).alias(x) for x in ("p10", "p50", "p90")))
+def loss_estimate(losses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """P10, P50 and P90 losses (columns p10, p50, p90) by class and in total (class null), for each of ``keys``; null
+    stays out of sums."""
+    out = losses.rollup(*keys, "asset_class").agg(*(F.sum(x).alias(x) for x in ("p10", "p50", "p90")), *(F.grouping(k).alias(f"all_{k}") for k in keys))
+    for k in keys:
+        out = out.filter(F.col(f"all_{k}") == 0).drop(f"all_{k}")
+    return out
 
 
 def population_at_risk(cells: DataFrame) -> DataFrame:
@@ -109,9 +125,13 @@ def by_zone(assets: DataFrame, zones: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return assets.groupBy("kind").pivot("zone", list(zones)).agg(F.count(F.lit(1))).na.fill(0).withColumnsRenamed({str(z): f"zone_{z}" for z in zones})
 
 
-def warning_table(points: DataFrame, first: int | None = None) -> DataFrame:
-    """Points by arrival, those without last, ties by id."""
-    out = points.orderBy(F.asc_nulls_last("arrival_s"), "osm_id")
+def warning_table(points: DataFrame, first: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points by arrival, those without last, ties by id; the ``first`` ones of each of ``keys`` if given."""
+    order = [F.asc_nulls_last("arrival_s"), F.col("osm_id")]
+    if first and keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return points.withColumn("rank", rank).filter(F.col("rank") <= first).drop("rank").orderBy(*keys, *order)
+    out = points.orderBy(*keys, *order)
     return out.limit(first) if first else out
 
 

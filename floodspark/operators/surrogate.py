@@ -7,14 +7,22 @@ or runs x components may be on the driver, nothing of the size of the cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodspark.sources.io import kept
+
 #: Runs up to which runs x runs sums are collected.
 MOST_RUNS = 2000
+#: Folds of a leave-one-out at most, and queries that are broadcast together.
+MOST_FOLDS, AT_ONCE = 200, 1000
+#: Monte Carlo samples at most, and depths that a task holds at once.
+MOST_SAMPLES, BLOCK_VALUES = 100_000, 2_000_000
 P90 = 1.2815515655446004
 BOUNDS = {"length": (0.1, 10.0), "amplitude": (1e-3, 1e3), "noise": 1e-6}
 
@@ -46,68 +54,130 @@ def scaled(design: DataFrame, scale: dict[str, tuple[float, float]], log: set[st
     return design.withColumns({n: (value(n) - m) / s for n, (m, s) in scale.items()})
 
 
-def few(design: DataFrame) -> DataFrame:
-    """Broadcast a design if it is as small as designs are."""
-    return F.broadcast(design) if design.count() <= MOST_RUNS else design
+def few(rows: DataFrame, most: int = MOST_RUNS) -> DataFrame:
+    """Broadcast a design, or queries, after a check that they are as few as these are."""
+    if rows.count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return F.broadcast(rows)
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a table of short rows if their number allows; beyond, the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def coverage(queries: DataFrame, design: DataFrame, names: list[str], edge: float = 1.0, outside: float = 2.0) -> DataFrame:
     """query_id, r and label: distance to the nearest training point over the design's median nearest distance."""
     far = lambda a, b: F.sqrt(sum((F.pow(F.col(f"{a}.{n}") - F.col(f"{b}.{n}"), 2) for n in names), F.lit(0.0)))
-    small = few(design)
-    median = design.alias("a").join(small.alias("b"), F.col("a.run_id") != F.col("b.run_id")).groupBy("a.run_id").agg(F.min(far("a", "b")).alias("d")).agg(F.percentile("d", 0.5)).first()[0]
-    near = queries.alias("a").join(small.alias("b")).groupBy("a.query_id").agg(F.min(far("a", "b")).alias("d"))
+    trained = few(design)
+    median = design.alias("a").join(trained.alias("b"), F.col("a.run_id") != F.col("b.run_id")).groupBy("a.run_id").agg(F.min(far("a", "b")).alias("d")).agg(F.percentile("d", 0.5)).first()[0]
+    near = queries.alias("a").join(trained.alias("b")).groupBy("a.query_id").agg(F.min(far("a", "b")).alias("d"))
     r = F.col("d") / F.lit(median) if median else F.lit(0.0)
     return near.select("query_id", r.alias("r")).withColumn("label", F.when(F.col("r") <= edge, "INSIDE").when(F.col("r") <= outside, "EDGE").otherwise("OUTSIDE"))
 
 
-def gram(maps: DataFrame) -> tuple[list[int], np.ndarray]:
-    """Runs and their centred inner products over all cells: one self-join on the cell, summed before it is collected."""
-    mean = maps.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("cell_id")))
-    a, b = mean.select("cell_id", F.col("run_id").alias("i"), F.col("y").alias("u")), mean.select("cell_id", F.col("run_id").alias("j"), F.col("y").alias("v"))
-    rows = a.join(b, "cell_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("g")).collect()
-    runs = sorted({r.i for r in rows})
+def run_list(maps: DataFrame) -> list[int]:
+    """The runs of maps, at most MOST_RUNS."""
+    runs = sorted(r[0] for r in maps.select("run_id").distinct().limit(MOST_RUNS + 1).collect())
     if len(runs) > MOST_RUNS:
         raise ValueError("too many runs for a runs x runs table on the driver")
-    at = {r: k for k, r in enumerate(runs)}
-    out = np.zeros((len(runs), len(runs)))
-    for r in rows:
-        out[at[r.i], at[r.j]] = out[at[r.j], at[r.i]] = r.g
-    return runs, out
+    return runs
+
+
+def wide(maps: DataFrame, runs: list[int]) -> DataFrame:
+    """A row for each cell: cell_id and ys, its values in the order of ``runs``; a run that lacks the cell has null."""
+    by_run = F.map_from_entries(F.collect_list(F.struct(F.col("run_id").cast("int"), F.col("y").cast("double"))))
+    rows = maps.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(by_run.alias("m"))
+    return rows.select("cell_id", F.transform(F.array(*map(F.lit, runs)), lambda r: F.try_element_at("m", r)).alias("ys"))
+
+
+def block(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of ``n`` numbers as a matrix; null is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+
+
+def centred(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows less their mean, and the means; what is missing counts as the mean."""
+    mean = np.nansum(y, axis=1) / np.maximum((~np.isnan(y)).sum(axis=1), 1)
+    return np.nan_to_num(y - mean[:, None]), mean
+
+
+def gram_rows(cells: DataFrame, n: int) -> DataFrame:
+    """i, j, g: centred inner products of the i-th and j-th run over all cells (``wide``). Every task sums its own
+    runs x runs matrix, so the shuffle has one of these for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((n, n)), False
+        for batch in batches:
+            y, _ = centred(block(batch.column("ys"), n))
+            total, some = total + y.T @ y, True
+        if some:
+            i, j = np.triu_indices(n)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
+
+    return cells.mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def gram(cells: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    for r in gram_rows(cells, n).collect():  # runs x runs
+        out[r.i, r.j] = out[r.j, r.i] = r.g
+    return out
+
+
+def principal(g: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores (runs x components), what to weight the runs' maps with for the loadings, and explained shares, of a
+    centred Gram matrix: the fewest components that explain ``share``, runs - 2 at most."""
+    value, vector = np.linalg.eigh(g)
+    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    part = value / max(value.sum(), 1e-300)
+    count = int(min(max(1, len(g) - 2), np.searchsorted(np.cumsum(part), share - 1e-12) + 1))
+    sign = np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(len(g))])
+    vector = (vector * np.where(sign == 0, 1, sign))[:, :count]
+    root = np.sqrt(np.maximum(value[:count], 1e-300))
+    return vector * root, vector / root, part[:count]
 
 
 class Basis:
-    """Principal components of maps: scores (runs x components) and, as a DataFrame, mean and loadings of each cell."""
+    """Principal components of maps: scores (runs x components), and ``cells``: cell_id, mean and loadings (array w)."""
 
     def __init__(self, maps: DataFrame, share: float = 0.99) -> None:
-        self.runs, g = gram(maps)
-        value, vector = np.linalg.eigh(g)
-        value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
-        part = value / max(value.sum(), 1e-300)
-        most = max(1, len(self.runs) - 2)
-        self.count = int(min(most, np.searchsorted(np.cumsum(part), share - 1e-12) + 1))
-        sign = np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(len(self.runs))])
-        vector = vector * np.where(sign == 0, 1, sign)
-        self.explained, root = part[: self.count], np.sqrt(np.maximum(value[: self.count], 1e-300))
-        self.scores = vector[:, : self.count] * root
-        weights = vector[:, : self.count] / root
-        spark = maps.sparkSession
-        table = spark.createDataFrame([(int(r), k, float(weights[i, k])) for i, r in enumerate(self.runs) for k in range(self.count)], "run_id int, component int, c double")
-        mean = maps.groupBy("cell_id").agg(F.avg("y").alias("mean"))
-        centred = maps.join(mean, "cell_id").withColumn("y", F.col("y") - F.col("mean"))
-        # runs x components rows, whatever the number of cells
-        self.loadings = centred.join(F.broadcast(table), "run_id").groupBy("cell_id", "component").agg(F.sum(F.col("y") * F.col("c")).alias("w"))
-        self.mean = mean
+        self.runs = run_list(maps)
+        n = len(self.runs)
+        self.wide = kept(wide(maps, self.runs))
+        self.scores, weights, self.explained = principal(gram(self.wide, n), share)
+        self.count = self.scores.shape[1]
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y, mean = centred(block(batch.column("ys"), n))
+                w = y @ weights
+                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(mean), pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1], w.reshape(-1))], ["cell_id", "mean", "w"])
+
+        self.cells = kept(self.wide.mapInArrow(project, "cell_id long, mean double, w array<double>"))
 
     def encode(self, maps: DataFrame) -> DataFrame:
-        y = maps.join(self.mean, "cell_id").withColumn("y", F.col("y") - F.col("mean"))
-        return y.join(self.loadings, "cell_id").groupBy("run_id", "component").agg(F.sum(F.col("y") * F.col("w")).alias("score"))
+        """run_id, component, score of maps."""
+        parts = F.posexplode(F.transform("w", lambda w: w * (F.col("y") - F.col("mean")))).alias("component", "part")
+        return maps.join(self.cells, "cell_id").select("run_id", parts).groupBy("run_id", "component").agg(F.sum("part").alias("score"))
 
     def decode(self, scores: DataFrame, key: str = "run_id", spread: str | None = None) -> DataFrame:
-        """key, cell_id, y (and sd, from independent standard deviations of the scores)."""
-        agg = [F.sum(F.col("score") * F.col("w")).alias("d")] + ([F.sqrt(F.sum(F.pow(F.col(spread) * F.col("w"), 2))).alias("sd")] if spread else [])
-        out = self.loadings.join(F.broadcast(scores), "component").groupBy(key, "cell_id").agg(*agg)
-        return out.join(self.mean, "cell_id").select(key, "cell_id", (F.col("mean") + F.col("d")).alias("y"), *(["sd"] if spread else []))
+        """key, cell_id, y (and sd, from independent standard deviations of the scores). Queries are few, so they go to
+        the cells, AT_ONCE of them at a time."""
+        values = ["score", *([spread] if spread else [])]
+        lists = [F.map_from_entries(F.collect_list(F.struct("component", x))).alias(x) for x in values]
+        listed = lambda x: F.transform(F.sequence(F.lit(0), F.lit(self.count - 1)), lambda k: F.coalesce(F.try_element_at(x, k), F.lit(0.0))).alias(x)
+        queries = kept(scores.groupBy(key).agg(*lists).select(key, *map(listed, values)))
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+        y = F.col("mean") + total(F.zip_with("w", "score", lambda a, b: a * b))
+        sd = [F.sqrt(total(F.zip_with("w", spread, lambda a, b: a * a * b * b))).alias("sd")] if spread else []
+        blocks = max(1, -(-queries.count() // AT_ONCE))
+        out = None
+        for k in range(blocks):
+            part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+            some = self.cells.join(F.broadcast(part)).select(key, "cell_id", y.alias("y"), *sd)  # about AT_ONCE rows
+            out = some if out is None else out.unionAll(some)
+        return out
 
 
 def matern(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -160,19 +230,27 @@ def predict_process(m: dict, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray,
     return m["shift"] + m["scale"] * (k @ m["alpha"]), m["scale"] * np.sqrt(np.maximum(var, 1e-12))
 
 
-def gp_scores(basis: Basis, design: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
-    """query_id, component, score, sd: one process for each component, fitted in its own task on runs x inputs."""
-    spark = design.sparkSession
-    x = design.toPandas().set_index("run_id").loc[basis.runs, names].to_numpy(float)
-    q = queries.select("query_id", *names)
-    long = spark.createDataFrame([(int(k), [float(s) for s in basis.scores[:, k]]) for k in range(basis.count)], "component int, scores array<double>")
+def inputs(runs: list[int], design: DataFrame, names: list[str]) -> np.ndarray:
+    """Inputs of the runs, in their order; a design has a row for each run."""
+    return few(design).toPandas().set_index("run_id").loc[runs, names].to_numpy(float)
+
+
+def processes(basis: Basis, design: DataFrame, names: list[str]) -> dict[int, dict]:
+    """A fitted process for each component, each fitted in its own task."""
+    x = inputs(basis.runs, design, names)
+    long = design.sparkSession.createDataFrame([(int(k), [float(s) for s in basis.scores[:, k]]) for k in range(basis.count)], "component int, scores array<double>")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = fit_process(x, np.array(pdf["scores"].iloc[0]))
         return pd.DataFrame({"component": pdf["component"], "length": [m["length"].tolist()], "amplitude": m["amplitude"], "noise": m["noise"], "alpha": [m["alpha"].tolist()], "inverse": [m["inverse"].ravel().tolist()], "shift": m["shift"], "scale": m["scale"]})
 
     fitted = long.groupBy("component").applyInPandas(run, "component int, length array<double>, amplitude double, noise double, alpha array<double>, inverse array<double>, shift double, scale double").toPandas()
-    models = {r.component: {"length": np.array(r.length), "amplitude": r.amplitude, "noise": r.noise, "alpha": np.array(r.alpha), "inverse": np.array(r.inverse).reshape(len(x), len(x)), "shift": r.shift, "scale": r.scale} for r in fitted.itertuples()}
+    return {r.component: {"length": np.array(r.length), "amplitude": r.amplitude, "noise": r.noise, "alpha": np.array(r.alpha), "inverse": np.array(r.inverse).reshape(len(x), len(x)), "shift": r.shift, "scale": r.scale} for r in fitted.itertuples()}
+
+
+def gp_scores(basis: Basis, design: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
+    """query_id, component, score, sd: one process for each component, fitted in its own task on runs x inputs."""
+    x, models = inputs(basis.runs, design, names), processes(basis, design, names)
 
     def score(batches):
         for pdf in batches:
@@ -180,12 +258,19 @@ def gp_scores(basis: Basis, design: DataFrame, queries: DataFrame, names: list[s
                 mean, sd = predict_process(m, x, pdf[names].to_numpy(float))
                 yield pd.DataFrame({"query_id": pdf["query_id"], "component": k, "score": mean, "sd": sd})
 
-    return q.mapInPandas(score, "query_id long, component int, score double, sd double")
+    return queries.select("query_id", *names).mapInPandas(score, "query_id long, component int, score double, sd double")
+
+
+def gp_lengths(basis: Basis, design: DataFrame, names: list[str]) -> DataFrame:
+    """component, input, evr (explained share) and length of each fitted process: what ``sensitivity`` takes."""
+    models = processes(basis, design, names)
+    rows = [(k, n, float(basis.explained[k]), float(m["length"][i])) for k, m in models.items() for i, n in enumerate(names)]
+    return design.sparkSession.createDataFrame(rows, "component int, input string, evr double, length double")
 
 
 def linear_scores(basis: Basis, design: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
     """query_id, component, score of least squares with an intercept."""
-    x = design.toPandas().set_index("run_id").loc[basis.runs, names].to_numpy(float)
+    x = inputs(basis.runs, design, names)
     coef = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), basis.scores, rcond=None)[0]
     parts = [F.struct(F.lit(k).alias("component"), (F.lit(float(coef[0, k])) + sum(F.col(n) * float(coef[1 + i, k]) for i, n in enumerate(names))).alias("score")) for k in range(basis.count)]
     return queries.select("query_id", F.explode(F.array(*parts)).alias("p")).select("query_id", "p.component", "p.score")
@@ -199,7 +284,7 @@ def nearest_blend(queries: DataFrame, design: DataFrame, maps: DataFrame, names:
     exact = F.min("dist").over(Window.partitionBy("query_id")) == 0
     near = near.withColumn("w", F.when(exact, (F.col("rank") == 1).cast("double")).otherwise(1 / (F.col("dist") * F.col("dist"))))
     near = near.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))
-    return maps.join(F.broadcast(near), "run_id").groupBy("query_id", "cell_id").agg(F.sum(F.col("w") * F.col("y")).alias("y"))
+    return maps.join(small(near), "run_id").groupBy("query_id", "cell_id").agg(F.sum(F.col("w") * F.col("y")).alias("y"))
 
 
 def predicted_maps(decoded: DataFrame, key: str = "query_id", z: float = 1.645) -> DataFrame:
@@ -229,26 +314,56 @@ def sample_inputs(spark, ranges: dict[str, tuple[float, float]], n: int, log: se
     return ids.withColumns({k: F.pow(F.lit(10.0), F.lit(math.log10(a)) + draw(k) * (math.log10(b) - math.log10(a))) if k in log else F.lit(float(a)) + draw(k) * float(b - a) for k, (a, b) in ranges.items()})
 
 
-def monte_carlo(basis: Basis, scores: DataFrame, limit_m: float = 0.3, seed: int = 0) -> DataFrame:
-    """cell_id, p, p10, p50, p90 of depth over samples (query_id, component, score, sd), each with a latent draw.
+def drawn(scores: DataFrame, seed: int) -> np.ndarray:
+    """Samples x components: a latent draw of each sample's scores (query_id, component, score, sd), by query_id."""
+    rows = scores.select("query_id", "component", (F.col("score") + F.col("sd") * hash_normal(F.lit(seed), "query_id", "component")).alias("s"))
+    table = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("component", "s"))).alias("x")).select("query_id", F.col("x.s").alias("s")).toPandas().sort_values("query_id")
+    if len(table) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    return np.stack(table["s"].to_list())
+
 
-    Samples x components are few and go to every task; each block of cells decodes all samples and reduces
-    them at once, so no samples x cells table is made and cells are not shuffled by sample.
+def depths(count: int, sample: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Depth of every sample in the cells of a batch, some cells at a time."""
+    size = max(1, BLOCK_VALUES // len(sample))
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        yield part, np.maximum(np.expm1(part.column("mean").to_numpy()[:, None] + block(part.column("w"), count) @ sample.T), 0)
+
+
+def monte_carlo(basis: Basis, scores: DataFrame, limit_m: float = 0.3, seed: int = 0, high: float = 0.9, possible: float = 0.1) -> DataFrame:
+    """cell_id, p, p10, p50, p90 of depth and zone (2 high, 1 possible, 0) over samples (query_id, component, score,
+    sd), each with a latent draw.
+
+    Samples x components are few (MOST_SAMPLES at most) and go to every task; each block of cells decodes all samples
+    and reduces them at once, so no samples x cells table is made and cells are not shuffled by sample.
     """
-    drawn = scores.withColumn("score", F.col("score") + F.col("sd") * hash_normal(F.lit(seed), "query_id", "component"))
-    wide = drawn.groupBy("query_id").pivot("component", list(range(basis.count))).agg(F.first("score")).orderBy("query_id").drop("query_id").toPandas().to_numpy(float)
-    cells = basis.loadings.groupBy("cell_id").pivot("component", list(range(basis.count))).agg(F.first("w")).join(basis.mean, "cell_id")
-    names = [str(k) for k in range(basis.count)]
+    sample, count = drawn(scores, seed), basis.count
 
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                depth = np.maximum(np.expm1(part["mean"].to_numpy()[:, None] + part[names].fillna(0).to_numpy(float) @ wide.T), 0)
-                q = np.percentile(depth, (10, 50, 90), axis=1)
-                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "p": (depth > limit_m).mean(axis=1), "p10": q[0], "p50": q[1], "p90": q[2]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, depth in depths(count, sample, batch):
+                p, q = (depth > limit_m).mean(axis=1), np.percentile(depth, (10, 50, 90), axis=1)
+                zone = np.where(p >= high, 2, np.where(p >= possible, 1, 0)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("cell_id"), *map(pa.array, (p, *q, zone))], ["cell_id", "p", "p10", "p50", "p90", "zone"])
+
+    return basis.cells.mapInArrow(run, "cell_id long, p double, p10 double, p50 double, p90 double, zone int")
 
-    return cells.mapInPandas(run, "cell_id int, p double, p10 double, p50 double, p90 double")
+
+def sample_summaries(basis: Basis, scores: DataFrame, cell_m: float, limit_m: float = 0.3, seed: int = 0) -> DataFrame:
+    """sample (0, 1, ... in the order of query_id), site_max and area_m2: the deepest cell and the inundated area of
+    each sample; the draws are those of ``monte_carlo``. Every task sums its own cells before the shuffle."""
+    sample, count = drawn(scores, seed), basis.count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, wet = np.zeros(len(sample)), np.zeros(len(sample), np.int64)
+        for batch in batches:
+            for _, depth in depths(count, sample, batch):
+                top, wet = np.maximum(top, depth.max(axis=0)), wet + (depth > limit_m).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sample), dtype=np.int32)), pa.array(top), pa.array(wet)], ["sample", "top", "wet"])
+
+    out = basis.cells.mapInArrow(run, "sample int, top double, wet long").groupBy("sample")
+    return out.agg(F.max("top").alias("site_max"), (F.sum("wet") * cell_m**2).alias("area_m2"))
 
 
 def latin_hypercube(spark, n: int, names: list[str], candidates: int = 20, seed: int = 0) -> DataFrame:
@@ -263,39 +378,79 @@ def latin_hypercube(spark, n: int, names: list[str], candidates: int = 20, seed:
     return base.join(F.broadcast(best), "cand").drop("cand")
 
 
-def leave_one_out(maps: DataFrame, design: DataFrame, names: list[str], k: int = 3) -> DataFrame:
-    """method, run_id, rmse of maps predicted without the run: linear in scores, and nearest runs. The full
-    Gram matrix is made once; a fold's is its sub-matrix, centred anew, so maps are not decoded on the driver."""
-    runs, g = gram(maps)
-    x = design.toPandas().set_index("run_id").loc[runs, names].to_numpy(float)
-    rows = []
-    for f in range(len(runs)):
-        rest = [i for i in range(len(runs)) if i != f]
-        n = len(rest)
-        sub = g[np.ix_(rest, rest)]
-        centre = np.eye(n) - 1 / n
-        value, vector = np.linalg.eigh(centre @ sub @ centre)
-        value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
-        c = int(min(max(1, n - 2), np.searchsorted(np.cumsum(value / max(value.sum(), 1e-300)), 0.99) + 1))
-        root = np.sqrt(np.maximum(value[:c], 1e-300))
-        coef = np.linalg.lstsq(np.column_stack([np.ones(n), x[rest]]), vector[:, :c] * root, rcond=None)[0]
-        score = np.concatenate([[1.0], x[f]]) @ coef
-        # the predicted map as weights of the runs: their mean plus loadings, which are sums over runs
-        linear = np.full(n, 1 / n) + centre @ (vector[:, :c] / root) @ score
+def leave_one_out(maps: DataFrame, design: DataFrame, names: list[str], k: int = 3, share: float = 0.99, limit_m: float = 0.3, wet_m: float = 0.03) -> DataFrame:
+    """method (gp, linear, nearest), run_id, and how well the run's map of log1p depths is predicted without it: rmse
+    (of log1p depths), depth_rmse (m, where truth or prediction is wet), iou and f1 of the extent, and coverage_90
+    of the process's interval (null for the others).
+
+    The full Gram matrix is made once; a fold's is its sub-matrix, centred anew. Folds are split in tasks,
+    and each fold's processes again. A predicted map is a weighted sum of the other runs' maps, so the cells
+    are read once: every task predicts all folds for its own cells and sends sums.
+    """
+    runs = run_list(maps)
+    n = len(runs)
+    if not 4 <= n <= MOST_FOLDS:
+        raise ValueError(f"leave-one-out takes 4 to {MOST_FOLDS} runs")
+    cells = kept(wide(maps, runs))
+    g, x, spark = gram(cells, n), inputs(runs, design, names), maps.sparkSession
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["fold"].iloc[0])
+        rest = np.delete(np.arange(n), f)
+        centre = np.eye(n - 1) - 1 / (n - 1)
+        scores, weights, _ = principal(centre @ g[np.ix_(rest, rest)] @ centre, share)
+        coef = np.linalg.lstsq(np.column_stack([np.ones(n - 1), x[rest]]), scores, rcond=None)[0]
+        linear = np.concatenate([[1.0], x[f]]) @ coef
+        return pd.DataFrame({"fold": f, "component": np.arange(scores.shape[1], dtype=np.int32), "scores": scores.T.tolist(), "weights": (centre @ weights).T.tolist(), "linear": linear})
+
+    def process(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["fold"].iloc[0])
+        others = np.delete(x, f, axis=0)
+        mean, sd = predict_process(fit_process(others, np.array(pdf["scores"].iloc[0])), others, x[f : f + 1])
+        return pd.DataFrame({"fold": pdf["fold"], "component": pdf["component"], "weights": pdf["weights"], "linear": pdf["linear"], "gp": mean, "sd": sd})
+
+    folds = spark.createDataFrame([(f,) for f in range(n)], "fold int").repartition(n, "fold")
+    parts = folds.groupBy("fold").applyInPandas(split, "fold int, component int, scores array<double>, weights array<double>, linear double")
+    # folds x components rows of as many numbers as runs: MOST_FOLDS bounds them
+    fitted = parts.groupBy("fold", "component").applyInPandas(process, "fold int, component int, weights array<double>, linear double, gp double, sd double").toPandas().sort_values(["fold", "component"])
+    methods = ("gp", "linear", "nearest")
+    weight, spread = {m: np.zeros((n, n)) for m in methods}, []
+    for f, own in fitted.groupby("fold"):
+        rest, loading = np.delete(np.arange(n), f), np.stack(own["weights"].to_list())
+        for m in ("gp", "linear"):
+            weight[m][rest, f] = 1 / (n - 1) + own[m].to_numpy() @ loading
+        full = np.zeros((n, len(own)))
+        full[rest] = (loading * own["sd"].to_numpy()[:, None]).T
+        spread.append(full)
         d = np.linalg.norm(x[rest] - x[f], axis=1)
-        order = np.argsort(d, kind="stable")[: min(k, n)]
-        near = np.zeros(n)
-        if d[order[0]] == 0:
-            near[order[0]] = 1.0
-        else:
-            near[order] = 1 / d[order] ** 2
-            near /= near.sum()
-        for method, w in (("linear", linear), ("nearest", near)):
-            rows += [(method, int(runs[f]), int(runs[i]), float(v)) for i, v in zip(rest, w)]
-    weights = maps.sparkSession.createDataFrame(rows, "method string, fold int, run_id int, w double")
-    pred = maps.join(F.broadcast(weights), "run_id").groupBy("method", "fold", "cell_id").agg(F.sum(F.col("w") * F.col("y")).alias("pred"))
-    truth = maps.select(F.col("run_id").alias("fold"), "cell_id", "y")
-    return pred.join(truth, ["fold", "cell_id"]).groupBy("method", F.col("fold").alias("run_id")).agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("y"), 2))).alias("rmse"))
+        order = np.argsort(d, kind="stable")[: min(k, n - 1)]
+        near = (np.arange(len(order)) == 0).astype(float) if d[order[0]] == 0 else 1 / d[order] ** 2
+        weight["nearest"][rest[order], f] = near / near.sum()
+    sums = ("n", "se", "n_wet", "wet_se", "tp", "fp", "fn", "covered")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {m: np.zeros((len(sums), n)) for m in methods}
+        for batch in batches:
+            centre, mean = centred(block(batch.column("ys"), n))
+            truth = centre + mean[:, None]
+            depth = np.maximum(np.expm1(truth), 0)
+            for m in methods:
+                pred = truth @ weight[m]
+                guess = np.maximum(np.expm1(pred), 0)
+                wet, a, b = (depth > wet_m) | (guess > wet_m), depth > limit_m, guess > limit_m
+                inside = np.stack([np.abs(truth[:, f] - pred[:, f]) <= 1.645 * np.sqrt(((truth @ s) ** 2).sum(axis=1)) for f, s in enumerate(spread)], axis=1) if m == "gp" else np.zeros(truth.shape, bool)
+                total[m] += np.stack([np.full(n, len(truth)), ((pred - truth) ** 2).sum(axis=0), wet.sum(axis=0), (np.where(wet, guess - depth, 0) ** 2).sum(axis=0), (a & b).sum(axis=0), (~a & b).sum(axis=0), (a & ~b).sum(axis=0), inside.sum(axis=0)])
+        for m in methods:
+            yield pa.RecordBatch.from_arrays([pa.array([m] * n), pa.array(runs, pa.int32()), *map(pa.array, total[m])], ["method", "run_id", *sums])
+
+    got = cells.mapInArrow(judge, "method string, run_id int, " + ", ".join(f"{x} double" for x in sums)).groupBy("method", "run_id").agg(*(F.sum(x).alias(x) for x in sums))
+    either = F.col("tp") + F.col("fp") + F.col("fn")
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    return got.select(
+        "method", "run_id", F.sqrt(ratio(F.col("se"), F.col("n"))).alias("rmse"), F.sqrt(ratio(F.col("wet_se"), F.col("n_wet"))).alias("depth_rmse"),
+        F.coalesce(ratio(F.col("tp"), either), F.lit(1.0)).alias("iou"), F.coalesce(ratio(2 * F.col("tp"), either + F.col("tp")), F.lit(1.0)).alias("f1"),
+        F.when(F.col("method") == "gp", ratio(F.col("covered"), F.col("n"))).alias("coverage_90"),
+    )
 
 
 def sensitivity(lengths: DataFrame) -> DataFrame:

@@ -6,22 +6,13 @@ exchange their border cells, so no step needs a whole site in one place. Every r
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.operators.grids import neighbours, within_radius
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; a temporary one only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from floodspark.sources.io import kept
 
 
 def seeds(cells: DataFrame, width: int, height: int) -> DataFrame:
@@ -73,25 +64,21 @@ def drainage(filled: DataFrame) -> DataFrame:
     return filled.join(best, ["site_id", "cell_id"], "left").withColumn("parent", F.when(~F.col("seed"), F.col("b.cell_id"))).drop("b")
 
 
-def accumulation(tree: DataFrame, most: int = 40) -> DataFrame:
+def accumulation(tree: DataFrame) -> DataFrame:
     """site_id, cell_id and the number of cells that drain through each, itself included. After k rounds a cell has
     counted all within 2**k steps and points 2**k steps on."""
     state = kept(tree.select("site_id", "cell_id", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("n")))
-    for _ in range(most):
-        if not state.filter("jump is not null").limit(1).count():
-            break
+    while state.filter("jump is not null").limit(1).count():
         added = state.filter("jump is not null").groupBy("site_id", F.col("jump").alias("cell_id")).agg(F.sum("n").alias("more"))
         onward = state.select("site_id", F.col("cell_id").alias("jump"), F.col("jump").alias("next"))
         state = kept(state.join(added, ["site_id", "cell_id"], "left").join(onward, ["site_id", "jump"], "left").select("site_id", "cell_id", F.col("next").alias("jump"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
     return state.select("site_id", "cell_id", F.col("n").alias("accumulation"))
 
 
-def first_ancestor(tree: DataFrame, marked: str, most: int = 40) -> DataFrame:
+def first_ancestor(tree: DataFrame, marked: str) -> DataFrame:
     """site_id, cell_id and the first marked cell on the way down from each, itself included; null if none."""
     state = kept(tree.select("site_id", "cell_id", F.when(F.col(marked), F.col("cell_id")).alias("found"), F.col("parent").alias("jump")))
-    for _ in range(most):
-        if not state.filter("found is null and jump is not null").limit(1).count():
-            break
+    while state.filter("found is null and jump is not null").limit(1).count():
         ahead = state.select("site_id", F.col("cell_id").alias("jump"), F.col("found").alias("f2"), F.col("jump").alias("j2"))
         state = kept(state.join(ahead, ["site_id", "jump"], "left").select("site_id", "cell_id", F.coalesce("found", "f2").alias("found"), F.when(F.coalesce("found", "f2").isNull(), F.col("j2")).alias("jump")))
     return state.select("site_id", "cell_id", "found")
@@ -103,18 +90,17 @@ def height_above(tree: DataFrame, marked: str) -> DataFrame:
     return tree.select("site_id", "cell_id", F.col("filled").cast("float").alias("high")).join(first_ancestor(tree, marked), ["site_id", "cell_id"]).join(f, ["site_id", "found"], "left").select("site_id", "cell_id", (F.col("high") - F.col("low")).alias("hand"))
 
 
-def trace(tree: DataFrame, starts: DataFrame, most: int = 40) -> DataFrame:
+def trace(tree: DataFrame, starts: DataFrame) -> DataFrame:
     """site_id, start, step, cell_id: the way down from each start to its outlet."""
     jump = kept(tree.select("site_id", "cell_id", F.col("parent").alias("next")).filter("next is not null"))
     found, reach = kept(starts.select("site_id", F.col("cell_id").alias("start"), F.lit(0).alias("step"), "cell_id")), 1
-    for _ in range(most):
+    while True:
         more = found.join(jump, ["site_id", "cell_id"]).select("site_id", "start", (F.col("step") + reach).alias("step"), F.col("next").alias("cell_id"))
         bigger = kept(found.unionAll(more))
         if bigger.count() == found.count():
             return found
         found, reach = bigger, reach * 2
         jump = kept(jump.join(jump.select("site_id", F.col("cell_id").alias("next"), F.col("next").alias("far")), ["site_id", "next"]).select("site_id", "cell_id", F.col("far").alias("next")))
-    return found
 
 
 def upstream(basins: DataFrame, seeds_: DataFrame, hops: int = 25) -> DataFrame:
@@ -130,12 +116,12 @@ def upstream(basins: DataFrame, seeds_: DataFrame, hops: int = 25) -> DataFrame:
     return found
 
 
-def components(mask: DataFrame, most: int = 60) -> DataFrame:
+def components(mask: DataFrame) -> DataFrame:
     """site_id, cell_id and component (least cell_id) of eight-connected cells (site_id, row, col, cell_id): labels
     go to neighbours and then to the label's own label, so long shapes take few rounds."""
     edges = kept(neighbours(mask.select("site_id", "row", "col", "cell_id"), "cell_id").select("site_id", "cell_id", F.col("n_cell_id").alias("other")))
     state = kept(mask.select("site_id", "cell_id", F.col("cell_id").alias("component")))
-    for _ in range(most):
+    while True:
         total = state.agg(F.sum("component")).first()[0]
         low = edges.join(state.select("site_id", F.col("cell_id").alias("other"), F.col("component").alias("c")), ["site_id", "other"]).groupBy("site_id", "cell_id").agg(F.min("c").alias("c"))
         # the neighbourhood's label also hooks the old label's cell
@@ -145,8 +131,7 @@ def components(mask: DataFrame, most: int = 60) -> DataFrame:
         own = now.select("site_id", F.col("cell_id").alias("new"), F.col("new").alias("root"))
         state = kept(now.join(own, ["site_id", "new"]).select("site_id", "cell_id", F.col("root").alias("component")))
         if state.agg(F.sum("component")).first()[0] == total:
-            break
-    return state
+            return state
 
 
 def outlines(labelled: DataFrame) -> DataFrame:

@@ -30,8 +30,15 @@ def summary(spark, sf):
     return runs.run_summary(v.map_steps(spark, sf))
 
 
-def run_cells(spark, sf, run):
-    return summary(spark, sf).filter(F.col("run_id") == run).withColumnRenamed("face_id", "cell_id")
+def run_cells(spark, sf):
+    return summary(spark, sf).withColumnRenamed("face_id", "cell_id")
+
+
+def buildings_by_run(spark, sf):
+    return loss.in_each_run(v.buildings(spark, sf), v.run_ids(spark, sf))
+
+
+RUN = ("run_id",)
 
 
 @query("SELECT run_id, face_id, max_depth, max_velocity, CAST(arrival_s AS DOUBLE) AS arrival_s FROM summary")
@@ -141,28 +148,28 @@ BUILDING_CELLS = """bc AS (SELECT *, CASE WHEN floor(x_m / 20e0) BETWEEN 0 AND 2
 DAMAGE = """CASE asset_class WHEN 'residential' THEN {r} WHEN 'commercial' THEN {c} WHEN 'industrial' THEN {i} END""".format(
     **{k[0]: f"CASE WHEN least(greatest(depth_m, 0), 6e0) <= 1 THEN least(greatest(depth_m, 0), 6e0) * {curve[1][1]}e0 ELSE {curve[1][1]}e0 + (least(depth_m, 6e0) - 1) * ((1 - {curve[1][1]}e0) / 5) END" for k, curve in CURVES.items()}
 )
-PRICED = f"""b AS (SELECT bc.*, s.max_depth AS depth_m, CASE WHEN kind IN ('house', 'bungalow') THEN 'residential' WHEN kind IN ('retail', 'hotel') THEN 'commercial' WHEN kind = 'warehouse' THEN 'industrial' ELSE 'residential' END AS asset_class FROM bc LEFT JOIN (SELECT * FROM summary WHERE run_id = 0) s ON s.face_id = bc.cell_id),
+PRICED = f"""b AS (SELECT rr.run_id, bc.*, s.max_depth AS depth_m, CASE WHEN kind IN ('house', 'bungalow') THEN 'residential' WHEN kind IN ('retail', 'hotel') THEN 'commercial' WHEN kind = 'warehouse' THEN 'industrial' ELSE 'residential' END AS asset_class FROM bc CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN summary s ON s.run_id = rr.run_id AND s.face_id = bc.cell_id),
 l AS (SELECT *, CASE WHEN depth_m > 0 THEN ({DAMAGE}) * area_m2 * CASE asset_class WHEN 'residential' THEN {PRICES['residential']!r}e0 WHEN 'commercial' THEN {PRICES['commercial']!r}e0 END END AS loss FROM b)"""
 
 
-@query(f"WITH {BUILDING_CELLS} SELECT osm_id, CAST(cell_id AS DOUBLE) AS cell_id, s.max_depth FROM bc LEFT JOIN (SELECT * FROM summary WHERE run_id = 0) s ON s.face_id = bc.cell_id")
+@query(f"WITH {BUILDING_CELLS} SELECT rr.run_id, osm_id, CAST(cell_id AS DOUBLE) AS cell_id, s.max_depth FROM bc CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN summary s ON s.run_id = rr.run_id AND s.face_id = bc.cell_id")
 def j1_sample_depth(spark, sf):
-    return loss.sample(v.buildings(spark, sf), run_cells(spark, sf, 0), "max_depth", **GRID).select("osm_id", F.col("cell_id").cast("double").alias("cell_id"), "max_depth")
+    return loss.sample(buildings_by_run(spark, sf), run_cells(spark, sf), "max_depth", RUN, **GRID).select("run_id", "osm_id", F.col("cell_id").cast("double").alias("cell_id"), "max_depth")
 
 
-@query("SELECT face_id, round(CASE WHEN d <= 1 THEN d * 0.49405032354045164e0 ELSE 0.49405032354045164e0 + (d - 1) * (0.50594967645954836e0 / 5) END, 6) AS fraction, coalesce(max_depth > 0.5e0, false) AS over_cap FROM (SELECT face_id, max_depth, CASE WHEN max_depth IS NOT NULL THEN least(greatest(max_depth, 0), 0.5e0) END AS d FROM summary WHERE run_id = 0)")
+@query("SELECT run_id, face_id, round(CASE WHEN d <= 1 THEN d * 0.49405032354045164e0 ELSE 0.49405032354045164e0 + (d - 1) * (0.50594967645954836e0 / 5) END, 6) AS fraction, coalesce(max_depth > 0.5e0, false) AS over_cap FROM (SELECT run_id, face_id, max_depth, CASE WHEN max_depth IS NOT NULL THEN least(greatest(max_depth, 0), 0.5e0) END AS d FROM summary)")
 def m3_damage_fraction(spark, sf):
-    c = run_cells(spark, sf, 0)
-    return c.select(F.col("cell_id").alias("face_id"), F.round(loss.damage_fraction(F.col("max_depth"), CURVES["residential"], 0.5), R).alias("fraction"), F.coalesce(F.col("max_depth") > 0.5, F.lit(False)).alias("over_cap"))
+    c = run_cells(spark, sf)
+    return c.select("run_id", F.col("cell_id").alias("face_id"), F.round(loss.damage_fraction(F.col("max_depth"), CURVES["residential"], 0.5), R).alias("fraction"), F.coalesce(F.col("max_depth") > 0.5, F.lit(False)).alias("over_cap"))
 
 
 def priced(spark, sf):
-    return loss.sample(v.buildings(spark, sf), run_cells(spark, sf, 0).withColumnRenamed("max_depth", "depth_m"), "depth_m", **GRID)
+    return loss.sample(buildings_by_run(spark, sf), run_cells(spark, sf).withColumnRenamed("max_depth", "depth_m"), "depth_m", RUN, **GRID)
 
 
-@query(f"WITH {BUILDING_CELLS}, {PRICED} SELECT asset_class, round(sum(loss), 2) AS loss, count(CASE WHEN depth_m > 0 THEN 1 END) AS n_flooded, count(CASE WHEN depth_m IS NULL THEN 1 END) AS n_excluded, count(*) AS n_buildings, count(CASE WHEN depth_m > 6 THEN 1 END) AS n_over_cap FROM l GROUP BY asset_class")
+@query(f"WITH {BUILDING_CELLS}, {PRICED} SELECT run_id, asset_class, round(sum(loss), 2) AS loss, count(CASE WHEN depth_m > 0 THEN 1 END) AS n_flooded, count(CASE WHEN depth_m IS NULL THEN 1 END) AS n_excluded, count(*) AS n_buildings, count(CASE WHEN depth_m > 6 THEN 1 END) AS n_over_cap FROM l GROUP BY run_id, asset_class")
 def a13_building_losses(spark, sf):
-    return rounded(loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential"), "loss", digits=2)
+    return rounded(loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential", keys=RUN), "loss", digits=2)
 
 
 ROADS = "r AS (SELECT osm_id AS road_id, x_m AS x0, y_m AS y0, x_m + area_m2 AS x1, y_m + 0.5e0 * area_m2 AS y1 FROM buildings)"
@@ -181,19 +188,19 @@ def j8_densify(spark, sf):
 
 
 @query(f"""WITH {ROADS}, {PIECES}, c AS (SELECT *, CASE WHEN floor(x_m / 20e0) BETWEEN 0 AND 24 AND floor((400e0 - y_m) / 20e0) BETWEEN 0 AND 19 THEN CAST(floor((400e0 - y_m) / 20e0) * 25 + floor(x_m / 20e0) AS BIGINT) END AS cell_id FROM p),
-d AS (SELECT c.*, s.max_depth AS d FROM c LEFT JOIN (SELECT * FROM summary WHERE run_id = 0) s ON s.face_id = c.cell_id)
-SELECT road_id, round(sum(CASE WHEN d > 0 THEN (CASE WHEN least(d, 6e0) <= 1 THEN d * 0.37e0 ELSE 0.37e0 + (least(d, 6e0) - 1) * (0.63e0 / 5) END) * piece_m * 3.75e0 * 17.778e0 END), 4) AS loss, round(sum(CASE WHEN d > 0 THEN piece_m ELSE 0e0 END), 6) AS flooded_m FROM d GROUP BY road_id""")
+d AS (SELECT c.*, rr.run_id, s.max_depth AS d FROM c CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN summary s ON s.run_id = rr.run_id AND s.face_id = c.cell_id)
+SELECT run_id, road_id, round(sum(CASE WHEN d > 0 THEN (CASE WHEN least(d, 6e0) <= 1 THEN d * 0.37e0 ELSE 0.37e0 + (least(d, 6e0) - 1) * (0.63e0 / 5) END) * piece_m * 3.75e0 * 17.778e0 END), 4) AS loss, round(sum(CASE WHEN d > 0 THEN piece_m ELSE 0e0 END), 6) AS flooded_m FROM d GROUP BY run_id, road_id""")
 def a14_road_losses(spark, sf):
-    p = loss.densify(roads(spark, sf), 10.0)
-    wet = loss.sample(p, run_cells(spark, sf, 0).withColumnRenamed("max_depth", "depth_m"), "depth_m", **GRID)
-    return rounded(rounded(loss.road_losses(wet, ROAD_CURVE, 17.778, 3.75), "loss", digits=4), "flooded_m")
+    p = loss.in_each_run(loss.densify(roads(spark, sf), 10.0), v.run_ids(spark, sf))
+    wet = loss.sample(p, run_cells(spark, sf).withColumnRenamed("max_depth", "depth_m"), "depth_m", RUN, **GRID)
+    return rounded(rounded(loss.road_losses(wet, ROAD_CURVE, 17.778, 3.75, keys=RUN), "loss", digits=4), "flooded_m")
 
 
-@query(f"WITH {BUILDING_CELLS}, {PRICED}, e AS (SELECT asset_class, loss * 0.5e0 AS p10, loss AS p50, loss * 2e0 AS p90 FROM l) SELECT asset_class, round(sum(p10), 2) AS p10, round(sum(p50), 2) AS p50, round(sum(p90), 2) AS p90 FROM e GROUP BY ROLLUP (asset_class)")
+@query(f"WITH {BUILDING_CELLS}, {PRICED}, e AS (SELECT run_id, asset_class, loss * 0.5e0 AS p10, loss AS p50, loss * 2e0 AS p90 FROM l) SELECT run_id, asset_class, round(sum(p10), 2) AS p10, round(sum(p50), 2) AS p50, round(sum(p90), 2) AS p90 FROM e GROUP BY GROUPING SETS ((run_id, asset_class), (run_id))")
 def a15_loss_estimate(spark, sf):
-    by_class = loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential")
-    bands = by_class.select("asset_class", (F.col("loss") * 0.5).alias("p10"), F.col("loss").alias("p50"), (F.col("loss") * 2).alias("p90"))
-    return rounded(loss.loss_estimate(bands), "p10", "p50", "p90", digits=2)
+    by_class = loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential", keys=RUN)
+    bands = by_class.select("run_id", "asset_class", (F.col("loss") * 0.5).alias("p10"), F.col("loss").alias("p50"), (F.col("loss") * 2).alias("p90"))
+    return rounded(loss.loss_estimate(bands, RUN), "p10", "p50", "p90", digits=2)
 
 
 ZONE = "CASE WHEN p >= 0.9e0 THEN 2 WHEN p >= 0.1e0 THEN 1 ELSE 0 END"
@@ -221,11 +228,12 @@ def a18_void_statistics(spark, sf):
     return rounded(s.groupBy("run_id").agg(F.max("max_depth").alias("source_max"), F.sum("max_depth").isNotNull().alias("any_value"), (100 * F.avg(F.col("max_depth").isNull().cast("double"))).alias("void_pct")), "void_pct")
 
 
-@query(f"WITH {BUILDING_CELLS} SELECT osm_id, s.arrival_s FROM bc JOIN (SELECT * FROM summary WHERE run_id = 0 AND max_depth > 0.3e0) s ON s.face_id = bc.cell_id ORDER BY arrival_s NULLS LAST, osm_id LIMIT 10")
+@query(f"WITH {BUILDING_CELLS} SELECT run_id, osm_id, s.arrival_s FROM bc JOIN (SELECT * FROM summary WHERE max_depth > 0.3e0) s ON s.face_id = bc.cell_id QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY arrival_s NULLS LAST, osm_id) <= 10")
 def k1_warning_table(spark, sf):
-    wet = run_cells(spark, sf, 0).filter("max_depth > 0.3")
-    b = loss.sample(v.buildings(spark, sf), wet.withColumn("hit", F.lit(True)), "hit", **GRID).filter("hit")
-    return loss.warning_table(b.join(wet.select("cell_id", "arrival_s"), "cell_id").select("osm_id", "arrival_s"), 10)
+    """The ten earliest buildings of each run: buildings are put in their cells once, then met by the runs' wet cells."""
+    wet = run_cells(spark, sf).filter("max_depth > 0.3").select("run_id", "cell_id", "arrival_s")
+    b = v.buildings(spark, sf).select("osm_id", loss.cell_of(F.col("x_m"), F.col("y_m"), **GRID).alias("cell_id"))
+    return loss.warning_table(b.join(wet, "cell_id").select("run_id", "osm_id", "arrival_s"), 10, RUN)
 
 
 @query("""WITH best AS (SELECT run_id, arg_max(face_id, {'d': max_depth, 'f': -face_id}) AS face_id FROM summary WHERE max_depth IS NOT NULL GROUP BY run_id), w AS (SELECT run_id, avg(CASE WHEN max_depth > 0.03e0 THEN CASE WHEN face_id % 5 > 2 THEN 1e0 ELSE 0e0 END END) AS s FROM summary WHERE max_depth IS NOT NULL GROUP BY run_id)

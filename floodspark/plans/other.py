@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,9 +16,8 @@ from floodspark.streaming import streams
 
 
 def folder(spark) -> str:
-    """A new folder in the shared directory; a temporary one where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
+    """A new folder in the shared directory."""
+    return f"{io.shared_dir(spark).rstrip('/')}/q-{uuid.uuid4().hex}"
 
 
 @query("SELECT run_id, CAST(face_id // 25 AS INT) AS row, CAST(face_id % 25 AS INT) AS col, round(max_depth, 3) AS max_depth, CAST(arrival_s AS DOUBLE) AS arrival_s FROM summary")
@@ -149,11 +147,30 @@ def w11_arrival_profile(spark, sf):
     return rounded(d.join(runs.exceedance(summary(spark, sf)), "cell_id").filter("a50 is not null").select("site_id", "col", F.round((F.col("col") + 0.5) * 20, 3).alias("chainage_m"), F.col("a50").alias("arrival_s")), "arrival_s")
 
 
-def streamed(spark, df, build, mode="append"):
-    """Write ``df`` as files, stream them through ``build``, and read what the stream wrote."""
-    path, out, state = folder(spark), folder(spark), folder(spark)
-    df.write.parquet(path)
-    result = build(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path))
+#: Files that one micro-batch of the streamed queries reads.
+FILES = 4
+
+
+def arriving(spark, df, batches=5, shuffled="0 seconds"):
+    """Write ``df`` as a source of several micro-batches of FILES files each: in order of ts, but that each row comes
+    up to ``shuffled`` later, by a hash of the row."""
+    path, cols = folder(spark), df.columns
+    second = F.col("ts").cast("timestamp").cast("double")
+    delay = F.pmod(F.xxhash64(*cols), F.lit(1000)) / 1000 * F.expr(f"cast(interval {shuffled} as bigint)")
+    lo, hi = df.agg(F.min(second), F.max(second)).first()
+    part = F.floor((second + delay - (lo or 0)) / max((hi or 0) - (lo or 0), 1) * batches)
+    marked = df.withColumn("part", F.least(part, F.lit(batches - 1)))
+    for k in range(batches):
+        marked.filter(F.col("part") == k).drop("part").repartition(FILES).write.mode("append").parquet(path)
+    return path
+
+
+def streamed(spark, df, build, mode="append", path=None):
+    """Stream ``df`` from files (those in ``path``, if given) through ``build``, and read what the stream wrote."""
+    out, state = folder(spark), folder(spark)
+    if path is None:
+        df.repartition(3 * FILES).write.parquet(path := folder(spark))
+    result = build(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path))
     if mode == "append":
         q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     else:
@@ -167,37 +184,57 @@ def t1_summary_stream(spark, sf):
     return doubles(streamed(spark, v.map_steps(spark, sf), streams.summary_stream, "complete"), "arrival_s")
 
 
-@query("WITH g AS (SELECT poi_id, epoch(ts) AS t, q_m3s AS q, lag(epoch(ts)) OVER w AS t0, lag(q_m3s) OVER w AS q0 FROM gauges WHERE q_m3s IS NOT NULL WINDOW w AS (PARTITION BY poi_id ORDER BY ts, q_m3s)) SELECT poi_id, round(arg_min(CASE WHEN t0 IS NULL OR q = q0 THEN t ELSE t0 + (1200 - q0) / (q - q0) * (t - t0) END, {'t': t, 'q': q}) FILTER (q >= 1200), 1) AS t_cross FROM g GROUP BY poi_id HAVING max(q) >= 1200")
+@query("WITH g AS (SELECT poi_id, epoch(ts) AS t, q_m3s AS q, lag(epoch(ts)) OVER w AS t0, lag(q_m3s) OVER w AS q0 FROM gauges WHERE q_m3s IS NOT NULL WINDOW w AS (PARTITION BY poi_id ORDER BY ts, q_m3s)), f AS (SELECT poi_id, arg_min(CASE WHEN t0 IS NULL OR q = q0 THEN t ELSE t0 + (1200 - q0) / (q - q0) * (t - t0) END, {'t': t, 'q': q}) FILTER (q >= 1200) AS t_cross, min(t) FILTER (q >= 1200) AS t FROM g GROUP BY poi_id) SELECT poi_id, round(t_cross, 1) AS t_cross FROM f WHERE t <= (SELECT epoch_ms(max(ts)) - 3600000 FROM gauges) / 1000e0")
 def t2_crossing_stream(spark, sf):
-    g = v.gauges(spark, sf).select("poi_id", "ts", "q_m3s").repartitionByRange(4, "ts")
-    return streamed(spark, g.coalesce(1), lambda s: streams.crossing_stream(s, 1200.0)).select("poi_id", F.round("t_cross", 1).alias("t_cross"))
+    """Crossings up to the last watermark; samples come up to half an hour late, in five micro-batches."""
+    g = v.gauges(spark, sf).select("poi_id", "ts", "q_m3s")
+    path = arriving(spark, g, shuffled="30 minutes")
+    return streamed(spark, g, lambda s: streams.crossing_stream(s, 1200.0, "1 hour"), path=path).select("poi_id", F.round("t_cross", 1).alias("t_cross"))
+
+
+GAUGE_RAIN = "r AS (SELECT CAST(poi_id % 20 AS BIGINT) AS site_id, date_trunc('day', ts) AS d, q_m3s AS mm FROM gauges), e AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM gauges)"
+
+
+def gauge_rain(spark, sf):
+    """Rain at the sites, and a source that brings it up to two days late."""
+    g = v.gauges(spark, sf).select((F.col("poi_id") % 20).alias("site_id"), "ts", F.col("q_m3s").alias("mm"))
+    return g, arriving(spark, g, shuffled="2 days")
 
 
-@query("WITH g AS (SELECT CAST(poi_id % 20 AS BIGINT) AS site_id, strftime(ts, '%Y-%m-%d') AS day, sum(q_m3s) AS mm FROM gauges GROUP BY ALL) SELECT site_id, day, round(mm, 4) AS mm FROM g WHERE day < (SELECT strftime(max(ts) - INTERVAL 3 DAY, '%Y-%m-%d') FROM gauges)")
+@query(f"WITH {GAUGE_RAIN} SELECT site_id, strftime(d, '%Y-%m-%d') AS day, round(sum(mm), 4) AS mm FROM r, e WHERE d + INTERVAL 1 DAY <= mark GROUP BY ALL")
 def t3_daily_rain_stream(spark, sf):
     """Days that the watermark has closed."""
-    g = v.gauges(spark, sf).select((F.col("poi_id") % 20).alias("site_id"), "ts", F.col("q_m3s").alias("mm"))
-    out = streamed(spark, g.coalesce(1), streams.daily_rain_stream)
-    last = g.agg(F.date_format(F.max("ts") - F.expr("interval 3 days"), "yyyy-MM-dd").alias("last"))
-    return out.join(F.broadcast(last)).select("site_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("mm", 4).alias("mm"), "last").filter("day < last").drop("last")
+    g, path = gauge_rain(spark, sf)
+    return streamed(spark, g, streams.daily_rain_stream, path=path).select("site_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("mm", 4).alias("mm"))
+
+
+@query(f"WITH {GAUGE_RAIN} SELECT site_id, strftime(s, '%Y-%m-%d') AS start, round(sum(mm), 3) AS mm FROM (SELECT site_id, mm, unnest(generate_series(d - INTERVAL 6 DAY, d, INTERVAL 1 DAY)) AS s FROM r), e WHERE s + INTERVAL 7 DAY <= mark GROUP BY ALL")
+def t3_trailing_rain_stream(spark, sf):
+    """Seven-day totals, sliding by a day, of the windows that the watermark has closed."""
+    g, path = gauge_rain(spark, sf)
+    out = streamed(spark, g, lambda s: streams.trailing_rain_stream(s, 7), path=path)
+    return out.select("site_id", F.date_format("start", "yyyy-MM-dd").alias("start"), F.round("mm", 3).alias("mm"))
 
 
 @query("SELECT site_id, month, arg_max(cloud, v) AS cloud, max(v) AS version FROM (SELECT site_id, strftime(acq_date, '%Y-%m') AS month, coalesce(cloud_pct, -1) AS cloud, scene_id AS v FROM scenes) GROUP BY site_id, month")
 def t4_revisions(spark, sf):
+    """Late revisions: batches come in any order of the versions; the newest of each key is read."""
     rows = v.scenes(spark, sf).select("site_id", F.date_format("acq_date", "yyyy-MM").alias("month"), F.coalesce("cloud_pct", F.lit(-1)).alias("cloud"), F.col("scene_id").alias("version"))
-    path, state = folder(spark), folder(spark)
-    rows.repartitionByRange(3, "version").sortWithinPartitions("version").write.parquet(path)
-    base, now = folder(spark), {"n": 0}
+    path, base, state = folder(spark), folder(spark), folder(spark)
+    rows.repartition(3 * FILES, "version").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    q = stream.writeStream.foreachBatch(streams.revisions(base)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return streams.current(spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(base), ["site_id", "month"])
 
-    def write(df):
-        df.write.parquet(f"{base}/{now['n'] + 1}")
-        now["n"] += 1
 
-    read = lambda: spark.read.schema(rows.schema).parquet(f"{base}/{now['n']}").select("site_id", "month", "cloud", "version") if now["n"] else None
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = stream.writeStream.foreachBatch(streams.revisions(write, read, ["site_id", "month"])).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return read()
+@query("SELECT scene_id, site_id, satellite FROM scenes")
+def t4_new_scenes_stream(spark, sf):
+    """Scenes that two searches find, the second up to twenty days later."""
+    s = v.scenes(spark, sf).select("scene_id", "site_id", "satellite", F.col("acq_date").cast("timestamp").alias("ts"))
+    twice = s.withColumn("search", F.explode(F.array(F.lit(1), F.lit(2))))
+    path = arriving(spark, twice, shuffled="20 days")
+    return streamed(spark, twice, streams.new_scenes_stream, path=path).select("scene_id", "site_id", "satellite")
 
 
 @query("SELECT p_partkey, round(p_retailprice * 60.6683e0 * 2.171e0, 4) AS value, p_size % 10 = 0 AS stale FROM part")

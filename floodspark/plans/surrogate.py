@@ -12,21 +12,25 @@ from floodspark.plans.registry import query
 from floodspark.sources import views as v
 
 NAMES = ["a", "b"]
-DESIGN = "dz AS (SELECT run_id, avg(velocity_ms) AS a, avg(coalesce(depth_m, 0)) AS b, count(*) * 1e0 AS c FROM map_steps GROUP BY run_id)"
+#: Runs of the map stack: the positions of a vector, folded. Its cells are the vectors, so they grow with the table.
+RUNS = 16
+STACK = f"st AS (SELECT CAST(cell_id % {RUNS} AS INT) AS run_id, run_id AS cell_id, sum(CASE WHEN isfinite(value) THEN value ELSE 0e0 END) AS x FROM vectors GROUP BY ALL)"
+MAPS = f"{STACK}, mz AS (SELECT run_id, cell_id, ln(1 + greatest(x, 0) * 4) AS y FROM st)"
+DESIGN = "dz AS (SELECT run_id, avg(velocity_ms) AS a, avg(coalesce(depth_m, 0)) AS b, count(*) * 1e0 AS c FROM (SELECT CAST(l_orderkey % 16 AS INT) AS run_id, m.velocity_ms, m.depth_m FROM (SELECT l_orderkey, l_discount * 50e0 AS velocity_ms, CASE WHEN l_linenumber = 7 THEN NULL ELSE greatest(l_quantity - 30 - 0.8e0 * (l_partkey % 25), 0e0) / 10e0 END AS depth_m FROM lineitem) m) GROUP BY run_id)"
 
 
 def maps(spark, sf):
-    """log1p of the maximum depth of each run and cell; a cell that a run lacks is dry."""
-    m = summary(spark, sf)
-    cells = m.select("face_id").distinct().crossJoin(F.broadcast(m.select("run_id").distinct()))
-    return cells.join(m, ["run_id", "face_id"], "left").select("run_id", F.col("face_id").alias("cell_id"), F.log1p(F.coalesce("max_depth", F.lit(0.0))).alias("y"))
-
-
-MAPS = "mz AS (SELECT r.run_id, c.face_id AS cell_id, ln(1 + coalesce(s.max_depth, 0)) AS y FROM (SELECT DISTINCT face_id FROM summary) c CROSS JOIN (SELECT DISTINCT run_id FROM summary) r LEFT JOIN summary s ON s.run_id = r.run_id AND s.face_id = c.face_id)"
+    """log1p depths of each run and cell (one vector is one cell)."""
+    x = v.vectors(spark, sf).select((F.col("cell_id") % RUNS).cast("int").alias("run_id"), F.col("run_id").alias("cell_id"), F.when(F.isnan("value") | (F.abs("value") == float("inf")), 0.0).otherwise(F.coalesce("value", F.lit(0.0))).alias("x"))
+    x = x.groupBy("run_id", "cell_id").agg(F.sum("x").alias("x"))
+    return x.select("run_id", "cell_id", F.log1p(F.greatest("x", F.lit(0.0)) * 4).alias("y"))
 
 
 def raw_design(spark, sf):
-    return v.map_steps(spark, sf).groupBy("run_id").agg(F.avg("velocity_ms").alias("a"), F.avg(F.coalesce("depth_m", F.lit(0.0))).alias("b"), F.count("*").cast("double").alias("c"))
+    t = v.load(spark, sf, "lineitem")
+    depth = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.greatest(F.col("l_quantity") - 30 - F.lit(0.8) * (F.col("l_partkey") % v.WIDTH), F.lit(0.0)) / 10)
+    t = t.select((F.col("l_orderkey") % RUNS).cast("int").alias("run_id"), (F.col("l_discount") * 50).alias("velocity_ms"), depth.alias("depth_m"))
+    return t.groupBy("run_id").agg(F.avg("velocity_ms").alias("a"), F.avg("depth_m").alias("b"), F.count("*").cast("double").alias("c"))
 
 
 def design(spark, sf):
@@ -51,12 +55,8 @@ def f2_training_matrix(spark, sf):
 
 @query(f"WITH {MAPS}, c AS (SELECT run_id, cell_id, y - avg(y) OVER (PARTITION BY cell_id) AS y FROM mz) SELECT a.run_id AS i, b.run_id AS j, round(sum(a.y * b.y), 5) + 0e0 AS g FROM c a JOIN c b ON a.cell_id = b.cell_id AND a.run_id <= b.run_id GROUP BY ALL")
 def f3_gram(spark, sf):
-    from pyspark.sql import Window
-
-    m = maps(spark, sf).withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("cell_id")))
-    a, b = m.select("cell_id", F.col("run_id").alias("i"), F.col("y").alias("u")), m.select("cell_id", F.col("run_id").alias("j"), F.col("y").alias("w"))
-    out = a.join(b, "cell_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("w")).alias("g"))
-    return out.select("i", "j", (F.round("g", 5) + 0.0).alias("g"))
+    m = maps(spark, sf)
+    return s.gram_rows(s.wide(m, list(range(RUNS))), RUNS).select("i", "j", (F.round("g", 5) + 0.0).alias("g"))
 
 
 @query()
@@ -102,13 +102,17 @@ def f8_sample_inputs(spark, sf):
     return out.select("sample_id", F.round("a", 6).alias("a"), F.round("c", 4).alias("c"))
 
 
+def sampled(spark, sf, n=2000):
+    """The basis and the scores of ``n`` samples in the box of the design."""
+    basis, d = s.Basis(maps(spark, sf)), design(spark, sf)
+    r = d.agg(*(f(n).alias(f"{k}{n}") for n in NAMES for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    q = s.sample_inputs(spark, {n: (r[f"lo{n}"], r[f"hi{n}"]) for n in NAMES}, n, set()).withColumnRenamed("sample_id", "query_id")
+    return basis, s.gp_scores(basis, d, q, NAMES)
+
+
 @query()
 def f9_monte_carlo(spark, sf):
-    basis = s.Basis(maps(spark, sf))
-    d = design(spark, sf)
-    r = d.agg(*(f(n).alias(f"{k}{n}") for n in NAMES for k, f in (("lo", F.min), ("hi", F.max)))).first()
-    q = s.sample_inputs(spark, {n: (r[f"lo{n}"], r[f"hi{n}"]) for n in NAMES}, 2000, set()).withColumnRenamed("sample_id", "query_id")
-    return s.monte_carlo(basis, s.gp_scores(basis, d, q, NAMES))
+    return s.monte_carlo(*sampled(spark, sf))
 
 
 @query()
@@ -125,6 +129,19 @@ def f11_leave_one_out(spark, sf):
     return s.leave_one_out(maps(spark, sf), design(spark, sf), NAMES)
 
 
+@query()
+def f9_sample_summaries(spark, sf):
+    """Deepest cell and inundated area of each of the samples."""
+    basis, scores = sampled(spark, sf)
+    return s.sample_summaries(basis, scores, 20.0)
+
+
+@query()
+def f12_input_sensitivity(spark, sf):
+    """Shares of the inputs by the lengths that the processes learned."""
+    return s.sensitivity(s.gp_lengths(s.Basis(maps(spark, sf)), design(spark, sf), NAMES))
+
+
 @query("WITH l AS (SELECT face_id % 3 AS input, 1e0 / (1 + face_id % 5) AS evr, 0.5e0 + face_id % 4 AS len FROM summary), x AS (SELECT input, sum(evr / len) AS s FROM l GROUP BY input) SELECT input, round(s / sum(s) OVER (), 6) AS share FROM x")
 def f12_sensitivity(spark, sf):
     f = F.col("face_id")

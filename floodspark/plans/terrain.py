@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodspark.operators import grids, loss, terrain
-from floodspark.plans.flood import doubles, rounded, run_cells, summary
+from floodspark.plans.flood import RUN, buildings_by_run, doubles, rounded, run_cells, summary
 from floodspark.plans.registry import query
 from floodspark.sources import views as v
 
@@ -48,10 +48,10 @@ def g5_trace(spark, sf):
     return terrain.trace(t, t.filter("col = 3"))
 
 
-@query("WITH r AS (SELECT hybas_id AS seed, hybas_id, 0 AS hop FROM basins WHERE hybas_id IN (3, 5, 8, 17) UNION SELECT r.seed, b.hybas_id, r.hop + 1 FROM r JOIN basins b ON b.next_down = r.hybas_id WHERE r.hop < 25) SELECT seed, hybas_id, CAST(hop AS INT) AS hop FROM r")
+@query("WITH r AS (SELECT hybas_id AS seed, hybas_id, 0 AS hop FROM basins UNION SELECT r.seed, b.hybas_id, r.hop + 1 FROM r JOIN basins b ON b.next_down = r.hybas_id WHERE r.hop < 25) SELECT seed, hybas_id, CAST(hop AS INT) AS hop FROM r")
 def g6_upstream(spark, sf):
     b = v.basins(spark, sf)
-    return terrain.upstream(b, b.filter("hybas_id in (3, 5, 8, 17)"))
+    return terrain.upstream(b, b)
 
 
 MASK = "mk AS (SELECT run_id AS site_id, CAST(face_id // 25 AS INT) AS row, CAST(face_id % 25 AS INT) AS col, face_id AS cell_id FROM summary WHERE max_depth > 0.7e0)"
@@ -185,14 +185,14 @@ def p3_clip_time(spark, sf):
     return v.map_steps(spark, sf).filter(F.col("t_s").between(86400, 100000) & (F.col("depth_m") > 0.5)).select("run_id", "t_s", "face_id", "depth_m")
 
 
-WET_CELLS = "wc AS (SELECT face_id AS cell_id, (face_id % 25 + 0.5e0) * 20 AS cx, 400 - (face_id // 25 + 0.5e0) * 20 AS cy FROM summary WHERE run_id = 0 AND max_depth > 0.3e0)"
+WET_CELLS = "wc AS (SELECT run_id, face_id AS cell_id, (face_id % 25 + 0.5e0) * 20 AS cx, 400 - (face_id // 25 + 0.5e0) * 20 AS cy FROM summary WHERE max_depth > 0.3e0)"
 
 
-@query(f"WITH {WET_CELLS}, n AS (SELECT osm_id, min({{'d': sqrt((x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy)), 'c': cell_id}}) AS b FROM buildings JOIN wc ON (x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy) <= 3600 GROUP BY osm_id) SELECT b.osm_id, CAST(n.b.c AS DOUBLE) AS cell_id, round(n.b.d, 6) AS d FROM buildings b LEFT JOIN n ON n.osm_id = b.osm_id")
+@query(f"WITH {WET_CELLS}, n AS (SELECT run_id, osm_id, min({{'d': sqrt((x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy)), 'c': cell_id}}) AS b FROM buildings JOIN wc ON (x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy) <= 3600 GROUP BY run_id, osm_id) SELECT rr.run_id, b.osm_id, CAST(n.b.c AS DOUBLE) AS cell_id, round(n.b.d, 6) AS d FROM buildings b CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN n ON n.osm_id = b.osm_id AND n.run_id = rr.run_id")
 def j5_nearest_wet_cell(spark, sf):
-    c = run_cells(spark, sf, 0).filter("max_depth > 0.3")
-    c = c.select("cell_id", ((F.col("cell_id") % W + 0.5) * 20).alias("cx"), (400 - (F.floor(F.col("cell_id") / W) + 0.5) * 20).alias("cy"))
-    return doubles(rounded(grids.nearest_cell(v.buildings(spark, sf), c, 60.0), "d"), "cell_id")
+    c = run_cells(spark, sf).filter("max_depth > 0.3")
+    c = c.select("run_id", "cell_id", ((F.col("cell_id") % W + 0.5) * 20).alias("cx"), (400 - (F.floor(F.col("cell_id") / W) + 0.5) * 20).alias("cy"))
+    return doubles(rounded(grids.nearest_cell(buildings_by_run(spark, sf), c, 60.0, RUN), "d"), "cell_id")
 
 
 @query("WITH p AS (SELECT row, col, 400 - (row + 0.5e0) * 20 AS cy, (col + 0.5e0) * 20 AS cx, cell_id, (col + 0.5e0) * 20 AS chainage FROM dem WHERE site_id = 0 AND row = 10), n AS (SELECT osm_id, min({'d': sqrt((x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy)), 'c': cell_id}) AS b FROM buildings JOIN p ON (x_m - cx) * (x_m - cx) + (y_m - cy) * (y_m - cy) <= 40000 GROUP BY osm_id) SELECT osm_id, round(chainage, 6) AS chainage_m, round(n.b.d, 6) AS d FROM n JOIN p ON p.cell_id = n.b.c")
@@ -202,18 +202,18 @@ def j4_snap_to_centreline(spark, sf):
     return near.join(p, "cell_id").select("osm_id", F.round("cx", 6).alias("chainage_m"), F.round("d", 6).alias("d"))
 
 
-@query("SELECT a.site_id, a.cell_id AS id, arg_max(b.cell_id, {'q': b.cell_id * 7919 % 101, 'r': -b.cell_id}) AS best FROM dem a JOIN dem b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 WHERE a.cell_id % 23 = 0 GROUP BY a.site_id, a.cell_id")
+@query("SELECT a.site_id, a.cell_id AS id, arg_max(b.cell_id, {'q': b.cell_id * 7919 % 101, 'r': -b.cell_id}) AS best FROM dem a JOIN dem b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.site_id, a.cell_id")
 def j6_best_in_window(spark, sf):
     d = v.dem(spark, sf).withColumn("acc", F.col("cell_id").cast("long") * 7919 % 101)
-    points = d.filter("cell_id % 23 = 0").select("site_id", F.col("cell_id").alias("id"), "row", "col")
+    points = d.select("site_id", F.col("cell_id").alias("id"), "row", "col")
     return grids.best_in_window(points, d, "acc", 2).select("site_id", "id", (F.col("row") * W + F.col("col")).alias("best"))
 
 
-@query(f"WITH {WET_CELLS} SELECT kind, count(*) AS n FROM buildings b JOIN wc ON floor(x_m / 20) = floor(cx / 20) AND ceil(y_m / 20) = ceil(cy / 20) WHERE (400 - y_m) / 20 <> floor((400 - y_m) / 20) GROUP BY kind")
+@query(f"WITH {WET_CELLS} SELECT run_id, kind, count(*) AS n FROM buildings b JOIN wc ON floor(x_m / 20) = floor(cx / 20) AND ceil(y_m / 20) = ceil(cy / 20) WHERE (400 - y_m) / 20 <> floor((400 - y_m) / 20) GROUP BY run_id, kind")
 def j7_flooded_by_kind(spark, sf):
-    wet = run_cells(spark, sf, 0).filter("max_depth > 0.3").withColumn("hit", F.lit(True))
-    b = v.buildings(spark, sf).filter("(400 - y_m) / 20 <> floor((400 - y_m) / 20)")
-    return loss.sample(b, wet, "hit", origin_x=0.0, origin_y=400.0, cell_m=20.0, width=W, height=H).filter("hit").groupBy("kind").agg(F.count("*").alias("n"))
+    wet = run_cells(spark, sf).filter("max_depth > 0.3").select("run_id", "cell_id")
+    b = v.buildings(spark, sf).filter("(400 - y_m) / 20 <> floor((400 - y_m) / 20)").select("kind", loss.cell_of(F.col("x_m"), F.col("y_m"), origin_x=0.0, origin_y=400.0, cell_m=20.0, width=W, height=H).alias("cell_id"))
+    return b.join(wet, "cell_id").groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT osm_id AS line_id, round(sqrt(area_m2 * area_m2 + area_m2 * area_m2 * 0.25e0), 6) AS length_m FROM buildings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ CSV = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is
+    configured and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = getattr(spark, "_shared_dir", None) or tempfile.mkdtemp(prefix="spark-")
+        spark._shared_dir = path
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later jobs read it, not the lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def load_cells(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """Cells with nodata as null; a cell off the grid is an error."""
     cells = spark.read.schema(CELLS).parquet(path)

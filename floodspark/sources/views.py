@@ -30,6 +30,10 @@ def map_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_steps(spark, sf_dir).select("run_id").distinct()
+
+
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("poi_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100).alias("depth_m"), (F.col("value") * 20).alias("q_m3s"), "event_id", "event_type")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,37 +31,59 @@ def trailing_rain_stream(rain: DataFrame, days: int = 7, late: str = "3 days") -
 
 def crossing_stream(series: DataFrame, threshold: float, late: str = "1 hour") -> DataFrame:
     """poi_id, t_cross (seconds): one alert for each point at the first crossing of ``threshold``, interpolated from the
-    sample before, which is kept as state. Columns: poi_id, ts, q_m3s; samples older than the kept one are skipped."""
+    sample before. Columns: poi_id, ts, q_m3s.
+
+    Samples wait in the state until the watermark has passed them, so rows that come up to ``late`` late take
+    their place in time. Nothing after a point's first sample at or over the threshold is kept, and after its
+    alert only that it was given: it is what makes a second one impossible, so it stays.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_q, fired = state.get if state.exists else (float("nan"), float("nan"), False)
-        rows = pd.concat(list(batches)).dropna(subset=["q_m3s"]).sort_values(["ts", "q_m3s"])
-        found = None
-        for t, q in zip(rows["ts"].astype("int64") / rows_per_second(rows), rows["q_m3s"]):
-            if fired or (last_t == last_t and t < last_t):
+        last_t, last_q, fired, held_t, held_q = state.get if state.exists else (float("nan"), float("nan"), False, [], [])
+        t, q = np.array(held_t, float), np.array(held_q, float)
+        for rows in batches:
+            if fired or not len(rows):
                 continue
-            if q >= threshold:
-                fired = True
-                found = t if last_t != last_t or q == last_q else last_t + (threshold - last_q) / (q - last_q) * (t - last_t)
-            last_t, last_q = t, float(q)
-        state.update((float(last_t), float(last_q), bool(fired)))
-        if found is not None:
-            yield pd.DataFrame({"poi_id": [key[0]], "t_cross": [float(found)]})
-
-    def rows_per_second(rows: pd.DataFrame) -> float:
-        return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[rows["ts"].dt.unit]
-
-    return series.withWatermark("ts", late).groupBy("poi_id").applyInPandasWithState(step, "poi_id long, t_cross double", "t double, q double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+            rows = rows.dropna(subset=["q_m3s"])
+            t, q = np.append(t, rows["ts"].astype("int64") / {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[rows["ts"].dt.unit]), np.append(q, rows["q_m3s"])
+            order = np.lexsort((q, t))
+            t, q = t[order], q[order]
+            over = np.flatnonzero(q >= threshold)[:1] + 1
+            t, q = (t[: over[0]], q[: over[0]]) if len(over) else (t, q)
+        mark = state.getCurrentWatermarkMs()
+        done = int(np.searchsorted(t, mark / 1000, "right"))
+        if done:
+            if q[done - 1] >= threshold:  # the only such sample, as what comes after it was dropped
+                before_t, before_q = (t[done - 2], q[done - 2]) if done > 1 else (last_t, last_q)
+                at = t[done - 1] if before_t != before_t else before_t + (threshold - before_q) / (q[done - 1] - before_q) * (t[done - 1] - before_t)
+                yield pd.DataFrame({"poi_id": [key[0]], "t_cross": [float(at)]})
+                fired, done = True, len(t)
+            last_t, last_q, t, q = t[done - 1], q[done - 1], t[done:], q[done:]
+        state.update((float(last_t), float(last_q), bool(fired), t.tolist(), q.tolist()))
+        if len(t):
+            state.setTimeoutTimestamp(max(int(t[0] * 1000), mark) + 1)
+
+    kind = "t double, q double, fired boolean, held_t array<double>, held_q array<double>"
+    return series.withWatermark("ts", late).groupBy("poi_id").applyInPandasWithState(step, "poi_id long, t_cross double", kind, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def new_scenes_stream(scenes: DataFrame, late: str = "30 days") -> DataFrame:
+    """Each scene (scene_id, ts, ...) once, also if several searches find it; ids are forgotten ``late`` after."""
+    return scenes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["scene_id"])
+
+
+def revisions(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds each batch to a table of revisions, in a folder of its own: a batch that
+    comes twice, after a restart too, replaces itself, and no older row is rewritten."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    return run
 
-def revisions(write: Callable[[DataFrame], None], read: Callable[[], DataFrame | None], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts each batch into a table: the largest version (column version) of a key
-    stays, so a batch may come late or twice."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        others = [c for c in batch.columns if c not in keys]
-        cached = read()
-        both = batch if cached is None else cached.unionByName(batch)
-        write(both.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("s")).select(*keys, "s.*"))
 
-    return run
+def current(revised: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """The newest revision of each key, whichever batch brought it: largest version, then largest row."""
+    others = [x for x in revised.columns if x not in (*keys, version)]
+    newest = F.max(F.struct(version, *others)).alias("newest")
+    return revised.groupBy(*keys).agg(newest).select(*keys, "newest.*")

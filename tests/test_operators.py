@@ -2,6 +2,7 @@
 
 import heapq
 import math
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -180,3 +181,54 @@ def test_normal_cdf(spark):
 def test_curves_that_do_not_increase_are_found(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 1.0)]), (2, [(0.0, 0.0), (0.0, 1.0)]), (3, [(1.0, 1.0)])], "curve_id int, points array<struct<x:double,y:double>>")
     assert [r[0] for r in checks.not_increasing(df).collect()] == [2]
+
+
+def test_late_samples_take_their_place_in_time(spark, tmp_path):
+    """Batches out of order, late by less than the watermark's delay; a sample that comes late makes the crossing."""
+    from floodspark.streaming import streams
+
+    t = lambda minute: datetime(2026, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
+    batches = [[(1, t(0), 0.0), (1, t(30), 50.0), (2, t(10), 20.0)], [(1, t(20), 10.0), (1, t(10), 4.0), (2, t(5), 0.0)], [(1, t(200), 99.0), (2, t(400), 1.0)], [(3, t(500), 30.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "poi_id long, ts timestamp, q_m3s double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("poi_id long, ts timestamp, q_m3s double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streams.crossing_stream(stream, 10.0, "1 hour").writeStream.format("memory").queryName("late").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.poi_id: (r.t_cross - t(0).timestamp()) / 60 for r in spark.table("late").collect()}
+    assert got == {1: 20.0, 2: 7.5}  # the watermark has not passed poi 3
+
+
+def test_leave_one_out_ranks_methods_and_covers(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (12, 2))
+    cells = rng.uniform(0.2, 1, (2, 60))
+    y = np.log1p(np.exp(x @ cells) + 0.5 * np.sin(2 * x[:, :1]))
+    df = spark.createDataFrame([(i, j, float(y[i, j])) for i in range(12) for j in range(60)], "run_id int, cell_id int, y double")
+    design = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1])) for i in range(12)], "run_id int, a double, b double")
+    got = {(r.method, r.run_id): r for r in surrogate.leave_one_out(df, design, ["a", "b"]).collect()}
+    mean = {m: np.mean([got[m, f].rmse for f in range(12)]) for m in ("gp", "linear", "nearest")}
+    assert mean["gp"] < mean["nearest"] and all(0 <= got["gp", f].coverage_90 <= 1 and got["linear", f].coverage_90 is None for f in range(12))
+    rest = np.arange(1, 12)
+    d = np.linalg.norm(x[rest] - x[0], axis=1)
+    near = rest[np.argsort(d)[:3]]
+    w = 1 / np.linalg.norm(x[near] - x[0], axis=1) ** 2
+    want = np.sqrt(np.mean((w / w.sum() @ y[near] - y[0]) ** 2))
+    assert abs(got["nearest", 0].rmse - want) < 1e-9
+
+
+def test_gram_and_samples_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(7, 50))
+    df = spark.createDataFrame([(i, j, float(y[i, j])) for i in range(7) for j in range(50)], "run_id int, cell_id int, y double").repartition(5)
+    c = y - y.mean(axis=0)
+    assert np.allclose(surrogate.gram(surrogate.wide(df, list(range(7))), 7), c @ c.T)
+    basis = surrogate.Basis(df, 0.9)
+    scores = spark.createDataFrame([(q, k, float(rng.normal()), 0.1) for q in range(30) for k in range(basis.count)], "query_id long, component int, score double, sd double")
+    cells = {r.cell_id: r for r in basis.cells.collect()}
+    s = surrogate.drawn(scores, 0)
+    depth = {k: np.maximum(np.expm1(r.mean + s @ np.array(r.w)), 0) for k, r in cells.items()}
+    for r in surrogate.monte_carlo(basis, scores).collect():
+        assert abs(r.p - (depth[r.cell_id] > 0.3).mean()) < 1e-12 and abs(r.p50 - np.median(depth[r.cell_id])) < 1e-9
+        assert r.zone == (2 if r.p >= 0.9 else 1 if r.p >= 0.1 else 0)
+    for r in surrogate.sample_summaries(basis, scores, 10.0).collect():
+        assert abs(r.site_max - max(x[r.sample] for x in depth.values())) < 1e-9 and r.area_m2 == 100.0 * sum(x[r.sample] > 0.3 for x in depth.values())
