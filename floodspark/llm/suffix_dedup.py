@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from floodspark.llm import common as c
 
 CHUNK_BYTES = 2 << 20
+#: Places whose anchors are looked for at once, and rows of one range partition when letters are named.
+SPAN, SORT_ROWS = 1 << 15, 1_000_000
 BYTE = c.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * c.ODD)
 
 
@@ -43,47 +45,90 @@ def slide(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 class Letters:
-    """Anchors and hashes of the texts of a chunk, in the order of doc_id and text hash."""
+    """Anchors and hashes of the texts of a chunk, in the order of doc_id and text hash.
 
-    def __init__(self, table: pa.Table, width: int, core: int) -> None:
+    ``at``: the anchors; ``since``: the first ``width``-byte string that has each one as its own.
+    """
+
+    def __init__(self, table: pa.Table, width: int, core: int, anchors: bytes | None = None) -> None:
         self.width, self.core = width, core
         self.table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
         self.data, self.offsets = c.utf8(self.table.column("text"))
         n = len(self.data)
+        up, self.back = _powers(n)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[self.data] * c.powers(c.BASE, n), dtype=np.uint64, out=self.total[1:])
-        self.back = c.powers(c.INVERSE, n)
-        self.end = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        self.at = self._anchors()
-        self.cores = self.hashes(self.at, self.at + core)
+        np.multiply(BYTE[self.data], up[:n], out=self.total[1:])
+        np.cumsum(self.total[1:], out=self.total[1:])
+        if anchors is None:
+            self.at, self.since = self._anchors()
+        else:
+            self.at, self.since = np.cumsum(np.frombuffer(anchors, "<u4").reshape(2, -1), axis=1, dtype=np.int64)
+
+    def packed(self) -> bytes:
+        """The anchors, for another ``Letters`` of the same chunk."""
+        return np.stack([np.diff(x, prepend=0) for x in (self.at, self.since)]).astype("<u4").tobytes()
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes from ``start`` to ``end``."""
         return c.mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64) * c.ODD)
 
-    def _anchors(self) -> np.ndarray:
-        """Sets ``usable``, the starts of ``width``-byte strings, and ``of``, the anchor of each; returns the anchors."""
-        n, run = len(self.data), self.width + 1 - self.core
-        self.usable, self.of = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if n < self.width:
-            return self.usable
-        m = n - self.core + 1
-        order = c.mix((self.total[self.core :] - self.total[:m]) * self.back[:m])
-        order &= np.uint64(0xFFFFFFFF00000000)  # by hash, then by place
-        order |= np.arange(m, dtype=np.uint64)
-        least = (slide(order, run, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        self.usable = np.flatnonzero(np.arange(len(least)) + self.width <= self.end[: len(least)])
-        place = least[self.usable]
-        new = np.append(True, place[1:] != place[:-1])[: len(place)]
-        self.of = np.cumsum(new, dtype=np.int32) - 1
-        return place[new].astype(np.int64)
+    @property
+    def cores(self) -> np.ndarray:
+        return self.hashes(self.at, self.at + self.core)
+
+    @property
+    def usable(self) -> np.ndarray:
+        """Whether a ``width``-byte string starts at each byte."""
+        size = np.diff(self.offsets)
+        start = np.maximum(size - self.width + 1, 0)
+        return np.repeat(np.tile([True, False], len(size)), np.stack([start, size - start], axis=1).reshape(-1))
+
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every ``width``-byte string the core with the least hash (the first of equals), block by block."""
+        n, run, usable = len(self.data), self.width + 1 - self.core, self.usable
+        at, since, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], -1
+        for lo in range(0, n - self.width + 1, SPAN):
+            hi = min(lo + SPAN, n - self.width + 1)
+            some = np.flatnonzero(usable[lo:hi])
+            if not len(some):
+                continue
+            m = hi + run - 1  # cores that begin before m
+            order = (self.total[lo + self.core : m + self.core] - self.total[lo:m]) * self.back[lo:m]
+            order ^= order >> np.uint64(29)
+            order *= c.ODD
+            order &= np.uint64(0xFFFFFFFF00000000)  # by hash, then by place
+            order |= np.arange(m - lo, dtype=np.uint64)
+            place = (slide(order, run, np.minimum)[some] & np.uint64(0xFFFFFFFF)).astype(np.int64) + lo
+            new = np.append(place[0] != last, place[1:] != place[:-1])
+            at.append(place[new])
+            since.append(some[new] + lo)
+            last = place[-1]
+        return np.concatenate(at), np.concatenate(since)
 
     def letters(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each anchor but the last: its letter, the next anchor's place, and whether both cores repeat in one text."""
         here, there = self.at[:-1], self.at[1:]
-        valid = repeated[:-1] & repeated[1:] & (self.end[here] == self.end[there])
+        text = np.searchsorted(self.offsets, self.at, "right")
+        valid = repeated[:-1] & repeated[1:] & (text[:-1] == text[1:])
         return self.hashes(here, np.where(valid, there + self.core, here)), there, valid
 
+    def inside(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bytes in any of the stretches from ``start`` to ``end``."""
+        change = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(change, start, 1)
+        np.add.at(change, end, -1)
+        return np.cumsum(change, out=change)[:-1] > 0
+
+
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n``; a worker keeps those of its longest chunk."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [c.powers(c.BASE, n), c.powers(c.INVERSE, n)]
+    return _POWERS
+
 
 def repeats(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
     same, which = np.unique(keys, return_inverse=True)
@@ -100,31 +145,40 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.minimum(n, 2).astype(np.uint8), which
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
+def named(rows: DataFrame, keys: list[str], most: int = 0) -> DataFrame:
     """``rows`` (chunk, g, ...) with name, a rank of their ``keys`` in the order of the whole table,
     repeated, whether a neighbour in that order has the same keys, and lead, true for at least the first
     row of each key. Rows of one key may fill many partitions; only each partition's first and last key
-    reach the driver."""
+    reach the driver. ``most``: about how many rows there are."""
     spark = rows.sparkSession
     others = [x for x in rows.columns if x not in keys]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // SORT_ROWS))
     order = [*keys, "chunk", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One batch behind, as the last row of a batch is judged by the first of the next."""
         part = TaskContext.get().partitionId()
-        all_rows = [x for x in batches if x.num_rows]
-        if not all_rows:
-            return
-        table = pa.Table.from_batches(all_rows)
-        k = np.stack([table.column(x).to_numpy() for x in keys])
-        same = (k[:, 1:] == k[:, :-1]).all(axis=0)
-        local = np.concatenate([[0], np.cumsum(~same)])
-        twin = np.append(False, same) | np.append(same, False)
-        edge = np.zeros(len(local), bool)
-        edge[[0, -1]] = True
-        out = {x: table.column(x) for x in others} | {"part": np.full(len(local), part, np.int32), "local": local, "twin": twin, "lead": np.append(True, ~same)}
-        out |= {f"edge_{x}": pa.array(np.where(edge, v, 0), mask=~edge) for x, v in zip(keys, k)}
-        yield from pa.table(out).to_batches(10_000)
+        held, last, local = None, None, -1
+
+        def told(follows: bool, ends: bool) -> pa.RecordBatch:
+            batch, k, same, names, begins = held
+            edge = np.zeros(len(names), bool)
+            edge[0], edge[-1] = begins, edge[-1] or ends or begins and len(names) == 1
+            out = {x: batch.column(x) for x in others} | {"part": np.full(len(names), part, np.int32), "local": names, "twin": same | np.append(same[1:], follows), "lead": ~same}
+            return pa.RecordBatch.from_pydict(out | {f"edge_{x}": pa.array(np.where(edge, v, 0), mask=~edge) for x, v in zip(keys, k)})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(x).to_numpy() for x in keys])
+            joined = last is not None and bool((k[:, 0] == last).all())
+            if held is not None:
+                yield told(joined, False)
+            same = np.append(joined, (k[:, 1:] == k[:, :-1]).all(axis=0))
+            names = local + np.cumsum(~same)
+            held, last, local = (batch, k, same, names, last is None), k[:, -1], int(names[-1])
+        if held is not None:
+            yield told(False, True)
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{x} {types[x]}" for x in others), "part int, local long, twin boolean, lead boolean", *(f"edge_{x} long" for x in keys)])
@@ -145,7 +199,7 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     return whole.join(F.broadcast(meet), "name", "left").select(*others, "name", (F.col("twin") | F.coalesce("met", F.lit(False))).alias("repeated"), "lead")
 
 
-def long_repeats(letters: DataFrame) -> DataFrame:
+def long_repeats(letters: DataFrame, most: int = 0) -> DataFrame:
     """chunk, g and lead of the letters from which equal text reaches the goal elsewhere too, perhaps more than
     once; of those with equal text at least one has lead.
 
@@ -153,7 +207,7 @@ def long_repeats(letters: DataFrame) -> DataFrame:
     enough), goal and upto (the place to reach, and where the letters given end).
     """
     scale = 1
-    sample = named(letters.filter("cls <> 0").select("chunk", "g", "goal", "upto", "t0", "t1", "t2"), ["t0", "t1", "t2"])
+    sample = named(letters.filter("cls <> 0").select("chunk", "g", "goal", "upto", "t0", "t1", "t2"), ["t0", "t1", "t2"], most)
     sample = c.stored(sample.select("chunk", "g", "goal", "upto", "name", "repeated", "lead"))
     offset = 0
     while True:
@@ -179,7 +233,7 @@ def long_repeats(letters: DataFrame) -> DataFrame:
             return pa.table({"chunk": t.column("chunk"), "g": g, "goal": goal, "upto": np.where(go, ends[2], upto), "n0": np.where(stuck, -1, name), "n1": names[1], "n2": names[2], "go": kind.astype(np.int32), "repeated": repeated & ~stuck, "lead": lead})
 
         step = c.stored(sample.groupBy("chunk").applyInArrow(longer, "chunk int, g long, goal long, upto long, n0 long, n1 long, n2 long, go int, repeated boolean, lead boolean"))
-        again = named(step.filter("go = 1").select("chunk", "g", "goal", "upto", "n0", "n1", "n2"), ["n0", "n1", "n2"])
+        again = named(step.filter("go = 1").select("chunk", "g", "goal", "upto", "n0", "n1", "n2"), ["n0", "n1", "n2"], most)
         offset += 1 << 40
         again = again.select("chunk", "g", "goal", "upto", (F.col("name") + offset).alias("name"), "repeated", "lead")
         old, sample = sample, c.stored(step.filter("go = 0").select("chunk", "g", "goal", "upto", F.col("n0").alias("name"), "repeated", "lead").unionByName(again))
@@ -201,11 +255,11 @@ def long_repeats(letters: DataFrame) -> DataFrame:
         return pa.table({"chunk": pa.array(np.full(len(g), t.column("chunk")[0].as_py() if t.num_rows else 0), pa.int32()), "g": g, "kind": kind, "a": a, "b": b, "r": r})
 
     merged = letters.select("chunk", "g", "cls", "t0", "t1").groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInArrow(keys, "chunk int, g long, kind long, a long, b long, r long")
-    merged = named(merged, ["kind", "a", "b", "r"])
+    merged = named(merged, ["kind", "a", "b", "r"], 2 * most)
     return sample.filter("repeated and upto >= goal").select("chunk", "g", "lead").unionByName(merged.filter("repeated").select("chunk", "g", "lead"))
 
 
-def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 100) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (begin, end in bytes of each maximal removed run) and kept (the bytes
     left) of every row of ``docs`` (doc_id, text): a byte goes if a ``width``-byte string that covers
     it also starts anywhere else, in any row.
@@ -218,7 +272,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 100) -> DataFr
     size = c.text_bytes(docs)
     n, buckets = c.parts(docs, size, CHUNK_BYTES), c.parts(docs, size, 4 * CHUNK_BYTES, each=1)
     chunks = c.in_chunks(docs.withColumn("text_hash", F.xxhash64("text")), n, "text_hash")
-    make = lambda table: Letters(table, width, core)
+    make = lambda table, anchors=None: Letters(table, width, core, anchors)
 
     def ask_cores(table):
         keys, count, _ = distinct(make(table).cores)
@@ -245,46 +299,45 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 100) -> DataFr
         g, upto, goal, t = g[ok], upto[ok], goal[ok], [y[ok] for y in t]
         out = {"chunk": pa.array(np.full(len(g), table.column("chunk")[0].as_py() if table.num_rows else 0), pa.int32()), "g": g, "cls": pa.array(g % 3, pa.int32()), "goal": goal, "upto": upto}
         bitmap = np.packbits(repeated, bitorder="little").tobytes()
-        kind = pa.array(np.zeros(len(g)), pa.int32())
-        rows = pa.table(out | {"t0": t[0], "t1": t[1], "t2": t[2], "kind": kind, "payload": pa.nulls(len(g), pa.binary())})
-        note = {"chunk": rows.schema.field("chunk").type, "kind": pa.int32()}
-        one = {k: pa.array([table.column("chunk")[0].as_py() if k == "chunk" else 1], note[k]) if k in note else pa.array([bitmap], pa.binary()) if k == "payload" else pa.nulls(1, rows.schema.field(k).type) for k in rows.column_names}
-        return pa.concat_tables([rows, pa.table(one)]) if table.num_rows else rows
+        rows = pa.table(out | {"t0": t[0], "t1": t[1], "t2": t[2], "kind": pa.array(np.zeros(len(g)), pa.int32()), "payload": pa.nulls(len(g), pa.binary())})
+        about = {"chunk": table.column("chunk").slice(0, 1).take(pa.array([0, 0])), "kind": pa.array([1, 5], pa.int32()), "payload": pa.array([bitmap, x.packed()], pa.binary())} if table.num_rows else {}
+        return pa.concat_tables([rows, pa.table([about[f.name] if f.name in about else pa.nulls(2, f.type) for f in rows.schema], rows.schema)]) if about else rows
 
     schema = "chunk int, g long, cls int, goal long, upto long, t0 long, t1 long, t2 long, kind int, payload binary"
     spelled = c.stored(chunks.groupBy("chunk").cogroup(cores.groupBy("chunk")).applyInArrow(spell, schema))
     c.forget(cores)
     c.release(spark)
     letters = spelled.filter("kind = 0").drop("kind", "payload")
-    found = long_repeats(letters)
+    found = long_repeats(letters, spelled.count())
 
     def places(table):
         g, lead = table.column("g").to_numpy(), table.column("lead").to_numpy()
         lists = [np.unique(g).astype("<u4").tobytes(), np.unique(g[lead]).astype("<u4").tobytes()]
         return pa.table({"chunk": table.column("chunk").slice(0, 1).take(pa.array([0, 0])), "kind": pa.array([2, 4], pa.int32()), "payload": pa.array(lists, pa.binary())})
 
-    known = c.stored(spelled.filter("kind = 1").select("chunk", "kind", "payload").unionByName(found.groupBy("chunk").applyInArrow(places, "chunk int, kind int, payload binary")))
+    known = c.stored(spelled.filter("kind in (1, 5)").select("chunk", "kind", "payload").unionByName(found.groupBy("chunk").applyInArrow(places, "chunk int, kind int, payload binary")))
     c.release(spark)
 
-    def compared(x: Letters, about: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compared(x: Letters, notes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the strings to compare by fingerprint (undecided ones, and one of each decided kind for them
         to meet), and the letters known to repeat."""
-        notes = dict(zip(about.column("kind").to_pylist(), about.column("payload").to_pylist()))
         repeated = np.unpackbits(np.frombuffer(notes.get(1, b""), np.uint8), bitorder="little")[: len(x.at)].astype(bool)
         full, lead = (np.frombuffer(notes.get(k, b""), "<u4").astype(np.int64) for k in (2, 4))
+        begun = lambda letters: x.inside(x.at[letters], x.at[letters + 1] + 1)
+        n = len(x.data)
+        own = np.repeat(np.append(False, repeated), np.diff(np.concatenate([[0], x.since, [n]]))) if len(x.at) else np.zeros(n, bool)
+        own &= ~begun(full)
+        own |= begun(lead)
+        own &= x.usable
+        return np.flatnonzero(own), full
 
-        def begun(letters: np.ndarray) -> np.ndarray:
-            """Strings that start from an anchor of ``letters`` to the next one."""
-            change = np.zeros(len(x.data) + 2, np.int32)
-            np.add.at(change, x.at[letters], 1)
-            np.add.at(change, x.at[letters + 1] + 1, -1)
-            return np.cumsum(change)[x.usable] > 0
-
-        return x.usable[repeated[x.of] & ~begun(full) | begun(lead)] if len(x.at) else x.usable, full
+    def about_chunk(table: pa.Table) -> dict[int, bytes]:
+        return dict(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()))
 
     def ask_strings(table, about):
-        x = make(table)
-        starts, _ = compared(x, about)
+        notes = about_chunk(about)
+        x = make(table, notes.get(5))
+        starts, _ = compared(x, notes)
         keys, count, _ = distinct(x.hashes(starts, starts + width))
         return keys, [count]
 
@@ -292,17 +345,14 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 100) -> DataFr
     told = strings.select("chunk", F.lit(3).alias("kind"), "bucket", "payload").unionByName(known.select("chunk", "kind", F.lit(-1).alias("bucket"), "payload"))
 
     def finish(table, about):
-        x = make(table)
         kind = about.column("kind").to_numpy()
-        starts, full = compared(x, about.filter(pa.array(kind != 3)))
+        notes = about_chunk(about.filter(pa.array(kind != 3)))
+        x = make(table, notes.get(5))
+        starts, full = compared(x, notes)
         keys, _, which = distinct(x.hashes(starts, starts + width))
         bits = c.answers(about.filter(pa.array(kind == 3))).astype(bool) if len(keys) else np.zeros(0, bool)
         starts = starts[bits[which]]
-        change = np.zeros(len(x.data) + 1, np.int64)
-        np.add.at(change, x.at[full], 1)
-        np.add.at(change, x.at[full + 1] + width, -1)
-        change += np.bincount(starts, minlength=len(change)) - np.bincount(starts + width, minlength=len(change))
-        gone = np.cumsum(change)[:-1] > 0
+        gone = x.inside(np.append(x.at[full], starts), np.append(x.at[full + 1], starts) + width)
         spans, kept, removed = [], [], []
         for a, b in zip(x.offsets[:-1], x.offsets[1:]):
             mask = gone[a:b]
