@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -115,46 +116,53 @@ def in_chunks(docs: DataFrame, n: int, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
 
 
-def asked(
-    chunks: DataFrame, ask: Callable[..., tuple[np.ndarray, list[np.ndarray]]], answer: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]], buckets: int, known: DataFrame | None = None
-) -> DataFrame:
+def asked(chunks: DataFrame, ask: Callable[..., tuple], kinds: list[str], answer: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[int]]], buckets: int, known: DataFrame | None = None) -> DataFrame:
     """What every chunk wants to know about its hashes, answered by the bucket that owns each hash.
 
-    ``ask(table)`` gives the sorted distinct uint64 hashes of a chunk and columns that go with them;
+    ``ask(table)`` gives the sorted uint64 hashes of a chunk and columns of ``kinds`` that go with them;
     a bucket gets those of all chunks (``answer(columns, start)``: the first column are hashes,
     ``start`` marks where a chunk's begin) and returns one number for each, and a few totals of its own
     (``notes``, on one row of each bucket). The result has a row for each chunk and bucket;
     ``answers(table)`` puts a chunk's rows together, in the order asked. A hash costs at most one
     entry for each chunk however often it occurs, so no bucket is hot. ``known``, if given, has
-    more rows about the chunks, which ``ask`` then gets as a second table.
+    more rows about the chunks, which ``ask`` then gets as a second table. A third thing that ``ask`` gives, a table of
+    cell, n (int64), is summed by cell over the chunks that a bucket is given: ``tallies`` has the rest.
     """
+    types = [np.dtype(x) for x in ("<u8", *kinds)]
 
     def send(table: pa.Table, *more_tables: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-        keys, more = ask(table, *more_tables)
+        keys, more, *tally = ask(table, *more_tables)
         cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
-        payload = [b"".join(planes(x[cuts[b] : cuts[b + 1]]) for x in (keys, *more)) for b in used]
+        columns = [np.asarray(x, kind) for x, kind in zip((keys, *more), types)]
+        payload = [b"".join(planes(x[cuts[b] : cuts[b + 1]]) for x in columns) for b in used]
         n = np.diff(cuts)[used]
-        kinds = ",".join(np.dtype(x.dtype).str for x in (keys, *more))
-        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int32()), "n": pa.array(n, pa.int32()), "kinds": pa.array([kinds] * len(used), pa.string()), "payload": pa.array(payload, pa.binary())})
+        if tally and len(tally[0][0]):
+            used, n, payload = np.append(used, chunk % buckets), np.append(n, -1), [*payload, np.stack(tally[0]).astype("<i8").tobytes()]
+        return pa.table({"bucket": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int32()), "n": pa.array(n, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     def reply(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("chunk")
+        own = table.column("n").to_numpy() >= 0
+        rows, others = table.filter(pa.array(own)).sort_by("chunk"), table.filter(pa.array(~own))
         n = rows.column("n").to_numpy()
-        kinds = [np.dtype(x) for x in rows.column("kinds")[0].as_py().split(",")]
-        columns = [[] for _ in kinds]
+        columns = [[np.zeros(0, kind)] for kind in types]
         for size, block in zip(n, rows.column("payload")):
             at, block = 0, block.as_buffer()
-            for k, kind in enumerate(kinds):
+            for k, kind in enumerate(types):
                 columns[k].append(unplanes(block, at, int(size), kind))
                 at += int(size) * kind.itemsize
-        start = np.concatenate([[0], np.cumsum(n)])
+        start = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         out, notes = answer([np.concatenate(x) for x in columns], start)
-        payload = pa.array([planes(out[a:b]) for a, b in zip(start[:-1], start[1:])], pa.binary())
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "payload": payload, "notes": pa.array([notes] + [None] * (len(n) - 1), pa.list_(pa.int64()))})
-
-    schema = "bucket int, chunk int, n int, kinds string, payload binary"
+        payload = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:])]
+        chunk, bucket, notes = rows.column("chunk").to_pylist(), table.column("bucket")[0].as_py(), [notes, *[None] * len(n)][: len(n)]
+        if others.num_rows:
+            cells, counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1) for x in others.column("payload")], axis=1)
+            one, which = np.unique(cells, return_inverse=True)
+            chunk, payload, notes = [*chunk, -1], [*payload, b""], [*notes, np.stack([one, np.bincount(which, counts, len(one)).astype(np.int64)]).reshape(-1).tolist()]
+        return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array([bucket] * len(chunk), pa.int32()), "payload": pa.array(payload, pa.binary()), "notes": pa.array(notes, pa.list_(pa.int64()))})
+
+    schema = "bucket int, chunk int, n int, payload binary"
     if known is None:
         asks = chunks.groupBy("chunk").applyInArrow(lambda table: send(table), schema)
     else:
@@ -162,6 +170,18 @@ def asked(
     return asks.groupBy("bucket").applyInArrow(reply, "chunk int, bucket int, payload binary, notes array<long>")
 
 
+def tallies(replies: DataFrame) -> DataFrame:
+    """cell and n, summed over all chunks, of stored replies."""
+    cell = F.posexplode(F.slice("notes", F.lit(1), F.floor(F.size("notes") / 2).cast("int"))).alias("k", "cell")
+    return replies.filter("chunk < 0").select("notes", cell).select("cell", F.col("notes")[F.col("k") + F.floor(F.size("notes") / 2).cast("int")].alias("n")).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of the sorted ``keys`` at each of ``wanted``, all of which are keys."""
+    codes, own = pd.factorize(wanted)
+    return values[np.searchsorted(keys, own)][codes] if len(keys) else values[:0]
+
+
 def answers(table: pa.Table, dtype=np.uint8) -> np.ndarray:
     kind = np.dtype(dtype)
     blocks = [x.as_buffer() for x in table.sort_by("bucket").column("payload")]
@@ -221,6 +241,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A random number for each byte at each of 256 places in a word.
 PLACE = mix((np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * ODD)
+#: Others, for a second hash that is independent of the first.
+OTHER = mix((np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 20)) * ODD)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +257,7 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, random: np.ndarray = PLACE) -> np.ndarray:
     """64-bit hash of every word: random numbers by place and byte, summed, then mixed with the length."""
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -245,7 +267,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     at = np.arange(len(shift), dtype=np.int32)
     byte = data[at + shift]
     place = at - np.repeat(first.astype(np.int32), size)
-    value = PLACE[((place & 255) << 8) | byte]
+    value = random[((place & 255) << 8) | byte]
     if size.max() > 256:
         value = value * ((place.astype(np.uint64) >> np.uint64(8)) * np.uint64(2) + np.uint64(1))
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * ODD)

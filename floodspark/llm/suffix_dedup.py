@@ -278,7 +278,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
         keys, count, _ = distinct(make(table).cores)
         return keys, [count]
 
-    cores = c.stored(c.asked(chunks, ask_cores, asked_twice, buckets))
+    cores = c.stored(c.asked(chunks, ask_cores, ["u1"], asked_twice, buckets))
 
     def spell(table, replies):
         x = make(table)
@@ -341,7 +341,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
         keys, count, _ = distinct(x.hashes(starts, starts + width))
         return keys, [count]
 
-    strings = c.asked(chunks, ask_strings, asked_twice, buckets, known)
+    strings = c.asked(chunks, ask_strings, ["u1"], asked_twice, buckets, known)
     told = strings.select("chunk", F.lit(3).alias("kind"), "bucket", "payload").unionByName(known.select("chunk", "kind", F.lit(-1).alias("bucket"), "payload"))
 
     def finish(table, about):
