@@ -1,10 +1,13 @@
 """Language-model scores by deleted interpolation.
 
-p(w | h) = l0 / (V + 1) + l1 c(w) / N + l2 c(h w) / c(h) over training tokens, where h is the word before (or
-the text's begin) and the weights l depend on the bucket of c(h), a power of two. The weights are learned
-by expectation-maximisation on held-out counts: every training token in turn is deleted from the counts
-that predict it. What EM needs, how many tokens have which bucket and which estimates (to an eighth of
-a power of two), is a table of bounded size, summed over all training tokens in Spark.
+    p1(w) = (1 - l1) / (V + 1) + l1 c(w) / N                 weights l1, l2 by bucket of c(h)
+    p2(w | h) = (1 - l2) p1(w) + l2 c(h w) / c(h)            h: the word before, or the text's begin
+    p3(w | g h) = (1 - l3) p2(w | h) + l3 c(g h w) / c(g h)  where c(g h) is 2 or more; else p2
+
+over training tokens. The weights depend on the context's frequency (buckets are powers of two) and are
+learned by expectation-maximisation on held-out counts: every training token in turn is deleted from the
+counts that predict it. What EM needs, how many tokens have which bucket and which estimates (to an eighth of
+a power of two), are tables of bounded size, summed over all training tokens in Spark.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
 
 
 class Tokens:
-    """Tokens of a chunk's texts, as keys of words and of word pairs."""
+    """Tokens of a chunk's texts: keys of words, of word pairs and of triples; ``opens`` marks first tokens."""
 
     def __init__(self, table: pa.Table) -> None:
         data, offsets = c.utf8(table.column("text"))
@@ -42,23 +45,26 @@ class Tokens:
         self.opens = np.zeros(len(words), bool)
         self.opens[self.first] = True
         before[self.opens] = BEGIN
-        keys, which = np.unique(np.concatenate([c.mix(words + c.ODD), c.mix(before * np.uint64(c.BASE) + words)]), return_inverse=True)
-        self.keys, self.word, self.pair = keys, which[: len(words)], which[len(words) :]
+        self.words, self.pairs = c.mix(words + c.ODD), c.mix(before * np.uint64(c.BASE) + words)
+        self.triples = c.mix(np.concatenate([[BEGIN], self.pairs[:-1]]).astype(np.uint64)[: len(words)] * np.uint64(c.BASE) + words)
+        self.keys = np.unique(np.concatenate([self.words, self.pairs]))
         self.trains = np.repeat(~table.column("held_out").to_numpy(), self.sizes)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training tokens of each key, and whether the key is a word."""
-        n = np.bincount(self.word[self.trains], minlength=len(self.keys)) + np.bincount(self.pair[self.trains], minlength=len(self.keys))
-        word = np.zeros(len(self.keys), np.uint8)
-        word[self.word] = 1
-        return n.astype(np.uint32), word
+    def counts(self, keys: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
+        """Training tokens of each of ``keys``; each of ``tokens`` has the keys of all tokens, or of those that count."""
+        out = np.zeros(len(keys), np.uint32)
+        for x in tokens:
+            own, n = np.unique(x, return_counts=True)
+            out[np.searchsorted(keys, own)] += n.astype(np.uint32)
+        return out
 
-    def seen(self, total: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: how often training has the word, the pair, and what comes before it."""
-        w = total[self.word].astype(np.int64)
-        h = np.concatenate([[0], w[:-1]])[: len(w)]
-        h[self.opens] = texts
-        return w, total[self.pair].astype(np.int64), h
+    def seen(self, total: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: how often training has the word, the pair, the word before it, and the two words before it
+        (0 for a text's first word, where they tell no more than its begin does)."""
+        w, pair = (c.looked_up(self.keys, total, x).astype(np.int64) for x in (self.words, self.pairs))
+        h, g = (np.concatenate([[0], x[:-1]])[: len(x)] for x in (w, pair))
+        h[self.opens], g[self.opens] = texts, 0
+        return w, pair, h, g
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -71,26 +77,51 @@ def level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, LEVELS - 1 + np.rint(np.log2(np.maximum(p, 1e-18)) * STEPS), 0).clip(0, LEVELS - 1).astype(np.int64)
 
 
-def weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """EM over the table of held-out counts: a row (l0, l1, l2) for each bucket."""
-    value = np.append(0.0, 2.0 ** ((np.arange(1, LEVELS) - LEVELS + 1) / STEPS))
-    b, one, two = cells // LEVELS**2, value[cells // LEVELS % LEVELS], value[cells % LEVELS]
-    p = np.stack([np.full(len(cells), 1 / (vocabulary + 1)), one, two], axis=1)
-    out = np.tile([0.1, 0.9, 0.0], (BUCKETS, 1))
-    out[1:] = [0.1, 0.5, 0.4]
+VALUE = np.append(0.0, 2.0 ** ((np.arange(1, LEVELS) - LEVELS + 1) / STEPS))
+
+
+def cell(of: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by bucket and by the levels of two estimates: cells, and how many tokens each has."""
+    cells, n = np.unique((of * LEVELS + level(one)) * LEVELS + level(two), return_counts=True)
+    return cells.astype(np.int64), n.astype(np.int64)
+
+
+def maximised(p: np.ndarray, b: np.ndarray, n: np.ndarray, out: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """EM: the weights of the estimates ``p`` (cells x estimates) in each bucket, from the first guess ``out``."""
     for _ in range(rounds):
         share = out[b] * p
-        share *= (n / share.sum(axis=1))[:, None]
-        total = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], axis=1)
+        share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+        total = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(p.shape[1])], axis=1)
         some = total.sum(axis=1) > 0
         out[some] = total[some] / total[some].sum(axis=1, keepdims=True)
         # an unseen word must keep a probability in every bucket
         out[:, 0] = np.maximum(out[:, 0], 1e-6)
         out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
+def weights(cells: np.ndarray, n: np.ndarray, vocabulary: int) -> np.ndarray:
+    """EM over the table of held-out counts: a row (uniform, word, pair) for each bucket."""
+    p = np.stack([np.full(len(cells), 1 / (vocabulary + 1)), VALUE[cells // LEVELS % LEVELS], VALUE[cells % LEVELS]], axis=1)
+    out = np.tile([0.1, 0.9, 0.0], (BUCKETS, 1))
+    out[1:] = [0.1, 0.5, 0.4]
+    out = maximised(p, cells // LEVELS**2, n, out)
     out[0] = [*(out[0][:2] / out[0][:2].sum()), 0]
     return out
 
 
+def weights_of_triples(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same for a lower-order estimate and that of the triple: a row (lower order, triple) for each bucket."""
+    p = np.stack([VALUE[cells // LEVELS % LEVELS], VALUE[cells % LEVELS]], axis=1)
+    return maximised(p, cells // LEVELS**2, n, np.tile([0.6, 0.4], (BUCKETS, 1)))
+
+
+def two_words(mixed: np.ndarray, w: np.ndarray, pair: np.ndarray, h: np.ndarray, train: int, vocabulary: int) -> np.ndarray:
+    """p2 from counts."""
+    part = mixed[bucket(h)]
+    return part[:, 0] / (vocabulary + 1) + part[:, 1] * w / max(train, 1) + part[:, 2] * pair / np.maximum(h, 1)
+
+
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
 
@@ -106,43 +137,75 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     chunks = c.in_chunks(rows, n, "held_out")
 
     def ask(table):
-        tokens = Tokens(table)
-        counts, word = tokens.counts()
-        return tokens.keys, [counts, word]
+        t = Tokens(table)
+        word = np.zeros(len(t.keys), np.uint8)
+        word[np.searchsorted(t.keys, np.unique(t.words))] = 1
+        return t.keys, [t.counts(t.keys, t.words[t.trains], t.pairs[t.trains]), word]
+
+    def summed(keys, counts):
+        same, which = np.unique(keys, return_inverse=True)
+        return np.bincount(which, counts, len(same)).astype(np.uint64), which
 
     def answer(columns, _):
         keys, counts, word = columns
-        same, which = np.unique(keys, return_inverse=True)
-        total = np.bincount(which, counts, len(same)).astype(np.int64)
-        is_word = np.zeros(len(same), bool)
+        total, which = summed(keys, counts)
+        is_word = np.zeros(len(total), bool)
         is_word[which] = word.astype(bool)
-        return total.astype(np.uint64)[which], [int(total[is_word].sum()), int((total[is_word] > 0).sum())]
+        return total[which], [int(total[is_word].sum()), int((total[is_word] > 0).sum())]
 
-    replies = c.stored(c.asked(chunks, ask, answer, n))
-    train, vocabulary = (x or 0 for x in replies.agg(F.sum(F.col("notes")[0]), F.sum(F.col("notes")[1])).first())
+    pairs = c.stored(c.asked(chunks, ask, ["<u4", "u1"], answer, n))
+    train, vocabulary = (x or 0 for x in pairs.agg(F.sum(F.col("notes")[0]), F.sum(F.col("notes")[1])).first())
     texts = rows.filter(~F.col("held_out")).count()
+    pairs = pairs.drop("notes")
     c.release(spark)
 
+    def ask_triples(table, reply):
+        """The triples whose context counts, and the held-out counts of the lower orders."""
+        t = Tokens(table)
+        w, pair, h, g = t.seen(c.answers(reply, np.uint64), texts)
+        keys = np.unique(t.triples[g >= 2])
+        w, pair, h = (x[t.trains] for x in (w, pair, h))
+        return keys, [t.counts(keys, t.triples[(g >= 2) & t.trains])], cell(bucket(h - 1), (w - 1) / max(train - 1, 1), (pair - 1) / np.maximum(h - 1, 1))
+
+    def answer_triples(columns, _):
+        total, which = summed(*columns)
+        return total[which], []
+
+    # at most BUCKETS * LEVELS**2 cells whatever the data; a few thousand in practice
+    told = c.stored(c.asked(chunks, ask_triples, ["<u4"], answer_triples, n, pairs))
+    table = c.tallies(told).toPandas()
+    mixed = weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.float64), vocabulary)
+    about = pairs.withColumn("order", F.lit(2)).unionByName(told.filter("chunk >= 0").drop("notes").withColumn("order", F.lit(3)))
+    both = chunks.groupBy("chunk").cogroup(about.groupBy("chunk"))
+    c.release(spark)
+
+    def all_seen(table, reply):
+        t, order = Tokens(table), reply.column("order").to_numpy()
+        w, pair, h, g = t.seen(c.answers(reply.filter(pa.array(order == 2)), np.uint64), texts)
+        deep = np.flatnonzero(g >= 2)
+        keys = np.unique(t.triples[deep])
+        triple = c.looked_up(keys, c.answers(reply.filter(pa.array(order == 3)), np.uint64), t.triples[deep]).astype(np.int64)
+        return t, w, pair, h, g[deep], deep, triple
+
     def held_out_counts(table, reply):
-        tokens = Tokens(table)
-        w, pair, h = (x[tokens.trains] for x in tokens.seen(c.answers(reply, np.uint64), texts))
-        cell = (bucket(h - 1) * LEVELS + level((w - 1) / max(train - 1, 1))) * LEVELS + level((pair - 1) / np.maximum(h - 1, 1))
-        cells, count = np.unique(cell, return_counts=True)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(count, pa.int64())})
-
-    both = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    # at most BUCKETS * LEVELS**2 rows whatever the data; a few thousand in practice
+        t, w, pair, h, g, deep, triple = all_seen(table, reply)
+        own = t.trains[deep]
+        deep, g, triple = deep[own], g[own], triple[own]
+        lower = two_words(mixed, w[deep] - 1, pair[deep] - 1, h[deep] - 1, train - 1, vocabulary)
+        cells, count = cell(bucket(g - 1), lower, (triple - 1) / np.maximum(g - 1, 1))
+        return pa.table({"cell": cells, "n": count})
+
     table = both.applyInArrow(held_out_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    mixed = weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.float64), vocabulary)
+    deeper = weights_of_triples(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.float64))
     c.release(spark)
 
     def finish(table, reply):
-        tokens = Tokens(table)
-        w, pair, h = tokens.seen(c.answers(reply, np.uint64), texts)
-        part = mixed[bucket(h)]
-        p = part[:, 0] / (vocabulary + 1) + part[:, 1] * w / max(train, 1) + part[:, 2] * pair / np.maximum(h, 1)
-        sums = lambda x: np.add.reduceat(x, tokens.first) if len(tokens.first) else np.zeros(0)
-        out = {"doc_id": table.column("doc_id").cast(pa.int64()), "held_out": table.column("held_out"), "n_tokens": tokens.sizes, "n_known": sums((w > 0).astype(np.int64)), "train_tokens": np.full(table.num_rows, train)}
+        t, w, pair, h, g, deep, triple = all_seen(table, reply)
+        p = two_words(mixed, w, pair, h, train, vocabulary)
+        part = deeper[bucket(g)]
+        p[deep] = part[:, 0] * p[deep] + part[:, 1] * triple / np.maximum(g, 1)
+        sums = lambda x: np.add.reduceat(x, t.first) if len(t.first) else np.zeros(0)
+        out = {"doc_id": table.column("doc_id").cast(pa.int64()), "held_out": table.column("held_out"), "n_tokens": t.sizes, "n_known": sums((w > 0).astype(np.int64)), "train_tokens": np.full(table.num_rows, train)}
         return pa.table(out | {"base_score": sums(np.log10((w + 1) / (train + vocabulary + 1))), "score": sums(np.log10(p))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
