@@ -8,17 +8,19 @@ eps * sqrt((1 - f**2) / f**2 / (CODE_BITS - 1)) with probability below 2 exp(-ep
 dismissed, every other one is recomputed in double precision.
 
 Which pairs are looked at: those whose codes agree on all of a table's bits, for so many tables that a
-pair right at the threshold is missed by all with a probability below ``miss``. A pair counts in the
-first table that it meets in, so counts need no pair list.
+pair right at the threshold is missed by all with a probability below ``miss`` (closer pairs far more rarely). A pair
+counts in the first table that it meets in, so counts need no pair list. Vectors meet those of their own length.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ LEVELS = 15
 PAIRS_AT_ONCE = 1 << 18
 
 
+@functools.lru_cache(16)
 def rotation(dim: int, bits: int = CODE_BITS, seed: int = 1) -> np.ndarray:
     """dim x bits; orthonormal rows, so inner products survive (bits >= dim)."""
     bits = max(bits, -(-dim // 64) * 64)
@@ -63,27 +66,44 @@ def estimates(codes: np.ndarray, factor: np.ndarray, unit: np.ndarray, turn: np.
     return bound
 
 
+def missed(count: int, width: int, threshold: float, bits: int) -> float:
+    """Probability that a pair right at the threshold meets in none of ``count`` tables of ``width`` code bits. The
+    tables sample the same code, so it is the mean over the number of bits in which the pair's codes differ."""
+    differ = math.acos(min(threshold, 1.0)) / math.pi
+    total = 0.0
+    for m in range(bits + 1):
+        chance = math.comb(bits, m) * differ**m * (1 - differ) ** (bits - m)
+        total += chance * (1 - math.comb(bits - m, width) / math.comb(bits, width)) ** count
+    return total
+
+
+@functools.lru_cache(16)
 def tables(n: int, threshold: float, miss: float, bits: int) -> list[np.ndarray]:
     """Bit masks (bits/64 words each): more bits a table for more vectors, more tables for more bits."""
-    agree = 1 - math.acos(min(threshold, 1.0)) / math.pi
     width = int(min(bits, max(4, math.ceil(math.log2(max(n, 2))) - 8)))
-    count = max(1, math.ceil(math.log(miss) / math.log(1 - agree**width)))
+    most = 1
+    while missed(most, width, threshold, bits) > miss:
+        most *= 2
+    least = most // 2
+    while most - least > 1:
+        middle = (least + most) // 2
+        least, most = (middle, most) if missed(middle, width, threshold, bits) > miss else (least, middle)
     masks = []
-    for t in range(count):
+    for t in range(most):
         on = np.zeros(bits, np.uint8)
         on[np.random.default_rng(1000 + t).permutation(bits)[:width]] = 1
         masks.append(np.packbits(on, bitorder="little").view(np.uint64))
     return masks
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, eps: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-3, eps: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     Links are pairs with a cosine of at least ``threshold`` in double precision; n_links counts the other
     rows linked directly, component_id is the smallest vec_id that links reach, kept says that it is the
     row's own. Equal vectors are compared once and counted with their copies. Nulls and edges: vectors
-    that are null, empty or zero, that hold null or non-finite components, or whose length is not the most
-    common one's, link with nothing; a null vec_id is never a component's smallest, unless it has no
+    that are null, empty or zero, or that hold null or non-finite components, link with nothing; vectors of other
+    lengths have no cosine, so each length is a table of its own; a null vec_id is never a component's smallest, unless it has no
     other; rows that repeat a vec_id count as rows of their own. An empty table gives no rows.
     """
     vec = F.transform(vector_col, lambda x: x.cast("double"))
@@ -91,33 +111,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     rows = rows.withColumn("key", F.when(F.col("usable"), F.sha2(F.to_json("v"), 256)))
-    lengths = rows.filter("usable").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = lengths["dim"] if lengths else 1
-    rows = rows.withColumn("key", F.when(F.size("v") == dim, F.col("key")))
     distinct = c.stored(rows.filter("key is not null").groupBy("key").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("key")))
-    turn = rotation(dim)
-    masks = tables(distinct.count(), threshold, miss, turn.shape[1])
+    n = distinct.count()
+    about = lambda dim: (rotation(dim), tables(n, threshold, miss, rotation(dim).shape[1]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Code, correction factor and the key in every table of each vector."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("v").flatten().to_numpy().reshape(-1, dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            codes, factor = encode(unit, turn)
-            n = len(unit)
-            raw = pa.array([u.tobytes() for u in unit.astype(np.float64)], pa.binary())
-            code = pa.array([k.tobytes() for k in codes], pa.binary())
-            for t, m in enumerate(masks):
-                key = c.mix((codes & m) @ c.powers(c.BASE, codes.shape[1]) + np.uint64(t) * c.ODD).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), raw, code, pa.array(factor), pa.array(np.full(n, t, np.int32)), pa.array(key)], ["id", "copies", "unit", "code", "factor", "t", "key"])
+            size = pc.list_value_length(batch.column("v")).to_numpy()
+            for dim in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == dim))
+                turn, masks = about(dim)
+                x = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                codes, factor = encode(unit, turn)
+                raw = pa.array([u.tobytes() for u in unit.astype(np.float64)], pa.binary())
+                code = pa.array([k.tobytes() for k in codes], pa.binary())
+                for t, m in enumerate(masks):
+                    key = c.mix((codes & m) @ c.powers(c.BASE, codes.shape[1]) + np.uint64(t + (dim << 16)) * c.ODD).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), raw, code, pa.array(factor), pa.array(np.full(len(unit), t, np.int32)), pa.array(key)], ["id", "copies", "unit", "code", "factor", "t", "key"])
 
     met = graph.blocks(distinct.select("id", "copies", "v").mapInArrow(spread, "id long, copies long, unit binary, code binary, factor double, t int, key long"), ["t", "key"], "id")
 
     def compare(table: pa.Table) -> pa.Table:
+        size = pc.binary_length(table.column("unit")).to_numpy() // 8
+        return pa.concat_tables([compared(table.filter(pa.array(size == dim)), dim) for dim in np.unique(size).tolist()])
+
+    def compared(table: pa.Table, dim: int) -> pa.Table:
         """Links of each row of this block (weighted by copies), and edges that connect what is linked."""
+        turn, masks = about(dim)
         ids, copies, factor, t, key, own, i, j = (table.column(x).to_numpy() for x in ("id", "copies", "factor", "t", "key", "own", "i", "j"))
         unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
