@@ -127,22 +127,26 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: i
     portion = min(1.0, train_rows / max(marked.count(), 1))
     marked = marked.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(portion * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # about train_rows ids at most
-    train = c.stored(train.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct slots of each text, so that texts are cut into terms once."""
+        for batch in batches:
+            for part in c.slices(batch, SLICE_BYTES):
+                slot, doc = folded(part.column("text"))
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("shard"), part.column("text_hash"), pa.ListArray.from_arrays(cut, pa.array(slot, pa.int32()))], ["toxic", "shard", "text_hash", "slots"])
+
+    c.small_batches(spark)
+    train = train.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("text").alias("text_hash"))
+    train = c.stored(train.mapInArrow(places, "toxic int, shard int, text_hash long, slots array<int>"))
     positive, rows = (int(x or 0) for x in train.agg(F.sum("toxic"), F.count("*")).first())
     prior = float(np.log((positive + 0.5) / (rows - positive + 0.5)))
     empty = Machine(np.zeros(0, np.uint64), prior, np.zeros(0), np.zeros((0, factors)))
     if not positive or positive == rows:
         return empty
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in c.slices(batch, SLICE_BYTES):
-                slot, doc = folded(part.column("text"))
-                one, which = np.unique(slot, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(which, part.column("toxic").to_numpy()[doc], len(one)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(one)))], ["term", "bad", "n"])
-
     # no more than SLOTS rows reach the driver
-    table = train.select("text", "toxic").mapInArrow(count, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow().sort_by("term")
+    table = train.select("toxic", F.explode("slots").alias("term")).groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).toArrow().sort_by("term")
     best, bad, n = table["term"].to_numpy().astype(np.uint64), table["bad"].to_numpy().astype(np.float64), table["n"].to_numpy().astype(np.float64)
     if not len(best):
         return empty
@@ -157,10 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: i
 
         def learn(key, part):
             m = Machine(now.value.terms, now.value.bias, now.value.w.copy(), now.value.v.copy())
-            part = part.sort_values(["toxic", "text"], na_position="first")
-            doc, at = m.present(pa.array(part["text"], pa.string()))
-            cut = np.searchsorted(doc, np.arange(len(part) + 1))
-            own = [at[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            part = part.sort_values(["toxic", "text_hash"])
+            place = np.full(SLOTS, -1, np.int64)
+            place[m.terms.astype(np.int64)] = np.arange(len(m.terms))
+            own = [place[x] for x in part["slots"]]
             y = part["toxic"].to_numpy(np.float64)
             grad2 = [np.full(m.w.shape, CALM, np.float32), np.full(m.v.shape, CALM, np.float32)]
             order = np.random.default_rng(turn)
@@ -176,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: i
             return pd.DataFrame({"block": [key[0]], "bias": [n @ part["bias"]], "w": [w], "v": [v]})
 
         # one machine (at most SLOTS x (factors + 1) numbers) for each of a fixed number of shards
-        got = train.select("text", "toxic", "shard").groupBy("shard").applyInPandas(learn, "block long, n long, bias double, w binary, v binary")
+        got = train.groupBy("shard").applyInPandas(learn, "block long, n long, bias double, w binary, v binary")
         got = got.groupBy("block").applyInPandas(mean, "block long, bias double, w binary, v binary").toArrow().sort_by("block")
         w, v = (np.frombuffer(b"".join(got[k].to_pylist()), np.float32) for k in ("w", "v"))
         machine = Machine(best, got["bias"][0].as_py(), w, v.reshape(-1, factors))
