@@ -193,8 +193,11 @@ def fit_process(x: np.ndarray, y: np.ndarray, starts: int = 6, steps: int = 25)
     low = np.log([BOUNDS["length"][0]] * x.shape[1] + [BOUNDS["amplitude"][0], BOUNDS["noise"]])
     high = np.log([BOUNDS["length"][1]] * x.shape[1] + [BOUNDS["amplitude"][1], 1.0])
 
+    apart, eye = 3 * (x[:, None, :] - x[None, :, :]) ** 2, np.eye(len(x))
+
     def loss(p: np.ndarray) -> float:
-        k = np.exp(p[-2]) * matern(x, x, np.exp(p[:-2])) + (np.exp(p[-1]) + 1e-10) * np.eye(len(x))
+        d = np.sqrt(apart @ np.exp(-2 * p[:-2]))
+        k = np.exp(p[-2]) * (1 + d) * np.exp(-d) + (np.exp(p[-1]) + 1e-10) * eye
         try:
             c = np.linalg.cholesky(k)
         except np.linalg.LinAlgError:
