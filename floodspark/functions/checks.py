@@ -65,6 +65,18 @@ def progress(runs: DataFrame) -> DataFrame:
     return out.withColumn("eta_s", F.col("mean_s") * (F.col("total") - F.col("done") - F.col("failed"))).drop("mean_s")
 
 
+def oldest_active(runs: DataFrame, active: tuple[str, ...] = ("queued", "running")) -> DataFrame:
+    """site_id and the run that has waited longest (created, then run_id) of those active; sites without one are left out."""
+    return runs.filter(F.col("status").isin(*active)).groupBy("site_id").agg(F.min_by("run_id", F.struct("created", "run_id")).alias("run_id"), F.count("*").alias("n_active"))
+
+
+def library_age(sites: DataFrame, today: str, every_days: int) -> DataFrame:
+    """site_id, age_days of the surrogate (trained) and the due date of the next check (checked, or trained if never
+    checked, plus ``every_days``), and whether it is due."""
+    due = F.date_add(F.coalesce("checked", "trained"), every_days)
+    return sites.select("site_id", F.datediff(F.lit(today).cast("date"), "trained").alias("age_days"), due.alias("due"), (due <= F.lit(today).cast("date")).alias("is_due"))
+
+
 def stamped(features: DataFrame, **constants: str) -> DataFrame:
     """Properties (a map) with constants set and the year of ``date`` as onset_year."""
     more = F.create_map(*(y for k, x in constants.items() for y in (F.lit(k), F.lit(x))), F.lit("onset_year"), F.substring(F.col("properties")["date"], 1, 4))

@@ -71,6 +71,40 @@ def storage_head(v_w: Column, h_w: Column, v: Column, exponent: float) -> Column
     return h_w * F.pow(held / v_w, (exponent - 1) / exponent)
 
 
+def interpolated(points: Column, x: Column, of: str = "x", to: str = "y") -> Column:
+    """Piecewise-linear through an array of structs with strictly increasing ``of``, held to its ends."""
+    last = F.element_at(points, -1)
+    below = F.filter(points, lambda p: p[of] <= x)
+    a, k = F.try_element_at(below, F.lit(-1)), F.size(below)
+    b = F.try_element_at(points, k + 1)
+    inner = a[to] + (x - a[of]) * (b[to] - a[to]) / (b[of] - a[of])
+    return F.when(x.isNull() | points.isNull(), None).when(k == 0, F.element_at(points, 1)[to]).when(k == F.size(points), last[to]).otherwise(inner)
+
+
+def above_invert(points: Column, invert: Column) -> Column:
+    """A surveyed curve (array of elevation x and volume y, both increasing) as heads and volumes over a breach invert:
+    the invert itself is (0, 0), and what lies below it goes. Null where the invert is outside the survey."""
+    base = interpolated(points, invert)
+    above = F.transform(F.filter(points, lambda p: p["x"] > invert), lambda p: F.struct((p["x"] - invert).alias("x"), (p["y"] - base).alias("y")))
+    inside = (invert >= F.element_at(points, 1)["x"]) & (invert <= F.element_at(points, -1)["x"])
+    return F.when(inside, F.concat(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), above))
+
+
+def peak_in_range(peak: Column, low: Column, high: Column) -> Column:
+    """Whether a hydrograph's peak lies in the range of methods, ends included; null where the range is blocked."""
+    return F.when(low.isNull() | high.isNull(), None).otherwise(peak.between(low, high))
+
+
+def symmetric_triangle(events: DataFrame, dt_s: float) -> DataFrame:
+    """series_id, t_s, q_m3s of events (series_id, base, peak, duration_s): from the base flow up to the peak at half of the
+    duration and back, sampled every ``dt_s`` and at the three corners."""
+    half = F.col("duration_s") / 2
+    grid = F.transform(F.sequence(F.lit(0), F.floor(F.col("duration_s") / dt_s).cast("int")), lambda k: k * F.lit(float(dt_s)))
+    t = F.explode(F.array_sort(F.array_union(grid, F.array(F.lit(0.0), half, F.col("duration_s").cast("double"))))).alias("t_s")
+    rows = events.select("series_id", "base", "peak", half.alias("half"), t)
+    return rows.select("series_id", "t_s", (F.col("base") + (F.col("peak") - F.col("base")) * (1 - F.abs(F.col("t_s") - F.col("half")) / F.col("half"))).alias("q_m3s"))
+
+
 def triangular(parameters: DataFrame, dt_s: float, offset_s: float = 0.0) -> DataFrame:
     """series_id, t_s, q_m3s of triangles (series_id, q_p, v, t_f) that rise to q_p at t_f and hold the volume v:
     a regular grid and the three corners. Infeasible ones (2 v / q_p not over t_f) give no rows."""

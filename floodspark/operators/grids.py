@@ -154,6 +154,26 @@ def polygon_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)) / 2
 
 
+def polygon_centroid(ring: Column) -> Column:
+    """Centre of mass (x, y) of an open or closed ring of (x, y); null without an area."""
+    n = F.size(ring)
+
+    def total(f) -> Column:
+        point = lambda i: F.element_at(ring, i)
+        part = lambda i: f(point(i), point(F.when(i == n, 1).otherwise(i + 1)))
+        return F.aggregate(F.transform(F.sequence(F.lit(1), n), part), F.lit(0.0), lambda a, x: a + x)
+
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    twice = total(cross)
+    axis = lambda k: total(lambda p, q: (p[k] + q[k]) * cross(p, q)) / (3 * twice)
+    return F.when(twice != 0, F.struct(axis("x").alias("x"), axis("y").alias("y")))
+
+
+def line_length(line: Column) -> Column:
+    steps = F.zip_with(F.slice(line, F.lit(1), F.size(line) - 1), F.slice(line, F.lit(2), F.size(line) - 1), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
+    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd test of a point in a ring."""
     n = F.size(ring)

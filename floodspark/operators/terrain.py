@@ -134,6 +134,27 @@ def components(mask: DataFrame) -> DataFrame:
             return state
 
 
+def touching(labelled: DataFrame, marked: DataFrame) -> DataFrame:
+    """The cells of components (site_id, cell_id, component) that hold a cell of ``marked`` (site_id, cell_id)."""
+    hit = labelled.join(marked.select("site_id", "cell_id"), ["site_id", "cell_id"], "left_semi").select("site_id", "component").distinct()
+    return labelled.join(hit, ["site_id", "component"], "left_semi")
+
+
+def component_areas(labelled: DataFrame, cell_m: float) -> DataFrame:
+    return labelled.groupBy("site_id", "component").agg(F.count("*").alias("n_cells"), (F.count("*") * cell_m**2).alias("area_m2"))
+
+
+def nearest_component(labelled: DataFrame, points: DataFrame, radius: int) -> DataFrame:
+    """site_id, id, component and d2 (squared cells) of the component nearest to each point (site_id, id, row, col) within
+    ``radius`` cells, of ties the smaller; null if none. Cells carry row and col."""
+    span = lambda x: F.explode(F.sequence(F.col(x) - radius, F.col(x) + radius))
+    around = points.withColumn("r", span("row")).withColumn("c", span("col"))
+    d2 = F.pow(F.col("r") - F.col("row"), 2) + F.pow(F.col("c") - F.col("col"), 2)
+    around = around.withColumn("d2", d2.cast("int")).filter(F.col("d2") <= radius * radius).select("site_id", "id", F.col("r").alias("row"), F.col("c").alias("col"), "d2")
+    best = around.join(labelled.select("site_id", "row", "col", "component"), ["site_id", "row", "col"]).groupBy("site_id", "id").agg(F.min(F.struct("d2", "component")).alias("b"))
+    return points.select("site_id", "id").join(best, ["site_id", "id"], "left").select("site_id", "id", F.col("b.component").alias("component"), F.col("b.d2").alias("d2"))
+
+
 def outlines(labelled: DataFrame) -> DataFrame:
     """site_id, component, ring, points of each component (site_id, component, row, col): its border edges, those
     without a neighbour of the component, chained to closed rings with the inside on the right."""
