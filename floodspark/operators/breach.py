@@ -144,38 +144,42 @@ def grow_breach(scenarios: DataFrame, dt_s: float = 30.0, c_r: float = 1.7, c_s:
     """series_id, peak_q, t_peak_s, volume_m3, error_pct of breaches that grow linearly over t_f while their reservoir drains.
 
     Columns: series_id, v_w, h_w, width (mean), h_b, t_f, z (side slope), exponent. Level-pool routing by
-    fourth-order Runge-Kutta steps; scenarios are the parallel axis. A scenario whose numbers are null or
+    fourth-order Runge-Kutta steps, all scenarios of a batch at once, until ``drained`` of the water has left or ``most``
+    times t_f has passed. A scenario whose numbers are null or
     not positive, or whose bottom width is not, has null results.
     """
 
-    def route(s) -> tuple[float, float, float, float]:
-        m = s.exponent / (s.exponent - 1)
-        bottom = s.width - s.z * s.h_b
-        if not (s.v_w > 0 and s.h_w > 0 and s.t_f > 0 and bottom > 0):
-            return (float("nan"),) * 4
-
-        def flow(t: float, v: float) -> float:
-            grown = min(max(t / s.t_f, 0.0), 1.0)
-            head = s.h_w * (min(max(v, 0.0), s.v_w) / s.v_w) ** (1 / m) - s.h_w * (1 - grown)
-            return c_r * bottom * grown * head**1.5 + c_s * s.z * head**2.5 if head > 0 else 0.0
-
-        t, v, out = 0.0, s.v_w, [(0.0, 0.0)]
-        step = min(dt_s, s.t_f / 50)
-        while v > (1 - drained) * s.v_w and t < most * s.t_f:
-            k1 = flow(t, v)
-            k2 = flow(t + step / 2, v - k1 * step / 2)
-            k3 = flow(t + step / 2, v - k2 * step / 2)
-            k4 = flow(t + step, v - k3 * step)
-            v, t = max(v - step * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0.0), t + step
-            out.append((t, flow(t, v)))
-        a = np.array(out)
-        volume = float(np.trapezoid(a[:, 1], a[:, 0]))
-        top = int(a[:, 1].argmax())
-        return float(a[top, 1]), float(a[top, 0]), volume, (volume - (s.v_w - v)) / max(s.v_w - v, 1e-9) * 100
-
     def run(batches):
         for pdf in batches:
-            rows = [route(s) for s in pdf.itertuples()]
-            yield pd.DataFrame({"series_id": pdf["series_id"], **{k: [r[i] for r in rows] for i, k in enumerate(("peak_q", "t_peak_s", "volume_m3", "error_pct"))}})
+            v_w, h_w, width, h_b, t_f, z, exponent = (pdf[k].to_numpy(float) for k in ("v_w", "h_w", "width", "h_b", "t_f", "z", "exponent"))
+            bottom, power = width - z * h_b, (exponent - 1) / exponent
+            good = (v_w > 0) & (h_w > 0) & (t_f > 0) & (bottom > 0)
+
+            def flow(at: np.ndarray, t: np.ndarray, v: np.ndarray) -> np.ndarray:
+                """Outflow of the scenarios ``at`` at their times and volumes."""
+                grown = np.clip(t / t_f[at], 0, 1)
+                head = np.maximum(h_w[at] * (np.clip(v, 0, v_w[at]) / v_w[at]) ** power[at] - h_w[at] * (1 - grown), 0)
+                return c_r * bottom[at] * grown * head**1.5 + c_s * z[at] * head**2.5
+
+            n = len(pdf)
+            t, v, q, peak, t_peak, volume = np.zeros(n), v_w.copy(), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+            at = np.flatnonzero(good)
+            while len(at):
+                step = np.minimum(dt_s, t_f[at] / 50)
+                k1 = flow(at, t[at], v[at])
+                k2 = flow(at, t[at] + step / 2, v[at] - k1 * step / 2)
+                k3 = flow(at, t[at] + step / 2, v[at] - k2 * step / 2)
+                k4 = flow(at, t[at] + step, v[at] - k3 * step)
+                v[at] = np.maximum(v[at] - step * (k1 + 2 * k2 + 2 * k3 + k4) / 6, 0)
+                t[at] += step
+                now = flow(at, t[at], v[at])
+                volume[at] += step * (q[at] + now) / 2
+                q[at] = now
+                top = at[now > peak[at]]
+                peak[top], t_peak[top] = q[top], t[top]
+                at = at[(v[at] > (1 - drained) * v_w[at]) & (t[at] < most * t_f[at])]
+            out = v_w - v
+            error = (volume - out) / np.maximum(out, 1e-9) * 100
+            yield pd.DataFrame({"series_id": pdf["series_id"], **{k: np.where(good, x, np.nan) for k, x in (("peak_q", peak), ("t_peak_s", t_peak), ("volume_m3", volume), ("error_pct", error))}})
 
     return scenarios.mapInPandas(run, "series_id long, peak_q double, t_peak_s double, volume_m3 double, error_pct double")
