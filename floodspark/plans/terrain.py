@@ -16,33 +16,47 @@ def tree(spark, sf):
     return terrain.drainage(terrain.fill(v.dem(spark, sf), W, H, 1e-3, tile=8))
 
 
-FILL = """g AS (SELECT *, row = 0 OR col = 0 OR row = 19 OR col = 24 OR z IS NULL AS seed FROM dem)"""
+def fill_sql(epsilon: str) -> str:
+    """SQL of the filled heights ``fl`` (site_id, cell_id, w; infinite below outlets) and of neighbours ``nb``: relaxation of
+    a keyed table until no height falls."""
+    return f"""g AS MATERIALIZED (SELECT *, row = 0 OR col = 0 OR row = 19 OR col = 24 OR z IS NULL AS seed FROM dem),
+nb AS MATERIALIZED (SELECT a.site_id, a.cell_id, a.z, a.seed, b.cell_id AS o FROM g a JOIN g b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.cell_id <> b.cell_id),
+f(site_id, cell_id, w) USING KEY (site_id, cell_id) AS (SELECT site_id, cell_id, CASE WHEN NOT seed THEN CAST('inf' AS DOUBLE) WHEN z IS NULL THEN CAST('-inf' AS DOUBLE) ELSE z END FROM g
+UNION SELECT nb.site_id, nb.cell_id, min(greatest(nb.z, f.w + {epsilon})) FROM f JOIN nb ON nb.site_id = f.site_id AND nb.o = f.cell_id JOIN recurring.f AS k ON k.site_id = nb.site_id AND k.cell_id = nb.cell_id WHERE NOT nb.seed AND greatest(nb.z, f.w + {epsilon}) < k.w GROUP BY nb.site_id, nb.cell_id),
+fl AS MATERIALIZED (SELECT site_id, cell_id, w FROM f)"""
 
 
-@query()
+TREE = f"""{fill_sql("1e-3")}, ps AS (SELECT nb.site_id, nb.cell_id, arg_min(nb.o, {{'w': fl.w, 'o': nb.o}}) AS parent FROM nb JOIN fl ON fl.site_id = nb.site_id AND fl.cell_id = nb.o WHERE NOT nb.seed GROUP BY ALL),
+tr AS MATERIALIZED (SELECT fl.site_id, fl.cell_id, fl.w, ps.parent FROM fl LEFT JOIN ps ON ps.site_id = fl.site_id AND ps.cell_id = fl.cell_id)"""
+DOWN = f"{TREE}, dn AS (SELECT site_id, cell_id, cell_id AS node, 0 AS step FROM tr UNION ALL SELECT dn.site_id, dn.cell_id, tr.parent, dn.step + 1 FROM dn JOIN tr ON tr.site_id = dn.site_id AND tr.cell_id = dn.node WHERE tr.parent IS NOT NULL)"
+ACC = f"{DOWN}, ac AS (SELECT site_id, node AS cell_id, count(*) AS accumulation FROM dn GROUP BY ALL)"
+
+
+@query(f"WITH {fill_sql('1e-3')} SELECT site_id, cell_id, round(CASE WHEN isfinite(w) THEN w END, 6) AS filled FROM fl")
 def g1_fill(spark, sf):
     return terrain.fill(v.dem(spark, sf), W, H, 1e-3, tile=8).select("site_id", "cell_id", F.round("filled", 6).alias("filled"))
 
 
-@query()
+@query(f"WITH {TREE} SELECT site_id, cell_id, CAST(parent AS DOUBLE) AS parent FROM tr")
 def g2_drainage(spark, sf):
-    return tree(spark, sf).select("site_id", "cell_id", "parent")
+    return doubles(tree(spark, sf).select("site_id", "cell_id", "parent"), "parent")
 
 
-@query()
+@query(f"WITH {ACC} SELECT site_id, cell_id, accumulation FROM ac")
 def g3_accumulation(spark, sf):
     return terrain.accumulation(tree(spark, sf))
 
 
-@query()
+@query(f"""WITH {ACC}, hit AS (SELECT dn.site_id, dn.cell_id, arg_min(dn.node, dn.step) AS found FROM dn JOIN ac ON ac.site_id = dn.site_id AND ac.cell_id = dn.node AND accumulation >= 20 GROUP BY ALL)
+SELECT a.site_id, a.cell_id, round(CAST(CAST(CASE WHEN isfinite(a.w) THEN a.w END AS FLOAT) - CAST(CASE WHEN isfinite(b.w) THEN b.w END AS FLOAT) AS DOUBLE), 4) AS hand FROM tr a LEFT JOIN hit ON hit.site_id = a.site_id AND hit.cell_id = a.cell_id LEFT JOIN tr b ON b.site_id = hit.site_id AND b.cell_id = hit.found""")
 def g4_height_above_drainage(spark, sf):
-    t = tree(spark, sf)
-    t = terrain.kept(t)
+    t = terrain.kept(tree(spark, sf))
     channel = terrain.accumulation(t).filter("accumulation >= 20").select("site_id", "cell_id", F.lit(True).alias("channel"))
-    return terrain.height_above(t.join(channel, ["site_id", "cell_id"], "left").na.fill(False, ["channel"]), "channel")
+    out = terrain.height_above(t.join(channel, ["site_id", "cell_id"], "left").na.fill(False, ["channel"]), "channel")
+    return rounded(doubles(out, "hand"), "hand", digits=4)
 
 
-@query()
+@query(f"WITH {DOWN} SELECT site_id, cell_id AS start, step, node AS cell_id FROM dn WHERE cell_id % 25 = 3")
 def g5_trace(spark, sf):
     t = terrain.kept(tree(spark, sf))
     return terrain.trace(t, t.filter("col = 3"))
@@ -96,17 +110,21 @@ def a23_burn_reservoir(spark, sf):
     return rounded(terrain.burn_reservoir(d, "lab").select("site_id", "cell_id", "surface", "bed"), "surface", "bed")
 
 
-@query()
+SLOPE = """sn AS (SELECT *, CASE WHEN lag(col) OVER a = col - 1 THEN lag(z) OVER a END AS w, CASE WHEN lead(col) OVER a = col + 1 THEN lead(z) OVER a END AS e, CASE WHEN lag(row) OVER b = row - 1 THEN lag(z) OVER b END AS u, CASE WHEN lead(row) OVER b = row + 1 THEN lead(z) OVER b END AS d
+FROM dem WINDOW a AS (PARTITION BY site_id, row ORDER BY col), b AS (PARTITION BY site_id, col ORDER BY row)),
+sg AS (SELECT *, CASE WHEN w IS NOT NULL AND e IS NOT NULL THEN (e - w) / 40 WHEN e IS NOT NULL THEN (e - z) / 20 WHEN w IS NOT NULL THEN (z - w) / 20 ELSE 0 END AS gx, CASE WHEN u IS NOT NULL AND d IS NOT NULL THEN (d - u) / 40 WHEN d IS NOT NULL THEN (d - z) / 20 WHEN u IS NOT NULL THEN (z - u) / 20 ELSE 0 END AS gy FROM sn),
+so AS (SELECT site_id, cell_id, z, CASE WHEN z IS NOT NULL THEN sqrt(gx * gx + gy * gy) END AS slope FROM sg)"""
+
+
+@query(f"WITH {fill_sql('0e0')}, {SLOPE} SELECT so.site_id, so.cell_id, round(greatest(coalesce(CASE WHEN isfinite(fl.w) THEN fl.w END - so.z, 0), 0), 6) AS depression, round(coalesce(slope, 0), 6) AS slope FROM so JOIN fl ON fl.site_id = so.site_id AND fl.cell_id = so.cell_id")
 def g11_diagnostics(spark, sf):
     f = terrain.fill(v.dem(spark, sf), W, H, 0.0, tile=8)
     out = grids.terrain_slope(f, v.CELL)
-    return out.select("site_id", "cell_id", F.greatest(F.coalesce(F.col("filled") - F.col("z"), F.lit(0.0)), F.lit(0.0)).alias("depression"), F.coalesce("slope", F.lit(0.0)).alias("slope"))
+    depression = F.greatest(F.coalesce(F.col("filled") - F.col("z"), F.lit(0.0)), F.lit(0.0))
+    return rounded(out.select("site_id", "cell_id", depression.alias("depression"), F.coalesce("slope", F.lit(0.0)).alias("slope")), "depression", "slope")
 
 
-@query("""WITH n AS (SELECT *, CASE WHEN lag(col) OVER a = col - 1 THEN lag(z) OVER a END AS w, CASE WHEN lead(col) OVER a = col + 1 THEN lead(z) OVER a END AS e, CASE WHEN lag(row) OVER b = row - 1 THEN lag(z) OVER b END AS u, CASE WHEN lead(row) OVER b = row + 1 THEN lead(z) OVER b END AS d
-FROM dem WINDOW a AS (PARTITION BY site_id, row ORDER BY col), b AS (PARTITION BY site_id, col ORDER BY row)),
-g AS (SELECT *, CASE WHEN w IS NOT NULL AND e IS NOT NULL THEN (e - w) / 40 WHEN e IS NOT NULL THEN (e - z) / 20 WHEN w IS NOT NULL THEN (z - w) / 20 ELSE 0 END AS gx, CASE WHEN u IS NOT NULL AND d IS NOT NULL THEN (d - u) / 40 WHEN d IS NOT NULL THEN (d - z) / 20 WHEN u IS NOT NULL THEN (z - u) / 20 ELSE 0 END AS gy FROM n)
-SELECT site_id, cell_id, round(CASE WHEN z IS NOT NULL THEN sqrt(gx * gx + gy * gy) END, 6) AS slope, round(CASE WHEN z IS NOT NULL THEN degrees(atan(sqrt(gx * gx + gy * gy))) END, 5) AS slope_deg FROM g""")
+@query(f"WITH {SLOPE} SELECT site_id, cell_id, round(slope, 6) AS slope, round(degrees(atan(slope)), 5) AS slope_deg FROM so")
 def w7_slope(spark, sf):
     return grids.terrain_slope(v.dem(spark, sf), v.CELL).select("site_id", "cell_id", F.round("slope", 6).alias("slope"), F.round("slope_deg", 5).alias("slope_deg"))
 
