@@ -31,7 +31,10 @@ from floodspark.llm import common as c
 
 CHUNK_BYTES = 2 << 20
 #: Places whose anchors are looked for at once, and rows of one range partition when letters are named.
-SPAN, SORT_ROWS = 1 << 15, 1_000_000
+SPAN_BITS, SORT_ROWS = 15, 1_000_000
+SPAN = 1 << SPAN_BITS
+#: Powers of the base and of its inverse within a span and the strings that begin in it.
+UP, BACK = c.powers(c.BASE, SPAN), c.powers(c.INVERSE, 2 * SPAN)
 BYTE = c.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * c.ODD)
 
 
@@ -55,22 +58,28 @@ class Letters:
         self.table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
         self.data, self.offsets = c.utf8(self.table.column("text"))
         n = len(self.data)
-        up, self.back = _powers(n)
         self.total = np.zeros(n + 1, np.uint64)
-        np.multiply(BYTE[self.data], up[:n], out=self.total[1:])
-        np.cumsum(self.total[1:], out=self.total[1:])
+        self.far = c.powers(pow(c.INVERSE, SPAN, 1 << 64), n // SPAN + 1)
+        for lo, factor in zip(range(0, n, SPAN), c.powers(pow(c.BASE, SPAN, 1 << 64), n // SPAN + 1)):
+            part = self.total[lo + 1 : lo + 1 + SPAN]
+            np.multiply(BYTE[self.data[lo : lo + SPAN]], UP[: len(part)], out=part)
+            part *= factor
+            np.cumsum(part, out=part)
+            part += self.total[lo]
         if anchors is None:
             self.at, self.since = self._anchors()
         else:
-            self.at, self.since = np.cumsum(np.frombuffer(anchors, "<u4").reshape(2, -1), axis=1, dtype=np.int64)
+            steps = c.unplanes(pa.py_buffer(anchors), 0, len(anchors) // 4, np.dtype("<u4"))
+            self.at, self.since = np.cumsum(steps.reshape(2, -1), axis=1, dtype=np.int64)
 
     def packed(self) -> bytes:
         """The anchors, for another ``Letters`` of the same chunk."""
-        return np.stack([np.diff(x, prepend=0) for x in (self.at, self.since)]).astype("<u4").tobytes()
+        return c.planes(np.concatenate([np.diff(x, prepend=0) for x in (self.at, self.since)]).astype("<u4"))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes from ``start`` to ``end``."""
-        return c.mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64) * c.ODD)
+        back = self.far[start >> SPAN_BITS] * BACK[start & (SPAN - 1)]
+        return c.mix((self.total[end] - self.total[start]) * back + (end - start).astype(np.uint64) * c.ODD)
 
     @property
     def cores(self) -> np.ndarray:
@@ -93,7 +102,8 @@ class Letters:
             if not len(some):
                 continue
             m = hi + run - 1  # cores that begin before m
-            order = (self.total[lo + self.core : m + self.core] - self.total[lo:m]) * self.back[lo:m]
+            order = (self.total[lo + self.core : m + self.core] - self.total[lo:m]) * BACK[: m - lo]
+            order *= self.far[lo >> SPAN_BITS]
             order ^= order >> np.uint64(29)
             order *= c.ODD
             order &= np.uint64(0xFFFFFFFF00000000)  # by hash, then by place
@@ -120,16 +130,6 @@ class Letters:
         return np.cumsum(change, out=change)[:-1] > 0
 
 
-_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n``; a worker keeps those of its longest chunk."""
-    if len(_POWERS[0]) < n:
-        _POWERS[:] = [c.powers(c.BASE, n), c.powers(c.INVERSE, n)]
-    return _POWERS
-
-
 def repeats(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
     same, which = np.unique(keys, return_inverse=True)
     return np.bincount(which, count, len(same))[which] > 1
@@ -145,11 +145,11 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.minimum(n, 2).astype(np.uint8), which
 
 
-def named(rows: DataFrame, keys: list[str], most: int = 0) -> DataFrame:
+def named(rows: DataFrame, keys: list[str], most: int = 0) -> tuple[DataFrame, DataFrame]:
     """``rows`` (chunk, g, ...) with name, a rank of their ``keys`` in the order of the whole table,
     repeated, whether a neighbour in that order has the same keys, and lead, true for at least the first
     row of each key. Rows of one key may fill many partitions; only each partition's first and last key
-    reach the driver. ``most``: about how many rows there are."""
+    reach the driver. ``most``: about how many rows there are. Also gives the stored table that it reads, to be forgotten."""
     spark = rows.sparkSession
     others = [x for x in rows.columns if x not in keys]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // SORT_ROWS))
@@ -196,19 +196,20 @@ def named(rows: DataFrame, keys: list[str], most: int = 0) -> DataFrame:
     bases = spark.createDataFrame([(int(p), int(b)) for p, b in names.items()], "part int, base long")
     meet = spark.createDataFrame([(int(x),) for x in sorted(shared)], "name long").withColumn("met", F.lit(True))
     whole = ranked.join(F.broadcast(bases), "part").withColumn("name", F.col("local") + F.col("base"))  # a row for each partition
-    return whole.join(F.broadcast(meet), "name", "left").select(*others, "name", (F.col("twin") | F.coalesce("met", F.lit(False))).alias("repeated"), "lead")
+    return whole.join(F.broadcast(meet), "name", "left").select(*others, "name", (F.col("twin") | F.coalesce("met", F.lit(False))).alias("repeated"), "lead"), ranked
 
 
-def long_repeats(letters: DataFrame, most: int = 0) -> DataFrame:
+def long_repeats(letters: DataFrame, most: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """chunk, g and lead of the letters from which equal text reaches the goal elsewhere too, perhaps more than
-    once; of those with equal text at least one has lead.
+    once; of those with equal text at least one has lead. Also the stored tables that these come from.
 
     letters: chunk, g, cls (g modulo 3), t0, t1, t2 (letters from g on; 0 where the letters before reach far
     enough), goal and upto (the place to reach, and where the letters given end).
     """
     scale = 1
-    sample = named(letters.filter("cls <> 0").select("chunk", "g", "goal", "upto", "t0", "t1", "t2"), ["t0", "t1", "t2"], most)
+    sample, ranked = named(letters.filter("cls <> 0").select("chunk", "g", "goal", "upto", "t0", "t1", "t2"), ["t0", "t1", "t2"], most)
     sample = c.stored(sample.select("chunk", "g", "goal", "upto", "name", "repeated", "lead"))
+    c.forget(ranked)
     offset = 0
     while True:
         scale *= 3
@@ -233,12 +234,12 @@ def long_repeats(letters: DataFrame, most: int = 0) -> DataFrame:
             return pa.table({"chunk": t.column("chunk"), "g": g, "goal": goal, "upto": np.where(go, ends[2], upto), "n0": np.where(stuck, -1, name), "n1": names[1], "n2": names[2], "go": kind.astype(np.int32), "repeated": repeated & ~stuck, "lead": lead})
 
         step = c.stored(sample.groupBy("chunk").applyInArrow(longer, "chunk int, g long, goal long, upto long, n0 long, n1 long, n2 long, go int, repeated boolean, lead boolean"))
-        again = named(step.filter("go = 1").select("chunk", "g", "goal", "upto", "n0", "n1", "n2"), ["n0", "n1", "n2"], most)
+        again, ranked = named(step.filter("go = 1").select("chunk", "g", "goal", "upto", "n0", "n1", "n2"), ["n0", "n1", "n2"], most)
         offset += 1 << 40
         again = again.select("chunk", "g", "goal", "upto", (F.col("name") + offset).alias("name"), "repeated", "lead")
         old, sample = sample, c.stored(step.filter("go = 0").select("chunk", "g", "goal", "upto", F.col("n0").alias("name"), "repeated", "lead").unionByName(again))
-        c.forget(old)
-        c.forget(step)
+        for table in (old, step, ranked):
+            c.forget(table)
 
     def keys(table, names):
         """Sort keys of the merge; a place takes part where the name it needs reaches far enough."""
@@ -255,8 +256,9 @@ def long_repeats(letters: DataFrame, most: int = 0) -> DataFrame:
         return pa.table({"chunk": pa.array(np.full(len(g), t.column("chunk")[0].as_py() if t.num_rows else 0), pa.int32()), "g": g, "kind": kind, "a": a, "b": b, "r": r})
 
     merged = letters.select("chunk", "g", "cls", "t0", "t1").groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInArrow(keys, "chunk int, g long, kind long, a long, b long, r long")
-    merged = named(merged, ["kind", "a", "b", "r"], 2 * most)
-    return sample.filter("repeated and upto >= goal").select("chunk", "g", "lead").unionByName(merged.filter("repeated").select("chunk", "g", "lead"))
+    merged, ranked = named(merged, ["kind", "a", "b", "r"], 2 * most)
+    found = sample.filter("repeated and upto >= goal").select("chunk", "g", "lead").unionByName(merged.filter("repeated").select("chunk", "g", "lead"))
+    return found, [sample, ranked]
 
 
 def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFrame:
@@ -268,7 +270,9 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
     are rows like others; equal rows repeat each other; an empty table gives no rows. Other columns are
     not read.
     """
-    spark = docs.sparkSession
+    if width > SPAN:
+        raise ValueError(f"width is at most {SPAN}")
+    spark, core = docs.sparkSession, min(core, max(1, width // 2))
     size = c.text_bytes(docs)
     n, buckets = c.parts(docs, size, CHUNK_BYTES), c.parts(docs, size, 4 * CHUNK_BYTES, each=1)
     chunks = c.in_chunks(docs.withColumn("text_hash", F.xxhash64("text")), n, "text_hash")
@@ -308,14 +312,17 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
     c.forget(cores)
     c.release(spark)
     letters = spelled.filter("kind = 0").drop("kind", "payload")
-    found = long_repeats(letters, spelled.count())
+    found, used = long_repeats(letters, spelled.count())
 
     def places(table):
         g, lead = table.column("g").to_numpy(), table.column("lead").to_numpy()
         lists = [np.unique(g).astype("<u4").tobytes(), np.unique(g[lead]).astype("<u4").tobytes()]
         return pa.table({"chunk": table.column("chunk").slice(0, 1).take(pa.array([0, 0])), "kind": pa.array([2, 4], pa.int32()), "payload": pa.array(lists, pa.binary())})
 
-    known = c.stored(spelled.filter("kind in (1, 5)").select("chunk", "kind", "payload").unionByName(found.groupBy("chunk").applyInArrow(places, "chunk int, kind int, payload binary")))
+    placed = c.stored(found.groupBy("chunk").applyInArrow(places, "chunk int, kind int, payload binary"))
+    for table in used:
+        c.forget(table)
+    known = spelled.filter("kind in (1, 5)").select("chunk", "kind", "payload").unionByName(placed)
     c.release(spark)
 
     def compared(x: Letters, notes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
