@@ -25,7 +25,7 @@ from floodspark.llm import common
 #: Words that byte-level BPE keeps apart; a fixed value of the tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces whose ids one Python worker remembers at least, steps and borders likewise, and the longest piece.
-CACHE, STEPS, LONGEST = 200_000, 100_000, 64
+CACHE, STEPS, LONGEST = 150_000, 75_000, 64
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 4 << 20
 
