@@ -10,6 +10,9 @@ dismissed, every other one is recomputed in double precision.
 Which pairs are looked at: those whose codes agree on all of a table's bits, for so many tables that a
 pair right at the threshold is missed by all with a probability below ``miss`` (closer pairs far more rarely). A pair
 counts in the first table that it meets in, so counts need no pair list. Vectors meet those of their own length.
+
+Only codes, factors and 4-bit numbers go to the tables. Rows that have a pair there which is not dismissed, in the
+first table where it meets, then get their vectors and are compared exactly in the same block.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +47,44 @@ def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(x > 0, axis=1, bitorder="little").view(np.uint64), np.abs(x).sum(axis=1) / math.sqrt(turn.shape[1])
 
 
-def estimates(codes: np.ndarray, factor: np.ndarray, unit: np.ndarray, turn: np.ndarray, eps: float):
-    """A function of index arrays a, b: an upper confidence bound of <unit[a], unit[b]>, from a's code and b's 4-bit numbers."""
-    x = unit @ turn
-    low = x.min(axis=1, keepdims=True)
-    step = np.maximum((x.max(axis=1, keepdims=True) - low) / LEVELS, 1e-12)
-    whole = np.rint((x - low) / step).astype(np.uint8)
-    planes = np.stack([np.packbits((whole >> j) & 1, axis=1, bitorder="little").view(np.uint64) for j in range(4)], axis=1)
-    ones, total = np.bitwise_count(codes).sum(axis=1, dtype=np.int64), (whole.sum(axis=1) * step[:, 0] + low[:, 0] * x.shape[1])
-    bits = x.shape[1]
-    # random error of the code, and of rounding to a step (uniform, so a standard deviation of step / sqrt(12))
-    slack = eps * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / (bits - 1))
-    rounding = eps * step[:, 0] / math.sqrt(12)
-
-    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        both = np.bitwise_count(codes[a][:, None, :] & planes[b]).sum(axis=2, dtype=np.int64) @ np.array([1, 2, 4, 8])
-        dot = (2 * (both * step[b, 0] + low[b, 0] * ones[a]) - total[b]) / math.sqrt(bits)
-        return (dot / factor[a]) + slack[a] + rounding[b] / factor[a]
-
-    return bound
+class Codes:
+    """What a table needs of vectors: codes, factors, and the rotated vectors as 4-bit numbers (low + step * number)."""
+
+    def __init__(self, codes: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, total: np.ndarray) -> None:
+        self.codes, self.factor, self.planes, self.low, self.step, self.total = codes, factor, planes, low, step, total
+
+    @classmethod
+    def of(cls, unit: np.ndarray, turn: np.ndarray) -> Codes:
+        codes, factor = encode(unit, turn)
+        x = unit @ turn
+        low = x.min(axis=1)
+        step = np.maximum((x.max(axis=1) - low) / LEVELS, 1e-12)
+        whole = np.rint((x - low[:, None]) / step[:, None]).astype(np.uint8)
+        planes = np.stack([np.packbits((whole >> j) & 1, axis=1, bitorder="little").view(np.uint64) for j in range(4)], axis=1)
+        return cls(codes, factor, planes, low, step, whole.sum(axis=1) * step + low * x.shape[1])
+
+    def rows(self) -> list[bytes]:
+        """One binary for each vector."""
+        numbers = np.stack([self.factor, self.low, self.step, self.total], axis=1).astype("<f8").view(np.uint64)
+        both = np.concatenate([numbers, self.codes, self.planes.reshape(len(self.codes), -1)], axis=1)
+        return [x.tobytes() for x in both]
+
+    @classmethod
+    def read(cls, column: pa.Array) -> Codes:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        words = (raw.shape[1] - 4) // 5
+        numbers = np.ascontiguousarray(raw[:, :4]).view("<f8")
+        return cls(np.ascontiguousarray(raw[:, 4 : 4 + words]), numbers[:, 0], np.ascontiguousarray(raw[:, 4 + words :]).reshape(len(raw), 4, words), numbers[:, 1], numbers[:, 2], numbers[:, 3])
+
+    def bound(self, a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+        """Upper confidence bounds of the inner products of vectors a and b, from a's codes and b's 4-bit numbers."""
+        bits = 64 * self.codes.shape[1]
+        ones = np.bitwise_count(self.codes[a]).sum(axis=1, dtype=np.int64)
+        both = np.bitwise_count(self.codes[a][:, None, :] & self.planes[b]).sum(axis=2, dtype=np.int64) @ np.array([1, 2, 4, 8])
+        dot = (2 * (both * self.step[b] + self.low[b] * ones) - self.total[b]) / math.sqrt(bits)
+        # random error of the code, and of rounding to a step (uniform, so a standard deviation of step / sqrt(12))
+        slack = eps * np.sqrt(np.maximum(1 - self.factor[a] ** 2, 0) / self.factor[a] ** 2 / (bits - 1))
+        return dot / self.factor[a] + slack + eps * self.step[b] / math.sqrt(12) / self.factor[a]
 
 
 def missed(count: int, width: int, threshold: float, bits: int) -> float:
@@ -115,59 +136,84 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     n = distinct.count()
     about = lambda dim: (rotation(dim), tables(n, threshold, miss, rotation(dim).shape[1]))
 
+    def units(column: pa.Array, dim: int) -> np.ndarray:
+        x = column.flatten().to_numpy().reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def by_length(table, f) -> list:
+        """``f(rows, length)`` of the rows of each vector length (column dim)."""
+        size = table.column("dim").to_numpy()
+        return [f(table.filter(pa.array(size == dim)), dim) for dim in np.unique(size).tolist()]
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Code, correction factor and the key in every table of each vector."""
+        """What the tables need of each vector, and its key in every one."""
+
+        def rows(part: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+            turn, masks = about(dim)
+            codes = Codes.of(units(part.column("v"), dim), turn)
+            sent = pa.array(codes.rows(), pa.binary())
+            for t, m in enumerate(masks):
+                key = c.mix((codes.codes & m) @ c.powers(c.BASE, codes.codes.shape[1]) + np.uint64(t + (dim << 16)) * c.ODD).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dim"), sent, pa.array(np.full(len(key), t, np.int32)), pa.array(key)], ["id", "dim", "sent", "t", "key"])
+
         for batch in batches:
-            size = pc.list_value_length(batch.column("v")).to_numpy()
-            for dim in np.unique(size).tolist():
-                part = batch.filter(pa.array(size == dim))
-                turn, masks = about(dim)
-                x = part.column("v").flatten().to_numpy().reshape(-1, dim)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                codes, factor = encode(unit, turn)
-                raw = pa.array([u.tobytes() for u in unit.astype(np.float64)], pa.binary())
-                code = pa.array([k.tobytes() for k in codes], pa.binary())
-                for t, m in enumerate(masks):
-                    key = c.mix((codes & m) @ c.powers(c.BASE, codes.shape[1]) + np.uint64(t + (dim << 16)) * c.ODD).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), raw, code, pa.array(factor), pa.array(np.full(len(unit), t, np.int32)), pa.array(key)], ["id", "copies", "unit", "code", "factor", "t", "key"])
-
-    met = graph.blocks(distinct.select("id", "copies", "v").mapInArrow(spread, "id long, copies long, unit binary, code binary, factor double, t int, key long"), ["t", "key"], "id")
+            for made in by_length(batch, rows):
+                yield from made
 
-    def compare(table: pa.Table) -> pa.Table:
-        size = pc.binary_length(table.column("unit")).to_numpy() // 8
-        return pa.concat_tables([compared(table.filter(pa.array(size == dim)), dim) for dim in np.unique(size).tolist()])
+    # tables x vectors rows of short numbers; they are met twice, by the counts of their keys and by each other
+    coded = distinct.select("id", F.size("v").alias("dim"), "v").mapInArrow(spread, "id long, dim int, sent binary, t int, key long")
+    met = graph.blocks(coded, ["t", "key"], "id")
 
-    def compared(table: pa.Table, dim: int) -> pa.Table:
-        """Links of each row of this block (weighted by copies), and edges that connect what is linked."""
-        turn, masks = about(dim)
-        ids, copies, factor, t, key, own, i, j = (table.column(x).to_numpy() for x in ("id", "copies", "factor", "t", "key", "own", "i", "j"))
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
-        bound = estimates(codes, factor, unit, turn, eps)
+    def likely_pairs(table: pa.Table, codes: Codes, masks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a block whose bound reaches the threshold, each in the first table where it meets."""
+        t, key, own, i, j = (table.column(x).to_numpy() for x in ("t", "key", "own", "i", "j"))
         group = np.unique(np.stack([t.astype(np.int64), key, i.astype(np.int64), j.astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
-        linked = np.zeros(len(ids), np.int64)
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for x_all, y_all in graph.pairs(group, own, i != j):
             for at in range(0, len(x_all), PAIRS_AT_ONCE):
                 x, y = x_all[at : at + PAIRS_AT_ONCE], y_all[at : at + PAIRS_AT_ONCE]
-                likely = bound(x, y) >= threshold
+                likely = codes.bound(x, y, eps) >= threshold
                 x, y = x[likely], y[likely]
-                near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-                x, y = x[near], y[near]
                 fresh = np.ones(len(x), bool)
                 for s, m in enumerate(masks):
-                    fresh &= (t[x] <= s) | (((codes[x] ^ codes[y]) & m) != 0).any(axis=1)
-                x, y = x[fresh], y[fresh]
-                linked += np.bincount(x, copies[y], len(ids)).astype(np.int64) + np.bincount(y, copies[x], len(ids)).astype(np.int64)
-                a, b = np.concatenate([a, ids[x]]), np.concatenate([b, ids[y]])
-                if len(a) > 1 << 20:
-                    a, b = graph.stars(a, b)
+                    fresh &= (t[x] <= s) | (((codes.codes[x] ^ codes.codes[y]) & m) != 0).any(axis=1)
+                yield x[fresh], y[fresh]
+
+    def asking(table: pa.Table) -> pa.Table:
+        """Rows of this block that need their vectors."""
+
+        def some(part: pa.Table, dim: int) -> pa.Table:
+            need = np.zeros(part.num_rows, bool)
+            for x, y in likely_pairs(part, Codes.read(c.flat(part.column("sent"))), about(dim)[1]):
+                need[x] = need[y] = True
+            return part.filter(pa.array(need)).select(["id", "dim", "sent", "t", "key", "own", "i", "j", "part"])
+
+        return pa.concat_tables(by_length(table, some))
+
+    asked = met.groupBy("part").applyInArrow(asking, "id long, dim int, sent binary, t int, key long, own int, i int, j int, part int")
+    given = asked.join(distinct.select("id", "copies", "v"), "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return pa.concat_tables(by_length(table, compared))
+
+    def compared(table: pa.Table, dim: int) -> pa.Table:
+        """Links of each row of this block (weighted by copies), and edges that connect what is linked."""
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        unit = units(c.flat(table.column("v")), dim)
+        linked = np.zeros(len(ids), np.int64)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x, y in likely_pairs(table, Codes.read(c.flat(table.column("sent"))), about(dim)[1]):
+            near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+            x, y = x[near], y[near]
+            linked += np.bincount(x, copies[y], len(ids)).astype(np.int64) + np.bincount(y, copies[x], len(ids)).astype(np.int64)
+            a, b = np.concatenate([a, ids[x]]), np.concatenate([b, ids[y]])
+            if len(a) > 1 << 20:
+                a, b = graph.stars(a, b)
         a, b = graph.stars(a, b)
         some = np.flatnonzero(linked)
         return pa.table({"a": pa.array(np.concatenate([ids[some], a])), "b": pa.array(np.concatenate([ids[some], b])), "n": pa.array(np.concatenate([linked[some], np.zeros(len(a), np.int64)]))})
 
-    found = c.stored(met.groupBy("part").applyInArrow(compare, "a long, b long, n long"))
+    found = c.stored(given.groupBy("part").applyInArrow(compare, "a long, b long, n long"))
     counts = found.filter("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = graph.components(found.filter("a <> b").select("a", "b"))
     labelled = distinct.select("key", "id", "least", "copies").join(counts, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -1,6 +1,7 @@
 """Embedding near-dedup against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from floodspark.llm import embedding_dedup as e
@@ -50,12 +51,11 @@ def test_estimates_are_unbiased_and_bounded():
     x = vectors(2, 2000, 64)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     turn = e.rotation(64)
-    codes, factor = e.encode(u, turn)
+    codes = e.Codes.read(pa.array(e.Codes.of(u, turn).rows()))
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2000, 5000), rng.integers(0, 2000, 5000)
     true = np.einsum("ij,ij->i", u[a], u[b])
-    upper = e.estimates(codes, factor, u, turn, 4.0)(a, b)
-    middle = e.estimates(codes, factor, u, turn, 0.0)(a, b)
+    upper, middle = codes.bound(a, b, 4.0), codes.bound(a, b, 0.0)
     assert (upper >= true).mean() > 0.999
     assert abs((middle - true).mean()) < 0.01 and np.abs(middle - true).mean() < 0.1
 
@@ -63,3 +63,23 @@ def test_estimates_are_unbiased_and_bounded():
 def test_float_vectors_and_labels_are_ignored(spark):
     df = spark.createDataFrame([(1, [1.0, 0.1], 0), (2, [1.0, 0.11], 1)], "vec_id long, embedding array<float>, label int")
     assert [r.n_links for r in e.near_duplicates(df.withColumn("code", F.lit("x"))).collect()] == [1, 1]
+
+
+def test_every_length_links_its_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.01]), (5, [1.0, 0.02]), (6, [-1.0] * 200), (7, [-1.0] * 199 + [-1.1])]
+    got = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (1, 6)}
+
+
+def test_probability_of_a_miss():
+    """Codes of pairs right at the threshold: the share that no table brings together."""
+    rng = np.random.default_rng(5)
+    turn, masks = e.rotation(64), e.tables(5000, 0.95, 1e-2, 128)
+    a = rng.normal(size=(20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    differ = e.encode(a, turn)[0] ^ e.encode(b, turn)[0]
+    missed = np.all([((differ & m) != 0).any(axis=1) for m in masks], axis=0).mean()
+    assert missed < 1.5e-2
