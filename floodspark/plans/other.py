@@ -38,6 +38,32 @@ def s3_csv_round_trip(spark, sf):
     return io.read_csv(spark, path, "rainfall").select(F.date_format("date", "yyyy-MM-dd").alias("d"), F.round("precip_mm", 6).alias("precip_mm"))
 
 
+@query("""SELECT 'timeseries' AS name, count(*) AS n, round(sum(depth_m), 3) AS total, count(*) AS n_null FROM gauges UNION ALL SELECT 'damage_curves', count(*), round(sum(area_m2), 3), 0 FROM buildings UNION ALL SELECT 'asset_values', count(*), round(sum(area_m2), 3), count(*) FROM buildings
+UNION ALL SELECT 'manning_n', count(*), round(sum(0.01e0 * (cell_id % 12)), 3), 0 FROM dem UNION ALL SELECT 'lake_area', count(*), round(sum(cloud_pct) * 1e0, 3), count(*) - count(cloud_pct) FROM scenes UNION ALL SELECT 'rainfall', count(*), round(sum(mm), 3), count(*) FROM rain
+UNION ALL SELECT 'scenes', count(*), round(sum(cloud_pct) * 1e0, 3), count(*) - count(cloud_pct) FROM scenes UNION ALL SELECT 'routed_discharge', count(*), round(sum(q_m3s), 3), 0 FROM gauges""")
+def s3_csv_schemas(spark, sf):
+    """Every schema written and read again: rows, the total of its main number, and how many of its optional values are null."""
+    g, b, sc, none = v.gauges(spark, sf), v.buildings(spark, sf), v.scenes(spark, sf), F.lit(None)
+    t, cloud = (F.unix_micros("ts") / 1e6).alias("t_s"), F.col("cloud_pct").cast("double")
+    tables = {
+        "timeseries": (g.select(F.col("poi_id").cast("string"), t, "depth_m", none.cast("double").alias("velocity_ms"), F.col("q_m3s").alias("wse_m")), "depth_m", "velocity_ms"),
+        "damage_curves": (b.select(F.col("kind").alias("asset_class"), F.col("area_m2").alias("depth_m"), F.lit(0.5).alias("damage_fraction"), F.lit("s").alias("source")), "depth_m", "source"),
+        "asset_values": (b.select(F.col("kind").alias("asset_class"), F.col("area_m2").alias("value_inr_per_unit"), F.lit("m2").alias("unit"), none.cast("string").alias("source"), F.lit("ok").alias("status")), "value_inr_per_unit", "source"),
+        "manning_n": (v.dem(spark, sf).select((F.col("cell_id") % 12).cast("int").alias("worldcover_code"), F.lit("c").alias("class"), (0.01 * (F.col("cell_id") % 12)).alias("n_default"), F.lit(0.01).alias("n_min"), F.lit(0.2).alias("n_max"), F.lit("s").alias("source")), "n_default", "class"),
+        "lake_area": (sc.select(F.col("acq_date").alias("date"), cloud.alias("area_m2"), F.lit("s2").alias("method"), cloud.alias("cloud_pct"), F.col("scene_id").cast("string").alias("scene_ids")), "area_m2", "cloud_pct"),
+        "rainfall": (v.rain(spark, sf).select(F.col("d").alias("date"), F.col("mm").alias("precip_mm"), F.lit("r").alias("dataset"), none.cast("string").alias("aggregation")), "precip_mm", "aggregation"),
+        "scenes": (sc.select(F.col("scene_id").cast("string"), "satellite", F.col("acq_date").alias("date"), cloud.alias("cloud_pct")), "cloud_pct", "cloud_pct"),
+        "routed_discharge": (g.select(t, "q_m3s"), "q_m3s", "t_s"),
+    }
+    out = None
+    for name, (df, number, optional) in tables.items():
+        path = folder(spark)
+        io.write_csv(df, path)
+        row = io.read_csv(spark, path, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(number), 3).alias("total"), F.count_if(F.col(optional).isNull()).alias("n_null"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @query("SELECT kind, count(*) AS n, round(sum(area_m2), 3) AS area FROM buildings GROUP BY kind")
 def s4_geojson_round_trip(spark, sf):
     b = v.buildings(spark, sf).select("kind", F.col("area_m2").cast("string").alias("area"), (88 + F.col("x_m") / 1e5).alias("lon"), (27 + F.col("y_m") / 1e5).alias("lat"))
