@@ -6,17 +6,17 @@ numpy passes over one flat buffer. Spark does all partitioning and shuffling.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodspark.sources import io
+
 #: Text bytes that one chunk of documents, and one bucket of hashes, is meant to hold.
 CHUNK_BYTES = 4 << 20
 
@@ -25,13 +25,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # --------------------------------------------------------------------------- shared folders
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured and all runs in one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = getattr(spark, "_llm_dir", None) or tempfile.mkdtemp(prefix="spark-")
-        spark._llm_dir = path
+    """The folder that driver and executors share, set for checkpoints too."""
+    path = io.shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -176,10 +171,25 @@ def tallies(replies: DataFrame) -> DataFrame:
     return replies.filter("chunk < 0").select("notes", cell).select("cell", F.col("notes")[F.col("k") + F.floor(F.size("notes") / 2).cast("int")].alias("n")).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def sorted_set(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])[: len(a)]]
+
+
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value of the sorted ``keys`` at each of ``wanted``, all of which are keys."""
-    codes, own = pd.factorize(wanted)
-    return values[np.searchsorted(keys, own)][codes] if len(keys) else values[:0]
+    """The value of the sorted hashes ``keys`` at each of ``wanted``, all of which are keys. Hashes are spread evenly, so
+    their first bits lead to within a place or two."""
+    if not len(keys):
+        return values[:0]
+    shift = np.uint64(64 - len(keys).bit_length())
+    first = np.bincount((keys >> shift).astype(np.int64), minlength=1 << len(keys).bit_length())
+    at = (np.cumsum(first) - first)[(wanted >> shift).astype(np.int64)]
+    open_ = np.flatnonzero(keys[at] != wanted)
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[keys[at[open_]] != wanted[open_]]
+    return values[at]
 
 
 def answers(table: pa.Table, dtype=np.uint8) -> np.ndarray:

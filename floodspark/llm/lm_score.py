@@ -22,6 +22,8 @@ from floodspark.llm import common as c
 #: What stands for the end and the begin of a text among word hashes.
 END, BEGIN = np.uint64(0xE7D1), np.uint64(0xB361)
 STEPS, LEVELS, BUCKETS = 8, 512, 32
+#: Text bytes of a chunk.
+CHUNK_BYTES = 5 << 20
 
 
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
@@ -45,9 +47,10 @@ class Tokens:
         self.opens = np.zeros(len(words), bool)
         self.opens[self.first] = True
         before[self.opens] = BEGIN
-        self.words, self.pairs = c.mix(words + c.ODD), c.mix(before * np.uint64(c.BASE) + words)
+        # the last bit tells words from pairs
+        self.words, self.pairs = c.mix(words + c.ODD) | np.uint64(1), c.mix(before * np.uint64(c.BASE) + words) & ~np.uint64(1)
         self.triples = c.mix(np.concatenate([[BEGIN], self.pairs[:-1]]).astype(np.uint64)[: len(words)] * np.uint64(c.BASE) + words)
-        self.keys = np.unique(np.concatenate([self.words, self.pairs]))
+        self.keys = c.sorted_set(np.concatenate([self.words, self.pairs]))
         self.trains = np.repeat(~table.column("held_out").to_numpy(), self.sizes)
 
     def counts(self, keys: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
@@ -133,27 +136,24 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out("doc_id", modulus, remainder).alias("held_out"))
-    n = c.parts(rows)
+    size = c.text_bytes(rows)
+    n, buckets = c.parts(rows, size, CHUNK_BYTES), c.parts(rows, size, CHUNK_BYTES, each=1)
     chunks = c.in_chunks(rows, n, "held_out")
 
     def ask(table):
         t = Tokens(table)
-        word = np.zeros(len(t.keys), np.uint8)
-        word[np.searchsorted(t.keys, np.unique(t.words))] = 1
-        return t.keys, [t.counts(t.keys, t.words[t.trains], t.pairs[t.trains]), word]
+        return t.keys, [t.counts(t.keys, t.words[t.trains], t.pairs[t.trains])]
 
     def summed(keys, counts):
         same, which = np.unique(keys, return_inverse=True)
-        return np.bincount(which, counts, len(same)).astype(np.uint64), which
+        return same, np.bincount(which, counts, len(same)).astype(np.uint64), which
 
     def answer(columns, _):
-        keys, counts, word = columns
-        total, which = summed(keys, counts)
-        is_word = np.zeros(len(total), bool)
-        is_word[which] = word.astype(bool)
-        return total[which], [int(total[is_word].sum()), int((total[is_word] > 0).sum())]
+        same, total, which = summed(*columns)
+        of_words = total[(same & np.uint64(1)).astype(bool)]
+        return total[which], [int(of_words.sum()), int((of_words > 0).sum())]
 
-    pairs = c.stored(c.asked(chunks, ask, ["<u4", "u1"], answer, n))
+    pairs = c.stored(c.asked(chunks, ask, ["<u4"], answer, buckets))
     train, vocabulary = (x or 0 for x in pairs.agg(F.sum(F.col("notes")[0]), F.sum(F.col("notes")[1])).first())
     texts = rows.filter(~F.col("held_out")).count()
     pairs = pairs.drop("notes")
@@ -163,16 +163,16 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         """The triples whose context counts, and the held-out counts of the lower orders."""
         t = Tokens(table)
         w, pair, h, g = t.seen(c.answers(reply, np.uint64), texts)
-        keys = np.unique(t.triples[g >= 2])
+        keys = c.sorted_set(t.triples[g >= 2])
         w, pair, h = (x[t.trains] for x in (w, pair, h))
         return keys, [t.counts(keys, t.triples[(g >= 2) & t.trains])], cell(bucket(h - 1), (w - 1) / max(train - 1, 1), (pair - 1) / np.maximum(h - 1, 1))
 
     def answer_triples(columns, _):
-        total, which = summed(*columns)
+        _, total, which = summed(*columns)
         return total[which], []
 
     # at most BUCKETS * LEVELS**2 cells whatever the data; a few thousand in practice
-    told = c.stored(c.asked(chunks, ask_triples, ["<u4"], answer_triples, n, pairs))
+    told = c.stored(c.asked(chunks, ask_triples, ["<u4"], answer_triples, buckets, pairs))
     table = c.tallies(told).toPandas()
     mixed = weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.float64), vocabulary)
     about = pairs.withColumn("order", F.lit(2)).unionByName(told.filter("chunk >= 0").drop("notes").withColumn("order", F.lit(3)))
@@ -183,7 +183,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         t, order = Tokens(table), reply.column("order").to_numpy()
         w, pair, h, g = t.seen(c.answers(reply.filter(pa.array(order == 2)), np.uint64), texts)
         deep = np.flatnonzero(g >= 2)
-        keys = np.unique(t.triples[deep])
+        keys = c.sorted_set(t.triples[deep])
         triple = c.looked_up(keys, c.answers(reply.filter(pa.array(order == 3)), np.uint64), t.triples[deep]).astype(np.int64)
         return t, w, pair, h, g[deep], deep, triple
 

@@ -52,7 +52,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct slots of each text's terms, and the text each is in, by text and slot."""
     hashes, docs = terms(column)
-    both = np.unique(docs * np.int64(SLOTS) + (hashes & np.uint64(SLOTS - 1)).astype(np.int64))
+    both = c.sorted_set(docs * np.int64(SLOTS) + (hashes & np.uint64(SLOTS - 1)).astype(np.int64))
     return both % SLOTS, both // SLOTS
 
 
