@@ -80,8 +80,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps before the next large shuffle."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM with the next call
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

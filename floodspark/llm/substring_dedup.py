@@ -117,7 +117,8 @@ def repeated_words(docs: DataFrame, width: int = 13, hashes: tuple[Callable, Cal
 
     told = c.stored(c.asked(chunks, ask, [], shared, n).drop("notes"))
     c.release(docs.sparkSession)
-    again = c.asked(chunks, ask_again, ["<u8", "<i8"], earlier, n, told).drop("notes")
+    again = c.stored(c.asked(chunks, ask_again, ["<u8", "<i8"], earlier, n, told).drop("notes"))
+    c.release(docs.sparkSession)
     replies = told.withColumn("round", F.lit(1)).unionByName(again.withColumn("round", F.lit(2)))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<begin:int,end:int>>, kept string"
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
