@@ -128,9 +128,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.merkle import proofs
+
+    out = proofs(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP13_SQL = """
+WITH RECURSIVE
+b AS (SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END AS i,
+        CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS sl,
+        n_chars, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS t,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+          lambda crc, y: list_reduce(list_prepend(xor(crc, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) % 7 = 0 AS hit
+      FROM documents),
+l AS (SELECT doc_id, lang, sha256(i || sl || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || t) AS leaf,
+        sha256(i || sl || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + CAST(coalesce(hit, false) AS BIGINT) AS VARCHAR)) || ':' || (n_chars + CAST(coalesce(hit, false) AS BIGINT)) END || t) AS other FROM b),
+r AS (SELECT *, coalesce('+' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM l),
+lev AS (SELECT tree, 0 AS k, list(leaf ORDER BY p) AS h FROM r GROUP BY tree
+        UNION ALL SELECT tree, k + 1, list_transform(range(0, (len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM lev WHERE len(h) > 1),
+sub AS (SELECT tree, h[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS q FROM lev WHERE len(h) = 1),
+up AS (SELECT 0 AS k, list(subroot ORDER BY q) AS h FROM sub
+       UNION ALL SELECT k + 1, list_transform(range(0, (len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], ''))) FROM up WHERE len(h) > 1),
+step AS (SELECT r.doc_id, r.leaf, r.tree, r.p, k, CAST(r.p >> CAST(k AS INT) AS BIGINT) AS pl, h FROM r JOIN lev USING (tree) WHERE len(h) > 1
+         UNION ALL SELECT r.doc_id, r.leaf, r.tree, r.p, 1000 + up.k, CAST(q >> CAST(up.k AS INT) AS BIGINT), h FROM r JOIN sub USING (tree), up WHERE len(h) > 1),
+way AS (SELECT tree, p, list(CASE WHEN pl % 2 = 1 THEN 'L' || h[pl] ELSE 'R' || coalesce(h[pl + 2], '') END ORDER BY k) AS w FROM step GROUP BY tree, p),
+f AS (SELECT r.*, coalesce(w, []) AS w, list_reduce(list_prepend(other, coalesce(w, [])), lambda a, x: CASE WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root FROM r LEFT JOIN way USING (tree, p))
+SELECT doc_id, leaf, subroot, (SELECT h[1] FROM up WHERE len(h) = 1) AS root, sha256(coalesce(array_to_string(list_transform(w, lambda x: x[2:]), ''), '')) AS proof_sha256, folded_root,
+  folded_root = (SELECT h[1] FROM up WHERE len(h) = 1) AS verified
+FROM f JOIN sub USING (tree)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op13_merkle": OP13_SQL}
