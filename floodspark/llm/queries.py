@@ -128,6 +128,43 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def crc32_sql(x: str) -> str:
+    """crc32 of a decimal number in DuckDB, which has no such function."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+          lambda crc, y: list_reduce(list_prepend(xor(crc, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm import common, conversation_trie
+
+    turns = common.stored(conversation_trie.ordered(table(spark, sf_dir, "conversations")))
+    ids = common.stored(turns.select("conv_id").distinct())
+    nodes, ends = conversation_trie.trie(common.stored(conversation_trie.branched(turns, ids)), ids)
+    out = nodes.join(conversation_trie.end_digests(ends), ["depth", "key"], "left")
+    none = F.sha2(F.lit(""), 256)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
+OP11_SQL = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+own AS (SELECT i.conv_id, o.p, role, text FROM ids i JOIN o ON o.conv_id = i.base AND o.p < i.h UNION ALL SELECT i.conv_id, 100 + o.p, role, text FROM ids i JOIN o ON o.conv_id = i.conv_id AND o.p >= i.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth, role, text FROM own),
+whole AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY depth) AS w FROM r GROUP BY conv_id),
+way AS (SELECT conv_id, 0 AS depth, [] :: STRUCT(role VARCHAR, text VARCHAR)[] AS k, 0 AS b FROM ids UNION ALL SELECT conv_id, depth, list_slice(w, 1, depth), strlen(text) FROM r JOIN whole USING (conv_id)),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b FROM way GROUP BY depth, k),
+met AS (SELECT w.conv_id AS member, w.depth, n.conv_id FROM way w JOIN n ON w.depth = n.depth AND w.k = n.k),
+up AS (SELECT n.*, a.conv_id AS parent_conv_id FROM n LEFT JOIN met a ON a.member = n.conv_id AND a.depth = n.depth - 1),
+ch AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN ch USING (conv_id, depth)),
+sub AS (SELECT a.conv_id, a.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.b) AS saved FROM f JOIN met a ON a.member = f.conv_id AND a.depth <= f.depth GROUP BY 1, 2),
+last AS (SELECT i.conv_id AS member, max(w.depth) AS depth FROM ids i JOIN way w USING (conv_id) GROUP BY 1),
+e AS (SELECT a.conv_id, a.depth, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS ends FROM last JOIN met a USING (member, depth) GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM f JOIN sub USING (conv_id, depth) LEFT JOIN e USING (conv_id, depth)
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from floodspark.llm.merkle import proofs
 
@@ -135,13 +172,12 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-OP13_SQL = """
+OP13_SQL = f"""
 WITH RECURSIVE
 b AS (SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END AS i,
         CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS sl,
         n_chars, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS t,
-        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
-          lambda crc, y: list_reduce(list_prepend(xor(crc, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) % 7 = 0 AS hit
+        {crc32_sql("doc_id")} % 7 = 0 AS hit
       FROM documents),
 l AS (SELECT doc_id, lang, sha256(i || sl || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || t) AS leaf,
         sha256(i || sl || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + CAST(coalesce(hit, false) AS BIGINT) AS VARCHAR)) || ':' || (n_chars + CAST(coalesce(hit, false) AS BIGINT)) END || t) AS other FROM b),
@@ -166,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op13_merkle": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op13_merkle": OP13_SQL}
