@@ -165,6 +165,22 @@ FROM f JOIN sub USING (conv_id, depth) LEFT JOIN e USING (conv_id, depth)
 """
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from floodspark.llm.posting_lists import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.filter(F.col("vec_id") % 100 == 0), vectors, top=10)
+
+
+OP12_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_reduce(list_prepend(0e0, list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - e.v[i]) * (q.v[i] - e.v[i]))), lambda a, b: a + b)) AS score
+  FROM e q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM d WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from floodspark.llm.merkle import proofs
 
@@ -202,4 +218,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op13_merkle": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op12_nearest": OP12_SQL, "op13_merkle": OP13_SQL}
