@@ -27,8 +27,9 @@ from floodspark.llm.ranks import attached
 #: Vectors that a list is meant to hold, and the sample that centroids come from: at most so many vectors, and so many numbers
 #: of all lengths together. With more than SAMPLE / 8 lists' worth of vectors, lists grow longer instead.
 LIST, SAMPLE, SAMPLE_VALUES = 512, 65_536, 1 << 22
-#: A vector's other lists: centroids within 1 + BOUNDARY of its nearest one's distance, this many lists in all.
-BOUNDARY, REPLICAS = 0.1, 4
+#: A vector's other lists: centroids within 1 + BOUNDARY of its nearest one's distance, unless one of its lists stands closer to
+#: them than HIDDEN times their distance from it; this many lists in all.
+BOUNDARY, HIDDEN, REPLICAS = 0.05, 0.3, 4
 #: A query's lists.
 RATIO, LEAST_LISTS = 0.15, 8
 #: Neighbours of a centroid in the graph, centroids opened at once, and the first width of a beam.
@@ -110,7 +111,7 @@ class Centroids:
         keep[:, 0] = True
         for k in range(1, ids.shape[1]):
             gap = np.sqrt(((self.at[ids[:, :k]] - self.at[ids[:, k]][:, None, :]) ** 2).sum(axis=2))
-            hidden = (keep[:, :k] & (gap < 0.5 * d[:, k : k + 1])).any(axis=1)
+            hidden = (keep[:, :k] & (gap < HIDDEN * d[:, k : k + 1])).any(axis=1)
             keep[:, k] = (d[:, k] <= (1 + BOUNDARY) * d[:, 0]) & ~hidden & (keep.sum(axis=1) < REPLICAS)
         r, k = np.nonzero(keep)
         return r, ids[r, k]
@@ -218,8 +219,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, top: int = 10, id_col: str =
         theirs = looks.join(shape, ["dim", "lst"]).withColumn("j", F.pmod(F.xxhash64("key"), "groups").cast("int")).withColumn("i", each("blocks"))
         own, theirs = own.select(*cell, "vec_id", "v"), theirs.select(*cell, "key", "v")
         pairs = own.groupBy(*cell).cogroup(theirs.groupBy(*cell)).applyInArrow(lambda a, b: met(a, b), "key string, d array<double>, id array<long>")
-        both = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("d", "id")))))
-        return pairs.groupBy("key").agg(F.slice(both, 1, top + 1).alias("found"))
+        best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "id")))), 1, (top + 1) * REPLICAS)
+        best = pairs.groupBy("key").agg(best.alias("best"))
+        once = F.filter("best", lambda x, k: (k == 0) | (x["id"] != F.element_at("best", F.greatest(k, F.lit(1)))["id"]))  # a replica is next to its copy
+        return best.select("key", F.slice(once, 1, top + 1).alias("found"))
 
     found = c.stored(searched(distinct, False))
     # fewer than there are to find: look everywhere
