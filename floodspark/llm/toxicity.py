@@ -5,7 +5,7 @@ families share a stem). All of them are folded into SLOTS slots; none is screene
 linear weights an inner product of factors for every two slots of a text, so it learns pairs such as an
 insult with the mention of a group, also where neither tells anything alone.
 
-    logit = b + sum_i w_i + sum_(i<j) <v_i, v_j> / n      over the n distinct model slots of the text
+    logit = b + sum_i w_i + sum_(i<j) <v_i, v_j> / sqrt(n)      over the n distinct model slots of the text
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class Machine:
         return np.concatenate(docs), np.concatenate(places)
 
     def logits(self, doc: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
-        n = np.maximum(np.bincount(doc, minlength=texts), 1)
+        n = np.sqrt(np.maximum(np.bincount(doc, minlength=texts), 1))
         out = self.bias + np.bincount(doc, self.w[at], texts)
         for v in np.ascontiguousarray(self.v[at].T):
             out += (np.bincount(doc, v, texts) ** 2 - np.bincount(doc, v * v, texts)) / 2 / n
@@ -97,7 +97,7 @@ def epoch(m: Machine, rows: list[np.ndarray], y: np.ndarray, grad2: list[np.ndar
         doc = np.repeat(np.arange(len(own)), [len(rows[k]) for k in own])
         at = np.concatenate([rows[k] for k in own])
         error = sigmoid(m.logits(doc, at, len(own))) - y[own]
-        n = np.maximum(np.bincount(doc, minlength=len(own)), 1)
+        n = np.sqrt(np.maximum(np.bincount(doc, minlength=len(own)), 1))
         used, place = np.unique(at, return_inverse=True)
         gw = strength[used] * (np.bincount(place, error[doc], len(used)) / len(own) + l2 * m.w[used])
         grad2[0][used] += gw * gw
@@ -114,7 +114,7 @@ def epoch(m: Machine, rows: list[np.ndarray], y: np.ndarray, grad2: list[np.ndar
         m.bias -= rate * error.mean()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: int = 8, shards: int = 6, rounds: int = 4, epochs: int = 3, rate: float = 0.1, l2: float = 1e-5, modulus: int = 4, remainder: int = 2) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, factors: int = 8, shards: int = 6, rounds: int = 8, epochs: int = 3, rate: float = 0.1, l2: float = 1e-5, modulus: int = 4, remainder: int = 2) -> Machine:
     """Learn ``labels.toxic`` (0 or 1; null: no label) from rows whose crc32(doc_id) mod ``modulus`` is not ``remainder``.
 
     The fit is bounded: the labelled documents with the smallest hashes of their ids, about ``train_rows``. All
