@@ -163,9 +163,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         """The triples whose context counts, and the held-out counts of the lower orders."""
         t = Tokens(table)
         w, pair, h, g = t.seen(c.answers(reply, np.uint64), texts)
-        keys = c.sorted_set(t.triples[g >= 2])
+        keys = c.sorted_set(t.triples[g >= 1])
         w, pair, h = (x[t.trains] for x in (w, pair, h))
-        return keys, [t.counts(keys, t.triples[(g >= 2) & t.trains])], cell(bucket(h - 1), (w - 1) / max(train - 1, 1), (pair - 1) / np.maximum(h - 1, 1))
+        return keys, [t.counts(keys, t.triples[(g >= 1) & t.trains])], cell(bucket(h - 1), (w - 1) / max(train - 1, 1), (pair - 1) / np.maximum(h - 1, 1))
 
     def answer_triples(columns, _):
         _, total, which = summed(*columns)
@@ -182,7 +182,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     def all_seen(table, reply):
         t, order = Tokens(table), reply.column("order").to_numpy()
         w, pair, h, g = t.seen(c.answers(reply.filter(pa.array(order == 2)), np.uint64), texts)
-        deep = np.flatnonzero(g >= 2)
+        deep = np.flatnonzero(g >= 1)
         keys = c.sorted_set(t.triples[deep])
         triple = c.looked_up(keys, c.answers(reply.filter(pa.array(order == 3)), np.uint64), t.triples[deep]).astype(np.int64)
         return t, w, pair, h, g[deep], deep, triple

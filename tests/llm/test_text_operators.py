@@ -221,7 +221,7 @@ def naive_model(rows):
                 add(n1, t[k]), add(n2, (t[k - 1], t[k])), add(n3, tuple(t[k - 2 : k + 1])), add(h1, t[k - 1]), add(h2, (t[k - 2], t[k - 1]))
     n, v = sum(n1.values()), len(n1)
     cells, exact = {}, []
-    deep = lambda t, k: k > 2 and h2.get((t[k - 2], t[k - 1]), 0) >= 2
+    deep = lambda t, k: k > 2 and h2.get((t[k - 2], t[k - 1]), 0) >= 1
     for (i, _), t in zip(rows, tokens):
         for k in range(2, len(t)):
             if not held(i):
@@ -352,6 +352,19 @@ def test_terms_that_tell_nothing_alone_get_factors(spark):
     assert (np.abs(m.v[at] - init[at]).max(axis=1) > 1e-4).all()
 
 
+def test_fit_learns_a_pair_that_tells_nothing_alone(spark):
+    """Toxic if both or neither of two words are there, among 30 others of each text: rows held out."""
+    rng = random.Random(21)
+    words = lambda a, b: " ".join([f"{rng.randint(1000, 2999)}filler" for _ in range(30)] + ["zwiebel"] * a + ["quark"] * b)
+    flags = [(i, rng.randint(0, 1), rng.randint(0, 1)) for i in range(8000)]
+    rows, labels = [(i, words(a, b)) for i, a, b in flags], [(i, int(a == b)) for i, a, b in flags]
+    m = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(frame(spark, rows), m).collect()}
+    own = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    good, bad = (np.array([x for x, y in own if y == k]) for k in (1, 0))
+    assert (good[:, None] > bad).mean() >= 0.9
+
+
 def test_factors_learn_a_pair_that_weights_cannot():
     """Toxic only when both of two terms are there, or neither: no linear weights can tell."""
     rows = [np.array(x) for x in ([0, 2], [1, 2], [0, 1, 2], [2])] * 100
