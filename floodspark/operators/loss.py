@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Run ids in one list, and ids that are broadcast at most.
+TOGETHER, BROADCAST = 1000, 1_000_000
+
+
 def cell_of(x: Column, y: Column, origin_x: float, origin_y: float, cell_m: float, width: int, height: int) -> Column:
     """Row-major cell of a point; null outside the grid."""
     col, row = F.floor((x - origin_x) / cell_m), F.floor((origin_y - y) / cell_m)
     return F.when((col >= 0) & (col < width) & (row >= 0) & (row < height), row * width + col)
 
 
-#: Runs of one design that ``in_each_run`` lists at most.
-MOST_RUNS = 2000
-
-
 def in_each_run(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """``points`` once for each run_id of ``runs``; the ids, a few tens a site and MOST_RUNS at most, are listed on the driver."""
-    ids = sorted(r[0] for r in runs.select("run_id").distinct().limit(MOST_RUNS + 1).collect())
-    if len(ids) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs")
-    return points.withColumn("run_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{runs.schema['run_id'].dataType.simpleString()}>")))
+    """``points`` once for each run_id of ``runs``. Ids travel in lists of about TOGETHER, in a small table that is broadcast up to
+    BROADCAST ids; with more, points are dealt to the lists by a shuffle."""
+    ids = runs.select("run_id").distinct()
+    n = ids.count()
+    lists = -(-n // TOGETHER)
+    own = ids.groupBy(F.pmod(F.xxhash64("run_id"), F.lit(max(lists, 1))).cast("int").alias("_b")).agg(F.collect_list("run_id").alias("_ids"))
+    dealt = points.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(max(lists - 1, 0)))))
+    return dealt.join(F.broadcast(own) if n <= BROADCAST else own, "_b").withColumn("run_id", F.explode("_ids")).drop("_b", "_ids")
 
 
 def sample(points: DataFrame, cells: DataFrame, value: str, keys: tuple[str, ...] = (), **grid) -> DataFrame:
@@ -73,32 +76,6 @@ def stale_values(values: DataFrame, rate: float, index: float, tolerance: float
     return values.filter(F.abs(F.col("value") - want) > tolerance * F.abs(want))
 
 
-def densify(lines: DataFrame, spacing: float) -> DataFrame:
-    """Middle points and lengths of equal pieces of straight lines (x0, y0, x1, y1), at most ``spacing`` long."""
-    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    n = F.greatest(F.lit(1), F.ceil(length / spacing)).cast("int")
-    parts = lines.withColumn("n", n).withColumn("length", length).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = (F.col("i") + 0.5) / F.col("n")
-    return parts.withColumn("x_m", F.col("x0") + (F.col("x1") - F.col("x0")) * at).withColumn("y_m", F.col("y0") + (F.col("y1") - F.col("y0")) * at).withColumn("piece_m", F.col("length") / F.col("n")).drop("n", "length", "i", "x0", "y0", "x1", "y1")
-
-
-def line_cells(lines: DataFrame, cell_m: float) -> DataFrame:
-    """Pieces of straight lines (line_id, x0, y0, x1, y1) cut where they cross grid lines: row and column of
-    the cell that each piece is in (y down from 0, as is) and its exact length."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-
-    def crossings(a: str, d: Column) -> Column:
-        lo, hi = F.least(F.col(a) / cell_m, (F.col(a) + d) / cell_m), F.greatest(F.col(a) / cell_m, (F.col(a) + d) / cell_m)
-        first, last = F.floor(lo) + 1, F.ceil(hi) - 1
-        return F.when((d != 0) & (last >= first), F.transform(F.sequence(first, last), lambda k: (k * cell_m - F.col(a)) / d)).otherwise(F.array().cast("array<double>"))
-
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("x0", dx), crossings("y0", dy))))
-    pieces = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.struct(F.element_at(cuts, i).alias("a"), F.element_at(cuts, i + 1).alias("b")))
-    out = lines.withColumn("p", F.explode(pieces))
-    mid = (F.col("p.a") + F.col("p.b")) / 2
-    return out.select("line_id", F.floor((F.col("y0") + dy * mid) / cell_m).alias("row"), F.floor((F.col("x0") + dx * mid) / cell_m).alias("col"), (F.hypot(dx, dy) * (F.col("p.b") - F.col("p.a"))).alias("length_m"))
-
-
 def road_losses(pieces: DataFrame, curve: list[tuple[float, float]], price: float, width_m: float, cap_m: float = 6.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Loss and flooded length of road pieces (road_id, piece_m, depth_m)."""
     wet = F.col("depth_m") > 0

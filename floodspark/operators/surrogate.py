@@ -66,14 +66,30 @@ def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def coverage(queries: DataFrame, design: DataFrame, names: list[str], edge: float = 1.0, outside: float = 2.0) -> DataFrame:
-    """query_id, r and label: distance to the nearest training point over the design's median nearest distance."""
+def inside_box(box: dict[str, tuple[float, float]]) -> Column:
+    """Whether every input lies in its range, ends included."""
+    out = F.lit(True)
+    for n, (lo, hi) in box.items():
+        out = out & F.col(n).between(lo, hi)
+    return out
+
+
+def box_of(design: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    r = design.agg(*(f(n).alias(f"{k}{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    return {n: (r[f"lo{n}"], r[f"hi{n}"]) for n in names}
+
+
+def coverage(queries: DataFrame, design: DataFrame, names: list[str], edge: float = 1.0, outside: float = 2.0, box: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """query_id, r and label: distance to the nearest training point over the design's median nearest distance. A query with an
+    input outside the training box (the design's own extent if none is given) is OUTSIDE whatever its r."""
     far = lambda a, b: F.sqrt(sum((F.pow(F.col(f"{a}.{n}") - F.col(f"{b}.{n}"), 2) for n in names), F.lit(0.0)))
     trained = few(design)
+    box = box_of(design, names) if box is None else box
     median = design.alias("a").join(trained.alias("b"), F.col("a.run_id") != F.col("b.run_id")).groupBy("a.run_id").agg(F.min(far("a", "b")).alias("d")).agg(F.percentile("d", 0.5)).first()[0]
-    near = queries.alias("a").join(trained.alias("b")).groupBy("a.query_id").agg(F.min(far("a", "b")).alias("d"))
+    near = queries.withColumn("inside", inside_box(box)).alias("a").join(trained.alias("b")).groupBy("a.query_id", "a.inside").agg(F.min(far("a", "b")).alias("d"))
     r = F.col("d") / F.lit(median) if median else F.lit(0.0)
-    return near.select("query_id", r.alias("r")).withColumn("label", F.when(F.col("r") <= edge, "INSIDE").when(F.col("r") <= outside, "EDGE").otherwise("OUTSIDE"))
+    label = F.when(~F.col("inside"), "OUTSIDE").when(F.col("r") <= edge, "INSIDE").when(F.col("r") <= outside, "EDGE").otherwise("OUTSIDE")
+    return near.select("query_id", "inside", r.alias("r")).select("query_id", "r", label.alias("label"))
 
 
 def run_list(maps: DataFrame) -> list[int]:

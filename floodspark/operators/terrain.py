@@ -44,16 +44,16 @@ def fill(cells: DataFrame, width: int, height: int, epsilon: float = 1e-3, tile:
             if (new == w).all():
                 break
             w = new
-        return pdf[own].assign(filled=w[r[own], c[own]])[names]
+        now = w[r[own], c[own]]
+        return pdf[own].assign(moved=now != pdf.loc[own, "filled"], filled=now)[[*names, "moved"]]
 
     names = state.columns
-    schema = state.schema
+    schema = state.withColumn("moved", F.lit(True)).schema
     while True:
-        before = state.agg(F.count_if(F.col("filled") < float("inf")), F.sum(F.when(F.abs("filled") < float("inf"), F.col("filled")))).first()
         spread = state.withColumn("ar", F.explode(near("row"))).withColumn("ac", F.explode(near("col")))
         state = kept(spread.groupBy("site_id", "ar", "ac").applyInPandas(solve, schema))
-        after = state.agg(F.count_if(F.col("filled") < float("inf")), F.sum(F.when(F.abs("filled") < float("inf"), F.col("filled")))).first()
-        if before[0] == after[0] and (before[1] is None or abs(before[1] - after[1]) < 1e-9):
+        moved, state = state.filter("moved").limit(1).count(), state.drop("moved")
+        if not moved:
             return state.drop("tr", "tc").withColumn("z", F.when(F.col("z") > float("-inf"), F.col("z"))).withColumn("filled", F.when(F.abs("filled") < float("inf"), F.col("filled")))
 
 
@@ -196,13 +196,13 @@ def fill_voids(cells: DataFrame, radius: float, cell_m: float) -> DataFrame:
 
 
 def burn_crest(cells: DataFrame, dams: DataFrame, most: int) -> DataFrame:
-    """Raise the cells across the valley at a dam (site_id, row, col, dr, dc, crest) to its crest, both ways until the
-    first cell that is as high; cells are never lowered."""
+    """Raise the cells across the valley at a dam (dam_id, site_id, row, col, dr, dc, crest) to its crest, both ways until the
+    first cell that is as high, each dam by itself; cells are never lowered and get the highest of several crests."""
     step = F.explode(F.expr(f"filter(sequence(-{most}, {most}), k -> true)"))
     line = dams.withColumn("k", step).withColumn("row", F.col("row") + F.col("k") * F.col("dr")).withColumn("col", F.col("col") + F.col("k") * F.col("dc"))
     got = line.join(cells.select("site_id", "row", "col", "cell_id", "z"), ["site_id", "row", "col"])
-    wall = got.groupBy("site_id", "crest").agg(F.min(F.when((F.col("k") >= 0) & (F.col("z") >= F.col("crest")), F.col("k"))).alias("right"), F.max(F.when((F.col("k") <= 0) & (F.col("z") >= F.col("crest")), F.col("k"))).alias("left"))
-    inside = got.join(wall, ["site_id", "crest"]).filter("k < coalesce(right, k + 1) and k > coalesce(left, k - 1)").groupBy("site_id", "cell_id").agg(F.max("crest").alias("crest"))
+    wall = got.groupBy("site_id", "dam_id").agg(F.min(F.when((F.col("k") >= 0) & (F.col("z") >= F.col("crest")), F.col("k"))).alias("right"), F.max(F.when((F.col("k") <= 0) & (F.col("z") >= F.col("crest")), F.col("k"))).alias("left"))
+    inside = got.join(wall, ["site_id", "dam_id"]).filter("k < coalesce(right, k + 1) and k > coalesce(left, k - 1)").groupBy("site_id", "cell_id").agg(F.max("crest").alias("crest"))
     return cells.join(inside, ["site_id", "cell_id"], "left").withColumn("z", F.when(F.col("z").isNotNull(), F.greatest("z", F.coalesce("crest", "z")))).drop("crest")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodspark.operators import grids, loss, runs
+from floodspark.operators import grids, loss, runs, shapes
 from floodspark.plans.registry import query
 from floodspark.sources import views as v
 
@@ -148,6 +148,8 @@ BUILDING_CELLS = """bc AS (SELECT *, CASE WHEN floor(x_m / 20e0) BETWEEN 0 AND 2
 DAMAGE = """CASE asset_class WHEN 'residential' THEN {r} WHEN 'commercial' THEN {c} WHEN 'industrial' THEN {i} END""".format(
     **{k[0]: f"CASE WHEN least(greatest(depth_m, 0), 6e0) <= 1 THEN least(greatest(depth_m, 0), 6e0) * {curve[1][1]}e0 ELSE {curve[1][1]}e0 + (least(depth_m, 6e0) - 1) * ((1 - {curve[1][1]}e0) / 5) END" for k, curve in CURVES.items()}
 )
+CLASS_SQL = "CASE WHEN kind IN ('house', 'bungalow') THEN 'residential' WHEN kind IN ('retail', 'hotel') THEN 'commercial' WHEN kind = 'warehouse' THEN 'industrial' ELSE 'residential' END"
+LOSS_SQL = f"({DAMAGE}) * area_m2 * CASE asset_class WHEN 'residential' THEN {PRICES['residential']!r}e0 WHEN 'commercial' THEN {PRICES['commercial']!r}e0 END"
 PRICED = f"""b AS (SELECT rr.run_id, bc.*, s.max_depth AS depth_m, CASE WHEN kind IN ('house', 'bungalow') THEN 'residential' WHEN kind IN ('retail', 'hotel') THEN 'commercial' WHEN kind = 'warehouse' THEN 'industrial' ELSE 'residential' END AS asset_class FROM bc CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN summary s ON s.run_id = rr.run_id AND s.face_id = bc.cell_id),
 l AS (SELECT *, CASE WHEN depth_m > 0 THEN ({DAMAGE}) * area_m2 * CASE asset_class WHEN 'residential' THEN {PRICES['residential']!r}e0 WHEN 'commercial' THEN {PRICES['commercial']!r}e0 END END AS loss FROM b)"""
 
@@ -172,35 +174,94 @@ def a13_building_losses(spark, sf):
     return rounded(loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential", keys=RUN), "loss", digits=2)
 
 
-ROADS = "r AS (SELECT osm_id AS road_id, x_m AS x0, y_m AS y0, x_m + area_m2 AS x1, y_m + 0.5e0 * area_m2 AS y1 FROM buildings)"
-PIECES = """q AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM r), n AS (SELECT *, CAST(greatest(1, ceil(len / 10e0)) AS INT) AS n FROM q),
-p AS (SELECT road_id, x0 + (x1 - x0) * ((i + 0.5e0) / n) AS x_m, y0 + (y1 - y0) * ((i + 0.5e0) / n) AS y_m, len / n AS piece_m FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM n))"""
+#: Roads of five vertices, the second leg of which goes straight up.
+ROADS = """rv AS (SELECT osm_id AS road_id, kind, [struct_pack(x := x_m, y := y_m), struct_pack(x := x_m + area_m2, y := y_m + 0.5e0 * area_m2), struct_pack(x := x_m + area_m2, y := y_m + area_m2), struct_pack(x := x_m + 1.5e0 * area_m2, y := y_m + 0.25e0 * area_m2), struct_pack(x := x_m - 0.5e0 * area_m2, y := y_m - 0.5e0 * area_m2)] AS v FROM buildings),
+lg AS (SELECT road_id, kind, k, v[k].x AS x0, v[k].y AS y0, v[k + 1].x AS x1, v[k + 1].y AS y1 FROM rv, unnest(generate_series(1, 4)) t(k)),
+ln AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM lg),
+ch AS (SELECT *, sum(len) OVER (PARTITION BY road_id ORDER BY k) AS b, sum(len) OVER (PARTITION BY road_id) AS total FROM ln)"""
+PIECES = """nn AS (SELECT road_id, kind, max(total) AS total, CAST(greatest(1, ceil(max(total) / 10e0)) AS INT) AS n FROM ch GROUP BY road_id, kind),
+pp AS (SELECT *, (i + 0.5e0) / n * total AS s FROM nn, unnest(generate_series(0, n - 1)) t(i)),
+p AS (SELECT pp.road_id, pp.kind, total_p.x0 + (x1 - x0) * ((s - (b - len)) / len) AS x_m, y0 + (y1 - y0) * ((s - (b - len)) / len) AS y_m, pp.total / n AS piece_m FROM pp JOIN ch total_p ON total_p.road_id = pp.road_id AND s >= b - len AND (s < b OR k = 4))"""
+#: Roads cut where they cross grid lines, and the cells that the pieces are in.
+CUTS = """ts AS (SELECT road_id, kind, k, x0, y0, x1, y1, len, 0e0 AS t FROM ln UNION SELECT road_id, kind, k, x0, y0, x1, y1, len, 1e0 FROM ln
+UNION SELECT road_id, kind, k, x0, y0, x1, y1, len, (g * 20e0 - x0) / (x1 - x0) FROM ln, unnest(generate_series(CAST(floor(least(x0, x1) / 20) AS INT), CAST(ceil(greatest(x0, x1) / 20) AS INT))) u(g) WHERE x0 <> x1
+UNION SELECT road_id, kind, k, x0, y0, x1, y1, len, (g * 20e0 - y0) / (y1 - y0) FROM ln, unnest(generate_series(CAST(floor(least(y0, y1) / 20) AS INT), CAST(ceil(greatest(y0, y1) / 20) AS INT))) u(g) WHERE y0 <> y1),
+cu AS (SELECT *, lead(t) OVER (PARTITION BY road_id, k ORDER BY t) AS t1 FROM ts WHERE t BETWEEN 0 AND 1),
+cp AS (SELECT road_id, kind, len * (t1 - t) AS m, floor((400e0 - (y0 + (y1 - y0) * (t + t1) / 2)) / 20) AS r, floor((x0 + (x1 - x0) * (t + t1) / 2) / 20) AS c FROM cu WHERE t1 - t > 1e-9),
+cl AS (SELECT road_id, kind, CASE WHEN r BETWEEN 0 AND 19 AND c BETWEEN 0 AND 24 THEN CAST(r * 25 + c AS BIGINT) END AS cell_id, sum(m) AS length_m FROM cp GROUP BY ALL)"""
 
 
 def roads(spark, sf):
-    return v.buildings(spark, sf).select(F.col("osm_id").alias("road_id"), F.col("x_m").alias("x0"), F.col("y_m").alias("y0"), (F.col("x_m") + F.col("area_m2")).alias("x1"), (F.col("y_m") + 0.5 * F.col("area_m2")).alias("y1"))
+    x, y, a = F.col("x_m"), F.col("y_m"), F.col("area_m2")
+    vertices = [(x, y), (x + a, y + 0.5 * a), (x + a, y + a), (x + 1.5 * a, y + 0.25 * a), (x - 0.5 * a, y - 0.5 * a)]
+    return v.buildings(spark, sf).select(F.col("osm_id").alias("road_id"), "kind", F.array(*(F.struct(p.alias("x"), q.alias("y")) for p, q in vertices)).alias("line"))
 
 
-@query(f"WITH {ROADS}, {PIECES} SELECT road_id, count(*) AS n_pieces, round(sum(piece_m), 6) AS length_m, round(min(x_m), 6) AS first_x FROM p GROUP BY road_id")
+@query(f"WITH {ROADS}, {PIECES} SELECT road_id, count(*) AS n_pieces, round(sum(piece_m), 6) AS length_m, round(min(x_m), 6) AS first_x, round(sum(y_m), 5) AS sum_y FROM p GROUP BY road_id")
 def j8_densify(spark, sf):
-    out = loss.densify(roads(spark, sf), 10.0).groupBy("road_id").agg(F.count("*").alias("n_pieces"), F.sum("piece_m").alias("length_m"), F.min("x_m").alias("first_x"))
+    out = shapes.densified(roads(spark, sf), 10.0, "road_id").groupBy("road_id").agg(F.count("*").alias("n_pieces"), F.sum("piece_m").alias("length_m"), F.min("x_m").alias("first_x"), F.round(F.sum("y_m"), 5).alias("sum_y"))
     return rounded(out, "length_m", "first_x")
 
 
-@query(f"""WITH {ROADS}, {PIECES}, c AS (SELECT *, CASE WHEN floor(x_m / 20e0) BETWEEN 0 AND 24 AND floor((400e0 - y_m) / 20e0) BETWEEN 0 AND 19 THEN CAST(floor((400e0 - y_m) / 20e0) * 25 + floor(x_m / 20e0) AS BIGINT) END AS cell_id FROM p),
+def road_lengths(spark, sf):
+    return shapes.line_lengths(roads(spark, sf), v.CELL, v.ORIGIN_X, v.ORIGIN_Y, v.WIDTH, v.HEIGHT, "road_id")
+
+
+@query(f"WITH {ROADS}, {CUTS} SELECT road_id, CAST(cell_id AS DOUBLE) AS cell_id, round(length_m, 6) AS length_m FROM cl WHERE round(length_m, 6) > 0")
+def j9_line_cells(spark, sf):
+    """Exact length of every road in every cell."""
+    return doubles(rounded(road_lengths(spark, sf).select("road_id", "cell_id", "length_m"), "length_m"), "cell_id").filter("length_m > 0")
+
+
+@query(f"WITH {ROADS}, {CUTS} SELECT run_id, road_id, round(sum(length_m), 6) AS flooded_m FROM cl JOIN summary s ON s.face_id = cl.cell_id AND max_depth > 0.3e0 GROUP BY run_id, road_id HAVING round(sum(length_m), 6) > 0")
+def j9_flooded_roads(spark, sf):
+    """Flooded length by road and run."""
+    wet = run_cells(spark, sf).filter("max_depth > 0.3")
+    return rounded(shapes.flooded_length(road_lengths(spark, sf), wet, ["road_id"], RUN), "flooded_m").filter("flooded_m > 0")
+
+
+@query(f"WITH {ROADS}, {CUTS} SELECT run_id, kind, round(sum(length_m), 4) AS flooded_m FROM cl JOIN summary s ON s.face_id = cl.cell_id AND max_depth > 0.3e0 GROUP BY run_id, kind")
+def j7_flooded_length_by_kind(spark, sf):
+    wet = run_cells(spark, sf).filter("max_depth > 0.3")
+    return rounded(shapes.flooded_length(road_lengths(spark, sf), wet, ["kind"], RUN), "flooded_m", digits=4)
+
+
+PIECE_CELLS = "c AS (SELECT *, CASE WHEN floor(x_m / 20e0) BETWEEN 0 AND 24 AND floor((400e0 - y_m) / 20e0) BETWEEN 0 AND 19 THEN CAST(floor((400e0 - y_m) / 20e0) * 25 + floor(x_m / 20e0) AS BIGINT) END AS cell_id FROM p)"
+ROAD_PRICE = "(CASE WHEN least(d, 6e0) <= 1 THEN d * 0.37e0 ELSE 0.37e0 + (least(d, 6e0) - 1) * (0.63e0 / 5) END) * piece_m * 3.75e0 * 17.778e0"
+
+
+@query(f"""WITH {ROADS}, {PIECES}, {PIECE_CELLS},
 d AS (SELECT c.*, rr.run_id, s.max_depth AS d FROM c CROSS JOIN (SELECT DISTINCT run_id FROM map_steps) rr LEFT JOIN summary s ON s.run_id = rr.run_id AND s.face_id = c.cell_id)
-SELECT run_id, road_id, round(sum(CASE WHEN d > 0 THEN (CASE WHEN least(d, 6e0) <= 1 THEN d * 0.37e0 ELSE 0.37e0 + (least(d, 6e0) - 1) * (0.63e0 / 5) END) * piece_m * 3.75e0 * 17.778e0 END), 4) AS loss, round(sum(CASE WHEN d > 0 THEN piece_m ELSE 0e0 END), 6) AS flooded_m FROM d GROUP BY run_id, road_id""")
+SELECT run_id, road_id, round(sum(CASE WHEN d > 0 THEN {ROAD_PRICE} END), 4) AS loss, round(sum(CASE WHEN d > 0 THEN piece_m ELSE 0e0 END), 6) AS flooded_m FROM d GROUP BY run_id, road_id""")
 def a14_road_losses(spark, sf):
-    p = loss.in_each_run(loss.densify(roads(spark, sf), 10.0), v.run_ids(spark, sf))
+    p = loss.in_each_run(shapes.densified(roads(spark, sf), 10.0, "road_id"), v.run_ids(spark, sf))
     wet = loss.sample(p, run_cells(spark, sf).withColumnRenamed("max_depth", "depth_m"), "depth_m", RUN, **GRID)
     return rounded(rounded(loss.road_losses(wet, ROAD_CURVE, 17.778, 3.75, keys=RUN), "loss", digits=4), "flooded_m")
 
 
-@query(f"WITH {BUILDING_CELLS}, {PRICED}, e AS (SELECT run_id, asset_class, loss * 0.5e0 AS p10, loss AS p50, loss * 2e0 AS p90 FROM l) SELECT run_id, asset_class, round(sum(p10), 2) AS p10, round(sum(p50), 2) AS p50, round(sum(p90), 2) AS p90 FROM e GROUP BY GROUPING SETS ((run_id, asset_class), (run_id))")
+BANDS = "bands AS (SELECT cell_id, 'p10' AS band, d10 AS d FROM zones UNION ALL SELECT cell_id, 'p50', d50 FROM zones UNION ALL SELECT cell_id, 'p90', d90 FROM zones)"
+
+
+def depth_bands(spark, sf):
+    """The three depth maps of an answer: cell_id, band and depth_m."""
+    z = runs.exceedance(summary(spark, sf))
+    return z.select("cell_id", F.explode(F.array(*(F.struct(F.lit(f"p{k}").alias("band"), F.col(f"d{k}").alias("depth_m")) for k in (10, 50, 90)))).alias("m")).select("cell_id", "m.band", "m.depth_m")
+
+
+@query(f"""WITH {BUILDING_CELLS}, {ROADS}, {PIECES}, {PIECE_CELLS}, {BANDS},
+bl AS (SELECT band, {CLASS_SQL} AS asset_class, CASE WHEN d > 0 THEN {LOSS_SQL} END AS loss FROM (SELECT kind, area_m2, bands.band, bands.d, bands.d AS depth_m FROM bc JOIN bands USING (cell_id))),
+rl AS (SELECT band, 'infrastructure_roads' AS asset_class, CASE WHEN d > 0 THEN {ROAD_PRICE} END AS loss FROM c JOIN bands USING (cell_id)),
+al AS (SELECT asset_class, band, sum(loss) AS loss FROM (SELECT * FROM bl UNION ALL SELECT * FROM rl) GROUP BY asset_class, band)
+SELECT asset_class, round(sum(CASE WHEN band = 'p10' THEN loss END), 2) AS p10, round(sum(CASE WHEN band = 'p50' THEN loss END), 2) AS p50, round(sum(CASE WHEN band = 'p90' THEN loss END), 2) AS p90 FROM al GROUP BY ROLLUP (asset_class)""")
 def a15_loss_estimate(spark, sf):
-    by_class = loss.building_losses(priced(spark, sf), CURVES, PRICES, CLASSES, "residential", keys=RUN)
-    bands = by_class.select("run_id", "asset_class", (F.col("loss") * 0.5).alias("p10"), F.col("loss").alias("p50"), (F.col("loss") * 2).alias("p90"))
-    return rounded(loss.loss_estimate(bands, RUN), "p10", "p50", "p90", digits=2)
+    """Loss by class and in total from the three depth maps, buildings and roads."""
+    bands = depth_bands(spark, sf)
+    b = v.buildings(spark, sf).withColumn("cell_id", loss.cell_of(F.col("x_m"), F.col("y_m"), **GRID)).join(bands, "cell_id")
+    built = loss.building_losses(b, CURVES, PRICES, CLASSES, "residential", keys=("band",)).select("band", "asset_class", "loss")
+    p = shapes.densified(roads(spark, sf), 10.0, "road_id").withColumn("cell_id", loss.cell_of(F.col("x_m"), F.col("y_m"), **GRID)).join(bands, "cell_id")
+    paved = loss.road_losses(p, ROAD_CURVE, 17.778, 3.75, keys=("band",)).groupBy("band").agg(F.sum("loss").alias("loss")).select("band", F.lit("infrastructure_roads").alias("asset_class"), "loss")
+    wide = built.unionByName(paved).groupBy("asset_class").pivot("band", ["p10", "p50", "p90"]).agg(F.sum("loss"))
+    return rounded(loss.loss_estimate(wide), "p10", "p50", "p90", digits=2)
 
 
 ZONE = "CASE WHEN p >= 0.9e0 THEN 2 WHEN p >= 0.1e0 THEN 1 ELSE 0 END"
@@ -222,6 +283,12 @@ def a17_assets_by_zone(spark, sf):
     return loss.by_zone(b.filter("zone is not null"))
 
 
+@query(f"WITH {ROADS}, {CUTS}, k AS (SELECT length_m, {ZONE} AS zone FROM cl JOIN zones z ON z.cell_id = cl.cell_id) SELECT zone, round(sum(length_m), 4) AS roads_m FROM k GROUP BY zone")
+def a17_roads_by_zone(spark, sf):
+    """Length of roads in each zone."""
+    return road_lengths(spark, sf).join(zoned(spark, sf).select("cell_id", "zone"), "cell_id").groupBy("zone").agg(F.round(F.sum("length_m"), 4).alias("roads_m"))
+
+
 @query("SELECT run_id, max(max_depth) AS source_max, sum(max_depth) IS NOT NULL AS any_value, round(100e0 * avg(CASE WHEN max_depth IS NULL THEN 1e0 ELSE 0e0 END), 6) AS void_pct FROM summary GROUP BY run_id")
 def a18_void_statistics(spark, sf):
     s = summary(spark, sf)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodspark.operators import grids, loss, terrain
+from floodspark.operators import grids, loss, shapes, terrain
 from floodspark.plans.flood import RUN, buildings_by_run, doubles, rounded, run_cells, summary
 from floodspark.plans.registry import query
 from floodspark.sources import views as v
@@ -93,14 +93,14 @@ def g9_fill_voids(spark, sf):
     return rounded(terrain.fill_voids(v.dem(spark, sf), 60.0, 20.0).select("site_id", "cell_id", "z"), "z")
 
 
-CREST = "dm AS (SELECT site_id, 10 AS r, 12 AS c, 96.5e0 AS crest FROM dem GROUP BY site_id)"
-
-
-@query(f"""WITH {CREST}, l AS (SELECT d.site_id, cell_id, z, row - 10 AS k, crest FROM dem d JOIN dm ON dm.site_id = d.site_id AND col = 12 AND row BETWEEN 4 AND 16), w AS (SELECT site_id, min(CASE WHEN k >= 0 AND z >= crest THEN k END) AS a, max(CASE WHEN k <= 0 AND z >= crest THEN k END) AS b FROM l GROUP BY site_id),
-i AS (SELECT l.site_id, cell_id, crest FROM l JOIN w ON w.site_id = l.site_id WHERE k < coalesce(a, k + 1) AND k > coalesce(b, k - 1)) SELECT d.site_id, d.cell_id, round(CASE WHEN z IS NOT NULL THEN greatest(z, coalesce(crest, z)) END, 6) AS z FROM dem d LEFT JOIN i ON i.site_id = d.site_id AND i.cell_id = d.cell_id""")
+@query("""WITH dm AS (SELECT site_id, unnest([0, 1, 2]) AS dam_id, unnest([12, 5, 12]) AS pl, unnest([10, 10, 14]) AS mid, unnest([96.5e0, 96.5e0, 95.5e0]) AS crest FROM (SELECT DISTINCT site_id FROM dem)),
+l AS (SELECT d.site_id, dam_id, cell_id, z, row - mid AS k, crest FROM dem d JOIN dm ON dm.site_id = d.site_id AND col = pl AND row BETWEEN mid - 6 AND mid + 6), w AS (SELECT site_id, dam_id, min(CASE WHEN k >= 0 AND z >= crest THEN k END) AS a, max(CASE WHEN k <= 0 AND z >= crest THEN k END) AS b FROM l GROUP BY ALL),
+i AS (SELECT l.site_id, cell_id, max(crest) AS crest FROM l JOIN w ON w.site_id = l.site_id AND w.dam_id = l.dam_id WHERE k < coalesce(a, k + 1) AND k > coalesce(b, k - 1) GROUP BY ALL) SELECT d.site_id, d.cell_id, round(CASE WHEN z IS NOT NULL THEN greatest(z, coalesce(crest, z)) END, 6) AS z FROM dem d LEFT JOIN i ON i.site_id = d.site_id AND i.cell_id = d.cell_id""")
 def g10_burn_crest(spark, sf):
+    """Three dams of each site, two of them of the same crest and two on the same column."""
     d = v.dem(spark, sf)
-    dams = d.select("site_id").distinct().select("site_id", F.lit(10).alias("row"), F.lit(12).alias("col"), F.lit(1).alias("dr"), F.lit(0).alias("dc"), F.lit(96.5).alias("crest"))
+    three = [F.struct(*(F.lit(x).alias(k) for k, x in zip(("dam_id", "row", "col", "dr", "dc", "crest"), dam))) for dam in ((0, 10, 12, 1, 0, 96.5), (1, 10, 5, 1, 0, 96.5), (2, 14, 12, 1, 0, 95.5))]
+    dams = d.select("site_id").distinct().select("site_id", F.inline(F.array(*three)))
     return rounded(terrain.burn_crest(d, dams, 6).select("site_id", "cell_id", "z"), "z")
 
 
@@ -227,19 +227,13 @@ def j6_best_in_window(spark, sf):
     return grids.best_in_window(points, d, "acc", 2).select("site_id", "id", (F.col("row") * W + F.col("col")).alias("best"))
 
 
-@query(f"WITH {WET_CELLS} SELECT run_id, kind, count(*) AS n FROM buildings b JOIN wc ON floor(x_m / 20) = floor(cx / 20) AND ceil(y_m / 20) = ceil(cy / 20) WHERE (400 - y_m) / 20 <> floor((400 - y_m) / 20) GROUP BY run_id, kind")
+@query(f"WITH {WET_CELLS} SELECT run_id, kind, count(*) AS n FROM buildings b JOIN wc ON floor(x_m / 20) = floor(cx / 20) AND floor((400 - y_m) / 20) = floor((400 - cy) / 20) GROUP BY run_id, kind")
 def j7_flooded_by_kind(spark, sf):
     wet = run_cells(spark, sf).filter("max_depth > 0.3").select("run_id", "cell_id")
-    b = v.buildings(spark, sf).filter("(400 - y_m) / 20 <> floor((400 - y_m) / 20)").select("kind", loss.cell_of(F.col("x_m"), F.col("y_m"), origin_x=0.0, origin_y=400.0, cell_m=20.0, width=W, height=H).alias("cell_id"))
+    b = v.buildings(spark, sf).select("kind", loss.cell_of(F.col("x_m"), F.col("y_m"), origin_x=0.0, origin_y=400.0, cell_m=20.0, width=W, height=H).alias("cell_id"))
     return b.join(wet, "cell_id").groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT osm_id AS line_id, round(sqrt(area_m2 * area_m2 + area_m2 * area_m2 * 0.25e0), 6) AS length_m FROM buildings")
-def j9_line_cells(spark, sf):
-    b = v.buildings(spark, sf).select(F.col("osm_id").alias("line_id"), F.col("x_m").alias("x0"), F.col("y_m").alias("y0"), (F.col("x_m") + F.col("area_m2")).alias("x1"), (F.col("y_m") + 0.5 * F.col("area_m2")).alias("y1"))
-    return loss.line_cells(b, 20.0).groupBy("line_id").agg(F.round(F.sum("length_m"), 6).alias("length_m"))
-
-
 @query("WITH s AS (SELECT osm_id, x_m AS x, y_m AS y, sqrt(area_m2) * 2 AS a FROM buildings), c AS (SELECT osm_id, CAST(r AS BIGINT) AS row, CAST(q AS BIGINT) AS col FROM s, unnest(generate_series(CAST(floor(y / 10) AS INT), CAST(floor((y + a) / 10) AS INT))) t(r), unnest(generate_series(CAST(floor(x / 10) AS INT), CAST(floor((x + a) / 10) AS INT))) u(q) WHERE (r + 0.5e0) * 10 >= y AND (r + 0.5e0) * 10 < y + a AND (q + 0.5e0) * 10 >= x AND (q + 0.5e0) * 10 < x + a) SELECT row, col, max(osm_id) AS face_id FROM c GROUP BY ALL")
 def j10_rasterise(spark, sf):
     a = F.sqrt("area_m2") * 2
@@ -249,6 +243,21 @@ def j10_rasterise(spark, sf):
     return grids.rasterise(p, 10.0)
 
 
+@query("""WITH tr AS (SELECT osm_id, area_m2 / 100 AS depth, x_m AS ax, 400 - y_m AS ay, x_m + area_m2 AS bx, 400 - (y_m + 0.3e0 * area_m2) AS b_y, x_m + 0.2e0 * area_m2 AS cx, 400 - (y_m + area_m2) AS cy FROM buildings),
+ce AS (SELECT osm_id, depth, ax, ay, bx, b_y, cx, cy, r, q FROM tr, unnest(generate_series(CAST(greatest(0, floor(least(ay, b_y, cy) / 20)) AS INT), CAST(least(19, floor(greatest(ay, b_y, cy) / 20)) AS INT))) t(r), unnest(generate_series(CAST(greatest(0, floor(least(ax, bx, cx) / 20)) AS INT), CAST(least(24, floor(greatest(ax, bx, cx) / 20)) AS INT))) u(q)),
+ed AS (SELECT *, unnest([[ax, ay, bx, b_y], [bx, b_y, cx, cy], [cx, cy, ax, ay]]) AS e, sign((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) AS turn FROM ce),
+di AS (SELECT osm_id, depth, r, q, list_max(list_transform([[q * 20, r * 20], [q * 20 + 20, r * 20], [q * 20, r * 20 + 20], [q * 20 + 20, r * 20 + 20]], lambda p: turn * ((e[3] - e[1]) * (p[2] - e[2]) - (e[4] - e[2]) * (p[1] - e[1])))) AS most FROM ed),
+hit AS (SELECT osm_id, depth, r, q FROM di GROUP BY ALL HAVING min(most) > 1e-6), box AS (SELECT h.* FROM hit h JOIN tr USING (osm_id) WHERE least(ax, bx, cx) < q * 20 + 20 - 1e-9 AND greatest(ax, bx, cx) > q * 20 + 1e-9 AND least(ay, b_y, cy) < r * 20 + 20 - 1e-9 AND greatest(ay, b_y, cy) > r * 20 + 1e-9)
+SELECT d.site_id, d.row, d.col, coalesce(t.depth, 0e0) AS depth_m FROM (SELECT DISTINCT site_id, row, col FROM dem WHERE z IS NOT NULL) d LEFT JOIN (SELECT r, q, arg_max(depth, osm_id) AS depth FROM box GROUP BY r, q) t ON t.r = d.row AND t.q = d.col""")
+def j10_all_touched(spark, sf):
+    """Depth of the cells that slanted polygons touch, in the domain of each site: 0 where none does."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, a = F.col("x_m"), F.col("y_m"), F.col("area_m2")
+    p = v.buildings(spark, sf).select(F.col("osm_id").alias("face_id"), (a / 100).alias("depth_m"), F.array(point(x, y), point(x + a, y + 0.3 * a), point(x + 0.2 * a, y + a)).alias("ring"))
+    domain = v.dem(spark, sf).filter("z is not null").select("site_id", "row", "col")
+    return shapes.burned(p, "depth_m", domain, v.CELL, v.ORIGIN_X, v.ORIGIN_Y, v.WIDTH, v.HEIGHT)
+
+
 @query("SELECT osm_id, round(area_m2 * 0.5e0 * 3, 6) AS area FROM buildings")
 def m8_polygon_area(spark, sf):
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

@@ -45,7 +45,7 @@ def crossing_stream(series: DataFrame, threshold: float, late: str = "1 hour") -
             if fired or not len(rows):
                 continue
             rows = rows.dropna(subset=["q_m3s"])
-            t, q = np.append(t, rows["ts"].astype("int64") / {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[rows["ts"].dt.unit]), np.append(q, rows["q_m3s"])
+            t, q = np.append(t, rows["at_us"] / 1e6), np.append(q, rows["q_m3s"])
             order = np.lexsort((q, t))
             t, q = t[order], q[order]
             over = np.flatnonzero(q >= threshold)[:1] + 1
@@ -64,6 +64,7 @@ def crossing_stream(series: DataFrame, threshold: float, late: str = "1 hour") -
             state.setTimeoutTimestamp(max(int(t[0] * 1000), mark) + 1)
 
     kind = "t double, q double, fired boolean, held_t array<double>, held_q array<double>"
+    series = series.withColumn("at_us", F.unix_micros("ts"))  # since the epoch, whatever the session's time zone
     return series.withWatermark("ts", late).groupBy("poi_id").applyInPandasWithState(step, "poi_id long, t_cross double", kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 

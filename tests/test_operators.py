@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodspark.functions import checks
-from floodspark.operators import breach, grids, lake, loss, runs, series, surrogate, terrain
+from floodspark.streaming import streams
+from floodspark.operators import breach, grids, lake, loss, runs, series, shapes, surrogate, terrain
 
 
 def test_run_summary_ignores_nan_and_is_strict_at_the_arrival_depth(spark):
@@ -61,12 +62,6 @@ def test_damage_is_held_at_the_cap(spark):
     assert [r[0] for r in df.select(loss.damage_fraction(F.col("d"), curve, 6.0)).collect()] == [0.25, 1.0, 1.0, 0.0, None]
 
 
-def test_line_pieces_sum_to_the_line(spark):
-    df = spark.createDataFrame([(1, 5.0, 5.0, 25.0, 5.0), (2, 0.0, 0.0, 30.0, 40.0), (3, 7.0, 7.0, 7.0, 7.0)], "line_id int, x0 double, y0 double, x1 double, y1 double")
-    got = {r[0]: (round(r[1], 6), r[2]) for r in loss.line_cells(df, 10.0).groupBy("line_id").agg(F.sum("length_m"), F.count("*")).collect()}
-    assert got[1] == (20.0, 3) and got[2][0] == 50.0 and got[3][0] == 0.0
-
-
 def test_resampling_keeps_the_sum(spark):
     df = spark.createDataFrame([(r, c, float(r * 7 + c)) for r in range(9) for c in range(9)], "row int, col int, p double")
     for method in ("sum", "average", "min", "max", "mode", "nearest"):
@@ -185,7 +180,6 @@ def test_curves_that_do_not_increase_are_found(spark):
 
 def test_late_samples_take_their_place_in_time(spark, tmp_path):
     """Batches out of order, late by less than the watermark's delay; a sample that comes late makes the crossing."""
-    from floodspark.streaming import streams
 
     t = lambda minute: datetime(2026, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
     batches = [[(1, t(0), 0.0), (1, t(30), 50.0), (2, t(10), 20.0)], [(1, t(20), 10.0), (1, t(10), 4.0), (2, t(5), 0.0)], [(1, t(200), 99.0), (2, t(400), 1.0)], [(3, t(500), 30.0)]]
@@ -232,3 +226,81 @@ def test_gram_and_samples_equal_numpy(spark):
         assert r.zone == (2 if r.p >= 0.9 else 1 if r.p >= 0.1 else 0)
     for r in surrogate.sample_summaries(basis, scores, 10.0).collect():
         assert abs(r.site_max - max(x[r.sample] for x in depth.values())) < 1e-9 and r.area_m2 == 100.0 * sum(x[r.sample] > 0.3 for x in depth.values())
+
+
+def test_lines_of_many_vertices(spark):
+    point = "array<struct<x:double,y:double>>"
+    rows = [(1, [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (3.0, 10.0)]), (2, [(5.0, 5.0), (5.0, 5.0)]), (3, [(1.0, 2.0)]), (4, []), (5, None), (6, [(0.0, 10.0), (30.0, 10.0)])]
+    df = spark.createDataFrame(rows, f"line_id int, line {point}")
+    got = {}
+    for r in shapes.densified(df, 4.0).orderBy("line_id", "y_m").collect():
+        got.setdefault(r.line_id, []).append((round(r.x_m, 6), round(r.y_m, 6), round(r.piece_m, 6)))
+    step = 11 / 3
+    assert got[1] == [tuple(round(v, 6) for v in p) for p in ((0.3 * step, 0.4 * step, step), (3.0, 4 + 1.5 * step - 5, step), (3.0, 4 + 2.5 * step - 5, step))]
+    assert got[2] == [(5.0, 5.0, 0.0)] and got[3] == [(1.0, 2.0, 0.0)] and not {4, 5} & set(got) and len(got[6]) == 8
+    cells = shapes.line_lengths(df, 10.0, 0.0, 20.0, 2, 2).collect()
+    assert {(r.line_id, r.cell_id): round(r.length_m, 6) for r in cells if r.length_m > 0} == {(1, 2): 11.0, (6, 2): 10.0, (6, 3): 10.0, (6, None): 10.0}
+
+
+def test_all_touched_cells_of_concave_rings(spark):
+    """Against clipping of the ring by every cell."""
+    rng = np.random.default_rng(4)
+    rings = []
+    for _ in range(6):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        radius = rng.uniform(3, 40, 9)
+        rings.append([(float(50 + r * np.cos(a)), float(50 + r * np.sin(a))) for a, r in zip(angle, radius)])
+
+    def clipped_area(ring, x0, y0, x1, y1):
+        for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+            out = []
+            for p, q in zip(ring, ring[1:] + ring[:1]):
+                a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
+                if a >= 0:
+                    out.append(p)
+                if (a > 0 > b) or (a < 0 < b):
+                    out.append(tuple(p[k] + a / (a - b) * (q[k] - p[k]) for k in (0, 1)))
+            ring = out
+            if not ring:
+                return 0.0
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2
+
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], "face_id int, ring array<struct<x:double,y:double>>")
+    got = {tuple(r) for r in shapes.touched(df, 10.0, 0.0, 100.0, 10, 10).collect()}
+    want = {(k, r, c) for k, ring in enumerate(rings) for r in range(10) for c in range(10) if clipped_area(ring, c * 10, 90 - r * 10, c * 10 + 10, 100 - r * 10) > 1e-9}
+    assert got == want
+    values = df.select("face_id", "ring", F.when(F.col("face_id") != 5, F.col("face_id").cast("double")).alias("depth_m"))
+    domain = spark.createDataFrame([(r, c) for r in range(10) for c in range(9)], "row int, col int")
+    burned = {(r.row, r.col): r.depth_m for r in shapes.burned(values, "depth_m", domain, 10.0, 0.0, 100.0, 10, 10).collect()}
+    assert burned == {(r, c): float(max((k for k, a, b in want if (a, b) == (r, c) and k != 5), default=0)) for r in range(10) for c in range(9)}
+
+
+def test_two_dams_of_one_crest_do_not_stop_each_other(spark):
+    cells = spark.createDataFrame([(0, r, c, r * 9 + c, 10.0 if (r, c) in ((2, 1), (4, 1)) else 1.0) for r in range(7) for c in range(9)], "site_id int, row int, col int, cell_id int, z double")
+    dams = spark.createDataFrame([(1, 0, 3, 6, 1, 0, 5.0), (2, 0, 3, 1, 1, 0, 5.0)], "dam_id int, site_id int, row int, col int, dr int, dc int, crest double")
+    got = {(r.row, r.col) for r in terrain.burn_crest(cells, dams, 2).filter("z = 5").collect()}
+    assert got == {(r, 6) for r in range(1, 6)} | {(3, 1)}
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/Lima"])
+def test_crossings_in_other_time_zones(spark, tmp_path, zone):
+    base = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(p, base + timedelta(minutes=m), q) for p in (1, 2) for m, q in ((0, 0.0), (50, 20.0))] + [(9, base + timedelta(days=2), 0.0)]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        spark.createDataFrame(rows, "poi_id long, ts timestamp, q_m3s double").coalesce(1).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("poi_id long, ts timestamp, q_m3s double").parquet(f"{tmp_path}/in")
+        q = streams.crossing_stream(stream, 10.0).writeStream.format("memory").queryName("zones").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {r.poi_id: r.t_cross - base.timestamp() for r in spark.table("zones").collect()} == {1: 1500.0, 2: 1500.0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_queries_just_outside_the_box(spark):
+    design = spark.createDataFrame([(i, float(i % 3), float(i // 3)) for i in range(9)], "run_id int, a double, b double")
+    asked = spark.createDataFrame([(1, 2.0, 2.0), (2, 2.001, 1.0), (3, 1.0, 0.5)], "query_id int, a double, b double")
+    got = {r.query_id: r.label for r in surrogate.coverage(asked, design, ["a", "b"]).collect()}
+    assert got == {1: "INSIDE", 2: "OUTSIDE", 3: "INSIDE"}
+    wide = {n: (-1.0, 3.0) for n in "ab"}
+    assert {r.label for r in surrogate.coverage(asked, design, ["a", "b"], box=wide).collect()} == {"INSIDE"}
