@@ -12,6 +12,31 @@ def spread(width: Column, centre: Column, narrow: tuple[float, float], medium: t
     return F.when(width.isNull(), None).when(within(narrow), "NARROW").when(within(medium), "MEDIUM").otherwise("WIDE")
 
 
+def spread_of_extent(possible_share: Column) -> Column:
+    """By the share of the flooded area that is only possible; NARROW where nothing is flooded (null)."""
+    return F.when(possible_share.isNull() | (possible_share <= 0.2), "NARROW").when(possible_share <= 0.4, "MEDIUM").otherwise("WIDE")
+
+
+def coverage_of_samples(inside_share: Column) -> Column:
+    """INSIDE, EDGE or OUTSIDE by the share of samples inside the training box."""
+    return F.when(inside_share >= 0.95, "INSIDE").when(inside_share >= 0.8, "EDGE").otherwise("OUTSIDE")
+
+
+def combined_level(skill: Column, coverage: Column, width: Column, placeholder: Column | None = None, fallback: Column | None = None) -> Column:
+    """HIGH, MODERATE or LOW from validation skill (FAIR, POOR and UNKNOWN are weak), coverage (EDGE, OUTSIDE) and spread (MEDIUM,
+    WIDE): LOW outside the box, from an empirical fallback or with two weak ones, MODERATE with one or with placeholder inputs."""
+    weak = sum(F.when(F.coalesce(c.isin(*names), F.lit(True)), 1).otherwise(0) for c, names in ((skill, ("FAIR", "POOR", "UNKNOWN")), (coverage, ("EDGE", "OUTSIDE")), (width, ("MEDIUM", "WIDE"))))
+    low = (coverage == "OUTSIDE") | F.coalesce(F.lit(False) if fallback is None else fallback, F.lit(False)) | (weak >= 2)
+    capped = (weak == 1) | F.coalesce(F.lit(False) if placeholder is None else placeholder, F.lit(False))
+    return F.when(low, "LOW").when(capped, "MODERATE").otherwise("HIGH")
+
+
+def overall_level(levels: Column) -> Column:
+    """The lowest of an array of levels."""
+    has = lambda x: F.array_contains(levels, x)
+    return F.when(has("LOW"), "LOW").when(has("MODERATE"), "MODERATE").otherwise("HIGH")
+
+
 def combined(checks: Column) -> Column:
     """Level of an array of grades 2 (good), 1 (fair), 0 (poor): Low with a poor one, High with all good, else Medium."""
     return F.when(F.exists(checks, lambda x: x == 0), "Low").when(F.forall(checks, lambda x: x == 2), "High").otherwise("Medium")

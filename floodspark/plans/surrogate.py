@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from floodspark.operators import emulator as e
 from floodspark.operators import surrogate as s
 from floodspark.plans.flood import rounded, summary
 from floodspark.plans.registry import query
@@ -185,3 +186,118 @@ def f1_latin_hypercube(spark, sf):
     lo, hi = r.loa * 0.8, r.hia * 1.2
     clo, chi = math.log10(r.loc * 0.8), math.log10(r.hic * 1.2)
     return out.select("point", (lo + F.col("a") * (hi - lo)).alias("a"), F.pow(F.lit(10.0), clo + F.col("c") * (chi - clo)).alias("c"))
+
+
+T_END = 86400.0
+#: Depth, velocity and arrival of eight runs over the grid, and the inputs of the runs.
+THREE = "m3 AS (SELECT run_id, CAST(face_id AS BIGINT) AS cell_id, greatest(coalesce(max_depth, 0), 0) AS d, greatest(coalesce(max_velocity, 0), 0) AS v, CASE WHEN arrival_s IS NULL THEN 86400e0 ELSE least(greatest(arrival_s, 0), 86400) * 1e0 END AS t, arrival_s FROM summary)"
+NEAR = "st AS (SELECT unnest([0, 1, -1, 0, 0]) AS a, unnest([0, 0, 0, 1, -1]) AS b)"
+INPUTS = "ri AS (SELECT run_id, avg(velocity_ms) AS a, avg(coalesce(depth_m, 0)) AS b FROM map_steps GROUP BY run_id), ru AS (SELECT run_id, (a - (SELECT avg(a) FROM ri)) / (SELECT stddev_pop(a) FROM ri) AS a, (b - (SELECT avg(b) FROM ri)) / (SELECT stddev_pop(b) FROM ri) AS b FROM ri)"
+#: Wet limit of the corridor: high, as nearly every cell is wet in every run.
+WET = 1.6
+
+
+def three_maps(spark, sf):
+    return summary(spark, sf).select("run_id", F.col("face_id").alias("cell_id"), F.col("max_depth").alias("depth_m"), F.col("max_velocity").alias("velocity_ms"), "arrival_s")
+
+
+def run_inputs(spark, sf):
+    d = v.map_steps(spark, sf).groupBy("run_id").agg(F.avg("velocity_ms").alias("a"), F.avg(F.coalesce("depth_m", F.lit(0.0))).alias("b"))
+    return s.scaled(d, s.scaler(d, set(), NAMES), set())
+
+
+def emulator(spark, sf, fit=True):
+    m = e.Emulator(three_maps(spark, sf), v.WIDTH, v.HEIGHT, T_END, wet_m=WET, buffer=1)
+    if fit:
+        m.fit(run_inputs(spark, sf), NAMES)
+    return m
+
+
+def scenarios(spark, sf):
+    return run_inputs(spark, sf).select(F.col("run_id").cast("long").alias("query_id"), *((F.col(n) * 0.9).alias(n) for n in NAMES))
+
+
+CORRIDOR = f"""wt AS (SELECT cell_id, min(run_id) AS lo, max(run_id) AS hi FROM m3 WHERE d > {WET}e0 GROUP BY cell_id), {NEAR},
+co AS (SELECT CAST(r * 25 + c AS BIGINT) AS cell_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT cell_id // 25 + a AS r, cell_id % 25 + b AS c, lo, hi FROM wt, st) WHERE r BETWEEN 0 AND 19 AND c BETWEEN 0 AND 24 GROUP BY ALL)"""
+
+
+@query(f"WITH {THREE}, {CORRIDOR}, f AS (SELECT c.cell_id, lo, hi, r.run_id, coalesce(d, 0) AS d, coalesce(v, 0) AS v, coalesce(t, 86400e0) AS t FROM co c CROSS JOIN (SELECT DISTINCT run_id FROM m3) r LEFT JOIN m3 ON m3.cell_id = c.cell_id AND m3.run_id = r.run_id) SELECT run_id, count(*) AS n, count(CASE WHEN lo = hi THEN 1 END) AS n_only, round(sum(ln(1 + d)), 6) AS depth, round(sum(ln(1 + v)), 6) AS velocity, round(sum(t), 4) AS arrival FROM f GROUP BY run_id")
+def f2_three_outputs(spark, sf):
+    """The training matrix of depth, velocity and arrival over the corridor, summed by run."""
+    m = emulator(spark, sf, False)
+    n = m.n
+    at = [F.element_at("ys", F.col("k") + 1 + o * n) for o in range(3)]
+    rows = m.wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sums = rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("only") >= 0).alias("n_only"), *(F.round(F.sum(x), 6 if o < 2 else 4).alias(name) for o, (x, name) in enumerate(zip(at, e.OUTPUTS))))
+    return sums.select(F.element_at(F.array(*map(F.lit, m.runs)), F.col("k") + 1).alias("run_id"), "n", "n_only", *e.OUTPUTS)
+
+
+@query()
+def f6_three_outputs(spark, sf):
+    """Central, low and high maps of the three outputs for each scenario."""
+    return emulator(spark, sf).bands(scenarios(spark, sf))
+
+
+@query()
+def f7_scenario_answer(spark, sf):
+    """Percentile bands, zones and inundation probabilities of each scenario."""
+    return emulator(spark, sf).scenario(scenarios(spark, sf))
+
+
+@query()
+def f7_site_values(spark, sf):
+    """Area, site maxima, coverage, spread and confidence of each scenario."""
+    from floodspark.functions import checks
+
+    d, q = run_inputs(spark, sf), scenarios(spark, sf)
+    maps = emulator(spark, sf).scenario(q)
+    site = e.site_values(maps, v.CELL, ("query_id",)).join(s.coverage(q, d, NAMES), "query_id")
+    extent = checks.combined_level(F.lit("GOOD"), F.col("label"), checks.spread_of_extent(F.col("possible_share")))
+    return site.withColumn("confidence", extent)
+
+
+def unknown(spark, sf, n=1000):
+    """An emulator, samples of its inputs over the design's box, and the corners of that."""
+    m = emulator(spark, sf)
+    box = s.box_of(run_inputs(spark, sf), NAMES)
+    corners = [[box["a"][i], box["b"][j]] for i in (0, 1) for j in (0, 1)]
+    return m, s.sample_inputs(spark, box, n, set()).withColumnRenamed("sample_id", "query_id"), corners
+
+
+@query()
+def f9_unknown_breach(spark, sf):
+    """Maps of an unknown breach from 64-bin histograms of all samples."""
+    import numpy as np
+
+    m, samples, corners = unknown(spark, sf)
+    return e.histogram_maps(m.histograms(samples, np.array(corners)), T_END)
+
+
+@query()
+def f9_points(spark, sf):
+    """Percentiles of the samples at the buildings' cells."""
+    m, samples, _ = unknown(spark, sf)
+    from floodspark.operators.loss import cell_of
+
+    points = v.buildings(spark, sf).select(F.col("osm_id").alias("poi_id"), cell_of(F.col("x_m"), F.col("y_m"), v.ORIGIN_X, v.ORIGIN_Y, v.CELL, v.WIDTH, v.HEIGHT).alias("cell_id")).filter("cell_id is not null")
+    first = points.groupBy("cell_id").agg(F.min("poi_id").alias("poi_id"))
+    return m.at_points(samples, first)
+
+
+@query()
+def f11_three_outputs(spark, sf):
+    """Leave-one-out of processes, linear scores, nearest runs and the projection, over the three outputs."""
+    return emulator(spark, sf, False).leave_one_out(run_inputs(spark, sf), NAMES)
+
+
+@query(f"""WITH {THREE}, {CORRIDOR}, {INPUTS}, dd AS (SELECT q.run_id AS f, t.run_id, sqrt(power(q.a - t.a, 2) + power(q.b - t.b, 2)) AS dist FROM ru q JOIN ru t ON q.run_id <> t.run_id),
+kk AS (SELECT f, run_id, 1 / (dist * dist) AS w FROM dd QUALIFY row_number() OVER (PARTITION BY f ORDER BY dist, run_id) <= 3),
+fu AS (SELECT c.cell_id, lo, hi, r.run_id, coalesce(d, 0) AS d, coalesce(v, 0) AS v, coalesce(t, 86400e0) AS t FROM co c CROSS JOIN (SELECT DISTINCT run_id FROM m3) r LEFT JOIN m3 ON m3.cell_id = c.cell_id AND m3.run_id = r.run_id),
+bl AS (SELECT f, cell_id, sum(w * d) / sum(w) AS d, sum(w * v) / sum(w) AS v, sum(w * t) / sum(w) AS t FROM kk JOIN fu USING (run_id) GROUP BY f, cell_id),
+pr AS (SELECT t.run_id, t.d, t.v, t.t, CASE WHEN lo = hi AND lo = t.run_id THEN 0 ELSE b.d END AS pd, CASE WHEN lo = hi AND lo = t.run_id THEN 0 ELSE b.v END AS pv, CASE WHEN lo = hi AND lo = t.run_id THEN 86400e0 ELSE b.t END AS pt FROM fu t JOIN bl b ON b.f = t.run_id AND b.cell_id = t.cell_id)
+SELECT run_id, round(count(CASE WHEN d > 0.3e0 AND pd > 0.3e0 THEN 1 END) / count(CASE WHEN d > 0.3e0 OR pd > 0.3e0 THEN 1 END), 6) AS iou, round(sqrt(avg(CASE WHEN d > 0.03e0 OR pd > 0.03e0 THEN power(pd - d, 2) END)), 6) AS depth_rmse, round(avg(CASE WHEN d > 0.03e0 OR pd > 0.03e0 THEN abs(pv - v) END), 6) AS velocity_mae,
+round(avg(CASE WHEN t < 86400 AND pd > 0.1e0 THEN abs(pt - t) END), 4) AS arrival_mae, round(2 * count(CASE WHEN d > 0.1e0 AND pd > 0.1e0 THEN 1 END) / (count(CASE WHEN d > 0.1e0 THEN 1 END) + count(CASE WHEN pd > 0.1e0 THEN 1 END)), 6) AS f1_010 FROM pr GROUP BY run_id""")
+def f11_nearest_baseline(spark, sf):
+    """The baseline that blends the three nearest runs, with a corridor for each fold."""
+    out = emulator(spark, sf, False).leave_one_out(run_inputs(spark, sf), NAMES, methods=("nearest",))
+    return out.select("run_id", *(F.round(x, 4 if x == "arrival_mae" else 6).alias(x) for x in ("iou", "depth_rmse", "velocity_mae", "arrival_mae", "f1_010")))
