@@ -22,21 +22,40 @@ from floodspark.sources.io import kept
 OUTPUTS = ("depth", "velocity", "arrival")
 # Thresholds and normal quantiles of the method; fixed values.
 WET_M, EXTENT_M, ARRIVAL_M, BAND_Z, P90_Z = 0.03, 0.3, 0.1, 1.645, 1.2815515655446004
+#: Cells that are put together at once.
+CELLS = 4096
 #: Bins of a histogram, samples that tasks hold at once, and samples of one pass.
 BINS, CHUNK, PASS = 64, 256, 20_000
 
 
-def corridor(maps: DataFrame, width: int, height: int, wet_m: float = WET_M, buffer: int = 3) -> DataFrame:
+def corridor(maps: DataFrame, width: int, height: int, wet_m: float = WET_M, buffer: int = 3, tile: int = 256) -> DataFrame:
     """cell_id of row-major cells that some run wets, and all within ``buffer`` four-neighbour steps, with lo and hi: the
-    smallest and the largest run (column i) that does. A cell with lo = hi is in the corridor for that run alone."""
+    smallest and the largest run (column i) that does. A cell with lo = hi is in the corridor for that run alone. Wet cells go to their
+    tile, and near its edge to the next one too; every tile widens its own."""
     wet = maps.filter(F.col("depth_m") > wet_m).groupBy("cell_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     if not buffer:
         return wet
-    row, col = F.floor(F.col("cell_id") / width), F.col("cell_id") % width
-    steps = [(a, b) for a in range(-buffer, buffer + 1) for b in range(-buffer, buffer + 1) if abs(a) + abs(b) <= buffer]
-    near = wet.select("lo", "hi", row.alias("r"), col.alias("c"), F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps))))
-    near = near.withColumns({"r": F.col("r") + F.col("a"), "c": F.col("c") + F.col("b")}).filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
-    return near.groupBy((F.col("r") * width + F.col("c")).cast("long").alias("cell_id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = lambda x: F.explode(F.array_distinct(F.array(*(F.floor((F.col(x) + d) / tile).cast("int") for d in (-buffer, 0, buffer)))))
+    spread = wet.select("lo", "hi", F.floor(F.col("cell_id") / width).cast("int").alias("r"), (F.col("cell_id") % width).cast("int").alias("c")).withColumn("tr", near("r")).withColumn("tc", near("c"))
+
+    def widened(table: pa.Table) -> pa.Table:
+        tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
+        side = tile + 2 * buffer
+        lo, hi = np.full((side + 2, side + 2), 1 << 30), np.full((side + 2, side + 2), -1)
+        r, c = (table.column(x).to_numpy() - t * tile + buffer + 1 for x, t in (("r", tr), ("c", tc)))
+        lo[r, c], hi[r, c] = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+        for _ in range(buffer):
+            for grid, least in ((lo, np.minimum), (hi, np.maximum)):
+                old = grid.copy()
+                for step in ((0, 1), (2, 1), (1, 0), (1, 2)):
+                    grid[1:-1, 1:-1] = least(grid[1:-1, 1:-1], old[step[0] : step[0] + side, step[1] : step[1] + side])
+        own = slice(buffer + 1, buffer + 1 + tile)
+        r, c = np.nonzero(hi[own, own] >= 0)
+        keep = (r + tr * tile >= 0) & (r + tr * tile < height) & (c + tc * tile >= 0) & (c + tc * tile < width)
+        r, c = r[keep], c[keep]
+        return pa.table({"cell_id": (r + tr * tile).astype(np.int64) * width + c + tc * tile, "lo": pa.array(lo[own, own][r, c], pa.int32()), "hi": pa.array(hi[own, own][r, c], pa.int32())})
+
+    return spread.groupBy("tr", "tc").applyInArrow(widened, "cell_id long, lo int, hi int")
 
 
 def physical(z: np.ndarray, output: int, t_end: float) -> np.ndarray:
@@ -49,6 +68,11 @@ def values(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return batch.column("ys").flatten().to_numpy().reshape(-1, 3, n)
 
 
+def products(y: np.ndarray) -> np.ndarray:
+    """Inner products of the runs, for each output."""
+    return np.stack([x.T @ x for x in np.ascontiguousarray(y.transpose(1, 0, 2))])
+
+
 def decoded(y: np.ndarray, latent: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Transformed mean and deviation (cells x queries) of each output for a block of cells."""
     for o, (mean, sd) in enumerate(latent):
@@ -87,28 +111,27 @@ class Emulator:
         self.n = n = len(self.runs)
         places = F.broadcast(self.spark.createDataFrame([(r, i) for i, r in enumerate(self.runs)], "run_id int, i int"))  # as many rows as runs
         maps = maps.select(F.col("run_id").cast("int").alias("run_id"), F.col("cell_id").cast("long").alias("cell_id"), "depth_m", "velocity_ms", F.col("arrival_s").cast("double").alias("arrival_s")).join(places, "run_id")
-        values = F.struct("i", F.col("depth_m").cast("double").alias("d"), F.col("velocity_ms").cast("double").alias("v"), F.col("arrival_s").alias("a"))
-        grouped = maps.groupBy("cell_id").agg(F.collect_list(values).alias("x"), F.min(F.when(F.col("depth_m") > wet_m, F.col("i"))).alias("lo"), F.max(F.when(F.col("depth_m") > wet_m, F.col("i"))).alias("hi"))
-        if buffer:
-            grouped = corridor(maps, width, height, wet_m, buffer).join(grouped.drop("lo", "hi"), "cell_id", "left")
-        only = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("only")
-
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column("x")
-                size = x.value_lengths().fill_null(0).to_numpy()
-                at, flat = np.repeat(np.arange(batch.num_rows), size), x.flatten()
-                i = flat.field("i").to_numpy()
-                y = np.zeros((batch.num_rows, 3, n))
-                y[:, 2] = t_end
-                for k, name in enumerate("dva"):
-                    value = flat.field(name).to_numpy(zero_copy_only=False).astype(float)
-                    value = np.where(np.isnan(value), t_end if k == 2 else 0.0, value)
-                    y[at, k, i] = np.clip(value, 0, t_end) if k == 2 else np.log1p(np.maximum(value, 0))
-                ys = pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * (3 * n), y.reshape(-1))
-                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("only"), ys], ["cell_id", "only", "ys"])
-
-        self.wide = kept(grouped.filter("lo is not null").select("cell_id", only, "x").mapInArrow(placed, "cell_id long, only int, ys array<double>"))
+        block = F.floor(F.col("cell_id") / CELLS).alias("block")
+        marked = corridor(maps, width, height, wet_m, buffer).select(block, "cell_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).cast("int").alias("only"))
+        some = (F.col("depth_m") > 0) | (F.col("velocity_ms") > 0) | F.col("arrival_s").isNotNull()  # others are as if absent
+        rows = maps.filter(some).select(block, "cell_id", "i", *(F.col(x).cast("double").alias(x) for x in ("depth_m", "velocity_ms", "arrival_s")))
+
+        def placed(table: pa.Table, cells: pa.Table) -> pa.Table:
+            cells = cells.sort_by("cell_id")
+            known, ids = cells.column("cell_id").to_numpy(), table.column("cell_id").to_numpy()
+            at = np.searchsorted(known, ids).clip(0, max(len(known) - 1, 0))
+            keep = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+            at, i = at[keep], table.column("i").to_numpy()[keep]
+            y = np.zeros((len(known), 3, n))
+            y[:, 2] = t_end
+            for k, name in enumerate(("depth_m", "velocity_ms", "arrival_s")):
+                value = table.column(name).to_numpy()[keep]
+                value = np.where(np.isnan(value), t_end if k == 2 else 0.0, value)
+                y[at, k, i] = np.clip(value, 0, t_end) if k == 2 else np.log1p(np.maximum(value, 0))
+            ys = pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * (3 * n), y.reshape(-1))
+            return pa.table({"cell_id": pa.array(known, pa.int64()), "only": cells.column("only"), "ys": ys})
+
+        self.wide = kept(rows.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(lambda a, b: placed(a, b), "cell_id long, only int, ys array<double>"))
         self.centre = np.eye(n) - 1 / n
         self.gram = self.grams(False)[-1]
         self.parts = [Part(scores, self.centre @ weights, explained) for scores, weights, explained in (s.principal(self.centre @ g @ self.centre, share) for g in self.gram)]
@@ -123,10 +146,9 @@ class Emulator:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 y, only = values(batch, n), batch.column("only").to_numpy()
-                total[-1] = total.get(-1, 0) + np.einsum("cki,ckj->kij", y, y, optimize=True)
+                total[-1] = total.get(-1, 0) + products(y)
                 for f in np.unique(only[only >= 0]) if folds else ():
-                    own = y[only == f]
-                    total[int(f)] = total.get(int(f), 0) + np.einsum("cki,ckj->kij", own, own, optimize=True)
+                    total[int(f)] = total.get(int(f), 0) + products(y[only == f])
             for f, g in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([g.reshape(-1)])], ["fold", "g"])
 
