@@ -155,37 +155,6 @@ def nearest_component(labelled: DataFrame, points: DataFrame, radius: int) -> Da
     return points.select("site_id", "id").join(best, ["site_id", "id"], "left").select("site_id", "id", F.col("b.component").alias("component"), F.col("b.d2").alias("d2"))
 
 
-def outlines(labelled: DataFrame) -> DataFrame:
-    """site_id, component, ring, points of each component (site_id, component, row, col): its border edges, those
-    without a neighbour of the component, chained to closed rings with the inside on the right."""
-    sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(x).alias("x"), F.lit(y).alias("y")) for a, b, p, q, x, y in ((-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0))))
-    e = labelled.withColumn("s", F.explode(sides)).withColumn("nr", F.col("row") + F.col("s.a")).withColumn("nc", F.col("col") + F.col("s.b"))
-    other = labelled.select("site_id", "component", F.col("row").alias("nr"), F.col("col").alias("nc"))
-    border = e.join(other, ["site_id", "component", "nr", "nc"], "left_anti").select("site_id", "component", (F.col("row") + F.col("s.p")).alias("r0"), (F.col("col") + F.col("s.q")).alias("c0"), (F.col("row") + F.col("s.x")).alias("r1"), (F.col("col") + F.col("s.y")).alias("c1"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[tuple, list[tuple]] = {}
-        for x in pdf.sort_values(["r0", "c0", "r1", "c1"]).itertuples():
-            ways.setdefault((x.r0, x.c0), []).append((x.r1, x.c1))
-        out = []
-        for start in sorted(ways):
-            while ways[start]:
-                ring, at, came = [start], start, (0, 0)
-                while True:
-                    # at a corner where two rings touch, turn right to stay on the same one
-                    right = lambda to: (came[0] * (to[1] - at[1]) - came[1] * (to[0] - at[0]))  # noqa: B023, E731
-                    to = min(ways[at], key=right)
-                    ways[at].remove(to)
-                    came, at = (to[0] - at[0], to[1] - at[1]), to
-                    ring.append(at)
-                    if at == start:
-                        break
-                out.append(ring)
-        return pd.DataFrame({"site_id": pdf["site_id"].iloc[0], "component": pdf["component"].iloc[0], "ring": range(len(out)), "points": [[{"row": int(r), "col": int(c)} for r, c in ring] for ring in out]})
-
-    return border.groupBy("site_id", "component").applyInPandas(chain, "site_id int, component int, ring int, points array<struct<row:int,col:int>>")
-
-
 def fill_voids(cells: DataFrame, radius: float, cell_m: float) -> DataFrame:
     """Null heights from the valid cells within ``radius``, weighted by 1 / d**2; null if there are none."""
     at = lambda d, x, y: d.withColumn(x, F.col("col") * cell_m + F.col("site_id") * 1e7).withColumn(y, F.col("row") * cell_m)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from floodspark.operators import grids, loss, shapes, terrain
+from floodspark.operators import grids, loss, outlines, shapes, terrain
 from floodspark.plans.flood import RUN, buildings_by_run, doubles, rounded, run_cells, summary
 from floodspark.plans.registry import query
 from floodspark.sources import views as v
@@ -81,11 +82,52 @@ def g7_components(spark, sf):
     return terrain.components(mask(spark, sf))
 
 
-@query()
-def g8_outlines(spark, sf):
+LABELS = f"{MASK}, r AS (SELECT site_id, cell_id, row, col, cell_id AS c FROM mk UNION SELECT m.site_id, m.cell_id, m.row, m.col, r.c FROM r JOIN mk m ON m.site_id = r.site_id AND abs(m.row - r.row) <= 1 AND abs(m.col - r.col) <= 1 AND r.c < m.cell_id), la AS (SELECT site_id, min(c) AS component, row, col FROM r GROUP BY site_id, cell_id, row, col)"
+#: Ring lengths and areas by walking every ring from each of its edges; the outer ring around a hole is the smallest that it lies inside.
+RINGS = f"""{LABELS}, sd AS (SELECT unnest([0, 1, 2, 3]) AS side, unnest([-1, 0, 1, 0]) AS a, unnest([0, 1, 0, -1]) AS b, unnest([0, 0, 1, 1]) AS p, unnest([0, 1, 1, 0]) AS q, unnest([0, 1, 1, 0]) AS x, unnest([1, 1, 0, 0]) AS y),
+ed AS (SELECT site_id, component, row::BIGINT * 4294967296 + col * 4 + side AS edge, row + p AS r0, col + q AS c0, row + x AS r1, col + y AS c1 FROM la l, sd WHERE NOT EXISTS (SELECT 1 FROM la o WHERE o.site_id = l.site_id AND o.component = l.component AND o.row = l.row + a AND o.col = l.col + b)),
+nx AS (SELECT e.site_id, e.component, e.edge, arg_min(f.edge, (e.r1 - e.r0) * (f.c1 - f.c0) - (e.c1 - e.c0) * (f.r1 - f.r0)) AS next FROM ed e JOIN ed f ON f.site_id = e.site_id AND f.component = e.component AND f.r0 = e.r1 AND f.c0 = e.c1 GROUP BY e.site_id, e.component, e.edge),
+wk AS (SELECT site_id, component, edge, edge AS at_edge FROM ed UNION SELECT w.site_id, w.component, w.edge, n.next FROM wk w JOIN nx n ON n.site_id = w.site_id AND n.component = w.component AND n.edge = w.at_edge),
+rg AS (SELECT ed.*, ring FROM ed JOIN (SELECT site_id, component, edge, min(at_edge) AS ring FROM wk GROUP BY ALL) USING (site_id, component, edge)),
+ab AS (SELECT site_id, component, ring, count(*) AS n_edges, CAST(sum(c0 * r1 - c1 * r0) / 2 AS BIGINT) AS area FROM rg GROUP BY ALL),
+up AS (SELECT site_id, component, ring, least(r0, r1) AS row, c0 AS col FROM rg WHERE c0 = c1), fi AS (SELECT site_id, component, ring, min({{'r': row, 'c': col}}) AS f FROM up GROUP BY ALL),
+ho AS (SELECT a.site_id, a.component, a.ring, o.ring AS o, o.area FROM ab a JOIN fi USING (site_id, component, ring) JOIN ab o ON o.site_id = a.site_id AND o.component = a.component AND o.area > 0 JOIN up ON up.site_id = a.site_id AND up.component = a.component AND up.ring = o.ring AND up.row = f.r AND up.col < f.c WHERE a.area < 0 GROUP BY ALL HAVING count(*) % 2 = 1),
+ne AS (SELECT ab.*, coalesce(h.o, ab.ring) AS outer_ring FROM ab LEFT JOIN (SELECT site_id, component, ring, arg_min(o, area) AS o FROM ho GROUP BY ALL) h USING (site_id, component, ring))"""
+
+
+def labelled(spark, sf):
     m = mask(spark, sf)
-    out = terrain.outlines(terrain.components(m).join(m.select("site_id", "cell_id", "row", "col"), ["site_id", "cell_id"]))
-    return out.select("site_id", "component", "ring", (F.size("points") - 1).alias("n_edges"))
+    return terrain.components(m).join(m.select("site_id", "cell_id", "row", "col"), ["site_id", "cell_id"])
+
+
+@query(f"WITH {RINGS} SELECT site_id, component, ring, n_edges, area, outer_ring AS \"outer\" FROM ne")
+def g8_outlines(spark, sf):
+    """Length, area and outer ring of every ring of every component."""
+    return outlines.nested(outlines.rings(labelled(spark, sf)))
+
+
+@query(f"""WITH {RINGS}, tn AS (SELECT r.site_id, r.component, r.ring, r.r1 AS row, r.c1 AS col FROM rg r JOIN nx USING (site_id, component, edge) JOIN rg n ON n.site_id = r.site_id AND n.component = r.component AND n.edge = nx.next WHERE (r.r1 - r.r0, r.c1 - r.c0) <> (n.r1 - n.r0, n.c1 - n.c0))
+SELECT site_id, component, ring, count(*) AS n_corners, sum(row * 31 + col * 17)::BIGINT AS places FROM tn GROUP BY site_id, component, ring""")
+def g8_corners(spark, sf):
+    """Corners of the rings."""
+    return outlines.corners(outlines.rings(labelled(spark, sf))).groupBy("site_id", "component", "ring").agg(F.count("*").alias("n_corners"), F.sum(F.col("row") * 31 + F.col("col") * 17).cast("long").alias("places"))
+
+
+@query(f"WITH {RINGS} SELECT site_id, component, count(CASE WHEN area > 0 THEN 1 END) AS n_polygons, count(*) AS n_rings, sum(area)::BIGINT AS n_cells FROM ne GROUP BY site_id, component")
+def g8_geojson(spark, sf):
+    """GeoJSON outlines in lon/lat, read back: polygons, rings, and the area in cells from the projected corners."""
+    edges = outlines.rings(labelled(spark, sf))
+    shapes_ = outlines.polygons(outlines.located(outlines.corners(edges), 400000.0, 3000000.0, 20.0, 45), outlines.nested(edges))
+    text = shapes_.select("site_id", "component", outlines.polygon_feature("polygons", "site_id", "component").alias("feature"))
+    kind = "geometry struct<coordinates:array<array<array<array<double>>>>>"
+    back = text.select("site_id", "component", F.from_json("feature", kind)["geometry"]["coordinates"].alias("p"))
+    ring = back.select("site_id", "component", F.size("p").alias("n_polygons"), F.posexplode(F.flatten("p")).alias("k", "ring"))
+    x, y = grids.utm(F.col("at")[0], F.col("at")[1], 45)
+    points = ring.select("site_id", "component", "n_polygons", "k", F.posexplode("ring").alias("i", "at")).withColumns({"x": F.round((x - 400000) / 20), "y": F.round((3000000 - y) / 20)})
+    following = Window.partitionBy("site_id", "component", "k").orderBy("i")
+    cross = F.col("x") * F.lead("y").over(following) - F.lead("x").over(following) * F.col("y")
+    sums = points.withColumn("cross", cross).groupBy("site_id", "component", "n_polygons").agg(F.countDistinct("k").alias("n_rings"), (-F.sum("cross") / 2).cast("long").alias("n_cells"))
+    return sums.select("site_id", "component", F.col("n_polygons").cast("long").alias("n_polygons"), "n_rings", "n_cells")
 
 
 @query("WITH f AS (SELECT a.site_id, a.cell_id, sum(b.z / ((a.row - b.row) * (a.row - b.row) * 400e0 + (a.col - b.col) * (a.col - b.col) * 400e0)) / sum(1 / ((a.row - b.row) * (a.row - b.row) * 400e0 + (a.col - b.col) * (a.col - b.col) * 400e0)) AS z FROM dem a JOIN dem b ON a.site_id = b.site_id AND a.z IS NULL AND b.z IS NOT NULL AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 9 GROUP BY ALL) SELECT d.site_id, d.cell_id, round(coalesce(d.z, f.z), 6) AS z FROM dem d LEFT JOIN f ON f.site_id = d.site_id AND f.cell_id = d.cell_id")

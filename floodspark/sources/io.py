@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back. For loops of joins: a checkpoint keeps the optimiser's constraints of
+    all rounds before, whose number can double with each."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_cells(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """Cells with nodata as null; a cell off the grid is an error."""
     cells = spark.read.schema(CELLS).parquet(path)

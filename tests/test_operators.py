@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodspark.functions import checks
+from floodspark.sources.io import stored
 from floodspark.streaming import streams
-from floodspark.operators import breach, grids, lake, loss, runs, series, shapes, surrogate, terrain
+from floodspark.operators import breach, grids, lake, loss, outlines, runs, series, shapes, surrogate, terrain
 
 
 def test_run_summary_ignores_nan_and_is_strict_at_the_arrival_depth(spark):
@@ -124,13 +125,38 @@ def test_fill_and_accumulation_equal_a_heap(spark):
     assert [r.cell_id for r in got] == path
 
 
-def test_outlines_close_and_have_the_right_length(spark):
-    cells = [(0, 0), (0, 1), (1, 0), (2, 2)]
-    m = spark.createDataFrame([(0, r, c, r * 10 + c) for r, c in cells], "site_id int, row int, col int, cell_id int")
-    labelled = terrain.components(m).join(m.select("cell_id", "row", "col"), "cell_id")
-    got = terrain.outlines(labelled).collect()
-    assert sorted((r.component, len(r.points) - 1) for r in got) == [(0, 8), (22, 4)]
-    assert all(r.points[0] == r.points[-1] for r in got)
+def test_outlines_with_holes_islands_and_touching_corners(spark):
+    picture = ["#######..", "#.#...#..", "#.#.#.#.#", "#.#...#..", "#######.."]  # holes, an island in one of them, a cell apart
+    cells = [(0, r, c, 1 if c < 8 else 2) for r, line in enumerate(picture) for c, x in enumerate(line) if x == "#"] + [(1, 0, 0, 5), (1, 1, 1, 5)]
+    edges = outlines.rings(spark.createDataFrame(cells, "site_id int, row int, col int, component int"))
+    rows = edges.orderBy("site_id", "component", "ring", "pos").collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.site_id, r.component, r.ring), []).append(r)
+    for ring in by.values():
+        assert [r.pos for r in ring] == [*range(len(ring))]
+        assert all((a.r1, a.c1) == (b.r0, b.c0) for a, b in zip(ring, ring[1:] + ring[:1]))
+    got = {(r.site_id, r.component, r.n_edges, r.area): r for r in outlines.nested(edges).collect()}
+    assert sorted(got) == [(0, 1, 4, 1), (0, 1, 8, -3), (0, 1, 12, -9), (0, 1, 24, 35), (0, 2, 4, 1), (1, 5, 4, 1)]
+    whole, island = got[0, 1, 24, 35].ring, got[0, 1, 4, 1]
+    assert got[0, 1, 8, -3].outer == got[0, 1, 12, -9].outer == whole and island.outer == island.ring
+    assert outlines.nested(edges).filter("site_id = 1").count() == 2  # cells that touch in a corner are two rings
+    assert outlines.corners(edges).filter("site_id = 0 and component = 1").count() == 16
+    shapes_ = outlines.polygons(outlines.located(outlines.corners(edges), 400000.0, 3000000.0, 20.0, 45), outlines.nested(edges))
+    one = shapes_.filter("site_id = 0 and component = 1").select("polygons", outlines.polygon_placemark(F.lit("lake"), F.col("polygons"), F.lit("ff0000ff")).alias("kml")).first()
+    assert sorted(len(p) for p in one.polygons) == [1, 3] and all(r[0] == r[-1] for p in one.polygons for r in p)
+    turn = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))
+    assert all(turn(p[0]) > 0 and all(turn(h) < 0 for h in p[1:]) for p in one.polygons)
+    assert one.kml.count("<outerBoundaryIs>") == 2 and one.kml.count("<innerBoundaryIs>") == 2 and "ff0000ff" in one.kml
+
+
+def test_a_long_outline_takes_few_rounds(spark, monkeypatch):
+    """A comb of one component with a ring of some thousand edges."""
+    cells = [(0, 0, c, 1) for c in range(200)] + [(0, r, c, 1) for c in range(0, 200, 2) for r in range(1, 12)]
+    calls = []
+    monkeypatch.setattr(outlines, "stored", lambda df: (calls.append(1), stored(df))[1])
+    edges = outlines.rings(spark.createDataFrame(cells, "site_id int, row int, col int, component int"))
+    assert edges.agg(F.max("pos")).first()[0] == edges.count() - 1 > 2000 and len(calls) < 35
 
 
 def test_principal_components_recover_low_rank_maps(spark):
