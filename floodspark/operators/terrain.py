@@ -1,7 +1,7 @@
 """Terrain jobs on graphs of cells: filling, drainage, accumulation, heights, components, outlines.
 
-Chains of cells are followed by pointer doubling, about log2(length) joins, and the fill works on tiles that
-exchange their border cells, so no step needs a whole site in one place. Every round is a checkpoint.
+The fill works on tiles that exchange their border cells; accumulation, heights and components are solved inside tiles and then
+among their rims (``tiles``); traces follow chains of cells by pointer doubling. Every round is a checkpoint.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floodspark.operators import tiles
 from floodspark.operators.grids import neighbours, within_radius
 from floodspark.sources.io import kept
 
@@ -64,30 +65,20 @@ def drainage(filled: DataFrame) -> DataFrame:
     return filled.join(best, ["site_id", "cell_id"], "left").withColumn("parent", F.when(~F.col("seed"), F.col("b.cell_id"))).drop("b")
 
 
-def accumulation(tree: DataFrame) -> DataFrame:
-    """site_id, cell_id and the number of cells that drain through each, itself included. After k rounds a cell has
-    counted all within 2**k steps and points 2**k steps on."""
-    state = kept(tree.select("site_id", "cell_id", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("n")))
-    while state.filter("jump is not null").limit(1).count():
-        added = state.filter("jump is not null").groupBy("site_id", F.col("jump").alias("cell_id")).agg(F.sum("n").alias("more"))
-        onward = state.select("site_id", F.col("cell_id").alias("jump"), F.col("jump").alias("next"))
-        state = kept(state.join(added, ["site_id", "cell_id"], "left").join(onward, ["site_id", "jump"], "left").select("site_id", "cell_id", F.col("next").alias("jump"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
-    return state.select("site_id", "cell_id", F.col("n").alias("accumulation"))
+def accumulation(tree: DataFrame, tile: int = 256) -> DataFrame:
+    """site_id, cell_id and the number of cells that drain through each, itself included (cells with row, col, parent)."""
+    return tiles.accumulation(tree, tile)
 
 
-def first_ancestor(tree: DataFrame, marked: str) -> DataFrame:
+def first_ancestor(tree: DataFrame, marked: str, tile: int = 256) -> DataFrame:
     """site_id, cell_id and the first marked cell on the way down from each, itself included; null if none."""
-    state = kept(tree.select("site_id", "cell_id", F.when(F.col(marked), F.col("cell_id")).alias("found"), F.col("parent").alias("jump")))
-    while state.filter("found is null and jump is not null").limit(1).count():
-        ahead = state.select("site_id", F.col("cell_id").alias("jump"), F.col("found").alias("f2"), F.col("jump").alias("j2"))
-        state = kept(state.join(ahead, ["site_id", "jump"], "left").select("site_id", "cell_id", F.coalesce("found", "f2").alias("found"), F.when(F.coalesce("found", "f2").isNull(), F.col("j2")).alias("jump")))
-    return state.select("site_id", "cell_id", "found")
+    return tiles.first_ancestor(tree, marked, tile)
 
 
-def height_above(tree: DataFrame, marked: str) -> DataFrame:
+def height_above(tree: DataFrame, marked: str, tile: int = 256) -> DataFrame:
     """Filled height over that of the first channel cell downstream, in single precision; null if none."""
     f = tree.select("site_id", F.col("cell_id").alias("found"), F.col("filled").cast("float").alias("low"))
-    return tree.select("site_id", "cell_id", F.col("filled").cast("float").alias("high")).join(first_ancestor(tree, marked), ["site_id", "cell_id"]).join(f, ["site_id", "found"], "left").select("site_id", "cell_id", (F.col("high") - F.col("low")).alias("hand"))
+    return tree.select("site_id", "cell_id", F.col("filled").cast("float").alias("high")).join(first_ancestor(tree, marked, tile), ["site_id", "cell_id"]).join(f, ["site_id", "found"], "left").select("site_id", "cell_id", (F.col("high") - F.col("low")).alias("hand"))
 
 
 def trace(tree: DataFrame, starts: DataFrame) -> DataFrame:
@@ -116,22 +107,9 @@ def upstream(basins: DataFrame, seeds_: DataFrame, hops: int = 25) -> DataFrame:
     return found
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """site_id, cell_id and component (least cell_id) of eight-connected cells (site_id, row, col, cell_id): labels
-    go to neighbours and then to the label's own label, so long shapes take few rounds."""
-    edges = kept(neighbours(mask.select("site_id", "row", "col", "cell_id"), "cell_id").select("site_id", "cell_id", F.col("n_cell_id").alias("other")))
-    state = kept(mask.select("site_id", "cell_id", F.col("cell_id").alias("component")))
-    while True:
-        total = state.agg(F.sum("component")).first()[0]
-        low = edges.join(state.select("site_id", F.col("cell_id").alias("other"), F.col("component").alias("c")), ["site_id", "other"]).groupBy("site_id", "cell_id").agg(F.min("c").alias("c"))
-        # the neighbourhood's label also hooks the old label's cell
-        now = state.join(low, ["site_id", "cell_id"], "left").withColumn("new", F.least("component", F.coalesce("c", "component")))
-        hooks = now.groupBy("site_id", F.col("component").alias("cell_id")).agg(F.min("new").alias("hook"))
-        now = kept(now.select("site_id", "cell_id", "new").join(hooks, ["site_id", "cell_id"], "left").select("site_id", "cell_id", F.least("new", F.coalesce("hook", "new")).alias("new")))
-        own = now.select("site_id", F.col("cell_id").alias("new"), F.col("new").alias("root"))
-        state = kept(now.join(own, ["site_id", "new"]).select("site_id", "cell_id", F.col("root").alias("component")))
-        if state.agg(F.sum("component")).first()[0] == total:
-            return state
+def components(mask: DataFrame, tile: int = 256) -> DataFrame:
+    """site_id, cell_id and component (least cell_id) of eight-connected cells (site_id, row, col, cell_id)."""
+    return tiles.components(mask, tile)
 
 
 def touching(labelled: DataFrame, marked: DataFrame) -> DataFrame:

@@ -45,15 +45,15 @@ def g2_drainage(spark, sf):
 
 @query(f"WITH {ACC} SELECT site_id, cell_id, accumulation FROM ac")
 def g3_accumulation(spark, sf):
-    return terrain.accumulation(tree(spark, sf))
+    return terrain.accumulation(tree(spark, sf), tile=8)
 
 
 @query(f"""WITH {ACC}, hit AS (SELECT dn.site_id, dn.cell_id, arg_min(dn.node, dn.step) AS found FROM dn JOIN ac ON ac.site_id = dn.site_id AND ac.cell_id = dn.node AND accumulation >= 20 GROUP BY ALL)
 SELECT a.site_id, a.cell_id, round(CAST(CAST(CASE WHEN isfinite(a.w) THEN a.w END AS FLOAT) - CAST(CASE WHEN isfinite(b.w) THEN b.w END AS FLOAT) AS DOUBLE), 4) AS hand FROM tr a LEFT JOIN hit ON hit.site_id = a.site_id AND hit.cell_id = a.cell_id LEFT JOIN tr b ON b.site_id = hit.site_id AND b.cell_id = hit.found""")
 def g4_height_above_drainage(spark, sf):
     t = terrain.kept(tree(spark, sf))
-    channel = terrain.accumulation(t).filter("accumulation >= 20").select("site_id", "cell_id", F.lit(True).alias("channel"))
-    out = terrain.height_above(t.join(channel, ["site_id", "cell_id"], "left").na.fill(False, ["channel"]), "channel")
+    channel = terrain.accumulation(t, tile=8).filter("accumulation >= 20").select("site_id", "cell_id", F.lit(True).alias("channel"))
+    out = terrain.height_above(t.join(channel, ["site_id", "cell_id"], "left").na.fill(False, ["channel"]), "channel", tile=8)
     return rounded(doubles(out, "hand"), "hand", digits=4)
 
 
@@ -79,7 +79,7 @@ def mask(spark, sf):
 
 @query(f"WITH {MASK}, r AS (SELECT site_id, cell_id, row, col, cell_id AS c FROM mk UNION SELECT m.site_id, m.cell_id, m.row, m.col, r.c FROM r JOIN mk m ON m.site_id = r.site_id AND abs(m.row - r.row) <= 1 AND abs(m.col - r.col) <= 1 AND r.c < m.cell_id) SELECT site_id, cell_id, min(c) AS component FROM r GROUP BY site_id, cell_id")
 def g7_components(spark, sf):
-    return terrain.components(mask(spark, sf))
+    return terrain.components(mask(spark, sf), tile=8)
 
 
 LABELS = f"{MASK}, r AS (SELECT site_id, cell_id, row, col, cell_id AS c FROM mk UNION SELECT m.site_id, m.cell_id, m.row, m.col, r.c FROM r JOIN mk m ON m.site_id = r.site_id AND abs(m.row - r.row) <= 1 AND abs(m.col - r.col) <= 1 AND r.c < m.cell_id), la AS (SELECT site_id, min(c) AS component, row, col FROM r GROUP BY site_id, cell_id, row, col)"

@@ -117,6 +117,15 @@ def test_fill_and_accumulation_equal_a_heap(spark):
             count[at] += 1
             at = parent[at]
     assert {r.cell_id: r.accumulation for r in terrain.accumulation(tree).collect()} == count
+    assert {r.cell_id: r.accumulation for r in terrain.accumulation(tree, tile=3).collect()} == count
+    for tile in (3, 256):
+        marked = tree.withColumn("channel", F.when(F.col("cell_id") % 7 == 0, True))
+        got = {r.cell_id: r.found for r in terrain.first_ancestor(marked, "channel", tile).collect()}
+        for k in parent:
+            at = k
+            while at is not None and at % 7:
+                at = parent[at]
+            assert got[k] == at
     path, at = [], 7 * 11 + 5
     while at is not None:
         path.append(at)
@@ -330,3 +339,31 @@ def test_queries_just_outside_the_box(spark):
     assert got == {1: "INSIDE", 2: "OUTSIDE", 3: "INSIDE"}
     wide = {n: (-1.0, 3.0) for n in "ab"}
     assert {r.label for r in surrogate.coverage(asked, design, ["a", "b"], box=wide).collect()} == {"INSIDE"}
+
+
+def snake(n):
+    """Rows and columns of a path that fills n x n cells but for walls between its lanes."""
+    cells = []
+    for r in range(0, n, 2):
+        cells += [(r, c) for c in (range(n) if r % 4 == 0 else range(n - 1, -1, -1))]
+        if r + 2 <= n:
+            cells.append((r + 1, n - 1 if r % 4 == 0 else 0))
+    return [(r, c) for r, c in cells if r < n]
+
+
+def test_long_paths_across_many_tiles(spark):
+    n = 41
+    path = snake(n)
+    ids = [r * n + c for r, c in path]
+    rows = [(s, r, c, i, ids[k + 1] if k + 1 < len(ids) else None) for s in (0, 1) for k, ((r, c), i) in enumerate(zip(path, ids))]
+    tree = terrain.kept(spark.createDataFrame(rows, "site_id int, row int, col int, cell_id long, parent long"))
+    for tile in (4, 256):
+        got = {(r.site_id, r.cell_id): r.accumulation for r in terrain.accumulation(tree, tile).collect()}
+        assert got == {(s, i): k + 1 for s in (0, 1) for k, i in enumerate(ids)}
+        found = terrain.first_ancestor(tree.withColumn("end", F.col("parent").isNull()), "end", tile)
+        assert {r.found for r in found.collect()} == {ids[-1]} and found.count() == len(rows)
+        assert {r.component for r in terrain.components(tree, tile).collect()} == {0}
+    # nothing, repeated cells, a single cell, negative ids and places
+    assert terrain.components(tree.limit(0), 4).count() == terrain.accumulation(tree.limit(0), 4).count() == terrain.first_ancestor(tree.limit(0).withColumn("end", F.lit(True)), "end", 4).count() == 0
+    odd = spark.createDataFrame([(0, -1, -1, -5), (0, 0, 0, 2**60), (0, 0, 0, 2**60), (0, 9, 9, 3)], "site_id int, row int, col int, cell_id long")
+    assert sorted((r.cell_id, r.component) for r in terrain.components(odd, 4).collect()) == [(-5, -5), (3, 3), (2**60, -5), (2**60, -5)]
