@@ -86,8 +86,39 @@ def bilinear(points: DataFrame, cells: DataFrame, value: str, keys: tuple[str, .
     return got.groupBy(*keys, "id").agg(F.when(F.count(value) == F.count("*"), F.sum(F.col("w") * F.col(value))).alias(value))
 
 
-def mosaic(tiles: DataFrame) -> DataFrame:
-    """First valid value of overlapping tiles (tile_order, row, col, z)."""
+def warp(cells: DataFrame, value: str, source: tuple[float, float, float, int], target: tuple[float, float, float, int], width: int, height: int, method: str = "bilinear") -> DataFrame:
+    """row, col and value of a grid of ``width`` x ``height`` cells, at their centres, from the cells of another grid. A grid is the x and y of its
+    upper-left corner, its cell and its UTM zone; centres go through lon/lat where zones differ. ``bilinear`` is null unless all
+    four cells around have a value, ``nearest`` takes the cell that holds the centre. Target rows are made by Spark and meet
+    the source by equal row and column."""
+    (x0, y0, m, zone), (u0, v0, n, zone2) = source, target
+    points = cells.sparkSession.range(width * height).withColumn("trow", F.floor(F.col("id") / width).cast("int")).withColumn("tcol", (F.col("id") % width).cast("int"))
+    x, y = u0 + (F.col("tcol") + 0.5) * n, v0 - (F.col("trow") + 0.5) * n
+    if zone != zone2:
+        lon, lat = lonlat(x, y, zone2)
+        points = points.withColumn("lon", lon).withColumn("lat", lat)
+        x, y = utm(F.col("lon"), F.col("lat"), zone)
+    points = points.select("id", "trow", "tcol", F.round((y0 - y) / m - 0.5, 9).alias("r"), F.round((x - x0) / m - 0.5, 9).alias("c"))
+    if method == "nearest":
+        at = points.withColumn("row", F.floor(F.col("r") + 0.5).cast("int")).withColumn("col", F.floor(F.col("c") + 0.5).cast("int"))
+        got = at.select("id", "row", "col").join(cells.select("row", "col", value), ["row", "col"], "left").select("id", value)
+    else:
+        got = bilinear(points.select("id", "r", "c"), cells, value)
+    place = (F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    return got.select(*place, value)
+
+
+def tile_names(boxes: DataFrame, step: int) -> DataFrame:
+    """id and the names (as N24E087, of the south-west corner) of the tiles of ``step`` degrees that boxes (id, west, south, east, north) touch."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / step) * step, F.floor(F.col(hi) / step) * step, F.lit(step).cast("long")))
+    part = lambda c, plus, minus, digits: F.concat(F.when(F.col(c) >= 0, plus).otherwise(minus), F.lpad(F.abs(c).cast("string"), digits, "0"))
+    return boxes.withColumn("lat", span("south", "north")).withColumn("lon", span("west", "east")).select("id", F.concat(part("lat", "N", "S", 2), part("lon", "E", "W", 3)).alias("tile"))
+
+
+def mosaic(tiles: DataFrame, projection: str | None = None) -> DataFrame:
+    """First valid value of overlapping tiles (tile_order, row, col, z). Tiles of more than one ``projection`` are an error."""
+    if projection and tiles.select(projection).distinct().limit(2).count() > 1:
+        raise ValueError(f"tiles of more than one {projection}: put them on one grid first")
     return tiles.groupBy("row", "col").agg(F.min_by("z", F.when(F.col("z").isNotNull(), F.col("tile_order"))).alias("z"))
 
 

@@ -50,6 +50,51 @@ def maximum_cell(summary: DataFrame, slope: DataFrame, steep: float) -> DataFram
     return out.select("run_id", F.col("b.face_id").alias("face_id"), (F.coalesce(F.col("b.slope"), F.lit(0.0)) > steep).alias("is_steep"), "steep_share")
 
 
+def pits_and_steeps(summary: DataFrame, ground: DataFrame, pit_m: float, steep: float) -> DataFrame:
+    """Per run whether its deepest cell lies in a pit and its fastest on a steep reach, and the shares of wet cells that do. ``ground`` has run_id,
+    face_id, depression and slope; a cell without ground is in no pit and not steep. Ties go to the smallest face_id."""
+    at = summary.join(ground, ["run_id", "face_id"], "left")
+    pit, steep_ = F.coalesce(F.col("depression") >= pit_m, F.lit(False)), F.coalesce(F.col("slope") >= steep, F.lit(False))
+    top = lambda flag, c: F.max_by(F.when(F.col(c).isNotNull(), flag), F.when(F.col(c).isNotNull(), F.struct(F.col(c), -F.col("face_id"))))
+    share = lambda flag: F.avg(F.when(F.col("max_depth") > WET_M, flag.cast("double")))
+    return at.groupBy("run_id").agg(top(pit, "max_depth").alias("deepest_in_pit"), share(pit).alias("pit_share"), top(steep_, "max_velocity").alias("fastest_on_steep"), share(steep_).alias("steep_share"))
+
+
+def fold_scores(pairs: DataFrame) -> DataFrame:
+    """method, fold and the scores of predicted maps (method, fold, depth_a of the truth, depth_b, arrival_a, arrival_b): depth RMSE where either is
+    wet, arrival RMSE where both arrive, F1 of the extents. Null where there is nothing to compare; F1 of two empty extents is 1."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    a, b = zero("depth_a"), zero("depth_b")
+    square = lambda d: F.sqrt(F.avg(d * d))
+    hit, total = F.count_if((a > EXTENT_M) & (b > EXTENT_M)), F.count_if(a > EXTENT_M) + F.count_if(b > EXTENT_M)
+    return pairs.groupBy("method", "fold").agg(
+        square(F.when((a > WET_M) | (b > WET_M), a - b)).alias("depth_rmse"), square(F.col("arrival_a") - F.col("arrival_b")).alias("arrival_rmse"), F.when(total == 0, 1.0).otherwise(2 * hit / total).alias("f1"))
+
+
+def acceptance(folds: DataFrame, model: str, others: tuple[str, ...], better: float = 0.1, covered: tuple[float, float] = (0.8, 0.95), terrace: float = 0.9, projection: float = 0.5) -> DataFrame:
+    """test and status (PASS, FAIL, NOT_EVALUATED) of a model over folds (method, fold, depth_rmse, arrival_rmse, f1, and if there are such: coverage,
+    poi_coverage, terrace_ok, projection_depth, projection_arrival). A1: its median errors are ``better`` than those of all others and its median F1
+    not lower. A2: the mean coverage of its intervals lies in ``covered``, that at points too where given. A4: the terrace is right in that
+    share of folds. A5: the projection's median errors are at most that part of the model's. One row a method comes to each; values that are not finite are left out."""
+    has = lambda c: F.col(c) if c in folds.columns else F.lit(None).cast("double")
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    median = lambda m, c: F.percentile(F.when(F.col("method") == m, finite(has(c))), 0.5)
+    mean = lambda c: F.avg(F.when(F.col("method") == model, finite(has(c).cast("double"))))
+    beats = lambda c: F.least(*(F.coalesce((median(m, c) > 0) & (median(model, c) <= median(m, c) * (1 - better)), F.lit(False)) for m in (*others, others[0])))
+    not_lower = F.least(*(F.coalesce(median(model, "f1") >= median(m, "f1"), F.lit(False)) for m in (*others, others[0])))
+    within = lambda c: mean(c).between(*covered)
+    small = lambda c, e: F.coalesce(median(model, c) <= projection * median(model, e), F.lit(False))
+    tests = {
+        "A1": beats("depth_rmse") & beats("arrival_rmse") & not_lower,
+        "A2": F.coalesce(within("coverage"), F.lit(False)) & F.coalesce(within("poi_coverage"), F.lit(True)),
+        "A4": F.when(mean("terrace_ok").isNotNull(), mean("terrace_ok") >= terrace),
+        "A5": F.when(median(model, "projection_depth").isNotNull() | median(model, "projection_arrival").isNotNull(), small("projection_depth", "depth_rmse") & small("projection_arrival", "arrival_rmse")),
+    }
+    status = lambda ok: F.when(ok.isNull(), "NOT_EVALUATED").when(ok, "PASS").otherwise("FAIL")
+    row = folds.agg(*(status(ok).alias(name) for name, ok in tests.items()))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(name).alias("test"), F.col(name).alias("status")) for name in tests))).alias("t")).select("t.*")
+
+
 def pair_maps(summary: DataFrame, a: int, b: int) -> DataFrame:
     """Two runs' maps side by side, with the cells that only one of them has."""
     side = lambda run, x: summary.filter(F.col("run_id") == run).select("face_id", F.col("max_depth").alias(f"depth_{x}"), F.col("max_velocity").alias(f"velocity_{x}"), F.col("arrival_s").alias(f"arrival_{x}"))

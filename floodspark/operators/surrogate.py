@@ -482,6 +482,20 @@ def monotone(pairs: DataFrame, low: str, high: str) -> DataFrame:
     return pairs.agg(F.avg((F.col(high) >= F.col(low)).cast("double")).alias("share"), F.count("*").alias("n"))
 
 
+def monotone_pairs(maps: DataFrame, points: DataFrame, limit: float = 0.3, share: float = 0.95) -> DataFrame:
+    """n pairs and the shares of those whose extent, depth at points and arrival at points answer a raised input as they should, and whether all
+    are at least ``share`` (PASS, FAIL; null without pairs). ``maps`` (pair_id, raised, row, col, depth_m, arrival_s) holds both answers of a
+    pair; depth must not fall at any of ``points`` (row, col), and arrival not rise where both arrive."""
+    wet = maps.groupBy("pair_id").agg(F.count_if(F.col("raised") & (F.col("depth_m") > limit)).alias("high"), F.count_if(~F.col("raised") & (F.col("depth_m") > limit)).alias("low"))
+    here = maps.join(F.broadcast(points.select("row", "col").distinct()), ["row", "col"])
+    of = lambda raised, c: F.max(F.when(F.col("raised") == raised, F.col(c)))
+    at = here.groupBy("pair_id", "row", "col").agg(of(False, "depth_m").alias("d1"), of(True, "depth_m").alias("d2"), of(False, "arrival_s").alias("a1"), of(True, "arrival_s").alias("a2"))
+    ok = at.groupBy("pair_id").agg(F.bool_and(F.coalesce(F.col("d2") >= F.col("d1") - 1e-9, F.lit(True))).alias("depth"), F.bool_and(F.coalesce(F.col("a2") <= F.col("a1") + 1e-6, F.lit(True))).alias("arrival"))
+    mean = lambda c: F.avg(F.coalesce(c, F.lit(True)).cast("double"))
+    out = wet.join(ok, "pair_id", "left").agg(F.count("*").alias("n"), mean(F.col("high") >= F.col("low")).alias("extent"), mean(F.col("depth")).alias("depth"), mean(F.col("arrival")).alias("arrival"))
+    return out.withColumn("status", F.when(F.col("n") > 0, F.when(F.least("extent", "depth", "arrival") >= share, "PASS").otherwise("FAIL")))
+
+
 def upper_bound(basis: Basis, corner_scores: DataFrame, z: float = 4.0, factor: float = 1.5, least: float = 1e-3) -> DataFrame:
     """Per cell an upper depth over the corners of the inputs' box (query_id, component, score, sd)."""
     d = basis.decode(corner_scores, "query_id", "sd")

@@ -123,6 +123,34 @@ def a10_fold_summary(spark, sf):
     return rounded(runs.fold_summary(s, 0.3, 0.8), "median")
 
 
+FOLDS = """ml AS (SELECT unnest(['gp', 'linear', 'nearest']) AS method, unnest([1, 2, 3]) AS k), pm AS (SELECT method, run_id AS fold, (run_id + k) % 8 AS other FROM ml, (SELECT DISTINCT run_id FROM summary)),
+pf AS (SELECT method, fold, coalesce(a.max_depth, 0) AS a, coalesce(b.max_depth, 0) AS b, a.arrival_s - b.arrival_s AS d FROM pm JOIN summary a ON a.run_id = fold JOIN summary b ON b.run_id = other AND b.face_id = a.face_id),
+fs AS (SELECT method, fold, sqrt(avg(CASE WHEN a > 0.03e0 OR b > 0.03e0 THEN (a - b) * (a - b) END)) AS depth_rmse, sqrt(avg(d * d)) AS arrival_rmse, CASE WHEN count(CASE WHEN a > 0.3e0 THEN 1 END) + count(CASE WHEN b > 0.3e0 THEN 1 END) = 0 THEN 1e0 ELSE 2e0 * count(CASE WHEN a > 0.3e0 AND b > 0.3e0 THEN 1 END) / (count(CASE WHEN a > 0.3e0 THEN 1 END) + count(CASE WHEN b > 0.3e0 THEN 1 END)) END AS f1 FROM pf GROUP BY ALL)"""
+
+
+def folds(spark, sf):
+    """Every run's map told from the maps of the runs one, two and three further on, as three methods."""
+    s = summary(spark, sf).select("run_id", "face_id", F.col("max_depth"), F.col("arrival_s"))
+    side = lambda x: s.withColumnsRenamed({"max_depth": f"depth_{x}", "arrival_s": f"arrival_{x}"})
+    method = F.explode(F.array(*(F.struct(F.lit(name).alias("method"), F.lit(k).alias("k")) for k, name in enumerate(("gp", "linear", "nearest"), 1))))
+    truth = side("a").withColumn("m", method).select(F.col("m.method").alias("method"), F.col("run_id").alias("fold"), ((F.col("run_id") + F.col("m.k")) % 8).alias("run_id"), "face_id", "depth_a", "arrival_a")
+    return runs.fold_scores(truth.join(side("b"), ["run_id", "face_id"]))
+
+
+@query(f"WITH {FOLDS} SELECT method, fold, round(depth_rmse, 6) AS depth_rmse, round(arrival_rmse, 4) AS arrival_rmse, round(f1, 6) AS f1 FROM fs")
+def a10_fold_scores(spark, sf):
+    return rounded(rounded(folds(spark, sf), "depth_rmse", "f1"), "arrival_rmse", digits=4)
+
+
+@query(f"""WITH {FOLDS}, md AS (SELECT method, quantile_cont(depth_rmse, 0.5) AS d, quantile_cont(arrival_rmse, 0.5) AS a, quantile_cont(f1, 0.5) AS f FROM fs GROUP BY method), g AS (SELECT * FROM md WHERE method = 'gp'), o AS (SELECT min(d) AS d, min(a) AS a, max(f) AS f FROM md WHERE method <> 'gp'), c AS (SELECT avg(f1) AS c FROM fs WHERE method = 'gp')
+SELECT 'A1' AS test, CASE WHEN g.d <= o.d * 0.9e0 AND g.a <= o.a * 0.9e0 AND g.f >= o.f THEN 'PASS' ELSE 'FAIL' END AS status FROM g, o UNION ALL SELECT 'A2', CASE WHEN c BETWEEN 0.8e0 AND 0.95e0 THEN 'PASS' ELSE 'FAIL' END FROM c
+UNION ALL SELECT 'A4', 'NOT_EVALUATED' UNION ALL SELECT 'A5', CASE WHEN g.d * 0.4e0 <= 0.5e0 * g.d THEN 'PASS' ELSE 'FAIL' END FROM g""")
+def a10_acceptance(spark, sf):
+    """The acceptance table of those folds, their F1 taken for coverage and two fifths of their errors for a projection's."""
+    f = folds(spark, sf)
+    return runs.acceptance(f.withColumn("coverage", F.col("f1")).withColumn("projection_depth", F.col("depth_rmse") * 0.4).withColumn("projection_arrival", F.col("arrival_rmse") * 0.4), "gp", ("linear", "nearest"))
+
+
 @query("""WITH h AS (SELECT face_id, CAST(least(greatest(floor(depth_m / (2e0 / 64)), 0), 63) AS INT) AS bin, count(*) AS n FROM map_steps WHERE depth_m IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY face_id ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY face_id) AS total FROM h)
 SELECT face_id, round(max(CASE WHEN cum >= total * 0.1e0 AND cum - n < total * 0.1e0 THEN (bin + (total * 0.1e0 - (cum - n)) / n) * (2e0 / 64) END), 9) AS p10, round(max(CASE WHEN cum >= total * 0.5e0 AND cum - n < total * 0.5e0 THEN (bin + (total * 0.5e0 - (cum - n)) / n) * (2e0 / 64) END), 9) AS p50,

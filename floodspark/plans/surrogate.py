@@ -159,6 +159,22 @@ def f13_monotone(spark, sf):
     return rounded(s.monotone(pair_maps(summary(spark, sf), 0, 1), "depth_a", "depth_b"), "share")
 
 
+@query("""WITH sc AS (SELECT dam_id * 2 + j AS run_id, dam_id AS pair_id, j = 1 AS raised, power(10e0, 5 + dam_id % 4) * CASE WHEN j = 1 THEN 1 + dam_id % 5 ELSE 1 END AS volume, 20e0 + dam_id % 130 AS breach_m, 300e0 + dam_id % 100 * 100 AS time_s FROM dams, (SELECT unnest([0, 1]) AS j)),
+al AS (SELECT run_id, pair_id, raised, time_s, c AS col, 20 + 0.05e0 * (c + 0.5e0) * 200 AS half, 2000 * power(volume / 1e7, 0.55e0) * power(breach_m / 50, 0.25e0) * power(1800 / time_s, 0.35e0) AS q0 FROM sc, (SELECT unnest(generate_series(0, 49)) AS c)),
+qs AS (SELECT *, 0.9e0 * sqrt(q0 * exp(-sum(half * 200 * 1e-6) OVER (PARTITION BY run_id ORDER BY col)) / (2 * half)) AS m FROM al), tr AS (SELECT *, sum(200 / greatest(1.5e0 * power(m, 2e0 / 3) * sqrt(0.01e0) / 0.04e0, 0.1e0)) OVER (PARTITION BY run_id ORDER BY col) + 0.05e0 * time_s AS travel FROM qs),
+mp AS (SELECT pair_id, raised, r AS row, col, m * least(greatest((half * 1.6e0 - abs(r - 3.5e0) * 200) / (half * 0.6e0), 0), 1) AS d, travel + 2 * abs(r - 3.5e0) * 200 AS t FROM tr, (SELECT unnest(generate_series(0, 7)) AS r)),
+wt AS (SELECT pair_id, count(CASE WHEN raised AND d > 0.3e0 THEN 1 END) >= count(CASE WHEN NOT raised AND d > 0.3e0 THEN 1 END) AS e FROM mp GROUP BY pair_id),
+pt AS (SELECT a.pair_id, bool_and(b.d >= a.d - 1e-9) AS d, bool_and(NOT (a.d > 0.1e0 AND b.d > 0.1e0) OR b.t <= a.t + 1e-6) AS t FROM mp a JOIN mp b ON a.pair_id = b.pair_id AND a.row = b.row AND a.col = b.col AND NOT a.raised AND b.raised WHERE a.row = 3 AND a.col % 7 = 0 GROUP BY a.pair_id)
+SELECT count(*) AS n, avg(e::INT) AS extent, avg(d::INT) AS depth, avg(t::INT) AS arrival, CASE WHEN least(avg(e::INT), avg(d::INT), avg(t::INT)) >= 0.95e0 THEN 'PASS' ELSE 'FAIL' END AS status FROM wt JOIN pt USING (pair_id)""")
+def f13_paired_queries(spark, sf):
+    """Each dam's breach with its volume and with a larger one, all else equal: extent and depth must not fall nor arrival be later."""
+    k = F.col("dam_id")
+    sc = v.dams(spark, sf).select(k.alias("pair_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), F.pow(F.lit(10.0), 5 + k % 4).alias("v1"), (1 + k % 5).alias("more"), (20.0 + k % 130).alias("breach_m"), (300.0 + k % 100 * 100.0).alias("time_s"))
+    sc = sc.select((F.col("pair_id") * 2 + F.col("j")).alias("run_id"), F.when(F.col("j") == 1, F.col("v1") * F.col("more")).otherwise(F.col("v1")).alias("volume"), "breach_m", "time_s")
+    maps = s.valley(sc, 50, 8, 200.0).withColumn("pair_id", F.floor(F.col("run_id") / 2)).withColumn("raised", F.col("run_id") % 2 == 1)
+    return s.monotone_pairs(maps, spark.range(0, 50, 7).select(F.lit(3).alias("row"), F.col("id").cast("int").alias("col")))
+
+
 @query()
 def f14_valley(spark, sf):
     key = F.col("dam_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from floodspark.operators import grids, loss, outlines, shapes, terrain
+from floodspark.operators import grids, loss, outlines, runs, shapes, terrain
 from floodspark.plans.flood import RUN, buildings_by_run, doubles, rounded, run_cells, summary
 from floodspark.plans.registry import query
 from floodspark.sources import views as v
@@ -208,6 +208,37 @@ def p5_bilinear(spark, sf):
     return grids.bilinear(p, one_site(spark, sf), "z").select("id", F.round(F.sqrt("z"), 6).alias("root_z"))
 
 
+WARPED = """o AS MATERIALIZED (SELECT row, col, avg(z) AS z FROM dem GROUP BY ALL), t AS (SELECT r AS row, c AS col, round((5e0 + (r + 0.5e0) * 13) / 20 - 0.5e0, 9) AS y, round((-7e0 + (c + 0.5e0) * 13) / 20 - 0.5e0, 9) AS x FROM (SELECT unnest(generate_series(0, 29)) AS r), (SELECT unnest(generate_series(0, 39)) AS c))"""
+
+
+@query(f"""WITH {WARPED}, k AS (SELECT t.row, t.col, o.z, (CASE WHEN o.row = floor(y) THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE WHEN o.col = floor(x) THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w,
+(CASE WHEN y > floor(y) THEN 2 ELSE 1 END) * (CASE WHEN x > floor(x) THEN 2 ELSE 1 END) AS need FROM t LEFT JOIN o ON o.row BETWEEN floor(y) AND ceil(y) AND o.col BETWEEN floor(x) AND ceil(x)),
+n AS (SELECT t.row, t.col, o.z FROM t LEFT JOIN o ON o.row = floor(y + 0.5e0) AND o.col = floor(x + 0.5e0))
+SELECT CAST(k.row AS INT) AS row, CAST(k.col AS INT) AS col, round(sqrt(CASE WHEN count(k.z) = max(need) THEN sum(w * k.z) END), 6) AS root_smooth, round(any_value(n.z), 6) AS near FROM k JOIN n ON n.row = k.row AND n.col = k.col GROUP BY k.row, k.col""")
+def p4_warp(spark, sf):
+    """Cells of 20 m at the centres of another grid of 13 m, bilinear and nearest."""
+    o, shape = one_site(spark, sf), ((0.0, 400.0, 20.0, 45), (-7.0, 395.0, 13.0, 45), 40, 30)
+    smooth = grids.warp(o, "z", *shape).select("row", "col", F.round(F.sqrt("z"), 6).alias("root_smooth"))
+    return smooth.join(rounded(grids.warp(o, "z", *shape, method="nearest"), "z").withColumnRenamed("z", "near"), ["row", "col"])
+
+
+@query("""WITH b AS (SELECT osm_id AS id, x_m / 10 AS west, y_m / 20 - 8 AS south FROM buildings), t AS (SELECT id, unnest(generate_series(CAST(floor(south / 3) AS BIGINT), CAST(floor((south + 2) / 3) AS BIGINT))) * 3 AS lat, west FROM b), u AS (SELECT id, lat, unnest(generate_series(CAST(floor(west / 3) AS BIGINT), CAST(floor((west + 4) / 3) AS BIGINT))) * 3 AS lon FROM t)
+SELECT id, (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') AS tile FROM u""")
+def p7_tile_names(spark, sf):
+    west, south = F.col("x_m") / 10, F.col("y_m") / 20 - 8
+    return grids.tile_names(v.buildings(spark, sf).select(F.col("osm_id").alias("id"), west.alias("west"), south.alias("south"), (west + 4).alias("east"), (south + 2).alias("north")), 3)
+
+
+@query(f"""WITH {fill_sql('0e0')}, {SLOPE}, gr AS (SELECT so.site_id AS run_id, so.cell_id AS face_id, coalesce(greatest(coalesce(CASE WHEN isfinite(fl.w) THEN fl.w END - so.z, 0), 0) >= 0.5e0, false) AS pit, coalesce(slope >= 0.03e0, false) AS steep FROM so JOIN fl ON fl.site_id = so.site_id AND fl.cell_id = so.cell_id),
+x AS (SELECT s.*, coalesce(pit, false) AS pit, coalesce(steep, false) AS steep FROM summary s LEFT JOIN gr USING (run_id, face_id))
+SELECT run_id, arg_max(pit, {{'d': max_depth, 'f': -face_id}}) FILTER (max_depth IS NOT NULL) AS deepest_in_pit, round(avg(CASE WHEN max_depth > 0.03e0 THEN pit::INT END), 6) AS pit_share, arg_max(steep, {{'d': max_velocity, 'f': -face_id}}) FILTER (max_velocity IS NOT NULL) AS fastest_on_steep, round(avg(CASE WHEN max_depth > 0.03e0 THEN steep::INT END), 6) AS steep_share FROM x GROUP BY run_id""")
+def k4_pits_and_steeps(spark, sf):
+    """Where the deepest and fastest cells of each run lie in the terrain of its site, by what filling and slopes say."""
+    ground = grids.terrain_slope(terrain.fill(v.dem(spark, sf), W, H, 0.0, tile=8), v.CELL)
+    ground = ground.select(F.col("site_id").alias("run_id"), F.col("cell_id").alias("face_id"), F.greatest(F.coalesce(F.col("filled") - F.col("z"), F.lit(0.0)), F.lit(0.0)).alias("depression"), "slope")
+    return rounded(runs.pits_and_steeps(summary(spark, sf), ground, 0.5, 0.03), "pit_share", "steep_share")
+
+
 @query("SELECT row, col, arg_min(z, site_id) FILTER (z IS NOT NULL) AS z FROM dem GROUP BY ALL")
 def p7_mosaic(spark, sf):
     return grids.mosaic(v.dem(spark, sf).withColumnRenamed("site_id", "tile_order"))

@@ -367,3 +367,63 @@ def test_long_paths_across_many_tiles(spark):
     assert terrain.components(tree.limit(0), 4).count() == terrain.accumulation(tree.limit(0), 4).count() == terrain.first_ancestor(tree.limit(0).withColumn("end", F.lit(True)), "end", 4).count() == 0
     odd = spark.createDataFrame([(0, -1, -1, -5), (0, 0, 0, 2**60), (0, 0, 0, 2**60), (0, 9, 9, 3)], "site_id int, row int, col int, cell_id long")
     assert sorted((r.cell_id, r.component) for r in terrain.components(odd, 4).collect()) == [(-5, -5), (3, 3), (2**60, -5), (2**60, -5)]
+
+
+def test_warp_through_another_zone(spark):
+    """A plane is told exactly by four corners, whatever projection the centres come from."""
+    lon, lat = 84.0, 27.0
+    x, y = grids.utm(F.lit(lon), F.lit(lat), 45)
+    u, w = grids.utm(F.lit(lon), F.lit(lat), 44)
+    x, y, u, w = spark.range(1).select(x, y, u, w).first()
+    source, target = (x - 1500.0, y + 1500.0, 30.0, 45), (u - 300.0, w + 300.0, 50.0, 44)
+    at = lambda o, m, c: o + (F.col(c) + 0.5) * m
+    cells = spark.range(100 * 100).select(F.floor(F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"))
+    cells = cells.withColumn("z", at(source[0], 30.0, "col") * 2 - (source[1] - (F.col("row") + 0.5) * 30.0))
+    got = grids.warp(cells, "z", source, target, 12, 12)
+    lon2, lat2 = grids.lonlat(at(target[0], 50.0, "col"), target[1] - (F.col("row") + 0.5) * 50.0, 44)
+    p, q = grids.utm(F.col("lon"), F.col("lat"), 45)
+    rows = got.withColumn("lon", lon2).withColumn("lat", lat2).withColumn("want", p * 2 - q).collect()
+    assert len(rows) == 144 and all(abs(r.z - r.want) < 1e-3 for r in rows)
+    near = grids.warp(cells, "z", source, target, 12, 12, "nearest").join(got.withColumnRenamed("z", "exact"), ["row", "col"]).collect()
+    assert all(abs(r.z - r.exact) <= 45.0 + 1e-3 for r in near)
+    assert grids.warp(cells.limit(0), "z", source, target, 2, 3).filter("z is null").count() == 6
+    far = (x + 1e5, y, 30.0, 45)
+    assert grids.warp(cells, "z", far, target, 2, 3, "nearest").filter("z is null").count() == 6
+
+
+def test_tiles_of_mixed_projections_and_names(spark):
+    tiles = spark.createDataFrame([(1, 0, 0, None, 44), (2, 0, 0, 5.0, 44), (3, 0, 0, 6.0, 45)], "tile_order int, row int, col int, z double, zone int")
+    assert [r.z for r in grids.mosaic(tiles.filter("zone = 44"), "zone").collect()] == [5.0]
+    with pytest.raises(ValueError, match="more than one zone"):
+        grids.mosaic(tiles, "zone")
+    boxes = spark.createDataFrame([("a", 86.9, 26.9, 90.0, 27.1), ("b", -0.5, -0.5, 0.0, 0.0)], "id string, west double, south double, east double, north double")
+    got = grids.tile_names(boxes, 3).collect()
+    assert sorted(r.tile for r in got if r.id == "a") == ["N24E084", "N24E087", "N24E090", "N27E084", "N27E087", "N27E090"]
+    assert sorted(r.tile for r in got if r.id == "b") == ["N00E000", "N00W003", "S03E000", "S03W003"]
+
+
+def test_acceptance_of_folds(spark):
+    kind = "method string, fold int, depth_rmse double, arrival_rmse double, f1 double, coverage double, terrace_ok boolean, projection_depth double, projection_arrival double"
+    def status(gp, f1=0.9, coverage=0.9, terrace=None, projection=None):
+        rows = [("gp", f, gp, gp, f1, coverage, terrace, projection, projection) for f in range(3)] + [(m, f, 1.0, 1.0, 0.9, None, None, None, None) for m in ("linear", "nearest") for f in range(3)]
+        return {r.test: r.status for r in runs.acceptance(spark.createDataFrame(rows, kind), "gp", ("linear", "nearest")).collect()}
+
+    assert status(0.9, projection=0.45) == {"A1": "PASS", "A2": "PASS", "A4": "NOT_EVALUATED", "A5": "PASS"}
+    assert status(0.91, coverage=0.96, terrace=False, projection=0.46) == {"A1": "FAIL", "A2": "FAIL", "A4": "FAIL", "A5": "FAIL"}
+    assert status(0.5, f1=0.89, terrace=True)["A1"] == "FAIL" and status(0.5, terrace=True)["A4"] == "PASS"
+    assert status(float("inf"), coverage=None) == {"A1": "FAIL", "A2": "FAIL", "A4": "NOT_EVALUATED", "A5": "NOT_EVALUATED"}
+    empty = runs.acceptance(spark.createDataFrame([], kind), "gp", ("linear",))
+    assert {r.test: r.status for r in empty.collect()} == {"A1": "FAIL", "A2": "FAIL", "A4": "NOT_EVALUATED", "A5": "NOT_EVALUATED"}
+
+
+def test_pits_steeps_and_pairs_that_fall(spark):
+    cells = spark.createDataFrame([(0, 1, 2.0, 1.0), (0, 2, 2.0, 3.0), (0, 3, 0.02, 3.0), (1, 1, None, None)], "run_id int, face_id int, max_depth double, max_velocity double")
+    ground = spark.createDataFrame([(0, 1, 0.5, 0.0), (0, 2, 0.0, 0.2), (0, 3, 0.6, None)], "run_id int, face_id int, depression double, slope double")
+    got = {r.run_id: tuple(r)[1:] for r in runs.pits_and_steeps(cells, ground, 0.5, 0.1).collect()}
+    assert got == {0: (True, 0.5, True, 0.5), 1: (None, None, None, None)}
+    kind = "pair_id int, raised boolean, row int, col int, depth_m double, arrival_s double"
+    maps = spark.createDataFrame([(0, False, 0, 0, 1.0, 9.0), (0, True, 0, 0, 2.0, 8.0), (1, False, 0, 0, 1.0, 9.0), (1, True, 0, 0, 0.2, 10.0), (2, False, 0, 0, 0.0, None), (2, True, 0, 0, 0.4, 5.0)], kind)
+    points = spark.createDataFrame([(0, 0)], "row int, col int")
+    r = surrogate.monotone_pairs(maps, points).first()
+    assert (r.n, round(r.extent, 6), round(r.depth, 6), round(r.arrival, 6), r.status) == (3, 0.666667, 0.666667, 0.666667, "FAIL")
+    assert surrogate.monotone_pairs(maps.filter("pair_id <> 1"), points).first().status == "PASS" and surrogate.monotone_pairs(maps.limit(0), points).first().status is None
