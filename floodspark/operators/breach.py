@@ -56,6 +56,26 @@ def breach_parameters(dams: DataFrame) -> DataFrame:
     return out.withColumn("warnings", F.concat_ws(",", reasons))
 
 
+def ranges(parameters: DataFrame, dams: DataFrame) -> DataFrame:
+    """dam_id, output, low, high, interval and status of each dam's outputs. Dams that the equations apply to (also where that is null) have the
+    ends of ``breach_parameters``, others those that ``imposed_ranges`` (a struct by output, each with value [low, high]) gives, in
+    either order. Without both ends a range is ``blocked``, with null ends; a dam without parameters is blocked too."""
+    applies = F.coalesce("equations_applicable", F.lit(True))
+    none = F.lit(None).cast("double")
+    methods = {"peak_discharge_m3s": (none, none), "breach_width_m": (F.col("width_low"), F.col("width_high")), "failure_time_s": (F.col("time_low"), F.col("time_high"))}
+
+    def one(output: str) -> Column:
+        given, (low, high) = F.col(f"imposed_ranges.{output}.value"), methods[output]
+        low, high = F.when(applies, low).otherwise(F.get(given, 0)), F.when(applies, high).otherwise(F.get(given, 1))
+        both = low.isNotNull() & high.isNotNull()
+        return F.struct(
+            F.lit(output).alias("output"), F.when(both, F.least(low, high)).alias("low"), F.when(both, F.greatest(low, high)).alias("high"),
+            F.when(applies, "method_range").otherwise("imposed").alias("interval"), F.when(both, "ok").otherwise("blocked").alias("status"))
+
+    joined = dams.select("dam_id", "equations_applicable", "imposed_ranges").join(parameters.select("dam_id", "width_low", "width_high", "time_low", "time_high"), "dam_id", "left")
+    return joined.select("dam_id", F.explode(F.array(*map(one, methods))).alias("r")).select("dam_id", "r.*")
+
+
 def weir_discharge(b: Column, z: Column, head: Column, c_r: float, c_s: float) -> Column:
     return F.when(head <= 0, 0.0).otherwise(c_r * b * F.pow(head, 1.5) + c_s * z * F.pow(head, 2.5))
 

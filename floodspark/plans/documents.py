@@ -24,7 +24,7 @@ def texts(spark, sf) -> str:
     number = lambda value, status: F.struct(value.alias("value"), status.alias("status"))
     dam = F.struct(
         F.col("i"), F.col("id"), F.col("kind"), F.col("triggered_by"), F.when(F.col("has_trigger"), F.struct(F.lit(1.0).alias("stage_m"))).alias("trigger"), F.col("applies").alias("equations_applicable"),
-        F.when(F.col("imposed"), F.struct(F.struct(F.lit(600.0).alias("low"), F.lit(900.0).alias("high")).alias("failure_time_s"))).alias("imposed_ranges"),
+        F.when(F.col("imposed"), F.struct(number(F.array(F.lit(600.0), F.lit(900.0)), F.lit("measured")).alias("failure_time_s"))).alias("imposed_ranges"),
         F.struct(number(F.col("h_b"), F.lit("measured")).alias("breach_height"), number(F.when(~F.col("missing"), F.col("h_d")), F.col("status")).alias("dam_height")).alias("breach_inputs"),
     )
     s = F.col("s")
@@ -77,11 +77,11 @@ def m15_placeholders(spark, sf):
     return site_checks.placeholders(sites).select("site_id", F.array_join("paths", ",").alias("paths"))
 
 
-@query("SELECT rejected, count(*) AS n, sum(CASE WHEN NOT rejected THEN k END)::BIGINT AS dams FROM (SELECT dam_id // 4 AS s, (dam_id // 4) % 10 = 3 AS rejected, count(*) AS k FROM dams GROUP BY ALL) GROUP BY rejected")
+@query("SELECT rejected, count(*) AS n, sum(CASE WHEN NOT rejected THEN k ELSE 0 END)::BIGINT AS dams FROM (SELECT dam_id // 4 AS s, (dam_id // 4) % 10 = 3 AS rejected, count(*) AS k FROM dams GROUP BY ALL) GROUP BY rejected")
 def s4_site_documents(spark, sf):
     """Documents read and rejected, and the dams of those read."""
     read = documents.documents(spark, texts(spark, sf), "site", one_a_line=True)
-    return read.groupBy(F.col("rejected").isNotNull().alias("rejected")).agg(F.count("*").alias("n"), F.sum(F.size("doc.dams")).alias("dams"))
+    return read.groupBy(F.col("rejected").isNotNull().alias("rejected")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("rejected").isNull(), F.size("doc.dams"))), F.lit(0)).alias("dams"))
 
 
 @query("SELECT 'v' || dam_id // 16 AS site_id, 'v' || dam_id // 16 || '__s' || lpad(CAST(dam_id % 16 AS VARCHAR), 3, '0') AS scenario_id, dam_id % 16 > 12 AS is_extra, unnest(['height_m', 'width_m']) AS input, unnest([h_w, w_ave]) AS value, unnest([h_w NOT BETWEEN 6 AND 25, w_ave NOT BETWEEN 12 AND 40]) AS outside FROM dams")

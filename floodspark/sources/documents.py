@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUMBER = "struct<value:double,status:string,source:string,unit:string>"
+#: Several sourced numbers: a box, or the ends of a range.
 BOX = "struct<value:array<double>,status:string,source:string>"
 DOMAIN = f"struct<bbox:{BOX},grid_resolution:{NUMBER},inflow:struct<`from`:string>>"
-RANGE = "struct<low:double,high:double>"
 PARAMS = "map<string,double>"
 METHODS = "methods:map<string,struct<value:double,status:string,reason:string,in_valid_range:boolean>>,low:double,high:double,unit:string,status:string"
 
@@ -21,7 +21,7 @@ KINDS = {
     "site": (
         "site.id",
         f"""schema_version int, site struct<id:string,name:string>, domains struct<far_field:{DOMAIN},near_field:{DOMAIN}>,
-        dams array<struct<id:string,name:string,kind:string,triggered_by:string,trigger:struct<stage_m:double>,equations_applicable:boolean,imposed_ranges:map<string,{RANGE}>,
+        dams array<struct<id:string,name:string,kind:string,triggered_by:string,trigger:struct<stage_m:double>,equations_applicable:boolean,imposed_ranges:struct<peak_discharge_m3s:{BOX},breach_width_m:{BOX},failure_time_s:{BOX}>,
         breach_inputs:struct<water_volume:{NUMBER},height_of_water:{NUMBER},breach_height:{NUMBER},dam_height:{NUMBER},average_width:{NUMBER}>>>,
         cascade struct<approach:string>, points_of_interest array<struct<id:string,name:string,category:string>>, events array<struct<id:string,breach_times:{PARAMS}>>,
         simulation struct<sph:struct<scenarios:array<string>>>""",

@@ -427,3 +427,15 @@ def test_pits_steeps_and_pairs_that_fall(spark):
     r = surrogate.monotone_pairs(maps, points).first()
     assert (r.n, round(r.extent, 6), round(r.depth, 6), round(r.arrival, 6), r.status) == (3, 0.666667, 0.666667, 0.666667, "FAIL")
     assert surrogate.monotone_pairs(maps.filter("pair_id <> 1"), points).first().status == "PASS" and surrogate.monotone_pairs(maps.limit(0), points).first().status is None
+
+
+def test_ranges_of_dams_with_and_without_equations(spark):
+    box = "struct<value:array<double>>"
+    dams = spark.createDataFrame(
+        [(1, True, None), (2, False, (([9.0, 4.0],), (None,), ([1.0],))), (3, False, None), (4, None, (([1.0, 2.0],), None, None))],
+        f"dam_id int, equations_applicable boolean, imposed_ranges struct<peak_discharge_m3s:{box},breach_width_m:{box},failure_time_s:{box}>")
+    parameters = spark.createDataFrame([(1, 2.0, 3.0, None, 5.0)], "dam_id int, width_low double, width_high double, time_low double, time_high double")
+    got = {(r.dam_id, r.output): (r.low, r.high, r.interval, r.status) for r in breach.ranges(parameters, dams).collect()}
+    assert got[1, "breach_width_m"] == (2.0, 3.0, "method_range", "ok") and got[2, "peak_discharge_m3s"] == (4.0, 9.0, "imposed", "ok")
+    blocked = {k for k, x in got.items() if x[3] == "blocked"}
+    assert len(got) == 12 and blocked == set(got) - {(1, "breach_width_m"), (2, "peak_discharge_m3s")} and all(got[k][:2] == (None, None) for k in blocked)
