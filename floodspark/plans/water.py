@@ -37,7 +37,7 @@ def m2_fused_parameters(spark, sf):
 @query(f"""WITH f AS MATERIALIZED ({SQL['m2_fused_parameters']}), x AS (SELECT d.dam_id, erodibility <> 'L' AS ok, unnest(['peak_discharge_m3s', 'breach_width_m', 'failure_time_s']) AS output, unnest([NULL, width_low, time_low]) AS l, unnest([NULL, width_high, time_high]) AS h,
 unnest([CASE WHEN d.dam_id % 5 > 0 THEN h_w * 9 END, h_w, NULL]) AS il, unnest([CASE WHEN d.dam_id % 5 > 0 THEN h_w * 4 END, h_w * 2, NULL]) AS ih FROM dams d JOIN f ON f.dam_id = d.dam_id),
 y AS (SELECT dam_id, output, ok, CASE WHEN ok THEN l ELSE il END AS a, CASE WHEN ok THEN h ELSE ih END AS b FROM x)
-SELECT dam_id, output, round(CASE WHEN a + b IS NOT NULL THEN least(a, b) END, 3) AS low, round(CASE WHEN a + b IS NOT NULL THEN greatest(a, b) END, 3) AS high, CASE WHEN ok THEN 'method_range' ELSE 'imposed' END AS interval, CASE WHEN a + b IS NOT NULL THEN 'ok' ELSE 'blocked' END AS status FROM y""")
+SELECT dam_id, output, round(CASE WHEN a + b IS NOT NULL THEN least(a, b) END, 4) AS low, round(CASE WHEN a + b IS NOT NULL THEN greatest(a, b) END, 4) AS high, CASE WHEN ok THEN 'method_range' ELSE 'imposed' END AS interval, CASE WHEN a + b IS NOT NULL THEN 'ok' ELSE 'blocked' END AS status FROM y""")
 def m2_ranges(spark, sf):
     """Ranges of all dams: those that erode least take imposed ones, some of which are not given yet."""
     d, h, none = v.dams(spark, sf), F.col("h_w"), F.lit(None).cast("array<double>")
@@ -46,7 +46,7 @@ def m2_ranges(spark, sf):
     rounded_ = [F.round(F.col(n), 4 if n.startswith("width") else 3).alias(n) for n in ("width_low", "width_high", "time_low", "time_high")]
     parameters = breach.breach_parameters(d).select("dam_id", *rounded_)
     out = breach.ranges(parameters, d.select("dam_id", (F.col("erodibility") != "L").alias("equations_applicable"), imposed.alias("imposed_ranges")))
-    return out.withColumn("low", F.round("low", 3)).withColumn("high", F.round("high", 3))
+    return out.withColumn("low", F.round("low", 4)).withColumn("high", F.round("high", 4))
 
 
 @query("SELECT dam_id, round(v_w * power(0.4e0, 1.5e0), 3) AS volume, round(h_w * power(0.3e0, 1e0 / 1.5e0), 6) AS head FROM dams")
