@@ -38,11 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; columnar, for the larger intermediates."""
+def stored(df: DataFrame, *partition_by: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; columnar, for the larger intermediates. ``codec`` is that of
+    the files, the session's if not given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
+    if codec:
+        writer = writer.option("compression", codec)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

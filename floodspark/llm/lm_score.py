@@ -2,7 +2,7 @@
 
     p1(w) = (1 - l1) / (V + 1) + l1 c(w) / N                 weights l1, l2 by bucket of c(h)
     p2(w | h) = (1 - l2) p1(w) + l2 c(h w) / c(h)            h: the word before, or the text's begin
-    p3(w | g h) = (1 - l3) p2(w | h) + l3 c(g h w) / c(g h)  where c(g h) is 2 or more; else p2
+    p3(w | g h) = (1 - l3) p2(w | h) + l3 c(g h w) / c(g h)  where c(g h) is 1 or more; else p2
 
 over training tokens. The weights depend on the context's frequency (buckets are powers of two) and are
 learned by expectation-maximisation on held-out counts: every training token in turn is deleted from the
@@ -153,7 +153,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         of_words = total[(same & np.uint64(1)).astype(bool)]
         return total[which], [int(of_words.sum()), int((of_words > 0).sum())]
 
-    pairs = c.stored(c.asked(chunks, ask, ["<u4"], answer, buckets))
+    pairs = c.stored(c.asked(chunks, ask, ["<u4"], answer, buckets), codec="zstd")
     train, vocabulary = (x or 0 for x in pairs.agg(F.sum(F.col("notes")[0]), F.sum(F.col("notes")[1])).first())
     texts = rows.filter(~F.col("held_out")).count()
     pairs = pairs.drop("notes")
@@ -172,7 +172,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
         return total[which], []
 
     # at most BUCKETS * LEVELS**2 cells whatever the data; a few thousand in practice
-    told = c.stored(c.asked(chunks, ask_triples, ["<u4"], answer_triples, buckets, pairs))
+    told = c.stored(c.asked(chunks, ask_triples, ["<u4"], answer_triples, buckets, pairs), codec="zstd")
     table = c.tallies(told).toPandas()
     mixed = weights(table["cell"].to_numpy(np.int64), table["n"].to_numpy(np.float64), vocabulary)
     about = pairs.withColumn("order", F.lit(2)).unionByName(told.filter("chunk >= 0").drop("notes").withColumn("order", F.lit(3)))
