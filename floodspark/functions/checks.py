@@ -58,6 +58,72 @@ def parts_of(run_id: Column) -> tuple[Column, Column, Column]:
     return part(1), part(2).cast("int"), part(3)
 
 
+#: What ids look like; fixed values. The first group is the site where an id has one.
+SITE, SLUG = "[a-z][a-z0-9_]{2,31}?", "[a-z][a-z0-9_]*"
+STAMP = "[0-9]{8}T[0-9]{6}Z_[0-9a-f]{6}"
+ID_KINDS = {
+    "job": f"^job_({STAMP})$",
+    "query": f"^q_({STAMP})$",
+    "month": "^([0-9]{4}-(?:0[1-9]|1[0-2]))$",
+    "poi": f"^({SITE})__poi__({SLUG})$",
+    "design": f"^({SITE})__s([0-9]{{3}})$",
+    "historical": f"^({SITE})__hist_([a-z0-9_]*?[a-z0-9])$",
+    "demo": f"^({SITE})__demo_s([0-9]{{3}})$",
+    "named": f"^({SITE})__n_([a-z0-9_]*?[a-z0-9])$",
+    "dam": f"^({SITE})__({SLUG})$",
+}
+RUN = f"^({SITE})__((?:s[0-9]{{3}}|demo_s[0-9]{{3}}|hist_[a-z0-9_]+?|n_[a-z0-9_]+?)__[a-z0-9]+)$"
+
+
+def parsed_id(value: Column) -> Column:
+    """kind, site (null for jobs, queries and months) and local part of an id; null where no pattern holds. A scenario
+    with a model behind it is a run; what has no other form is a dam."""
+    kinds = [("run", RUN), *ID_KINDS.items()]
+    local = lambda kind, p: (F.lit(None).cast("string"), F.regexp_extract(value, p, 1)) if kind in ("job", "query", "month") else (F.regexp_extract(value, p, 1), F.regexp_extract(value, p, 2))
+    parts = [(kind, p, *local(kind, p)) for kind, p in kinds]
+    return F.coalesce(*(F.when(value.rlike(p), F.struct(F.lit(kind).alias("kind"), site.alias("site"), rest.alias("local"))) for kind, p, site, rest in parts))
+
+
+def local_id(site: Column, slug: Column, kind: str = "dam") -> Column:
+    """Id of a dam or of a point of interest of a site."""
+    return F.concat_ws("__", site, *([F.lit("poi")] if kind == "poi" else []), slug)
+
+
+def stamped_id(prefix: str, at: Column, number: Column) -> Column:
+    """Id of a job or a query: time in UTC and the last six hex digits of a number."""
+    utc = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+    return F.concat(F.lit(f"{prefix}_"), utc, F.lit("_"), F.lpad(F.lower(F.hex(F.pmod(number, F.lit(1 << 24)))), 6, "0"))
+
+
+def profile_points(pois: DataFrame, width: int, cell_m: float) -> DataFrame:
+    """Points (site, name, cell_id) on the profile: their id, and the chainage of the middle of their column."""
+    return pois.select(local_id(F.col("site"), F.col("name"), "poi").alias("poi_id"), "name", ((F.col("cell_id") % width + 0.5) * cell_m).alias("chainage_m"))
+
+
+def solver_facts(lines: DataFrame, solver: str) -> DataFrame:
+    """Per run what its log (run_id, n, line) says: the first number of particles, version after the solver's name, begin and end (UTC),
+    and the last computation time in seconds, or the time from begin to end if none is said; null where the log is silent or a stamp
+    is no time."""
+    line = F.col("line")
+    part = lambda pattern, k=1: F.when(line.rlike(pattern), F.regexp_extract(line, pattern, k))
+    known = lambda c: F.when(c.isNotNull(), F.struct("n", "line"))
+
+    def stamp(word: str) -> Column:
+        at = rf"(?i)computation {word}\s+at:\s*(\d\d):(\d\d):(\d\d),\s*(\d\d)-(\d\d)-(\d{{4}})"
+        return F.try_make_timestamp(*(part(at, k).cast("int") for k in (6, 5, 4, 1, 2)), part(at, 3).cast("decimal(8,6)"), F.lit("UTC"))
+
+    found = {
+        "particles": F.regexp_replace(part(r"Total particles:\s*(\d[\d,]*)"), ",", "").try_cast("bigint"),
+        "version": part(rf"{solver}\s+v?(\d[\d.]*)"),
+        "started": stamp("started"),
+        "finished": stamp("finished"),
+    }
+    said = part(r"(?i)total computation time\s*\(s\)\s*:\s*(\d+(?:\.\d+)?)").cast("double")
+    out = lines.groupBy("run_id").agg(*(F.min_by(c, known(c)).alias(name) for name, c in found.items()), F.max_by(said, known(said)).alias("said_s"))
+    between = (F.unix_micros("finished") - F.unix_micros("started")) / 1e6
+    return out.select("run_id", *found, F.coalesce("said_s", between).alias("wall_s"))
+
+
 def log_facts(lines: DataFrame) -> DataFrame:
     """Per run the last error percentage, clock time in seconds and the number of error lines of its log (run_id, n, line)."""
     value = lambda pattern: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))
@@ -90,6 +156,16 @@ def progress(runs: DataFrame) -> DataFrame:
     return out.withColumn("eta_s", F.col("mean_s") * (F.col("total") - F.col("done") - F.col("failed"))).drop("mean_s")
 
 
+def campaign_status(runs: DataFrame, order: str = "run_id") -> DataFrame:
+    """Per job: runs done and in all, the first run in ``order`` that is running (else the first queued), the failed ones in order, and
+    the time that all runs not done take at the mean time of those done (null if none is; a failed run is to be done again)."""
+    done, status = F.col("status") == "postprocessed", F.col("status")
+    first = lambda x: F.min_by(F.when(status == x, F.col("run_id")), F.when(status == x, F.struct(order, "run_id")))
+    failed = F.array_sort(F.collect_list(F.when(status == "failed", F.struct(F.col(order).alias("at"), "run_id"))))
+    out = runs.groupBy("job_id").agg(F.count_if(done).alias("done"), F.count("*").alias("total"), F.coalesce(first("running"), first("queued")).alias("running"), F.transform(failed, lambda x: x["run_id"]).alias("failed"), F.avg(F.when(done, F.col("wall_s"))).alias("mean_s"))
+    return out.withColumn("eta_s", F.col("mean_s") * (F.col("total") - F.col("done"))).drop("mean_s")
+
+
 def oldest_active(runs: DataFrame, active: tuple[str, ...] = ("queued", "running")) -> DataFrame:
     """site_id and the run that has waited longest (created, then run_id) of those active; sites without one are left out."""
     return runs.filter(F.col("status").isin(*active)).groupBy("site_id").agg(F.min_by("run_id", F.struct("created", "run_id")).alias("run_id"), F.count("*").alias("n_active"))

@@ -44,6 +44,27 @@ def snapped_grid(boxes: DataFrame, cell_m: float) -> DataFrame:
     return boxes.select("id", down("x0").alias("origin_x"), up("y1").alias("origin_y"), ((up("x1") - down("x0")) / cell_m).cast("int").alias("width"), ((up("y1") - down("y0")) / cell_m).cast("int").alias("height"))
 
 
+def nested_grid(boxes: DataFrame) -> DataFrame:
+    """Near grid of each box (id, x0, y0, x1, y1, cell_m) inside its far grid (far_x, far_y, far_width, far_height, far_m), snapped
+    outward to corners of far cells. ``problem`` says why a box has none: its cell does not divide the far one, or it leaves the far grid."""
+    far = F.col("far_m")
+    low, high = (lambda c, o: F.col(o) + F.floor((F.col(c) - F.col(o)) / far) * far), (lambda c, o: F.col(o) + F.ceil((F.col(c) - F.col(o)) / far) * far)
+    left, right, bottom, top = low("x0", "far_x"), high("x1", "far_x"), low("y0", "far_y"), high("y1", "far_y")
+    ratio = far / F.col("cell_m")
+    outside = (left < F.col("far_x")) | (top > F.col("far_y")) | (right > F.col("far_x") + F.col("far_width") * far) | (bottom < F.col("far_y") - F.col("far_height") * far)
+    undivided = (F.col("cell_m") > far) | (F.abs(ratio - F.round(ratio)) > 1e-9)
+    problem = F.when(undivided, "cell does not divide").when(outside, "outside far grid")
+    count = lambda a, b: F.round((b - a) / F.col("cell_m")).cast("int")
+    found = {"origin_x": left, "origin_y": top, "width": count(left, right), "height": count(bottom, top)}
+    return boxes.select("id", *(F.when(problem.isNull(), c).alias(name) for name, c in found.items()), problem.alias("problem"))
+
+
+def clip_to_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, x_m, y_m) inside the one box (keys, x0, y0, x1, y1) of their key, edges included."""
+    inside = F.col("x_m").between(F.col("x0"), F.col("x1")) & F.col("y_m").between(F.col("y0"), F.col("y1"))
+    return points.join(boxes.select(*keys, "x0", "y0", "x1", "y1"), keys).filter(inside).drop("x0", "y0", "x1", "y1")
+
+
 def overview(cells: DataFrame, factor: int, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Blocks of factor x factor cells: mean terrain, maximum depth, and the surface where there is depth."""
     block = [F.floor(F.col(x) / factor).cast("int").alias(x) for x in ("row", "col")]

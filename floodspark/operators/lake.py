@@ -10,6 +10,24 @@ def normalised_difference(a: Column, b: Column) -> Column:
     return F.when(a + b != 0, (a - b) / (a + b))
 
 
+#: Scene classes of cloud, that of snow and ice, and the reflectance of a digital number; fixed values.
+CLOUD_CLASSES, ICE_CLASS, REFLECTANCE = (3, 8, 9, 10), 11, 1e-4
+
+
+def optical(pixels: DataFrame) -> DataFrame:
+    """Pixels (digital numbers b3 and b8, scene class scl) with the water index and near infrared reflectance, both null under
+    cloud, and whether a pixel is valid and whether it is ice. A pixel without a class is not valid."""
+    scl = F.col("scl")
+    valid = F.coalesce(~scl.isin(*CLOUD_CLASSES), F.lit(False))
+    return pixels.withColumns({"index": F.when(valid, normalised_difference(F.col("b3"), F.col("b8"))), "nir": F.when(valid, F.col("b8") * REFLECTANCE), "valid": valid, "ice": F.coalesce(scl == ICE_CLASS, F.lit(False))})
+
+
+def optical_shares(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Percent of all pixels that are valid and that are ice."""
+    percent = lambda c: 100 * F.avg(F.col(c).cast("int"))
+    return pixels.groupBy(*keys).agg(percent("valid").alias("valid_pct"), percent("ice").alias("snow_ice_pct"))
+
+
 def water_mask(index: Column, threshold: float | Column, below: bool = False, nir: Column | None = None, nir_max: float = 0.15, slope: Column | None = None, slope_max: float = 10.0) -> Column:
     """Water where the index is at or over the threshold (at or below it for radar) and near infrared and
     slope are low; null is never water."""

@@ -70,6 +70,19 @@ def asset_value(eur: Column, rate: float, index: float) -> Column:
     return eur * rate * index
 
 
+def scaled_by_product(countries: DataFrame, regions: DataFrame) -> DataFrame:
+    """Value of a unit of countries (country, region, gdp): their product times the region's (region, max_damage, gdp) largest damage
+    by product; null where the region is unknown or has no product."""
+    ratio = F.col("max_damage") / F.nullif(F.col("region_gdp"), F.lit(0.0))
+    known = regions.select("region", "max_damage", F.col("gdp").alias("region_gdp"))
+    return countries.join(known, "region", "left").withColumn("value_eur", F.col("gdp") * ratio).drop("max_damage", "region_gdp")
+
+
+def priced(values: DataFrame, rate: float, index: float, sourced: Column) -> DataFrame:
+    """value_inr of value_eur and its status: none, and a placeholder, where rate or index is not ``sourced``."""
+    return values.withColumns({"value_inr": F.when(sourced, asset_value(F.col("value_eur"), rate, index)), "status": F.when(sourced, "sourced").otherwise("placeholder")})
+
+
 def stale_values(values: DataFrame, rate: float, index: float, tolerance: float = 1e-6) -> DataFrame:
     """Priced rows whose stored value is not what price, rate and index give."""
     want = asset_value(F.col("value_eur"), rate, index)
