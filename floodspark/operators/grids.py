@@ -186,9 +186,16 @@ def within_radius(points: DataFrame, cells: DataFrame, radius: float, keys: tupl
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Nearest cell of each point within ``radius`` (smallest id of ties) that has its ``keys``; null if none."""
-    best = within_radius(points, cells, radius, keys).groupBy(*keys, "osm_id").agg(F.min(F.struct("d", "cell_id")).alias("b"))
-    return points.select(*keys, "osm_id").join(best, [*keys, "osm_id"], "left").select(*keys, "osm_id", F.col("b.cell_id").alias("cell_id"), F.col("b.d").alias("d"))
+    """Nearest cell of each point within ``radius`` (smallest id of ties) that has its ``keys``; null if none. Each square of that size
+    lists the cells in it and in the eight around it, so a point stays one row, meets one list and is never sent to the driver."""
+    square = lambda x: F.floor(F.col(x) / radius).cast("long")
+    around = lambda x: F.explode(F.sequence(square(x) - 1, square(x) + 1))
+    lists = cells.select(*keys, "cell_id", "cx", "cy", around("cx").alias("sx")).withColumn("sy", around("cy"))
+    lists = lists.groupBy(*keys, "sx", "sy").agg(F.collect_list(F.struct("cx", "cy", "cell_id")).alias("_cells"))
+    met = points.select(*keys, "osm_id", "x_m", "y_m", square("x_m").alias("sx"), square("y_m").alias("sy")).join(lists, [*keys, "sx", "sy"], "left")
+    each = F.transform("_cells", lambda c: F.struct(F.hypot(F.col("x_m") - c["cx"], F.col("y_m") - c["cy"]).alias("d"), c["cell_id"].alias("cell_id")))
+    best = F.array_min(F.filter(each, lambda b: b["d"] <= radius))
+    return met.select(*keys, "osm_id", best.alias("b")).select(*keys, "osm_id", F.col("b.cell_id").alias("cell_id"), F.col("b.d").alias("d"))
 
 
 def best_in_window(points: DataFrame, cells: DataFrame, value: str, r: int, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
