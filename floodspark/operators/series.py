@@ -100,13 +100,13 @@ def totals_as_of(rain: DataFrame, as_of: str, days: tuple[int, ...] = (7, 30)) -
 
 def nearest_samples(series: DataFrame, key: str, every_s: float) -> DataFrame:
     """Of each series the sample nearest every multiple of ``every_s`` up to its last time; the earlier of ties, distinct."""
-    last = series.groupBy(key).agg(F.max("t_s").alias("last"))
-    targets = last.select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / every_s).cast("int"))).alias("k"))
     # only the samples within an interval of a target can be nearest, unless there are none
-    below = F.floor(F.col("t_s") / every_s).cast("int")
-    near = series.select(key, "t_s", F.explode(F.array(below, below + 1)).alias("k")).distinct()
-    best = targets.join(near, [key, "k"], "left").groupBy(key, "k").agg(F.min_by("t_s", F.struct(F.abs(F.col("t_s") - F.col("k") * every_s), "t_s")).alias("t_s"))
-    return best.filter("t_s is not null").select(key, "t_s").distinct()
+    below, target = F.floor(F.col("t_s") / every_s).cast("int"), F.col("k") * every_s
+    near = series.filter(F.col(key).isNotNull()).select(key, "t_s", below.alias("below"), F.explode(F.array(below, below + 1)).alias("k"))
+    before, after = (F.when(x, F.col("t_s")) for x in (F.col("t_s") <= target, F.col("t_s") > target))
+    near = near.groupBy(key, "k").agg(F.max(before).alias("a"), F.min(after).alias("b"), F.max("below").alias("below"))
+    near = near.withColumn("last", F.max("below").over(Window.partitionBy(key))).filter("k between 0 and last")
+    return near.select(key, F.when(F.col("b").isNull() | (target - F.col("a") <= F.col("b") - target), F.col("a")).otherwise(F.col("b")).alias("t_s")).distinct()
 
 
 def clip_series(series: DataFrame, key: str, start: float, end: float, divide_by: float = 1.0) -> DataFrame:
