@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,23 +93,29 @@ def storage_head(v_w: Column, h_w: Column, v: Column, exponent: float) -> Column
     return h_w * F.pow(held / v_w, (exponent - 1) / exponent)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once for each row however often ``use`` names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def interpolated(points: Column, x: Column, of: str = "x", to: str = "y") -> Column:
     """Piecewise-linear through an array of structs with strictly increasing ``of``, held to its ends."""
-    last = F.element_at(points, -1)
-    below = F.filter(points, lambda p: p[of] <= x)
-    a, k = F.try_element_at(below, F.lit(-1)), F.size(below)
-    b = F.try_element_at(points, k + 1)
-    inner = a[to] + (x - a[of]) * (b[to] - a[to]) / (b[of] - a[of])
-    return F.when(x.isNull() | points.isNull(), None).when(k == 0, F.element_at(points, 1)[to]).when(k == F.size(points), last[to]).otherwise(inner)
+
+    def at(points: Column, x: Column, below: Column) -> Column:
+        a, k = F.try_element_at(below, F.lit(-1)), F.size(below)
+        b = F.try_element_at(points, k + 1)
+        inner = a[to] + (x - a[of]) * (b[to] - a[to]) / (b[of] - a[of])
+        return F.when(x.isNull() | points.isNull(), None).when(k == 0, F.element_at(points, 1)[to]).when(k == F.size(points), F.element_at(points, -1)[to]).otherwise(inner)
+
+    return bound(F.struct(points.alias("points"), x.alias("x")), lambda s: bound(F.filter(s["points"], lambda p: p[of] <= s["x"]), lambda below: at(s["points"], s["x"], below)))
 
 
 def above_invert(points: Column, invert: Column) -> Column:
     """A surveyed curve (array of elevation x and volume y, both increasing) as heads and volumes over a breach invert:
     the invert itself is (0, 0), and what lies below it goes. Null where the invert is outside the survey."""
-    base = interpolated(points, invert)
-    above = F.transform(F.filter(points, lambda p: p["x"] > invert), lambda p: F.struct((p["x"] - invert).alias("x"), (p["y"] - base).alias("y")))
+    above = lambda base: F.transform(F.filter(points, lambda p: p["x"] > invert), lambda p: F.struct((p["x"] - invert).alias("x"), (p["y"] - base).alias("y")))
     inside = (invert >= F.element_at(points, 1)["x"]) & (invert <= F.element_at(points, -1)["x"])
-    return F.when(inside, F.concat(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), above))
+    return F.when(inside, F.concat(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), bound(interpolated(points, invert), above)))
 
 
 def peak_in_range(peak: Column, low: Column, high: Column) -> Column:
