@@ -172,7 +172,7 @@ def grow_breach(scenarios: DataFrame, dt_s: float = 30.0, c_r: float = 1.7, c_s:
     """series_id, peak_q, t_peak_s, volume_m3, error_pct of breaches that grow linearly over t_f while their reservoir drains.
 
     Columns: series_id, v_w, h_w, width (mean), h_b, t_f, z (side slope), exponent. Level-pool routing by
-    fourth-order Runge-Kutta steps, all scenarios of a batch at once, until ``drained`` of the water has left or ``most``
+    fourth-order Runge-Kutta steps, all scenarios of a batch at once, on all cores however small their file, until ``drained`` of the water has left or ``most``
     times t_f has passed. A scenario whose numbers are null or
     not positive, or whose bottom width is not, has null results.
     """
@@ -210,4 +210,5 @@ def grow_breach(scenarios: DataFrame, dt_s: float = 30.0, c_r: float = 1.7, c_s:
             error = (volume - out) / np.maximum(out, 1e-9) * 100
             yield pd.DataFrame({"series_id": pdf["series_id"], **{k: np.where(good, x, np.nan) for k, x in (("peak_q", peak), ("t_peak_s", t_peak), ("volume_m3", volume), ("error_pct", error))}})
 
-    return scenarios.mapInPandas(run, "series_id long, peak_q double, t_peak_s double, volume_m3 double, error_pct double")
+    dealt = scenarios.repartition(3 * scenarios.sparkSession.sparkContext.defaultParallelism, "series_id")
+    return dealt.mapInPandas(run, "series_id long, peak_q double, t_peak_s double, volume_m3 double, error_pct double")
