@@ -44,7 +44,8 @@ def densified(lines: DataFrame, spacing: float, key: str = "line_id", line: str
 
 def cut_at_cells(parts: DataFrame, cell_m: float, origin_x: float, origin_y: float) -> DataFrame:
     """Legs cut where they cross grid lines: row, col and length_m of every piece. A piece along a grid line belongs to the cell right of it
-    or below it."""
+    or below it. Legs are dealt to tasks before the cuts: a small file has many pieces, which one task would have to add up."""
+    parts = parts.repartition(*parts.columns)
     u = {"0": (F.col("x0") - origin_x) / cell_m, "1": (F.col("x1") - origin_x) / cell_m}
     w = {"0": (origin_y - F.col("y0")) / cell_m, "1": (origin_y - F.col("y1")) / cell_m}
     parts = parts.withColumns({"_u": u["0"], "_w": w["0"], "_du": u["1"] - u["0"], "_dw": w["1"] - w["0"]})
