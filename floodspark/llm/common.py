@@ -19,6 +19,8 @@ from floodspark.sources import io
 
 #: Text bytes that one chunk of documents, and one bucket of hashes, is meant to hold.
 CHUNK_BYTES = 4 << 20
+#: Parts that little text may be dealt to.
+LEAST = 16
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,9 +106,10 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def parts(docs: DataFrame, size: int | None = None, unit: int = CHUNK_BYTES, each: int = 2) -> int:
-    """Number of chunks or buckets: grows with the bytes of text, at least ``each`` for a shuffle partition."""
+    """Number of chunks or buckets: grows with the bytes of text, at least ``each`` for a shuffle partition. Chunks and buckets
+    meet in pairs, so many partitions do not split little text: no more than LEAST parts, or parts of half a unit."""
     size = text_bytes(docs) if size is None else size
-    return max(each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // unit))
+    return max(min(each * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(LEAST, -(-2 * size // unit))), -(-size // unit))
 
 
 def in_chunks(docs: DataFrame, n: int, *more: str) -> DataFrame:

@@ -54,3 +54,17 @@ def test_a_curve_is_worked_out_once(spark):
     text = expression._jc.toString() if hasattr(expression, "_jc") else str(expression)
     assert len(re.findall(r"\bcurve\b", text)) == 2
     assert [r[0] for r in spark.range(3).withColumn("curve", curve("id")).select(expression).collect()] == [2.0] * 3
+
+
+def test_little_text_makes_few_pairs_of_chunk_and_bucket(spark):
+    from floodspark.llm import common
+
+    few, key = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "211")
+        assert common.parts(few) == 16 and common.parts(few, 100 << 20) == 50 and common.parts(few, 4 << 30) == 1024
+        spark.conf.set(key, "4")
+        assert common.parts(few) == 8 and common.parts(few, 100 << 20) == 25
+    finally:
+        spark.conf.set(key, before)
