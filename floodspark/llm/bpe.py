@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Distinct pieces whose ids one Python worker remembers at least, steps and borders likewise, and the longest piece.
 CACHE, STEPS, LONGEST = 150_000, 75_000, 64
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -274,15 +274,19 @@ class Vocabulary:
             return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def vocabulary(source: str) -> Vocabulary:
     """One for each Python worker and tokenizer file."""
-    if (key := hash(source)) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(source)
-    return _LOADED[key]
+    return common.kept_in_worker(("bpe", hash(source)), lambda: Vocabulary(source))
+
+
+def encoded_batches(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids, n_tokens and decoded text, some MB of text at a time; what a slice took is given back."""
+    for batch in batches:
+        for part in common.slices(batch, SLICE_BYTES):
+            ids, cut = v.encode(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column_of(ids, cut).cast(pa.binary()), pa.array(np.diff(cut) // 4), v.decode(ids, cut)], ["doc_id", "ids", "n_tokens", "decoded"])
+            del ids, cut, part
+            common.tidy(alone=False)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -297,10 +301,6 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(source.value)
-        for batch in batches:
-            for part in common.slices(batch, SLICE_BYTES):
-                ids, cut = v.encode(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column_of(ids, cut).cast(pa.binary()), pa.array(np.diff(cut) // 4), v.decode(ids, cut)], ["doc_id", "ids", "n_tokens", "decoded"])
+        return encoded_batches(vocabulary(source.value), batches)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")

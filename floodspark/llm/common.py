@@ -6,6 +6,8 @@ numpy passes over one flat buffer. Spark does all partitioning and shuffling.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,13 +85,48 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps before the next large shuffle."""
-    import gc
-
     for _ in range(2):  # what Python lets go of reaches the JVM with the next call
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
 
+#: What this Python worker keeps from task to task: the tables of the operator that asked last.
+KEPT: dict = {}
+
+
+def kept_in_worker(key, make: Callable):
+    """``make()``, made once in a Python worker and kept until another key is asked for or ``tidy`` lets go of it."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
+def tidy(alone: bool = True) -> None:
+    """Give back what Arrow and the C library hold unused: workers are used again by later tasks and stages, and without this each
+    holds the most that any had. ``alone``: also what another operator has left in the worker."""
+    if alone and KEPT:
+        KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """``f``, a function of one group, in a worker that is tidied before and after."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        tidy()
+        try:
+            return f(*tables)
+        finally:
+            tidy()
+
+    # Spark goes by the number of arguments
+    return (lambda table: run(table)) if f.__code__.co_argcount == 1 else (lambda table, more: run(table, more))
+
+
 def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about ``size`` bytes of text; a longer text alone."""
     _, offsets = utf8(batch.column("text"))

@@ -233,7 +233,7 @@ def long_repeats(letters: DataFrame, most: int = 0) -> tuple[DataFrame, list[Dat
             kind = np.where(go, 1, 0)
             return pa.table({"chunk": t.column("chunk"), "g": g, "goal": goal, "upto": np.where(go, ends[2], upto), "n0": np.where(stuck, -1, name), "n1": names[1], "n2": names[2], "go": kind.astype(np.int32), "repeated": repeated & ~stuck, "lead": lead})
 
-        step = c.stored(sample.groupBy("chunk").applyInArrow(longer, "chunk int, g long, goal long, upto long, n0 long, n1 long, n2 long, go int, repeated boolean, lead boolean"))
+        step = c.stored(sample.groupBy("chunk").applyInArrow(c.tidied(longer), "chunk int, g long, goal long, upto long, n0 long, n1 long, n2 long, go int, repeated boolean, lead boolean"))
         again, ranked = named(step.filter("go = 1").select("chunk", "g", "goal", "upto", "n0", "n1", "n2"), ["n0", "n1", "n2"], most)
         offset += 1 << 40
         again = again.select("chunk", "g", "goal", "upto", (F.col("name") + offset).alias("name"), "repeated", "lead")
@@ -255,7 +255,7 @@ def long_repeats(letters: DataFrame, most: int = 0) -> tuple[DataFrame, list[Dat
         kind, g, a, b, r = (np.concatenate(x) for x in zip(*out))
         return pa.table({"chunk": pa.array(np.full(len(g), t.column("chunk")[0].as_py() if t.num_rows else 0), pa.int32()), "g": g, "kind": kind, "a": a, "b": b, "r": r})
 
-    merged = letters.select("chunk", "g", "cls", "t0", "t1").groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInArrow(keys, "chunk int, g long, kind long, a long, b long, r long")
+    merged = letters.select("chunk", "g", "cls", "t0", "t1").groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInArrow(c.tidied(keys), "chunk int, g long, kind long, a long, b long, r long")
     merged, ranked = named(merged, ["kind", "a", "b", "r"], 2 * most)
     found = sample.filter("repeated and upto >= goal").select("chunk", "g", "lead").unionByName(merged.filter("repeated").select("chunk", "g", "lead"))
     return found, [sample, ranked]
@@ -308,7 +308,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
         return pa.concat_tables([rows, pa.table([about[f.name] if f.name in about else pa.nulls(2, f.type) for f in rows.schema], rows.schema)]) if about else rows
 
     schema = "chunk int, g long, cls int, goal long, upto long, t0 long, t1 long, t2 long, kind int, payload binary"
-    spelled = c.stored(chunks.groupBy("chunk").cogroup(cores.groupBy("chunk")).applyInArrow(spell, schema))
+    spelled = c.stored(chunks.groupBy("chunk").cogroup(cores.groupBy("chunk")).applyInArrow(c.tidied(spell), schema))
     c.forget(cores)
     c.release(spark)
     letters = spelled.filter("kind = 0").drop("kind", "payload")
@@ -319,7 +319,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
         lists = [np.unique(g).astype("<u4").tobytes(), np.unique(g[lead]).astype("<u4").tobytes()]
         return pa.table({"chunk": table.column("chunk").slice(0, 1).take(pa.array([0, 0])), "kind": pa.array([2, 4], pa.int32()), "payload": pa.array(lists, pa.binary())})
 
-    placed = c.stored(found.groupBy("chunk").applyInArrow(places, "chunk int, kind int, payload binary"))
+    placed = c.stored(found.groupBy("chunk").applyInArrow(c.tidied(places), "chunk int, kind int, payload binary"))
     for table in used:
         c.forget(table)
     known = spelled.filter("kind in (1, 5)").select("chunk", "kind", "payload").unionByName(placed)
@@ -371,7 +371,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, core: int = 48) -> DataFra
         return pa.table({"doc_id": x.table.column("doc_id").cast(pa.int64()), "text_hash": x.table.column("text_hash"), "n_bytes": np.diff(x.offsets), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
     schema = "doc_id long, text_hash long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(c.tidied(finish), schema)
 
 
 def valid_text(kept: str) -> Column:

@@ -1,7 +1,10 @@
 """The text operators against brute force, on small texts with nulls, copies, ties and clashing columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -385,3 +388,41 @@ def test_hashes_of_words_depend_on_all_bytes():
     data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
     start, end, first = common.words(data, offsets)
     assert first.tolist() == [0, len(w)] and len(set(common.word_hashes(data, start, end).tolist())) == len(w)
+
+
+def test_workers_keep_little_for_later_stages(spark):
+    """A worker is used again by other stages: what Arrow freed goes back, and another operator's tables go."""
+    code = """
+import random, re
+import pyarrow as pa
+from floodspark.llm import bpe, common, queries
+anon = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+v = bpe.vocabulary(open(queries.tokenizer_file(), encoding="utf-8").read())
+rng = random.Random(1)
+text = " ".join(rng.choice(["alpha", "beta", "Gamma", "x"]) + str(rng.randint(0, 9)) for _ in range(20_000))
+batch = pa.record_batch({"doc_id": list(range(40)), "text": [text] * 40})
+common.tidy(alone=False)
+before, n = anon(), 0
+for out in bpe.encoded_batches(v, iter([batch] * 3)):
+    n += out.num_rows
+    del out
+print(n, anon() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    n, grown = done.stdout.split()
+    assert int(n) == 120 and float(grown) < 20
+
+    def kept(batches):
+        common.kept_in_worker("another", dict)
+        for batch in batches:
+            yield batch.select([]).append_column("n", pa.array([len(common.KEPT)] * batch.num_rows))
+
+    def after(table):
+        return pa.table({"n": pa.array([len(common.KEPT)], pa.int64())})
+
+    ids = spark.range(1)
+    assert [r.n for r in ids.mapInArrow(kept, "n long").collect()] == [1]
+    common.kept_in_worker("another", dict)
+    assert common.tidied(after)(pa.table({"id": [1]})).column("n").to_pylist() == [0] and not common.KEPT
+    assert [r.n for r in ids.groupBy("id").applyInArrow(common.tidied(after), "n long").collect()] == [0]
+    assert [r.n for r in ids.groupBy("id").cogroup(ids.groupBy("id")).applyInArrow(common.tidied(lambda a, b: after(a)), "n long").collect()] == [0]
