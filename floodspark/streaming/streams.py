@@ -29,43 +29,58 @@ def trailing_rain_stream(rain: DataFrame, days: int = 7, late: str = "3 days") -
     return rain.withWatermark("ts", late).groupBy("site_id", F.window("ts", f"{days} days", "1 day").alias("w")).agg(F.sum("mm").alias("mm")).select("site_id", F.col("w.start").alias("start"), "mm")
 
 
-def crossing_stream(series: DataFrame, threshold: float, late: str = "1 hour") -> DataFrame:
+def crossing_stream(series: DataFrame, threshold: float, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """poi_id, t_cross (seconds): one alert for each point at the first crossing of ``threshold``, interpolated from the
     sample before. Columns: poi_id, ts, q_m3s.
 
     Samples wait in the state until the watermark has passed them, so rows that come up to ``late`` late take
     their place in time. Nothing after a point's first sample at or over the threshold is kept, and after its
     alert only that it was given: it is what makes a second one impossible, so it stays.
+
+    A group is one of ``buckets`` by the hash of the point, and its points are worked off together, so calls and rows of state do
+    not grow with the number of points. A bucket holds its share of them: more points need more buckets, from the stream's first start on.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_q, fired, held_t, held_q = state.get if state.exists else (float("nan"), float("nan"), False, [], [])
-        t, q = np.array(held_t, float), np.array(held_q, float)
-        for rows in batches:
-            if fired or not len(rows):
-                continue
-            rows = rows.dropna(subset=["q_m3s"])
-            t, q = np.append(t, rows["at_us"] / 1e6), np.append(q, rows["q_m3s"])
-            order = np.lexsort((q, t))
-            t, q = t[order], q[order]
-            over = np.flatnonzero(q >= threshold)[:1] + 1
-            t, q = (t[: over[0]], q[: over[0]]) if len(over) else (t, q)
+        kinds = (np.int64, np.int64, float, float, np.int64, float, float)
+        fired, known, last_t, last_q, poi, t, q = (np.frombuffer(x, kind) for x, kind in zip(state.get if state.exists else [b""] * 7, kinds))
+        some = [rows.dropna(subset=["at_us", "q_m3s"]) for rows in batches]
+        poi = np.concatenate([poi, *(rows["poi_id"].fillna(0).to_numpy(np.int64) for rows in some)])  # null is bucket -1 alone
+        t, q = np.concatenate([t, *(rows["at_us"].to_numpy(float) / 1e6 for rows in some)]), np.concatenate([q, *(rows["q_m3s"].to_numpy(float) for rows in some)])
+        order = np.lexsort((q, t, poi))
+        order = order[~np.isin(poi[order], fired)]
+        poi, t, q = poi[order], t[order], q[order]
+        over = q >= threshold
+        begun = np.cumsum(over) - over
+        kept = begun == begun[np.searchsorted(poi, poi)]  # up to each point's first sample over
+        poi, t, q = poi[kept], t[kept], q[kept]
         mark = state.getCurrentWatermarkMs()
-        done = int(np.searchsorted(t, mark / 1000, "right"))
-        if done:
-            if q[done - 1] >= threshold:  # the only such sample, as what comes after it was dropped
-                before_t, before_q = (t[done - 2], q[done - 2]) if done > 1 else (last_t, last_q)
-                at = t[done - 1] if before_t != before_t else before_t + (threshold - before_q) / (q[done - 1] - before_q) * (t[done - 1] - before_t)
-                yield pd.DataFrame({"poi_id": [key[0]], "t_cross": [float(at)]})
-                fired, done = True, len(t)
-            last_t, last_q, t, q = t[done - 1], q[done - 1], t[done:], q[done:]
-        state.update((float(last_t), float(last_q), bool(fired), t.tolist(), q.tolist()))
+        done = t <= mark / 1000
+        at = np.flatnonzero(done & np.append((poi[1:] != poi[:-1]) | ~done[1:], True)[: len(poi)])  # each point's last one done
+        who = poi[at]
+        before_t, before_q = np.full(len(at), np.nan), np.full(len(at), np.nan)
+        place = np.searchsorted(known, who)
+        met = np.isin(who, known)
+        before_t[met], before_q[met] = last_t[place[met]], last_q[place[met]]
+        more = np.flatnonzero(at > np.searchsorted(poi, who))
+        before_t[more], before_q[more] = t[at[more] - 1], q[at[more] - 1]
+        alert = q[at] >= threshold  # the only such sample, as what comes after it was dropped
+        if alert.any():
+            t1, q1, t0, q0 = t[at[alert]], q[at[alert]], before_t[alert], before_q[alert]
+            crossed = np.where(np.isnan(t0), t1, t0 + (threshold - q0) / (q1 - q0) * (t1 - t0))
+            yield pd.DataFrame({"poi_id": who[alert] if key[0] >= 0 else [None], "t_cross": crossed})
+        fired, stay = np.append(fired, who[alert]), ~np.isin(known, who)
+        known, last_t, last_q = (np.concatenate([old[stay], new[~alert]]) for old, new in ((known, who), (last_t, t[at]), (last_q, q[at])))
+        order, held = np.argsort(known), ~done
+        poi, t, q = poi[held], t[held], q[held]
+        state.update(tuple(x.tobytes() for x in (fired, known[order], last_t[order], last_q[order], poi, t, q)))
         if len(t):
-            state.setTimeoutTimestamp(max(int(t[0] * 1000), mark) + 1)
+            state.setTimeoutTimestamp(max(int(t.min() * 1000), mark) + 1)
 
-    kind = "t double, q double, fired boolean, held_t array<double>, held_q array<double>"
-    series = series.withColumn("at_us", F.unix_micros("ts"))  # since the epoch, whatever the session's time zone
-    return series.withWatermark("ts", late).groupBy("poi_id").applyInPandasWithState(step, "poi_id long, t_cross double", kind, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = "fired binary, known binary, last_t binary, last_q binary, held_poi binary, held_t binary, held_q binary"
+    bucket = F.when(F.col("poi_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("poi_id"), F.lit(buckets))).cast("int")
+    series = series.withColumns({"at_us": F.unix_micros("ts"), "bucket": bucket})  # since the epoch, whatever the session's time zone
+    return series.withWatermark("ts", late).groupBy("bucket").applyInPandasWithState(step, "poi_id long, t_cross double", kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_scenes_stream(scenes: DataFrame, late: str = "30 days") -> DataFrame:

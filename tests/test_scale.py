@@ -1,10 +1,17 @@
 """What tasks and driver hold must not grow faster than the input."""
 
+import random
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
 from floodspark.operators import breach, grids, series, shapes
+from floodspark.streaming import streams
+
+
+#: Seconds; Spark takes rows of before 1970 for late.
+START = 1_700_000_000
 
 
 def physical(df):
@@ -68,3 +75,31 @@ def test_little_text_makes_few_pairs_of_chunk_and_bucket(spark):
         assert common.parts(few) == 8 and common.parts(few, 100 << 20) == 25
     finally:
         spark.conf.set(key, before)
+
+
+def test_crossings_keep_a_row_of_state_for_a_bucket(spark, tmp_path):
+    """Many points, late rows, ties, nulls and a point without an id, in five batches."""
+    rng = random.Random(2)
+    rows = [(None if p == 0 else p, 60 * k + rng.randint(0, 59), rng.choice([None, 0.0, 3.0, 9.0, 10.0, rng.uniform(0, 13)])) for p in range(1500) for k in range(6)]
+    rows += [(p, t, 1.0 + q) for p, t, q in rows[:600] if q is not None] + [(-5, 2000, 1.0)]
+    arrived = sorted((t + rng.randint(0, 29), p, t, q) for p, t, q in ((-1 if p is None else p, t, -1.0 if q is None else q) for p, t, q in rows))
+    size = -(-len(arrived) // 5)
+    for k in range(5):
+        part = [(None if p == -1 else p, datetime.fromtimestamp(START + t * 60, UTC), None if q == -1 else q) for _, p, t, q in arrived[k * size : (k + 1) * size]]
+        spark.createDataFrame(part, "poi_id long, ts timestamp, q_m3s double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    want, mark = {}, max(t for _, t, _ in rows) - 60
+    for p in {p for p, _, _ in rows}:
+        own, before = sorted((t, q) for x, t, q in rows if x == p and q is not None), None
+        for t, q in own:
+            if q >= 10:
+                if t <= mark:
+                    want[p] = 60.0 * (t if before is None else before[0] + (10 - before[1]) / (q - before[1]) * (t - before[0]))
+                break
+            before = t, q
+    stream = spark.readStream.schema("poi_id long, ts timestamp, q_m3s double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streams.crossing_stream(stream, 10.0, "1 hour", buckets=16).writeStream.format("memory").queryName("buckets").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.table("buckets").collect()]
+    assert {p for p, _ in got} == set(want) and len(got) == len(want) > 900 and None in want
+    assert all(abs(t - START - want[p]) < 1e-3 for p, t in got)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 17
