@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from floodspark.operators import breach, grids, series, shapes
+from floodspark.operators import breach, grids, series, shapes, surrogate
 from floodspark.streaming import streams
 
 
@@ -103,3 +106,18 @@ def test_crossings_keep_a_row_of_state_for_a_bucket(spark, tmp_path):
     assert {p for p, _ in got} == set(want) and len(got) == len(want) > 900 and None in want
     assert all(abs(t - START - want[p]) < 1e-3 for p, t in got)
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 17
+
+
+def test_depths_of_samples_are_decoded_in_small_blocks():
+    rng = np.random.default_rng(1)
+    sample, w = rng.normal(size=(2000, 3)), rng.normal(size=(3000, 3))
+    mean = rng.normal(size=3000)
+    batch = pa.record_batch({"mean": mean, "w": pa.array(list(w))})
+    tracemalloc.start()
+    rows = 0
+    for part, depth in surrogate.depths(3, sample, batch):
+        assert np.allclose(depth[0], np.maximum(np.expm1(mean[rows] + sample @ w[rows]), 0))
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 8e6
